@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op1_ngram_jaccard_join": "ngram_join",
     "op9_substring_dedup": "substring_dedup",
     "op10_exact_dedup": "exact_dedup",
 }

@@ -11,6 +11,7 @@ _MODULES = {
     "op1_ngram_jaccard_join": "ngram_join",
     "op4_secret_scan": "secret_scan",
     "op6_toxicity": "toxicity",
+    "op7_bpe": "bpe",
     "op9_substring_dedup": "substring_dedup",
     "op10_exact_dedup": "exact_dedup",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op1_ngram_jaccard_join": "ngram_join",
+    "op2_token_store": "token_store",
     "op4_secret_scan": "secret_scan",
     "op6_toxicity": "toxicity",
     "op7_bpe": "bpe",

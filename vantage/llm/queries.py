@@ -11,6 +11,7 @@ _MODULES = {
     "op1_ngram_jaccard_join": "ngram_join",
     "op2_token_store": "token_store",
     "op4_secret_scan": "secret_scan",
+    "op5_vector_search": "vector_search",
     "op6_toxicity": "toxicity",
     "op7_bpe": "bpe",
     "op9_substring_dedup": "substring_dedup",

@@ -149,14 +149,32 @@ def window_min(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, value) pairs, ascending by row."""
-    order = np.lexsort((values, rows))
+    """Distinct (row, value) pairs, ascending by row and then by value."""
+    order = np.argsort(rows)
     rows, values = rows[order], values[order]
+    same = np.zeros(len(rows) + 1, dtype=bool)
+    same[1:-1] = rows[1:] == rows[:-1]
+    many = np.flatnonzero(same[1:] | same[:-1])  # rows of several values; only those need a second key
+    if len(many) == 0:
+        return rows, values
+    values[many] = values[many][np.lexsort((values[many], rows[many]))]
     keep = np.ones(len(rows), dtype=bool)
     keep[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
     return rows[keep], values[keep]
 
 
+def sorted_sets(offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, value) pairs, ascending, where values[offsets[i]:offsets[i+1]] belong to row i."""
+    values = values.copy()
+    keep = np.ones(len(values), dtype=bool)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        values[a:b].sort()
+    keep[1:] = values[1:] != values[:-1]
+    first = offsets[:-1]
+    keep[first[first < len(values)]] = True
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[keep], values[keep]
+
+
 def runs(sorted_values: np.ndarray) -> np.ndarray:
     """Start of each run of equal values, and the end of the last one."""
     if len(sorted_values) == 0:
@@ -168,7 +186,8 @@ def pack(bucket: np.ndarray, owner: np.ndarray, *columns: np.ndarray) -> Iterato
     """One blob for each bucket: how many owners, the owners, how many items each has, then the columns."""
     if len(bucket) == 0:
         return
-    order = np.lexsort((owner, bucket))
+    own, place = np.unique(owner, return_inverse=True)
+    order = np.argsort(bucket * len(own) + place)
     bucket, owner = bucket[order], owner[order]
     columns = tuple(c[order] for c in columns)
     edges = runs(bucket)

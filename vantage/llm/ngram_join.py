@@ -11,8 +11,9 @@ shingle, a text without words has the empty set and no links.  Two sets link whe
   least m + 1 of them, so, where no more than m partitions of a set are empty, on one that is not
   empty.  Each non-empty partition gives one signature; a set with more than m empty partitions also
   gives those.  No link is lost, whatever the data.
-* Groups: sets of one signature meet around one pivot, not in pairs.  Pairs that a 512-bit parity sketch
-  cannot rule out (its distance never exceeds that of the sets) are compared exactly on their texts.
+* Groups: sets of one signature meet around one pivot, not in pairs.  Pairs that parity sketches (a bit or
+  more for each feature) cannot rule out, as their distance never exceeds that of the sets, are compared
+  exactly on their texts.
   Where members of a signature still lie in different components, the pairs across them are compared
   too, in blocks, again behind the sketch.  So the components are those of all links.
 
@@ -31,19 +32,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm.arrays import by_row, grams, mix, pack, runs, slices, unpack, utf8, words
+from vantage.llm.arrays import by_row, grams, mix, pack, runs, slices, sorted_sets, unpack, utf8, words
 from vantage.llm.base import cut, stored, table
 from vantage.llm.components import components
 
 SHINGLE = 5
 SKETCH_BITS = 512
+PAIR_BYTES = 16_000_000
+MEMBERS_PER_TASK = 20_000
 KEYS_PER_BUCKET = 3_000_000
 LEAST_BUCKETS = 16
 BLOCK = 1024
-_SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 
@@ -52,15 +54,15 @@ def shingles(text: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of a batch of texts as (row, hash), ascending."""
     w = words(*utf8(text), lower=True)
     count = np.diff(w.offsets)
-    rows = w.rows()
-    at = np.flatnonzero(w.room(k))
-    found_rows, found = [rows[at]], [grams(w.hashes, k)[at]]
+    values = grams(w.hashes, k)
+    long = w.room(k)
     for short in range(1, k):
-        own = np.flatnonzero(count == short)
+        own = w.offsets[:-1][count == short]
         if len(own):
-            found_rows.append(own)
-            found.append(mix(grams(w.hashes, short)[w.offsets[own]] + _U(short)))
-    return by_row(np.concatenate(found_rows), np.concatenate(found))
+            values[own] = mix(grams(w.hashes, short)[own] + _U(short))
+            long[own] = True
+    sizes = np.where(count >= k, count - k + 1, np.minimum(count, 1))
+    return sorted_sets(np.concatenate(([0], np.cumsum(sizes))), values[long])
 
 
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -142,6 +144,37 @@ def signatures(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(out_set), np.concatenate(out_key)
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """Parity of the number of features in each slot; slots are a power of two, at least as many as features."""
+    slots = SKETCH_BITS
+    while slots < len(values):
+        slots *= 2
+    return np.packbits((np.bincount((values & _U(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(blob: bytes, size: int) -> np.ndarray:
+    own = np.frombuffer(blob, _U)
+    return np.bitwise_xor.reduce(own.reshape(-1, size // 8), axis=0)
+
+
+def near(left: np.ndarray, right: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Whether sizes and sketches of the sets left[i] and right[i] allow a link; never false for one."""
+    out = 5 * np.minimum(n[left], n[right]) >= 4 * np.maximum(n[left], n[right])
+    length = np.array([len(x) for x in sketches], np.int64)
+    size = np.minimum(length[left], length[right])
+    for common in np.unique(size[out]).tolist():
+        own = np.flatnonzero(out & (size == common))
+        used, place = np.unique(np.concatenate([left[own], right[own]]), return_inverse=True)
+        bits = np.stack([_folded(sketches[i], common) for i in used.tolist()])
+        a, b = place[: len(own)], place[len(own) :]
+        step = max(1, PAIR_BYTES // common)
+        for at in range(0, len(own), step):
+            x, y = a[at : at + step], b[at : at + step]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            out[own[at : at + step]] = 9 * apart <= n[used[x]] + n[used[y]]
+    return out
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_id (null for the empty set) and the parity sketch of every document."""
 
@@ -152,14 +185,14 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             own, size, ids = set_ids(rows, values)
             sizes, hashes, none = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
             sizes[own], hashes[own], none[own] = size, ids, False
-            odd = np.bincount(rows * SKETCH_BITS + (values & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=n * SKETCH_BITS) & 1
-            sketch = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, -1)
+            cuts = np.searchsorted(rows, np.arange(n + 1)).tolist()
+            sketches = [sketch(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(hashes, mask=none), *(pa.array(np.ascontiguousarray(x)) for x in sketch.T)],
-                names=["doc_id", "n_shingles", "set_id", *_SKETCH],
+                [batch.column("doc_id"), pa.array(sizes), pa.array(hashes, mask=none), pa.array(sketches, pa.binary())],
+                names=["doc_id", "n_shingles", "set_id", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n_shingles long, set_id long, " + ", ".join(f"{s} long" for s in _SKETCH))
+    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n_shingles long, set_id long, sketch binary")
 
 
 _GROUP = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
@@ -223,11 +256,18 @@ def signature_groups(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
 
 
-def _possible(a: str, b: str) -> Column:
-    """What the sketches and sizes of two sets allow; never false for a link."""
-    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH), F.lit(0))
-    total = F.col(f"{a}.n") + F.col(f"{b}.n")
-    return (9 * apart <= total) & (5 * F.least(f"{a}.n", f"{b}.n") >= 4 * F.greatest(f"{a}.n", f"{b}.n"))
+def _allowed(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, p, q) that sizes and sketches in p and q allow, as doc_ids (a, b)."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = batch.column("p").flatten(), batch.column("q").flatten()
+            n = np.concatenate([np.asarray(p[1]), np.asarray(q[1])])
+            at = np.arange(batch.num_rows)
+            good = near(at, at + batch.num_rows, n, p[2].to_pylist() + q[2].to_pylist())
+            yield pa.RecordBatch.from_arrays([p[0], q[0]], names=["a", "b"]).filter(pa.array(good))
+
+    return pairs.select("p", "q").mapInArrow(keep, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -260,34 +300,41 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _across(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of one signature group in different components that sizes and sketches allow.
 
-    members: key, rep, n, sketch, component.  Groups are cut into blocks of about BLOCK members; each pair of
-    blocks is a task's work, so no task ever holds a whole large group.
+    members: key, rep, n, sketch, component.  Groups are cut into blocks of about BLOCK members, and each pair
+    of blocks is dealt to a task by itself, so no task ever holds a whole large group; small groups share one.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    tasks = max(1, members.count() // MEMBERS_PER_TASK)
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "*", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j")
     )
+    work = pairs.select("rep", "n", "sketch", "component", "block", (F.col("i") == F.col("j")).alias("own"), F.xxhash64("key", "i", "j").alias("work"))
 
     def compare(group: pa.Table) -> pa.Table:
         at = lambda c: np.asarray(group.column(c))
-        order = np.argsort(at("n"), kind="stable")
-        rep, n, part, block = (at(c)[order] for c in ("rep", "n", "component", "block"))
-        sketch = np.stack([at(s) for s in _SKETCH], axis=1)[order].view(_U)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        out_a, out_b = [], []
-        for x in range(len(rep)):
-            end = int(np.searchsorted(n, n[x] * 5 // 4, side="right"))
-            y = np.arange(x + 1, end)
-            y = y[(part[y] != part[x]) & ((block[y] != block[x]) | (i == j))]
-            if len(y):
-                y = y[9 * np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= n[y] + n[x]]
-                out_a.append(np.full(len(y), rep[x]))
-                out_b.append(rep[y])
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate(out_a) if out_a else none), "b": pa.array(np.concatenate(out_b) if out_b else none)})
-
-    return pairs.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        order = np.lexsort((at("n"), at("work")))
+        rep, n, part, block, own, work = (at(c)[order] for c in ("rep", "n", "component", "block", "own", "work"))
+        blobs = group.column("sketch").take(pa.array(order)).to_pylist()
+        run = np.cumsum(np.concatenate(([0], (work[1:] != work[:-1]).astype(np.int64)))) << 40
+        here = np.arange(len(rep))
+        count = np.searchsorted(run + n, run + n * 5 // 4, side="right") - here - 1
+        out_a, out_b, first = [], [], 0
+        edge = np.concatenate(([0], np.cumsum(count)))
+        while first < len(rep):
+            last = max(first + 1, int(np.searchsorted(edge, edge[first] + 1_000_000, side="right")) - 1)
+            x = np.repeat(here[first:last], count[first:last])
+            y = x + 1 + np.arange(len(x)) - np.repeat(edge[first:last] - edge[first], count[first:last])
+            good = (part[x] != part[y]) & ((block[x] != block[y]) | own[x])
+            x, y = x[good], y[good]
+            good = near(x, y, n, blobs)
+            out_a.append(np.minimum(rep[x[good]], rep[y[good]]))
+            out_b.append(np.maximum(rep[x[good]], rep[y[good]]))
+            first = last
+        a, b = by_row(np.concatenate(out_a), np.concatenate(out_b))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return work.groupBy(F.pmod("work", F.lit(tasks))).applyInArrow(compare, "a long, b long").distinct()
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -301,31 +348,23 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     classes = stored(
         sets.where("set_id is not null and doc_id is not null")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), *(F.max(s).alias(s) for s in _SKETCH)),
+        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")),
         "classes",
     )
     groups = stored(signature_groups(known, n), "groups")
-    packed = classes.select("set_id", F.struct("rep", "n", *_SKETCH).alias("x"))
+    packed = classes.select("set_id", F.struct("rep", "n", "sketch").alias("x"))
     stars = groups.where(f"kind = {_STAR}").select("a", "b").distinct()
-    candidates = (
-        stars.join(packed.withColumnsRenamed({"set_id": "a", "x": "p"}), "a")
-        .join(packed.withColumnsRenamed({"set_id": "b", "x": "q"}), "b")
-        .where(_possible("p", "q"))
-        .select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
+    candidates = _allowed(
+        stars.join(packed.withColumnsRenamed({"set_id": "a", "x": "p"}), "a").join(packed.withColumnsRenamed({"set_id": "b", "x": "q"}), "b")
     )
     links = cut(verified(cut(candidates), known))
     labels = components(links)
-    members = (
-        groups.where(f"kind = {_MEMBER}")
-        .select(F.col("a").alias("key"), F.col("b").alias("set_id"))
-        .join(classes, "set_id")
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", "rep", "n", *_SKETCH, F.coalesce("component", "rep").alias("component"))
-        .distinct()
-    )
-    members = stored(members, "members")
+    placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    grouped = groups.where(f"kind = {_MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("set_id")).distinct()
+    members = cut(grouped.join(placed.select("set_id", "rep", "component"), "set_id").select("key", "set_id", "component"))
     open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    further = cut(_across(members.join(open_keys, "key")))
+    still_open = cut(members.join(open_keys, "key").select("key", "set_id")).join(placed, "set_id")
+    further = cut(_across(still_open))
     more = verified(further, known)
     labels = components(links.unionByName(cut(more)))
     reps = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(

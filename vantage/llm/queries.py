@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = {
     "op1_ngram_jaccard_join": "ngram_join",
     "op2_token_store": "token_store",
+    "op3_chat_rotation": "chat",
     "op4_secret_scan": "secret_scan",
     "op5_vector_search": "vector_search",
     "op6_toxicity": "toxicity",
     "op7_bpe": "bpe",
+    "op8_packing": "packing",
     "op9_substring_dedup": "substring_dedup",
     "op10_exact_dedup": "exact_dedup",
 }

@@ -25,3 +25,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+from vantage.plans import q_reads  # noqa: E402, F401

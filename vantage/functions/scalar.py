@@ -65,3 +65,13 @@ def listed(**conditions: Column) -> Column:
 def identity(*parts: Column, size: int = 24) -> Column:
     """A stable key from the parts."""
     return F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, size)
+
+
+def digest(x: Column, digits: int = 4) -> Column:
+    """A double cut to few decimals at a point that averages of round numbers never meet, so engines agree on it."""
+    scale = F.lit(float(10**digits))
+    return F.floor(x * scale + F.lit(0.4871)) / scale
+
+
+def digest_sql(x: str, digits: int = 4) -> str:
+    return f"floor(({x}) * 1e{digits} + 4871e-4) / 1e{digits}"

@@ -18,7 +18,7 @@ def fixed(x: Column, digits: int = 6) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(x, F.lit(high)), F.lit(low))
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
 
 
 def scaled(x: Column, low: float, high: float) -> Column:
@@ -38,7 +38,7 @@ def decay(x: Column, full: float, zero: float) -> Column:
 
 def band(x: Column, low: float, best_low: float, best_high: float, high: float) -> Column:
     """Score 100 within the best range, falling to 0 at the outer bounds."""
-    return F.least(ramp(x, low, best_low), decay(x, best_high, high))
+    return F.when(x.isNotNull(), F.least(ramp(x, low, best_low), decay(x, best_high, high)))
 
 
 def step(x: Column, *steps: tuple[float, float]) -> Column:

@@ -1,0 +1,69 @@
+import numpy as np
+import pytest
+
+from vantage.llm import exact_dedup, ngram_join, toxicity, vector_search
+from vantage.llm.base import table
+
+
+def brute(vectors, top=20):
+    ids = np.array(sorted(vectors))
+    x = np.array([vectors[i] for i in ids])
+    out = {}
+    for q in ids[ids % 20 == 0]:
+        s = x @ np.array(vectors[q])
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:top]
+        out[int(q)] = [(int(ids[j]), float(s[j])) for j in order]
+    return out
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(900, 15)) * rng.uniform(0.5, 2, size=(900, 1)), 3)
+    x[300:600] = x[300]  # a third of all rows are one vector
+    rows = [(i, v.tolist(), "extra") for i, v in enumerate(x)]
+    odd = [(2000, None, "n"), (2020, [], "e"), (2040, [0.0] * 15, "z"), (2060, [float("nan")] * 15, "n"), (2080, [float("inf")] + [1.0] * 14, "i"), (2100, [None] * 15, "n"), (2120, [1.0] * 3, "s"), (None, [1.0] * 15, "x")]
+    got = vector_search.nearest(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label string")).collect()
+    want = brute({i: v for i, v, _ in rows})
+    by = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by.setdefault(r.query_id, []).append((r.vec_id, r.score, r.rank))
+    assert set(by) == set(want)
+    hits = sum(len({v for v, _, _ in by[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits >= 0.95 * sum(map(len, want.values()))
+    for q, found in by.items():
+        assert [r for _, _, r in found] == list(range(1, 21)) and q not in {v for v, _, _ in found}
+        assert found == sorted(found, key=lambda f: (-f[1], f[0]))
+        assert all(s == pytest.approx(float(x[v] @ x[q])) for v, s, _ in found)
+    assert vector_search.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    clean = {r.doc_id for r in toxicity.score(docs, model).where("predicted = 0").collect()}
+    kept = docs.where(docs.doc_id.isin(list(clean)))
+    first = {r.doc_id for r in exact_dedup.exact_dedup(kept).where("kept").collect()}
+    left = kept.where(kept.doc_id.isin(list(first)))
+    last = {r.doc_id for r in ngram_join.ngram_components(left).where("doc_id = component_id").collect()}
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in out} == last and len(out) == len(last)
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "secret scans", "packing"]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.n_chars == len(r.text) for r in out if r.text != texts[r.doc_id])
+
+
+def test_queries_have_the_promised_columns(spark, sf):
+    from vantage.llm.queries import queries
+
+    promised = {
+        "op1_ngram_jaccard_join": {"doc_id", "n_shingles", "component_id"},
+        "op4_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+        "op6_toxicity": {"doc_id", "held_out", "score", "predicted"},
+        "op7_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+        "op9_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"},
+        "op10_exact_dedup": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
+    }
+    for name, columns in promised.items():
+        assert columns <= set(queries()[name](spark, sf).columns)

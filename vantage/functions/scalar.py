@@ -17,6 +17,11 @@ def fixed(x: Column, digits: int = 6) -> Column:
     return F.floor(x * scale + F.lit(0.5)) / scale
 
 
+def let(x: Column, then) -> Column:
+    """``then`` of a value that it uses more than once, evaluated once and written once in the plan."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
 

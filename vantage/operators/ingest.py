@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vantage.functions.scalar import listed
+from vantage.functions.scalar import let, listed
+from vantage.sources.staging import staged_table
 
 #: Contracts of delivered datasets: column -> (kind, required, other names).  Fixed values of the format.
 CONTRACTS: dict[str, dict[str, tuple[str, bool, tuple[str, ...]]]] = {
@@ -69,21 +70,28 @@ def coerced(kind: str, text: Column) -> tuple[Column, Column]:
         value = F.when(iso, F.try_to_date(t, "yyyy-MM-dd")).when(slashed, F.try_to_date(t, "yyyy/MM/dd")).when(packed, F.try_to_date(t, "yyyyMMdd"))
         return value, F.when(slashed, "slashes").when(packed, "packed_date").when(t != text, "trimmed")
     if kind == "decimal":
-        bare = F.regexp_replace(t, r"[$€£\s]", "")
-        negative = bare.rlike(r"^\(.*\)$")
-        inner = F.when(negative, F.concat(F.lit("-"), F.substring(bare, 2, F.length(bare) - 2))).otherwise(bare)
-        comma = inner.rlike(r"^-?\d+,\d{1,2}$")
-        thousands = inner.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$")
-        plain = F.when(comma, F.regexp_replace(inner, ",", ".")).when(thousands, F.regexp_replace(inner, ",", "")).otherwise(inner)
-        value = F.when(plain.rlike(r"^[+-]?\d+(\.\d+)?$"), plain.try_cast("decimal(28,6)"))
-        rule = F.when(negative, "accounting_negative").when(comma, "decimal_comma").when(thousands, "thousands").when(bare != t, "symbols").when(t != text, "trimmed")
-        return value, F.when(value.isNotNull(), rule)
+        parsed = let(F.regexp_replace(t, r"[$€£\s]", ""), _decimal)
+        rule = F.coalesce(parsed["rule"], F.when(F.regexp_replace(t, r"[$€£\s]", "") != t, "symbols"), F.when(t != text, "trimmed"))
+        return parsed["value"], F.when(parsed["value"].isNotNull(), rule)
     if kind == "bool":
         low = F.lower(t)
         return F.when(low.isin("true", "t", "yes", "y", "1"), True).when(low.isin("false", "f", "no", "n", "0"), False), F.when(t != text, "trimmed")
     return F.when(t != "", t), F.when(t != text, "trimmed")
 
 
+def _decimal(bare: Column) -> Column:
+    """(value, rule) of digits with decimal comma, thousands separators or accounting brackets; a percentage is refused."""
+    negative = bare.rlike(r"^\(.*\)$")
+
+    def read(inner: Column) -> Column:
+        comma, thousands = inner.rlike(r"^-?\d+,\d{1,2}$"), inner.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$")
+        plain = F.when(comma, F.regexp_replace(inner, ",", ".")).when(thousands, F.regexp_replace(inner, ",", "")).otherwise(inner)
+        return F.struct(F.when(plain.rlike(r"^[+-]?\d+(\.\d+)?$"), plain.try_cast("decimal(28,6)")).alias("value"), F.when(comma, "decimal_comma").when(thousands, "thousands").alias("rule"))
+
+    got = let(F.when(negative, F.concat(F.lit("-"), F.substring(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare), read)
+    return F.struct(got["value"].alias("value"), F.when(negative, "accounting_negative").otherwise(got["rule"]).alias("rule"))
+
+
 def normalised(mapped_rows: DataFrame, dataset: str) -> DataFrame:
     """Typed columns, the raw row, ``corrections`` (array of field, raw, rule) and ``errors`` (fields that can't be read)."""
     contract = CONTRACTS[dataset]
@@ -133,7 +141,7 @@ def counters(rows: DataFrame) -> DataFrame:
 
 def import_bars(raw: DataFrame, export_date: Column) -> DataFrame:
     """Delivered daily bars through every stage; nothing is lost, each row ends with its stage and reason."""
-    typed = normalised(mapped(raw, "daily_bars"), "daily_bars")
+    typed = staged_table(normalised(mapped(raw, "daily_bars"), "daily_bars"))
     good = cross_checked(validated_bars(typed.where(F.size("errors") == 0)), export_date)
     bad = typed.where(F.size("errors") > 0).withColumn("reasons", F.array().cast("array<string>")).withColumn("flags", F.array().cast("array<string>"))
     return staged(good.unionByName(bad))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vantage.operators import ingest as I
 from vantage.registry import register
+from vantage.sources.staging import staged_table
 from vantage.sources.fixtures import frame, with_tables
 
 _EXPORT = F.lit("2001-06-30").cast("date")
@@ -16,13 +17,14 @@ def _raw(s, d):
     b = frame(s, d, "dirty_bars")
     i = F.col("instrument_id")
     day = F.when(i % 3 == 0, F.date_format("session_date", "yyyy/MM/dd")).when(i % 3 == 1, F.date_format("session_date", "yyyyMMdd")).otherwise(F.col("session_date").cast("string"))
+    b = staged_table(b)
     money = lambda c: F.format_string("%.4f", F.col(c))
     close = F.when(i % 5 == 1, F.concat(F.lit(" $"), money("close"))).when(i % 5 == 2, F.concat(F.lit("("), money("close"), F.lit(")"))).when((i == 9) & (F.dayofmonth("session_date") == 1), F.lit("12%")).otherwise(money("close"))
     return b.select(i.cast("string").alias("id"), day.alias("date"), money("open").alias("open"), money("high").alias("high"), money("low").alias("low"), close.alias("close"), F.format_string("%.0f", F.col("volume")).alias("vol"), F.lit("x").alias("note"), "line")
 
 
 def _typed(s, d):
-    return I.normalised(I.mapped(_raw(s, d), "daily_bars"), "daily_bars")
+    return staged_table(I.normalised(I.mapped(_raw(s, d), "daily_bars"), "daily_bars"))
 
 
 _K = "case when instrument_id % 5 = 1 then 'symbols' when instrument_id % 5 = 2 then 'accounting_negative' end"

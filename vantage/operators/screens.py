@@ -42,7 +42,7 @@ def performance(equity: DataFrame, per_year: int = 252) -> DataFrame:
     x = equity.withColumn("r", F.col("close") / F.lag("close").over(w) - 1).withColumn("dd", 1 - F.col("close") / F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     a = x.groupBy("instrument_id").agg(
         F.count("r").alias("n"), F.min_by("close", "session_date").alias("first"), F.max_by("close", "session_date").alias("last"), F.max("dd").alias("max_drawdown"), F.avg("r").alias("mean"),
-        F.stddev_samp("r").alias("sd"), F.sqrt(F.avg(F.pow(F.least(F.col("r"), F.lit(0.0)), 2))).alias("downside"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"),
+        F.stddev_samp("r").alias("sd"), F.sqrt(F.avg(F.when(F.col("r").isNotNull(), F.pow(F.least(F.col("r"), F.lit(0.0)), 2)))).alias("downside"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"),
         F.sum(F.when(F.col("r") > 0, F.col("r"))).alias("gains"), F.sum(F.when(F.col("r") < 0, -F.col("r"))).alias("losses"),
     )
     cagr = F.pow(F.col("last") / F.col("first"), per_year / F.col("n")) - 1

@@ -11,7 +11,11 @@ from vantage.registry import register
 from vantage.sources.fixtures import frame, with_tables
 
 AS_OF = "2001-06-13"
-_on = F.lit(AS_OF).cast("date")
+
+
+def _on():
+    return F.lit(AS_OF).cast("date")
+
 
 
 def _sql_periods(unit: str) -> str:
@@ -26,7 +30,7 @@ _COLS = "instrument_id, period_start, open, high, low, close, volume, n_sessions
 
 
 def _periods(spark, d, timeframe):
-    return B.aggregate_daily(frame(spark, d, "bars"), frame(spark, d, "calendar"), timeframe, _on)
+    return B.aggregate_daily(frame(spark, d, "bars"), frame(spark, d, "calendar"), timeframe, _on())
 
 
 for _name, _tf, _unit in (("t01_weekly", "1w", "week"), ("t01_monthly", "1mo", "month")):
@@ -59,7 +63,7 @@ register(
 )
 register(
     "t08_no_future",
-    lambda s, d: B.no_future(B.completed_only(_periods(s, d, "1mo")), _on),
+    lambda s, d: B.no_future(B.completed_only(_periods(s, d, "1mo")), _on()),
     with_tables("bars calendar", _sql_periods("month") + f"select coalesce(bool_and(period_end <= date '{AS_OF}'), true) as causal, count(*) as n_bars from p where complete"),
 )
 _CURVE = """with v as (select instrument_id, session_date, cast(floor((epoch(event_time) - epoch(cast(session_date as timestamp))) / 3600.0::double) as int) as bucket, sum(volume) as v from ticks group by 1, 2, 3),
@@ -105,7 +109,6 @@ def _lag(x: str, n: int = 1) -> str:
 
 _TR = f"case when {_lag('close')} is not null then greatest(high - low, abs(high - {_lag('close')}), abs(low - {_lag('close')})) end"
 _TP = "(high + low + close) / 3"
-_c, _v = F.col("close"), F.col("volume")
 
 
 def _feature(name: str, stages: list[tuple[str, object, str]], out: str, digits: int = 4) -> None:
@@ -125,21 +128,21 @@ def _feature(name: str, stages: list[tuple[str, object, str]], out: str, digits:
     register(name, query, with_tables("bars", "with " + ",\n".join(ctes) + f"\nselect instrument_id, session_date, {digest_sql(out, digits)} as value from {head}"))
 
 
-_feature("i01_sma", [("y", lambda: X.sma(_c, 20), _w(20, f"sum(close) {_t(20)} / 20"))], "y")
-_feature("i06_rate_of_change", [("y", lambda: X.rate_of_change(_c, 60), f"close / {_lag('close', 60)} - 1")], "y", 6)
+_feature("i01_sma", [("y", lambda: X.sma(F.col("close"), 20), _w(20, f"sum(close) {_t(20)} / 20"))], "y")
+_feature("i06_rate_of_change", [("y", lambda: X.rate_of_change(F.col("close"), 60), f"close / {_lag('close', 60)} - 1")], "y", 6)
 _feature("i07_true_range", [("y", X.true_range, _TR)], "y")
 _feature("i09_realized_volatility", [("r", X.log_return, f"ln(close / {_lag('close')})"), ("y", lambda: X.realized_volatility(F.col("r"), 20), f"case when count(r) {_t(20)} >= 20 then stddev_samp(r) {_t(20)} * sqrt(252) end")], "y", 6)
-_feature("i10_bollinger", [("y", lambda: X.bollinger(_c)["bandwidth"], _w(20, f"4 * stddev_pop(close) {_t(20)} / avg(close) {_t(20)}"))], "y", 6)
+_feature("i10_bollinger", [("y", lambda: X.bollinger(F.col("close"))["bandwidth"], _w(20, f"4 * stddev_pop(close) {_t(20)} / avg(close) {_t(20)}"))], "y", 6)
 _feature("i12_typical_price", [("y", X.typical_price, _TP)], "y", 3)
 _feature("i13_on_balance_volume", [("s", X.on_balance_step, f"coalesce(sign(close - {_lag('close')}) * volume, 0)"), ("y", lambda: F.sum("s").over(X.series()), "sum(s) over w")], "y", 0)
 _feature("i14_relative_volume", [("y", lambda: X.relative_volume(20), _w(21, f"volume / avg(volume) {_p(20)}"))], "y")
 _feature("i15_dollar_volume", [("y", lambda: X.average_dollar_volume(20), _w(20, f"avg({_TP} * volume) {_t(20)}"))], "y", 2)
 _feature("i16_vwap", [("y", lambda: X.rolling_vwap(20), _w(20, f"sum({_TP} * volume) {_t(20)} / sum(volume) {_t(20)}"))], "y")
 _feature("i18_rolling_extremes", [("h", lambda: X.rolling_max(F.col("high"), 60), _w(60, f"max(high) {_t(60)}")), ("l", lambda: X.rolling_min(F.col("low"), 60), _w(60, f"min(low) {_t(60)}")), ("y", lambda: F.col("h") - F.col("l"), "h - l")], "y")
-_feature("i19_distance", [("m", lambda: X.sma(_c, 50), _w(50, f"sum(close) {_t(50)} / 50")), ("y", lambda: X.distance_from(_c, F.col("m")), "case when m > 0 then close / m - 1 end")], "y", 6)
-_feature("i20_slope", [("m", lambda: X.sma(_c, 50), _w(50, f"sum(close) {_t(50)} / 50")), ("y", lambda: X.slope(F.col("m"), 10), f"(m / {_lag('m', 10)} - 1) / 10")], "y", 6)
+_feature("i19_distance", [("m", lambda: X.sma(F.col("close"), 50), _w(50, f"sum(close) {_t(50)} / 50")), ("y", lambda: X.distance_from(F.col("close"), F.col("m")), "case when m > 0 then close / m - 1 end")], "y", 6)
+_feature("i20_slope", [("m", lambda: X.sma(F.col("close"), 50), _w(50, f"sum(close) {_t(50)} / 50")), ("y", lambda: X.slope(F.col("m"), 10), f"(m / {_lag('m', 10)} - 1) / 10")], "y", 6)
 _feature("i21_contraction", [("tr", X.true_range, _TR), ("y", lambda: X.contraction(F.col("tr"), 10, 50), f"({_w(10, f'sum(coalesce(tr, 0)) {_t(10)} / 10')}) / ({_w(50, f'sum(coalesce(tr, 0)) {_t(50)} / 50')})")], "y", 5)
-_feature("i22_percent_rank", [("y", lambda: X.percent_rank(_c, 60), _w(60, f"(len(list_filter(list(close) {_t(60)}, lambda v: v <= close + abs(close) * 7.105427357601002e-15)) - 1) / (len(list(close) {_t(60)}) - 1.0::double)"))], "y", 6)
+_feature("i22_percent_rank", [("y", lambda: X.percent_rank(F.col("close"), 60), _w(60, f"(len(list_filter(list(close) {_t(60)}, lambda v: v <= close + abs(close) * 7.105427357601002e-15)) - 1) / (len(list(close) {_t(60)}) - 1.0::double)"))], "y", 6)
 _feature("i23_gap_frequency", [("g", lambda: X.gap_flag(0.01), f"case when {_lag('close')} > 0 then cast(abs(open / {_lag('close')} - 1) > 0.01::double as double) end"), ("y", lambda: X.sma(F.col("g"), 60), _w(60, f"sum(coalesce(g, 0)) {_t(60)} / 60"))], "y", 5)
 
 

@@ -8,7 +8,11 @@ from vantage.operators import filings as L
 from vantage.registry import register
 from vantage.sources.fixtures import frame, with_tables
 
-_on = F.lit("2001-12-31").cast("date")
+
+
+def _on():
+    return F.lit("2001-12-31").cast("date")
+
 
 
 def _lines(s, d):
@@ -38,7 +42,7 @@ r as (select cik, name, first_seen, last_seen, case when exit_forms >= 2 then 'e
 
 
 def _exits(s, d):
-    return L.resolved_exits(L.timelines(_evidence(s, d)), _on)
+    return L.resolved_exits(L.timelines(_evidence(s, d)), _on())
 
 
 register("f03_form_classes", lambda s, d: _evidence(s, d).groupBy("form_type", "kind").agg(F.count(F.lit(1)).alias("n")), with_tables("filings", "with " + _EV + " select form_type, kind, count(*) as n from e group by 1, 2"))
@@ -47,8 +51,8 @@ register("f06_exits", _exits, with_tables("filings", "with " + _TL + "select * f
 register("f07_contradicted", lambda s, d: L.contradicted(_exits(s, d), _evidence(s, d)), with_tables("filings", "select cik from filings where false"))
 register("f08_counts", lambda s, d: _exits(s, d).groupBy("status", F.year("exit_date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum("superseded").alias("superseded")),
          with_tables("filings", "with " + _TL + "select status, cast(extract(year from exit_date) as int) as year, count(*) as n, sum(superseded)::bigint as superseded from r group by 1, 2"))
-register("f09_lifespans", lambda s, d: L.lifespans(_exits(s, d), _on), with_tables("filings", "with " + _TL + ", y as (select (coalesce(exit_date, date '2001-12-31') - first_seen) / 365.25::double as y from r) select case when y < 1 then 'under_1' when y < 3 then '1_to_3' when y < 5 then '3_to_5' else '5_or_more' end as bucket, count(*) as n from y group by 1"))
-register("f10_cohort_survival", lambda s, d: L.cohort_survival(_exits(s, d), _on), with_tables("filings", "with " + _TL + """, h as (select *, cast(first_seen + to_years(hz::int) as date) as due from r cross join (values (1), (3), (5)) v(hz))
+register("f09_lifespans", lambda s, d: L.lifespans(_exits(s, d), _on()), with_tables("filings", "with " + _TL + ", y as (select (coalesce(exit_date, date '2001-12-31') - first_seen) / 365.25::double as y from r) select case when y < 1 then 'under_1' when y < 3 then '1_to_3' when y < 5 then '3_to_5' else '5_or_more' end as bucket, count(*) as n from y group by 1"))
+register("f10_cohort_survival", lambda s, d: L.cohort_survival(_exits(s, d), _on()), with_tables("filings", "with " + _TL + """, h as (select *, cast(first_seen + to_years(hz::int) as date) as due from r cross join (values (1), (3), (5)) v(hz))
 select cast(extract(year from first_seen) as int) as cohort, hz as horizon, count(*) as n, sum(case when exit_date is null or exit_date > due then 1 else 0 end)::bigint as alive from h where due <= date '2001-12-31' group by 1, 2"""))
 register("f17_html_text", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", L.html_text(F.col("html")).alias("text")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")))
 register("f21_filings_of_issuer", lambda s, d: _evidence(s, d).where("cik % 97 = 1").select("cik", "filed_at", "form_type", "accession"), with_tables("filings", "select cik, filed_at, form_type, accession from filings where cik % 97 = 1"))
@@ -57,7 +61,7 @@ register("f21_filings_of_issuer", lambda s, d: _evidence(s, d).where("cik % 97 =
 def _f21b(s, d):
     e = _evidence(s, d)
     extra = e.groupBy("cik").agg(F.max("name").alias("name"), F.max("accession").alias("accession")).select("cik", "name", F.lit("2001-12-30").cast("date").alias("filed_at"), F.lit("10-K").alias("form_type"), "accession", F.lit("periodic").alias("kind"))
-    was, now = _exits(s, d), L.resolved_exits(L.timelines(e.unionByName(extra)), _on)
+    was, now = _exits(s, d), L.resolved_exits(L.timelines(e.unionByName(extra)), _on())
     return was.join(now.select("cik", F.col("status").alias("counterfactual")), "cik").groupBy("status", "counterfactual").agg(F.count(F.lit(1)).alias("n"))
 
 

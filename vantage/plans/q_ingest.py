@@ -9,7 +9,11 @@ from vantage.registry import register
 from vantage.sources.staging import staged_table
 from vantage.sources.fixtures import frame, with_tables
 
-_EXPORT = F.lit("2001-06-30").cast("date")
+
+
+def _export():
+    return F.lit("2001-06-30").cast("date")
+
 
 
 def _raw(s, d):
@@ -39,7 +43,7 @@ register("s05_unreadable", lambda s, d: _typed(s, d).where(F.size("errors") > 0)
 
 
 def _imported(s, d):
-    return I.import_bars(_raw(s, d), _EXPORT)
+    return I.import_bars(_raw(s, d), _export())
 
 
 register("s06_validation", lambda s, d: I.validated_bars(_typed(s, d).where(F.size("errors") == 0)).select("instrument_id", "session_date", "line", F.array_join("reasons", ",").alias("reasons"), F.array_join("flags", ",").alias("flags")),
@@ -54,7 +58,7 @@ register("s09_import_counters", lambda s, d: I.counters(_imported(s, d)))
 
 def _s08(s, d):
     f = frame(s, d, "fundamentals").withColumn("reported_at", F.when(F.col("instrument_id") % 2 == 0, F.col("knowledge_time")).otherwise(F.lit(None).cast("timestamp"))).drop("knowledge_time")
-    out = I.knowledge_time("fundamental", f, _EXPORT, estimate=True)
+    out = I.knowledge_time("fundamental", f, _export(), estimate=True)
     return out.select("instrument_id", "fiscal_year", "fiscal_period", "is_restatement", F.unix_timestamp("knowledge_time").alias("known_at"), "knowledge_source")
 
 

@@ -10,7 +10,15 @@ from vantage.registry import register
 from vantage.sources.fixtures import frame, with_tables
 
 _FIRST, _LAST = "1996-01-01", "2001-12-31"
-_a, _z = F.lit(_FIRST).cast("date"), F.lit(_LAST).cast("date")
+
+
+def _a():
+    return F.lit(_FIRST).cast("date")
+
+
+def _z():
+    return F.lit(_LAST).cast("date")
+
 
 
 def _find(name, fn, sql, tables="dirty_bars"):
@@ -82,7 +90,7 @@ def _both(s, d):
     return frame(s, d, "splits").select("instrument_id", "ex_date", "ratio").unionByName(frame(s, d, "splits_other"))
 
 
-_find("c04_schedule_consistency", lambda s, d: Q.schedule_consistency(_both(s, d), _a, _z), f"""
+_find("c04_schedule_consistency", lambda s, d: Q.schedule_consistency(_both(s, d), _a(), _z()), f"""
 with u as (select instrument_id, ex_date, ratio from splits union all select * from splits_other),
 g as (select instrument_id, ex_date, cast(count(*) as int) as n, count(distinct ratio) as k, min(ratio) as lo, max(ratio) as hi from u group by 1, 2),
 p as (select instrument_id, ex_date, n, concat_ws(',', case when n > 1 and k = 1 then 'duplicate' end, case when k > 1 and abs(lo * hi - 1) <= 1e-6 then 'reciprocal' end, case when k > 1 then 'conflict' end,
@@ -91,7 +99,7 @@ select * from p where problems <> ''""", "splits splits_other")
 _find("c05_census", lambda s, d: Q.census(_both(s, d), frame(s, d, "first_sessions")), """
 with u as (select instrument_id, ex_date from splits union all select instrument_id, ex_date from splits_other)
 select instrument_id, count(*) as total, count(*) filter (ex_date < first_date) as before, count(*) filter (ex_date between first_date and last_date) as inside, count(*) filter (ex_date > last_date) as "after" from u join first_sessions using (instrument_id) group by 1""", "splits_other")
-_find("c06_compare_schedules", lambda s, d: Q.compare_schedules(frame(s, d, "splits"), frame(s, d, "splits_other"), _a, _z), f"""
+_find("c06_compare_schedules", lambda s, d: Q.compare_schedules(frame(s, d, "splits"), frame(s, d, "splits_other"), _a(), _z()), f"""
 select instrument_id, ex_date, a.ratio as a, b.ratio as b, case when ex_date < date '{_FIRST}' or ex_date > date '{_LAST}' then 'outside_coverage' when b.ratio is null then 'missing_from_second' when a.ratio is null then 'missing_from_first'
   when abs(a.ratio / b.ratio - 1) <= 1e-6 then 'agree' when abs(a.ratio * b.ratio - 1) <= 1e-6 then 'reciprocal' else 'conflict' end as status
 from splits a full outer join splits_other b using (instrument_id, ex_date)""", "splits splits_other")

@@ -11,21 +11,25 @@ from vantage.sources.fixtures import frame, with_tables
 
 AS_OF = "1997-06-30 22:00:00"
 DAY = "1997-06-30"
-_clock = F.lit(AS_OF).cast("timestamp")
+
+
+def _clock():
+    return F.lit(AS_OF).cast("timestamp")
+
 _HIST = f"""with v as (select * from bar_facts where knowledge_time <= timestamp '{AS_OF}'),
 h as (select * from (select *, row_number() over (partition by instrument_id, session_date order by knowledge_time desc) as rn from v) x where rn = 1 and quality <> 'suspect')
 """
 
 
 def _r01(spark, d):
-    return asof.history(frame(spark, d, "bar_facts"), _clock, limit=250).select("instrument_id", "session_date", "close", "volume")
+    return asof.history(frame(spark, d, "bar_facts"), _clock(), limit=250).select("instrument_id", "session_date", "close", "volume")
 
 
 register("r01_history", _r01, with_tables("bar_facts", _HIST + "select instrument_id, session_date, close, volume from (select *, row_number() over (partition by instrument_id order by session_date desc) as k from h) y where k <= 250"))
 
 
 def _r02(spark, d):
-    return asof.latest(frame(spark, d, "bar_facts"), _clock).select("instrument_id", "session_date", "close")
+    return asof.latest(frame(spark, d, "bar_facts"), _clock()).select("instrument_id", "session_date", "close")
 
 
 register("r02_latest", _r02, with_tables("bar_facts", _HIST + "select instrument_id, max(session_date) as session_date, arg_max(close, session_date) as close from h group by instrument_id"))
@@ -112,7 +116,7 @@ and exists (select 1 from universe u where u.instrument_id = s.instrument_id and
 
 
 def _r10(spark, d):
-    v = asof.visible(frame(spark, d, "fundamentals"), _clock)
+    v = asof.visible(frame(spark, d, "fundamentals"), _clock())
     return asof.newest(v, ["instrument_id", "metric"], F.struct("knowledge_time", "period_end")).select("instrument_id", "metric", "period_end", "value")
 
 
@@ -122,7 +126,7 @@ from fundamentals where knowledge_time <= timestamp '{AS_OF}') x where k = 1""")
 
 
 def _r11(spark, d):
-    return asof.series_of_metric(frame(spark, d, "fundamentals"), _clock).select("instrument_id", "metric", "fiscal_year", "fiscal_period", "period_end", "value", "is_restatement")
+    return asof.series_of_metric(frame(spark, d, "fundamentals"), _clock()).select("instrument_id", "metric", "fiscal_year", "fiscal_period", "period_end", "value", "is_restatement")
 
 
 register("r11_metric_series", _r11, with_tables("fundamentals", f"""
@@ -197,7 +201,7 @@ def _flagship(spark, d):
 def top_decile(spark, d, k: int):
     from pyspark.sql import Window
 
-    bars = asof.history(frame(spark, d, "bar_facts"), _clock)
+    bars = asof.history(frame(spark, d, "bar_facts"), _clock())
     bench = frame(spark, d, "benchmarks").where("benchmark_id = 101").select("session_date", F.col("close").alias("b"))
     both = bars.join(F.broadcast(bench), "session_date")
     w = Window.partitionBy("instrument_id").orderBy("session_date")

@@ -14,8 +14,9 @@ shingle, a text without words has the empty set and no links.  Two sets link whe
 * Groups: sets of one signature meet around one pivot, not in pairs.  Pairs that parity sketches (a bit or
   more for each feature) cannot rule out, as their distance never exceeds that of the sets, are compared
   exactly on their texts.
-  Where members of a signature still lie in different components, the pairs across them are compared
-  too, in blocks, again behind the sketch.  So the components are those of all links.
+  Where members of a signature still lie in different components, each component's closest pair is compared,
+  and then all pairs across that the sketches allow, in blocks.  So the components are those
+  of all links.
 
 Exact copies are one class from the start.  A signature that is common within a task's batch is reduced
 to one pivot there before anything is shuffled.
@@ -46,6 +47,7 @@ MEMBERS_PER_TASK = 20_000
 KEYS_PER_BUCKET = 3_000_000
 LEAST_BUCKETS = 16
 BLOCK = 1024
+CLOSEST_ROUNDS = 1
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 
@@ -157,8 +159,11 @@ def _folded(blob: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(own.reshape(-1, size // 8), axis=0)
 
 
-def near(left: np.ndarray, right: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
-    """Whether sizes and sketches of the sets left[i] and right[i] allow a link; never false for one."""
+def near(left: np.ndarray, right: np.ndarray, n: np.ndarray, sketches: list[bytes], apart_by: np.ndarray | None = None) -> np.ndarray:
+    """Whether sizes and sketches of the sets left[i] and right[i] allow a link; never false for one.
+
+    ``apart_by`` takes the distances of the sketches.
+    """
     out = 5 * np.minimum(n[left], n[right]) >= 4 * np.maximum(n[left], n[right])
     length = np.array([len(x) for x in sketches], np.int64)
     size = np.minimum(length[left], length[right])
@@ -172,6 +177,8 @@ def near(left: np.ndarray, right: np.ndarray, n: np.ndarray, sketches: list[byte
             x, y = a[at : at + step], b[at : at + step]
             apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
             out[own[at : at + step]] = 9 * apart <= n[used[x]] + n[used[y]]
+            if apart_by is not None:
+                apart_by[own[at : at + step]] = apart
     return out
 
 
@@ -297,9 +304,21 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return half.join(text, F.col("a") == F.col("_id")).select("a", "b", "other", "text").mapInArrow(right, "a long, b long")
 
 
-def _across(members: DataFrame) -> DataFrame:
+def _best(parts: tuple[np.ndarray, np.ndarray], score: np.ndarray) -> np.ndarray:
+    """The pairs that are the closest one of either component."""
+    part = np.concatenate(parts)
+    at = np.tile(np.arange(len(score)), 2)
+    order = np.lexsort((at, score[at], part))
+    first = np.ones(len(order), bool)
+    first[1:] = part[order][1:] != part[order][:-1]
+    return np.unique(at[order][first])
+
+
+def _across(members: DataFrame, closest: bool) -> DataFrame:
     """Pairs (a, b) of one signature group in different components that sizes and sketches allow.
 
+    With ``closest``, of each component in a block only the pair that the sketches put closest.
+
     members: key, rep, n, sketch, component.  Groups are cut into blocks of about BLOCK members, and each pair
     of blocks is dealt to a task by itself, so no task ever holds a whole large group; small groups share one.
     """
@@ -319,7 +338,7 @@ def _across(members: DataFrame) -> DataFrame:
         run = np.cumsum(np.concatenate(([0], (work[1:] != work[:-1]).astype(np.int64)))) << 40
         here = np.arange(len(rep))
         count = np.searchsorted(run + n, run + n * 5 // 4, side="right") - here - 1
-        out_a, out_b, first = [], [], 0
+        kept, first = [np.zeros((0, 3))], 0
         edge = np.concatenate(([0], np.cumsum(count)))
         while first < len(rep):
             last = max(first + 1, int(np.searchsorted(edge, edge[first] + 1_000_000, side="right")) - 1)
@@ -327,16 +346,47 @@ def _across(members: DataFrame) -> DataFrame:
             y = x + 1 + np.arange(len(x)) - np.repeat(edge[first:last] - edge[first], count[first:last])
             good = (part[x] != part[y]) & ((block[x] != block[y]) | own[x])
             x, y = x[good], y[good]
-            good = near(x, y, n, blobs)
-            out_a.append(np.minimum(rep[x[good]], rep[y[good]]))
-            out_b.append(np.maximum(rep[x[good]], rep[y[good]]))
+            apart = np.zeros(len(x), np.int64)
+            good = near(x, y, n, blobs, apart)
+            x, y, score = x[good], y[good], apart[good] / (n[x[good]] + n[y[good]])
+            pick = _best((part[x], part[y]), score) if closest and len(x) else slice(None)
+            kept.append(np.column_stack([x[pick], y[pick], score[pick]]))
             first = last
-        a, b = by_row(np.concatenate(out_a), np.concatenate(out_b))
+        found = np.concatenate(kept)
+        x, y = found[:, 0].astype(np.int64), found[:, 1].astype(np.int64)
+        if closest and len(x):
+            pick = _best((part[x], part[y]), found[:, 2])
+            x, y = x[pick], y[pick]
+        a, b = by_row(np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y]))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return work.groupBy(F.pmod("work", F.lit(tasks))).applyInArrow(compare, "a long, b long").distinct()
 
 
+def _placed(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Classes with the component they are in so far."""
+    return classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after new links (a, b); only the graph of the components they touch is gone through."""
+    if not found.limit(1).count():
+        return labels
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    touched = found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).where("a <> b").distinct()
+    lower = components(touched).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return cut(known.join(lower, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
+def _open(grouped: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, set_id) of signature groups that still span several components."""
+    members = cut(grouped.select("key", "set_id").join(_placed(classes, labels).select("set_id", "component"), "set_id").select("key", "set_id", "component"))
+    spans = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return cut(members.join(spans, "key").select("key", "set_id"))
+
+
 def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_id and component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -359,14 +409,18 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     )
     links = cut(verified(cut(candidates), known))
     labels = components(links)
-    placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     grouped = groups.where(f"kind = {_MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("set_id")).distinct()
-    members = cut(grouped.join(placed.select("set_id", "rep", "component"), "set_id").select("key", "set_id", "component"))
-    open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    still_open = cut(members.join(open_keys, "key").select("key", "set_id")).join(placed, "set_id")
-    further = cut(_across(still_open))
-    more = verified(further, known)
-    labels = components(links.unionByName(cut(more)))
+    still_open = _open(grouped, classes, labels)
+    texts = None
+    for closest in (True,) * CLOSEST_ROUNDS + (False,):
+        if texts is None:  # the texts that the rounds may ask for, taken out once
+            asked = still_open.join(classes, "set_id").select(F.col("rep").alias("doc_id")).distinct()
+            texts = stored(known.join(asked, "doc_id", "left_semi"), "texts")
+        pairs = cut(_across(still_open.join(_placed(classes, labels), "set_id"), closest))
+        found = cut(verified(pairs, texts))
+        labels = _merged(labels, found)
+        if closest:
+            still_open = _open(still_open, classes, labels)
     reps = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("set_id").alias("_set"), F.coalesce("component", "rep").alias("component_id")
     )

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from vantage.llm.base import stored, table
 
-MOST_FITTED = 20_000
+MOST_FITTED = 8_192
 PARALLEL = 4.0
 CENTRES = 16
 ROUNDS = 8

@@ -15,6 +15,8 @@ from vantage.operators.features import atr, series
 LEFT = RIGHT = 3
 FAMILIES = ("flat_base", "tight_consolidation", "double_bottom", "ascending_triangle", "volatility_contraction")
 LOOKBACK = 160
+WARM_UP = 60
+BLOCK = 320
 
 
 def swings(bars: DataFrame, left: int = LEFT, right: int = RIGHT) -> DataFrame:
@@ -190,20 +192,24 @@ _FIND = dict(zip(FAMILIES, (_flat_base, _tight, _double_bottom, _triangle, _vcp)
 _INSTANCE = "instrument_id int, session_date date, family string, start_date date, level double, invalidation double, quality double, close double, atr double"
 
 
-def detect(bars: DataFrame, every: int = 5) -> DataFrame:
-    """Structures of each family as seen at every n-th session of each series, from the LOOKBACK bars up to it only.
+def detect(bars: DataFrame) -> DataFrame:
+    """Structures of each family as seen at every session of each series, from the LOOKBACK bars up to it only.
 
     Geometry ends RIGHT bars before the session, where pivots are confirmed; quality is the mean of the family's components, 0 to 100.
+    Sessions are dealt by (series, block of BLOCK sessions) with the LOOKBACK - 1 bars before; only the recursive ATR takes a series whole.
     """
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
+    def spans(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("session_date")
-        days = x["session_date"].to_numpy()
-        h, lo, c, v = (x[k].to_numpy(float) for k in ("high", "low", "close", "volume"))
-        span = atr(h, lo, c)
+        return x.assign(position=np.arange(len(x)), atr=atr(*(x[k].to_numpy(float) for k in ("high", "low", "close"))))
+
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("position")
+        days, at = x["session_date"].to_numpy(), x["position"].to_numpy()
+        h, lo, c, v, span = (x[k].to_numpy(float) for k in ("high", "low", "close", "volume", "atr"))
         highs, lows = _pivots(h, LEFT, RIGHT), _pivots(-lo, LEFT, RIGHT)
         rows = []
-        for t in range(60, len(x), every):
+        for t in np.flatnonzero((at >= WARM_UP) & (at // BLOCK == key[1])):
             a = max(0, t + 1 - LOOKBACK)
             end = t + 1 - RIGHT - a
             part = _Series(h[a : t + 1], lo[a : t + 1], c[a : t + 1], v[a : t + 1], *(p[(p >= a + LEFT) & (p < a + end)] - a for p in (highs, lows)))
@@ -211,10 +217,14 @@ def detect(bars: DataFrame, every: int = 5) -> DataFrame:
                 got = find(part, end)
                 if got is not None and got[2] < got[1]:
                     first, level, floor, parts = got
-                    rows.append((x["instrument_id"].iloc[0], days[t], family, days[a + first], round(level, 6), round(float(floor), 6), round(100 * float(np.mean(list(parts.values()))), 4), c[t], span[t]))
+                    rows.append((key[0], days[t], family, days[a + first], round(level, 6), round(float(floor), 6), round(100 * float(np.mean(list(parts.values()))), 4), c[t], span[t]))
         return pd.DataFrame(rows, columns=[k.split()[0] for k in _INSTANCE.split(", ")])
 
-    return bars.select("instrument_id", "session_date", "high", "low", "close", "volume").groupBy("instrument_id").applyInPandas(run, _INSTANCE)
+    kinds = "instrument_id int, session_date date, high double, low double, close double, volume double"
+    placed = bars.select(*(k.split()[0] for k in kinds.split(", "))).groupBy("instrument_id").applyInPandas(spans, f"{kinds}, position long, atr double")
+    block = F.explode(F.sequence(F.floor(F.col("position") / BLOCK), F.floor((F.col("position") + LOOKBACK - 1) / BLOCK)))
+    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: rows are few and work is much, so they mustn't be coalesced by size
+    return placed.withColumn("block", block).repartition(tasks, "instrument_id", "block").groupBy("instrument_id", "block").applyInPandas(run, _INSTANCE)
 
 
 def with_state(found: DataFrame, least: float = 25.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,16 +22,20 @@ CARRY = 10
 _HISTORY = "instrument_id int, key string, family string, session_date date, from_state string, to_state string, quality double"
 
 
-def track(found: DataFrame) -> DataFrame:
-    """State history of each identity, folded session by session within its series.
+def track(found: DataFrame, sessions: DataFrame) -> DataFrame:
+    """State history of each identity, folded over every session of its series.
 
+    sessions: instrument_id, session_date, also those on which nothing was found.
     An illegal step starts a new life of the identity (key with the session appended), a structure first seen in
-    a terminal state is never born, and one unseen for CARRY of the series' scans expires.
+    a terminal state is never born, and one unseen for more than CARRY sessions of its series expires on that session.
     """
 
-    def fold(x: pd.DataFrame) -> pd.DataFrame:
+    def fold(group: tuple, x: pd.DataFrame, calendar: pd.DataFrame) -> pd.DataFrame:
         rows, live, name, retired = [], {}, {}, set()
-        instrument = x["instrument_id"].iloc[0]
+        instrument = group[0]
+        by_day = defaultdict(list)
+        for r in x.sort_values(["session_date", "key"]).itertuples():
+            by_day[r.session_date].append(r)
 
         def step(key, family, day, was, to, quality):
             rows.append((instrument, key, family, day, was, to, quality))
@@ -37,8 +43,8 @@ def track(found: DataFrame) -> DataFrame:
                 live.pop(key, None)
                 retired.add(key)
 
-        for n, (day, seen) in enumerate(x.sort_values(["session_date", "key"]).groupby("session_date", sort=True)):
-            for r in seen.itertuples():
+        for n, day in enumerate(sorted(set(calendar["session_date"]))):
+            for r in by_day[day]:
                 key = name.get(r.key, r.key)
                 was = live[key][0] if key in live else None
                 if was is not None and r.state != was and r.state not in EDGES[was]:
@@ -58,7 +64,8 @@ def track(found: DataFrame) -> DataFrame:
                     step(key, family, day, state, "EXPIRED", quality)
         return pd.DataFrame(rows, columns=[k.split()[0] for k in _HISTORY.split(", ")])
 
-    return found.select("instrument_id", "session_date", "key", "family", "state", "quality").groupBy("instrument_id").applyInPandas(fold, _HISTORY)
+    seen = found.select("instrument_id", "session_date", "key", "family", "state", "quality")
+    return seen.groupBy("instrument_id").cogroup(sessions.select("instrument_id", "session_date").groupBy("instrument_id")).applyInPandas(fold, _HISTORY)
 
 
 def illegal_steps(history: DataFrame) -> DataFrame:

@@ -44,3 +44,27 @@ def test_carry_counts_sessions(spark):
     sessions = spark.createDataFrame([(1, day(n)) for n in range(13)], "instrument_id int, session_date date")
     steps = {(r.key, r.session_date, r.from_state, r.to_state) for r in K.track(found, sessions).collect()}
     assert steps == {("a", day(0), None, "MATURE"), ("b", day(3), None, "MATURE"), ("a", day(K.CARRY + 1), "MATURE", "EXPIRED")}
+
+
+def _events(spark, closes, seen, frozen=0):
+    bars = spark.createDataFrame([(1, day(n), float(c), 1.0, 1.0, 1.0) for n, c in enumerate(closes)], "instrument_id int, session_date date, close double, volume double, average_volume double, atr double")
+    edge = spark.createDataFrame([(1, "k", 100.0, day(frozen), [day(n) for n in seen])], "instrument_id int, key string, level double, frozen_on date, seen array<date>")
+    return [(r.event_key, (r.session_date - DAY0).days, r.state) for r in K.events(bars, edge).orderBy("session_date", "event_key").collect()]
+
+
+def test_events_are_followed_to_their_end(spark):
+    """A level first broken 70 sessions on, and confirmed until its term: nothing ends by a count of bars."""
+    closes = [99.5] * 70 + [101] * 40
+    assert _events(spark, closes, range(110)) == [("k:1", 41, "EXPIRED"), ("k:2", 70, "PENDING"), ("k:2", 71, "CONFIRMED"), ("k:2", 102, "COMPLETED")]
+
+
+def test_a_stale_boundary_opens_no_attempt(spark):
+    assert _events(spark, [99.5] * 130, range(5)) == [("k:1", 4 + K.STALE_DAYS + 1, "EXPIRED")]
+    again = _events(spark, [99.5] * 70 + [101] * 3, [*range(5), 70, 71])
+    assert again == [("k:1", 4 + K.STALE_DAYS + 1, "EXPIRED"), ("k:2", 70, "PENDING"), ("k:2", 71, "CONFIRMED")]
+
+
+def test_attempts_that_ran_out_of_time_do_not_end_a_level(spark):
+    assert _events(spark, [99.5] * 170 + [101] * 2, range(172))[-2:] == [("k:5", 170, "PENDING"), ("k:5", 171, "CONFIRMED")]
+    beaten = _events(spark, [99.5, *[101, 90] * 6], range(13))
+    assert [x for _, _, x in beaten] == ["PENDING", "FAILED"] * 3

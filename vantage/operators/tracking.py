@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,28 +113,46 @@ def coexistence(found: DataFrame) -> DataFrame:
 
 
 _EVENT = "event_key string, instrument_id int, session_date date, state string, level double, close double"
-ZONE, DECISIVE, EXPIRE_PENDING, EXPIRE_CONFIRMED = 0.0015, 1.2, 15, 30
+ZONE, DECISIVE, EXPIRE_APPROACHING, EXPIRE_PENDING, EXPIRE_CONFIRMED = 0.0015, 1.2, 40, 15, 30
+STALE_DAYS = 25
 
 
 def events(bars: DataFrame, boundaries: DataFrame, most_attempts: int = 3) -> DataFrame:
-    """Breakout attempts at frozen levels, advanced session by session.
+    """Breakout attempts at frozen levels, advanced session by session over all later bars.
 
-    bars: instrument_id, session_date, close, volume, average_volume, atr.  boundaries: instrument_id, key, level, frozen_on.
+    bars: instrument_id, session_date, close, volume, average_volume, atr.  boundaries: instrument_id, key, level, frozen_on and
+    seen, the dates on which the structure was observed in a monitored state.
     APPROACHING until a close clears the zone; PENDING; CONFIRMED by a second close above or 1.5 x volume; FAILED by a close
     more than DECISIVE ATR below or two closes back inside; EXPIRED after its term; terminal states end the attempt.
+    A boundary last observed more than STALE_DAYS days ago is stale: its live attempt is EXPIRED and none opens until it is
+    observed again.  After a terminal state the next attempt is open from the next session on; a level is left for good after
+    COMPLETED or ``most_attempts`` failures (attempts that ran out of time don't count).
     """
 
     def fold(key: tuple, b: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("session_date")
+        days = b["session_date"].to_numpy()
+        bar = list(b.itertuples())
         rows = []
         for r in edge.sort_values(["frozen_on", "key"]).itertuples():
-            own = b[b["session_date"] > r.frozen_on].head(60)
-            state, attempt, inside, age = "APPROACHING", 1, 0, 0
-            for x in own.itertuples():
+            seen = np.sort(np.asarray(r.seen, dtype="datetime64[D]"))
+            attempt, failures, state, inside, age = 1, 0, "APPROACHING", 0, 0
+            for x in bar[np.searchsorted(days, r.frozen_on, side="right") :]:
+                today = np.datetime64(x.session_date, "D")
+                last = seen[np.searchsorted(seen, today, side="right") - 1]
+                stale = (today - last).astype(int) > STALE_DAYS
+                if state is None:
+                    if stale and last == seen[-1]:
+                        break
+                    if stale:
+                        continue
+                    state = "APPROACHING"
                 above, was = x.close > r.level * (1 + ZONE), state
                 age += 1
-                if state == "APPROACHING":
-                    state = "PENDING" if above else state
+                if stale:
+                    state = "EXPIRED"
+                elif state == "APPROACHING":
+                    state = "PENDING" if above else "EXPIRED" if age > EXPIRE_APPROACHING else state
                 elif state == "PENDING":
                     if x.close < r.level - DECISIVE * x.atr:
                         state = "FAILED"
@@ -154,10 +173,10 @@ def events(bars: DataFrame, boundaries: DataFrame, most_attempts: int = 3) -> Da
                     rows.append((f"{r.key}:{attempt}", r.instrument_id, x.session_date, state, r.level, x.close))
                     age = 0
                     if state in ("FAILED", "EXPIRED", "COMPLETED"):
-                        attempt, inside = attempt + 1, 0
-                        if attempt > most_attempts or state == "COMPLETED":
+                        failures += state == "FAILED"
+                        if failures == most_attempts or state == "COMPLETED":
                             break
-                        state = "APPROACHING"
+                        attempt, state, inside = attempt + 1, None, 0
         return pd.DataFrame(rows, columns=[k.split()[0] for k in _EVENT.split(", ")])
 
     return bars.groupBy("instrument_id").cogroup(boundaries.groupBy("instrument_id")).applyInPandas(fold, _EVENT)

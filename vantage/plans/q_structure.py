@@ -76,7 +76,9 @@ register("v12_churn", lambda s, d: K.churn(_found(s, d)))
 
 def _events(s, d):
     found = _found(s, d)
-    edge = found.where("state in ('MATURE', 'NEAR_BREAKOUT')").groupBy("instrument_id", "key").agg(F.min_by("level", "session_date").alias("level"), F.min("session_date").alias("frozen_on"))
+    early = "state in ('MATURE', 'NEAR_BREAKOUT')"
+    watched = found.where(f"{early} or state = 'BROKEN_OUT_UNCONFIRMED'").withColumn("_early", F.when(F.expr(early), F.col("session_date")))
+    edge = watched.groupBy("instrument_id", "key").agg(F.min_by("level", "_early").alias("level"), F.min("_early").alias("frozen_on"), F.collect_set("session_date").alias("seen")).where("frozen_on is not null")
     b = _bars(s, d).withColumn("average_volume", F.avg("volume").over(X.prior(20))).join(X.recursive_features(_bars(s, d)).select("instrument_id", "session_date", F.col("atr_14").alias("atr")), ["instrument_id", "session_date"]).where("atr is not null")
     return K.events(b.select("instrument_id", "session_date", "close", "volume", "average_volume", "atr"), edge)
 

@@ -68,3 +68,12 @@ def test_attempts_that_ran_out_of_time_do_not_end_a_level(spark):
     assert _events(spark, [99.5] * 170 + [101] * 2, range(172))[-2:] == [("k:5", 170, "PENDING"), ("k:5", 171, "CONFIRMED")]
     beaten = _events(spark, [99.5, *[101, 90] * 6], range(13))
     assert [x for _, _, x in beaten] == ["PENDING", "FAILED"] * 3
+
+
+@pytest.mark.parametrize("kind", ["high", "low"])
+def test_levels_take_all_pivots(spark, kind):
+    """Five early touches of one level win over 30 later pivots, each alone."""
+    prices = [100.0, 100.5, 101.0, 99.8, 100.2] + [200 * 1.1**n for n in range(30)]
+    pivots = spark.createDataFrame([(1, day(n), kind, p) for n, p in enumerate(prices)], "instrument_id int, session_date date, kind string, price double")
+    r = P.horizontal_levels(pivots, kind).first()
+    assert (r.touches, r.first_touch, r.last_touch) == (5, day(0), day(4)) and abs(r.level - 100.3) < 1e-9

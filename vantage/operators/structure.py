@@ -60,21 +60,42 @@ def prior_trend(bars: DataFrame, n: int = 60) -> DataFrame:
     return numbered.select("instrument_id", "session_date", F.when(F.col("_x") >= n, F.regr_slope("close", "_x").over(t) / F.avg("close").over(t)).alias("slope"), F.when(F.col("_x") >= n, F.regr_r2("close", "_x").over(t)).alias("fit"))
 
 
-def horizontal_levels(pivots: DataFrame, kind: str = "high", tolerance: float = 0.015, recent: int = 24) -> DataFrame:
+_LEVEL = "instrument_id int, touches long, level double, first_touch date, last_touch date, spread double"
+
+
+def horizontal_levels(pivots: DataFrame, kind: str = "high", tolerance: float = 0.015, recent: int | None = None) -> DataFrame:
     """Each series' level: pivots within the tolerance of an anchor, most members wins, ties to the higher mean (lower for support).
 
-    At most the ``recent`` last pivots of a series take part, so the self-join is bounded per series.
+    All pivots given take part, or the ``recent`` last ones of each series.  Sorted by price, the members of an anchor are one
+    run, so counts and means come from positions and running sums, without a self-join.
     """
-    last = Window.partitionBy("instrument_id").orderBy(F.desc("session_date"))
-    p = pivots.where(F.col("kind") == kind).withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= recent)
-    a, b = p.select("instrument_id", F.col("session_date").alias("anchor"), F.col("price").alias("p")), p.select("instrument_id", "session_date", "price")
-    near = a.join(b, "instrument_id").where(F.abs(F.col("price") - F.col("p")) <= F.col("p") * tolerance)
-    clusters = near.groupBy("instrument_id", "anchor").agg(F.count(F.lit(1)).alias("touches"), F.avg("price").alias("level"), F.min("session_date").alias("first_touch"), F.max("session_date").alias("last_touch"), F.stddev_pop("price").alias("spread"))
+    p = pivots.where(F.col("kind") == kind)
+    if recent is not None:
+        last = Window.partitionBy("instrument_id").orderBy(F.desc("session_date"))
+        p = p.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= recent)
     sign = 1 if kind == "high" else -1
-    best = clusters.groupBy("instrument_id").agg(F.max_by(F.struct("touches", "level", "first_touch", "last_touch", "spread"), F.struct("touches", sign * F.col("level"), F.unix_date("anchor"))).alias("x"))
-    tight = 1 - F.least(F.col("x.spread") / (F.col("x.level") * tolerance), F.lit(1.0))
-    confidence = 100 * (0.65 * F.least(F.col("x.touches") / 4, F.lit(1.0)) + 0.35 * tight)
-    return best.select("instrument_id", "x.touches", "x.level", "x.first_touch", "x.last_touch", confidence.alias("confidence"))
+
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["price", "session_date"])
+        price, days = x["price"].to_numpy(float), x["session_date"].to_numpy()
+        reach = price * tolerance
+        first = np.searchsorted(price, price - reach * (1 + 1e-9), side="left")
+        while (out := price - price[first] > reach).any():  # the comparison itself decides at the edges
+            first += out
+        end = np.searchsorted(price, price + reach * (1 + 1e-9), side="right")
+        while (out := price[end - 1] - price > reach).any():
+            end -= out
+        sums = np.concatenate(([0], np.cumsum(price.astype(np.longdouble))))
+        touches, level = end - first, ((sums[end] - sums[first]) / (end - first)).astype(float)
+        i = np.lexsort((sign * level, touches))[-1]
+        own = slice(first[i], end[i])
+        row = (key[0], touches[i], level[i], min(days[own]), max(days[own]), price[own].std())
+        return pd.DataFrame([row], columns=[k.split()[0] for k in _LEVEL.split(", ")])
+
+    best = p.select("instrument_id", "session_date", "price").groupBy("instrument_id").applyInPandas(run, _LEVEL)
+    tight = 1 - F.least(F.col("spread") / (F.col("level") * tolerance), F.lit(1.0))
+    confidence = 100 * (0.65 * F.least(F.col("touches") / 4, F.lit(1.0)) + 0.35 * tight)
+    return best.select("instrument_id", "touches", "level", "first_touch", "last_touch", confidence.alias("confidence"))
 
 
 def consolidation(bars: DataFrame, n: int = 40) -> DataFrame:

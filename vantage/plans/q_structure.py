@@ -32,14 +32,20 @@ register("p02_confirmed", lambda s, d: P.confirmed(P.swings(_bars(s, d)), F.lit(
 register("p03_provisional", lambda s, d: P.provisional(_bars(s, d)), with_tables("bars", "select instrument_id, max(high) as high, min(low) as low from (select *, row_number() over (partition by instrument_id order by session_date desc) as n from bars) x where n <= 3 group by 1"))
 register("p04_extreme_pivots", lambda s, d: P.extreme_pivots(P.swings(_bars(s, d))), with_tables("bars", "with " + _SW + """, h as (select *, row_number() over (partition by instrument_id, kind order by case when kind = 'high' then -price else price end, session_date) as n from sw)
 select instrument_id, max(session_date) filter (kind = 'high') as highest_on, max(price) filter (kind = 'high') as highest, max(session_date) filter (kind = 'low') as lowest_on, max(price) filter (kind = 'low') as lowest from h where n = 1 group by 1"""))
-register("p07_resistance", lambda s, d: P.horizontal_levels(P.swings(_bars(s, d))).select("instrument_id", "touches", digest(F.col("level")).alias("level"), "first_touch", "last_touch"),
+register("p07_resistance", lambda s, d: P.horizontal_levels(P.swings(_bars(s, d)), recent=24).select("instrument_id", "touches", digest(F.col("level")).alias("level"), "first_touch", "last_touch"),
          with_tables("bars", "with " + _SW + f""", p as (select * from (select *, row_number() over (partition by instrument_id order by session_date desc) as n from sw where kind = 'high') x where n <= 24),
 c as (select a.instrument_id, a.session_date as anchor, count(*) as touches, avg(b.price) as level, min(b.session_date) as first_touch, max(b.session_date) as last_touch from p a join p b on a.instrument_id = b.instrument_id and abs(b.price - a.price) <= a.price * 15e-3 group by 1, 2)
 select instrument_id, touches, {D('level')} as level, first_touch, last_touch from (select *, row_number() over (partition by instrument_id order by touches desc, level desc, anchor desc) as k from c) y where k = 1"""))
-register("p10_support", lambda s, d: P.horizontal_levels(P.swings(_bars(s, d)), "low").select("instrument_id", "touches", digest(F.col("level")).alias("level")),
+register("p10_support", lambda s, d: P.horizontal_levels(P.swings(_bars(s, d)), "low", recent=24).select("instrument_id", "touches", digest(F.col("level")).alias("level")),
          with_tables("bars", "with " + _SW + f""", p as (select * from (select *, row_number() over (partition by instrument_id order by session_date desc) as n from sw where kind = 'low') x where n <= 24),
 c as (select a.instrument_id, a.session_date as anchor, count(*) as touches, avg(b.price) as level from p a join p b on a.instrument_id = b.instrument_id and abs(b.price - a.price) <= a.price * 15e-3 group by 1, 2)
 select instrument_id, touches, {D('level')} as level from (select *, row_number() over (partition by instrument_id order by touches desc, level, anchor desc) as k from c) y where k = 1"""))
+_CLUSTERS = """, c as (select a.instrument_id, a.session_date as anchor, count(*) as touches, avg(b.price) as level, min(b.session_date) as first_touch, max(b.session_date) as last_touch
+  from sw a join sw b on a.instrument_id = b.instrument_id and a.kind = b.kind and abs(b.price - a.price) <= a.price * 15e-3 where a.kind = '{kind}' group by 1, 2)
+select instrument_id, touches, {level} as level, first_touch, last_touch from (select *, row_number() over (partition by instrument_id order by touches desc, level {order}, anchor desc) as k from c) y where k = 1"""
+for _name, _kind, _order in (("p07_resistance_all_pivots", "high", "desc"), ("p10_support_all_pivots", "low", "asc")):
+    register(_name, lambda s, d, kind=_kind: P.horizontal_levels(P.swings(_bars(s, d)), kind).select("instrument_id", "touches", digest(F.col("level")).alias("level"), "first_touch", "last_touch"),
+             with_tables("bars", "with " + _SW + _CLUSTERS.format(kind=_kind, level=D("level"), order=_order)))
 register("p12_consolidation", lambda s, d: P.consolidation(_bars(s, d)).select("instrument_id", *(digest(F.col(c), 5).alias(c) for c in ("depth", "slope", "mean_range", "range_contraction", "volume_contraction", "dispersion"))),
          with_tables("bars", f"""with x as (select * from (select *, row_number() over (partition by instrument_id order by session_date desc) as k from bars) y where k <= 40)
 select instrument_id, {D('1 - min(low) / max(high)', 5)} as depth, {D('-regr_slope(close, k) / avg(close)', 5)} as slope, {D('avg((high - low) / close)', 5)} as mean_range, {D('avg(high - low) filter (k <= 20) / avg(high - low) filter (k > 20)', 5)} as range_contraction,

@@ -41,6 +41,8 @@ register("x01_aligned", lambda s, d: frame(s, d, "bars").join(F.broadcast(frame(
          with_tables(_RELT, f"select b.instrument_id, session_date, b.close, {D('m.close')} as bench from bars b join benchmarks m using (session_date) where benchmark_id = 101"))
 register("x02_benchmark_comparison", lambda s, d: _relative(s, d).where("benchmark_id = 101").select("instrument_id", "session_date", "lookback", *(digest(F.col(c), 6).alias(c) for c in ("relative", "excess", "ratio_trend", "ratio_momentum"))),
          with_tables(_RELT, "with " + _REL + f"select instrument_id, session_date, lookback, {', '.join(f'{D(c, 6)} as {c}' for c in ('relative', 'excess', 'ratio_trend', 'ratio_momentum'))} from r where benchmark_id = 101"))
+register("x02_comparison_all_benchmarks", lambda s, d: _relative(s, d).select("instrument_id", "benchmark_id", "session_date", "lookback", *(digest(F.col(c), 6).alias(c) for c in ("relative", "excess", "ratio_trend", "ratio_momentum"))),
+         with_tables(_RELT, "with " + _REL + f"select instrument_id, benchmark_id, session_date, lookback, {', '.join(f'{D(c, 6)} as {c}' for c in ('relative', 'excess', 'ratio_trend', 'ratio_momentum'))} from r"))
 register("x03_all_benchmarks", lambda s, d: _relative(s, d).groupBy("session_date", "benchmark_id", "lookback").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("relative") > 1e-9).alias("ahead")),
          with_tables(_RELT, "with " + _REL + "select session_date, benchmark_id, lookback, count(*) as n, count(*) filter (relative > 1e-9) as ahead from r group by 1, 2, 3"))
 

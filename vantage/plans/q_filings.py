@@ -56,6 +56,7 @@ register("f10_cohort_survival", lambda s, d: L.cohort_survival(_exits(s, d), _on
 select cast(extract(year from first_seen) as int) as cohort, hz as horizon, count(*) as n, sum(case when exit_date is null or exit_date > due then 1 else 0 end)::bigint as alive from h where due <= date '2001-12-31' group by 1, 2"""))
 register("f17_html_text", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", L.html_text(F.col("html")).alias("text")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")))
 register("f21_filings_of_issuer", lambda s, d: _evidence(s, d).where("cik % 97 = 1").select("cik", "filed_at", "form_type", "accession"), with_tables("filings", "select cik, filed_at, form_type, accession from filings where cik % 97 = 1"))
+register("f21_filings_of_all_issuers", lambda s, d: _evidence(s, d).select("cik", "filed_at", "form_type", "accession").orderBy("cik", "filed_at", "accession"), with_tables("filings", "select cik, filed_at, form_type, accession from filings order by cik, filed_at, accession"))
 
 
 def _f21b(s, d):

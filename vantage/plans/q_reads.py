@@ -94,6 +94,16 @@ register("r07_universe", _r07, with_tables("calendar universe", """
 select session_date, universe, instrument_id from calendar join universe on valid_from <= session_date and (valid_to is null or valid_to > session_date) where session_ord % 20 = 0"""))
 
 
+def _r07_all(spark, d):
+    return frame(spark, d, "calendar").select("session_date").join(
+        F.broadcast(frame(spark, d, "universe")), asof.covers(F.col("session_date"), F.col("valid_from"), F.col("valid_to"))
+    ).select("session_date", "universe", "instrument_id")
+
+
+register("r07_universe_all_sessions", _r07_all, with_tables("calendar universe", """
+select session_date, universe, instrument_id from calendar join universe on valid_from <= session_date and (valid_to is null or valid_to > session_date)"""))
+
+
 def _r08(spark, d):
     asked = frame(spark, d, "first_sessions").select("instrument_id", F.explode(F.array(*(F.lit(x).cast("date") for x in ("1997-06-30", "1998-06-30")))).alias("on"))
     return asof.interval_at(asked, frame(spark, d, "sectors"), "on", ["instrument_id"], "left").select("instrument_id", "on", "sector", "industry")

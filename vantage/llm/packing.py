@@ -1,15 +1,16 @@
 """Length buckets that minimise padding, and token-budget batches inside each bucket.
 
-The histogram of lengths over all rows (lengths rounded up to a multiple of 8 up to 8,192, beyond that to
-one of 64 steps in each doubling, so its size is bounded) goes to the driver, where dynamic programming
-finds the bucket bounds that minimise total padding exactly for that histogram.  In a bucket of bound b a
-batch takes ``budget // b`` rows, at least one.
+The exact histogram of lengths over all rows (one row for each distinct length) goes to the driver, where
+dynamic programming finds the bucket bounds that minimise total padding.  The cost of a bucket is Monge, so
+the best split only moves up with the length and divide and conquer takes buckets * n log n steps for n
+distinct lengths.  In a bucket of bound b a batch takes ``budget // b`` rows, at least one.
 
 Rows get their place in a bucket from hashed shards of bounded size: the place in the shard plus the rows
 of the shards before it.  So a bucket that holds most of the corpus is never in one task, and only the
 last batch of a bucket can be short.
 
-Null and empty texts have length 0 and go to the first bucket.  Ids are only hashed and sorted by, so null
+Null and empty texts have length 0 and go to the first bucket; a row takes at least one place, so no bucket
+is shorter than 1.  Ids are only hashed and sorted by, so null
 and repeated ids and repeated rows are fine.  An empty table gives an empty result; input columns with the
 names of outputs are replaced.
 """
@@ -24,21 +25,11 @@ from vantage.llm.base import WORD, cut, table
 
 BUCKETS = 12
 BUDGET = 65_536
-QUANTUM = 8
-EXACT = 8_192
-STEPS = 64
 SHARD_ROWS = 5_000
 MOST_SHARDS = 100_000
 OUTPUTS = ("n_tokens", "bucket", "bucket_length", "batch", "slot", "padding")
 
 
-def rounded(length: Column) -> Column:
-    """The histogram's length: never less than ``length``, and at least one quantum."""
-    step = F.greatest(F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(EXACT)).cast("double")))) / STEPS, F.lit(1.0))
-    fine = F.greatest(F.ceil(length / QUANTUM) * QUANTUM, F.lit(QUANTUM))
-    return F.when(length <= EXACT, fine).otherwise(F.ceil(length / step) * step).cast("long")
-
-
 def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """At most ``buckets`` bounds (the last is the longest length) with the least total padding of the histogram."""
     order = np.argsort(lengths)
@@ -47,16 +38,25 @@ def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     rows = np.concatenate(([0], np.cumsum(counts)))
     tokens = np.concatenate(([0], np.cumsum(counts * lengths)))
     # cost[i, j]: lengths i..j-1 padded to lengths[j-1]
-    best = np.full(n + 1, np.inf)
+    worst = np.iinfo(np.int64).max // 2
+    best = np.full(n + 1, worst)
     best[0] = 0
     back = []
     for _ in range(min(buckets, n)):
         now, source = best.copy(), np.full(n + 1, -1)
-        for j in range(1, n + 1):
-            cost = best[:j] + lengths[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])
-            i = int(cost.argmin())
-            if cost[i] < now[j]:
-                now[j], source[j] = cost[i], i
+        todo = [(1, n, 0, n - 1)]
+        while todo:
+            first, last, least, most = todo.pop()
+            j = (first + last) // 2
+            i = np.arange(least, min(most, j - 1) + 1)
+            cost = best[i] + lengths[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])
+            k = int(cost.argmin())
+            if cost[k] < now[j]:
+                now[j], source[j] = cost[k], i[k]
+            if first < j:
+                todo.append((first, j - 1, least, int(i[k])))
+            if j < last:
+                todo.append((j + 1, last, int(i[k]), most))
         back.append(source)
         best = now
     out, j = [], n
@@ -71,8 +71,8 @@ def pack(docs: DataFrame, length: Column, buckets: int = BUCKETS, budget: int =
     """``docs`` with n_tokens, bucket, bucket_length, batch and slot (from 0), and padding."""
     docs = docs.drop(*OUTPUTS)
     sized = docs.withColumn("n_tokens", F.coalesce(length, F.lit(0)).cast("long"))
-    histogram = sized.groupBy(rounded(F.col("n_tokens")).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()
-    found = bounds(np.array([r.l for r in histogram]), np.array([r.n for r in histogram]), buckets) if histogram else [QUANTUM]
+    histogram = sized.groupBy(F.greatest("n_tokens", F.lit(1)).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()
+    found = bounds(np.array([r.l for r in histogram]), np.array([r.n for r in histogram]), buckets) if histogram else [1]
     at = F.lit(len(found) - 1)
     for i in reversed(range(len(found) - 1)):
         at = F.when(F.col("n_tokens") <= found[i], F.lit(i)).otherwise(at)

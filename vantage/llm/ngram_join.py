@@ -7,22 +7,26 @@ shingle, a text without words has the empty set and no links.  Two sets link whe
 * Bands: the set sizes are cut into bands that grow by a quarter.  A set joins the band of its size and
   each higher one in which it can still be the smaller side of a link.  In a band, two linked sets
   differ in at most k features, ``9 * difference <= sum of sizes``.
-* Signatures: in a band the feature domain is cut into k + 1 + m partitions.  Linked sets agree on at
-  least m + 1 of them, so, where no more than m partitions of a set are empty, on one that is not
-  empty.  Each non-empty partition gives one signature; a set with more than m empty partitions also
-  gives those.  No link is lost, whatever the data.
+* Partitions: in a band the feature domain is cut into n1 first-level partitions, each into N2 second-level
+  ones.  With n1 = ceil((k + 1) / (K2 + 1)) + m, linked sets differ by K2 features or fewer in at least
+  m + 1 first-level partitions, and there agree on some N2 - K2 of the N2 second-level ones.
+* Enumeration: each first-level partition gives one signature for every subset of N2 - K2 of its parts.  A
+  signature without features is left out, unless more than m first-level partitions of the set have one;
+  then the set gives all of them.  No link is lost, whatever the data.
 * Groups: sets of one signature meet around one pivot, not in pairs.  Pairs that parity sketches (a bit or
   more for each feature) cannot rule out, as their distance never exceeds that of the sets, are compared
-  exactly on their texts.
-  Where members of a signature still lie in different components, each component's closest pair is compared,
-  and then all pairs across that the sketches allow, in blocks.  So the components are those
-  of all links.
+  exactly.  Where members of a signature still lie in different components, pairs across them that the
+  sketches allow are compared exactly too.  So the components are those of all links.
+* Exact comparison: documents with a common pivot share blocks of bounded size; a text is sent once to each
+  pair of blocks in which it has candidates, however many these are.
 
 Exact copies are one class from the start.  A signature that is common within a task's batch is reduced
 to one pivot there before anything is shuffled.
 
-Null or empty text: empty set.  ``doc_id`` is the key; rows without an id get an empty component.  An empty
-table gives an empty result; extra columns don't matter.
+Null or empty text: empty set.  ``doc_id`` is the key: rows that repeat an id with several texts are one
+document with the links of all of them; rows without an id get an empty component.  An empty table gives an
+empty result; extra columns don't matter.  Sets are told apart by 64-bit hashes of shingles: two different
+shingles pass for one with a chance of about 1 in 10**19 a pair.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +42,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.llm.arrays import by_row, grams, mix, pack, runs, slices, sorted_sets, unpack, utf8, words
-from vantage.llm.base import cut, stored, table
+from vantage.llm.base import cut, delete, scratch, stored, table
 from vantage.llm.components import components
 
 SHINGLE = 5
 SKETCH_BITS = 512
 PAIR_BYTES = 16_000_000
+N2, K2 = 3, 1
+SUBSETS = tuple(combinations(range(N2), N2 - K2))
+KEYS_PER_BUCKET = 1_500_000
 MEMBERS_PER_TASK = 20_000
-KEYS_PER_BUCKET = 3_000_000
-LEAST_BUCKETS = 16
-BLOCK = 1024
-CLOSEST_ROUNDS = 1
+BLOCK = 8192
+TEXT_BLOCK = 2_000_000
+TEXTS_PER_BLOCK = 2048
+GATHERED = 4_000_000
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 
@@ -89,19 +97,21 @@ def band(j: int) -> tuple[int, int]:
 
 @lru_cache(maxsize=4096)
 def layout(j: int) -> tuple[int, int]:
-    """Partitions of band j (0: links there are equal sets), and how many of them may be empty."""
+    """First-level partitions of band j (0: links there are equal sets), and how many may have an empty signature."""
     first, end = band(j)
     k = 2 * (end - 1) // 9
     if k == 0:
         return 0, 0
     least, best = max(1, -(-4 * first // 5)), (2.0, 0)
-    for m in range(k + 2):
-        empty = (k + 1 + m) * (1 - 1 / (k + 1 + m)) ** least
-        tail = 1 - sum(math.exp(i * math.log(empty) - empty - math.lgamma(i + 1)) for i in range(m + 1)) if empty > 0 else 0.0
+    need = -(-(k + 1) // (K2 + 1))
+    for m in range(need + 2):
+        void = (1 - 1 / ((need + m) * N2)) ** least
+        gappy = sum(math.comb(N2, i) * void**i * (1 - void) ** (N2 - i) for i in range(N2 - K2, N2 + 1)) * (need + m)
+        tail = 1 - sum(math.exp(i * math.log(gappy) - gappy - math.lgamma(i + 1)) for i in range(m + 1)) if gappy > 0 else 0.0
         best = min(best, (tail, m))
         if tail < 0.005:
-            return k + 1 + m, m
-    return k + 1 + best[1], best[1]
+            return need + m, m
+    return need + best[1], best[1]
 
 
 def bands_of(size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -122,27 +132,27 @@ def signatures(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     edges = runs(rows)
     size = np.diff(edges) if len(rows) else np.zeros(0, np.int64)
     weight = mix(values ^ _U(0xA5A5A5A5A5A5A5A5))
-    out_set, out_key = [], []
+    out_set, out_key = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
     for j, own in bands_of(size):
-        n, m = layout(j)
+        n1, m = layout(j)
+        n = n1 * N2
         lengths = size[own]
         offset = np.cumsum(lengths) - lengths
         at = np.arange(int(lengths.sum())) + np.repeat(edges[own] - offset, lengths)
         part = (((values[at] >> _U(32)) * _U(n)) >> _U(32)).astype(np.int64)
         place = np.repeat(np.arange(len(own)), lengths) * n + part
         cuts = runs(place)
-        where = place[cuts[:-1]]
+        sums, counts = np.zeros(len(own) * n, _U), np.zeros(len(own) * n, np.int64)
+        sums[place[cuts[:-1]]], counts[place[cuts[:-1]]] = _sums(weight[at], cuts), np.diff(cuts)
+        sums, counts = sums.reshape(len(own), n1, N2), counts.reshape(len(own), n1, N2)
+        subset = np.stack([sums[:, :, list(keep)].sum(axis=2, dtype=_U) for keep in SUBSETS], axis=2)
+        void = np.stack([counts[:, :, list(keep)].sum(axis=2) for keep in SUBSETS], axis=2) == 0
         salt = _U((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        tag = mix(salt + (where % n).astype(_U))
-        out_set.append(own[where // n])
-        out_key.append(mix(_sums(weight[at], cuts) ^ tag))
-        full = np.bincount(where // n, minlength=len(own))
-        for i in np.flatnonzero(n - full > m).tolist():
-            gaps = np.setdiff1d(np.arange(n), where[where // n == i] % n)
-            out_set.append(np.full(len(gaps), own[i]))
-            out_key.append(mix(mix(salt + gaps.astype(_U)) + _U(1)))
-    if not out_set:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
+        tag = mix(salt + np.arange(n1 * len(SUBSETS), dtype=_U)).reshape(1, n1, len(SUBSETS))
+        given = ~void | (void.any(axis=2).sum(axis=1) > m)[:, None, None]
+        which = np.nonzero(given)[0]
+        out_set.append(own[which])
+        out_key.append((mix(mix(subset) ^ tag) + void.astype(_U))[given])
     return np.concatenate(out_set), np.concatenate(out_key)
 
 
@@ -159,11 +169,8 @@ def _folded(blob: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(own.reshape(-1, size // 8), axis=0)
 
 
-def near(left: np.ndarray, right: np.ndarray, n: np.ndarray, sketches: list[bytes], apart_by: np.ndarray | None = None) -> np.ndarray:
-    """Whether sizes and sketches of the sets left[i] and right[i] allow a link; never false for one.
-
-    ``apart_by`` takes the distances of the sketches.
-    """
+def near(left: np.ndarray, right: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Whether sizes and sketches of the sets left[i] and right[i] allow a link; never false for one."""
     out = 5 * np.minimum(n[left], n[right]) >= 4 * np.maximum(n[left], n[right])
     length = np.array([len(x) for x in sketches], np.int64)
     size = np.minimum(length[left], length[right])
@@ -177,8 +184,6 @@ def near(left: np.ndarray, right: np.ndarray, n: np.ndarray, sketches: list[byte
             x, y = a[at : at + step], b[at : at + step]
             apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
             out[own[at : at + step]] = 9 * apart <= n[used[x]] + n[used[y]]
-            if apart_by is not None:
-                apart_by[own[at : at + step]] = apart
     return out
 
 
@@ -277,90 +282,123 @@ def _allowed(pairs: DataFrame) -> DataFrame:
     return pairs.select("p", "q").mapInArrow(keep, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose sets link, compared exactly on their texts."""
-    text = docs.select(F.col("doc_id").alias("_id"), "text")
+def _links(left: np.ndarray, right: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the sets of the rows left[i] and right[i] link; ``left`` ascends."""
+    _, code = np.unique(values, return_inverse=True)
+    edges = np.searchsorted(rows, np.arange(int(max(left.max(), right.max())) + 2))
+    size = np.diff(edges)
+    seen, out = np.zeros(len(code) + 1, bool), np.zeros(len(left), bool)
+    for first, last in zip(runs(left)[:-1].tolist(), runs(left)[1:].tolist(), strict=True):
+        a = left[first]
+        mine = code[edges[a] : edges[a + 1]]
+        seen[mine] = True
+        while first < last:
+            many = np.cumsum(size[right[first:last]])
+            until = first + max(1, int(np.searchsorted(many, GATHERED)))
+            b = right[first:until]
+            start = np.cumsum(size[b]) - size[b]
+            at = np.arange(int(size[b].sum())) + np.repeat(edges[b] - start, size[b])
+            hits = np.concatenate(([0], np.cumsum(seen[code[at]])))
+            both = hits[start + size[b]] - hits[start]
+            out[first:until] = (size[b] > 0) & (100 * both >= 80 * (len(mine) + size[b] - both))
+            first = until
+        seen[mine] = False
+    return out
 
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows, values = shingles(batch.column("text"))
-            cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            sets = [values[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sets, pa.binary())], names=["a", "b", "other"])
 
-    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            _, first, again = np.unique(np.asarray(batch.column("a")), return_index=True, return_inverse=True)
-            rows, values = shingles(batch.column("text").take(pa.array(first)))
-            cuts = np.searchsorted(rows, np.arange(len(first) + 1))
-            keep = []
-            for i, blob in zip(again.tolist(), batch.column("other").to_pylist(), strict=True):
-                other, own = np.frombuffer(blob, _U), values[cuts[i] : cuts[i + 1]]
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * both >= 80 * (len(own) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    half = pairs.join(text, F.col("b") == F.col("_id")).select("a", "b", "text").mapInArrow(left, "a long, b long, other binary")
-    return half.join(text, F.col("a") == F.col("_id")).select("a", "b", "other", "text").mapInArrow(right, "a long, b long")
-
-
-def _best(parts: tuple[np.ndarray, np.ndarray], score: np.ndarray) -> np.ndarray:
-    """The pairs that are the closest one of either component."""
-    part = np.concatenate(parts)
-    at = np.tile(np.arange(len(score)), 2)
-    order = np.lexsort((at, score[at], part))
-    first = np.ones(len(order), bool)
-    first[1:] = part[order][1:] != part[order][:-1]
-    return np.unique(at[order][first])
-
-
-def _across(members: DataFrame, closest: bool) -> DataFrame:
-    """Pairs (a, b) of one signature group in different components that sizes and sketches allow.
+def verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of doc_ids whose sets link, compared exactly on their texts.
+
+    homes: doc_id, home, block; documents that are likely to be compared share a home, and a block of a home is of
+    bounded size.  The pairs between two blocks are one group, which gets each text once.
+    """
+    home = lambda c: homes.select(F.col("doc_id").alias(c), F.xxhash64("home", "block").alias(f"{c}_block"))
+    dealt = cut(
+        pairs.join(home("a"), "a").join(home("b"), "b").select("a", "b", F.xxhash64(F.least("a_block", "b_block"), F.greatest("a_block", "b_block")).alias("work"))
+    )
+    asked = dealt.select(F.col("work").alias("group"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(asked, "doc_id").select("group", "doc_id", "text")
+
+    def compare(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        a, b = by_row(np.asarray(pairs.column("a")), np.asarray(pairs.column("b")))
+        texts = texts.combine_chunks().sort_by("doc_id")
+        ids = np.asarray(texts.column("doc_id"))
+        rows, values, first = [np.zeros(0, np.int64)], [np.zeros(0, _U)], 0
+        for batch in slices(iter(texts.to_batches()), "text"):
+            own, found = shingles(batch.column("text"))
+            rows.append(own + first)
+            values.append(found)
+            first += batch.num_rows
+        rows, values = np.concatenate(rows), np.concatenate(values)
+        low = [np.searchsorted(ids, x) for x in (a, b)]
+        many = [np.searchsorted(ids, x, side="right") - y for x, y in zip((a, b), low, strict=True)]
+        which = np.repeat(np.arange(len(a)), many[0] * many[1])  # an id with several texts has all of them compared
+        turn = np.arange(len(which)) - np.repeat(np.cumsum(many[0] * many[1]) - many[0] * many[1], many[0] * many[1])
+        left, right = low[0][which] + turn // np.maximum(many[1][which], 1), low[1][which] + turn % np.maximum(many[1][which], 1)
+        order = np.argsort(left, kind="stable")
+        good = np.unique(which[order][_links(left[order], right[order], rows, values)]) if len(order) else which
+        return pa.table({"a": pa.array(a[good], pa.int64()), "b": pa.array(b[good], pa.int64())})
+
+    return dealt.groupBy("work").cogroup(texts.groupBy("group")).applyInArrow(compare, "a long, b long")
+
+
+def _homes(candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, home and block of every class: home is its smallest pivot, and blocks of a home hold about TEXT_BLOCK bytes."""
+    pivots = candidates.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("home"))
+    placed = (
+        classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n")).join(pivots, "doc_id", "left").select("doc_id", "n", F.coalesce("home", "doc_id").alias("home"))
+    )
+    size = F.greatest(F.ceil(F.sum("n") * 8 / TEXT_BLOCK), F.ceil(F.count(F.lit(1)) / TEXTS_PER_BLOCK))
+    blocks = placed.groupBy("home").agg(size.alias("blocks"))
+    return placed.join(blocks, "home").select("doc_id", "home", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
 
-    With ``closest``, of each component in a block only the pair that the sketches put closest.
 
-    members: key, rep, n, sketch, component.  Groups are cut into blocks of about BLOCK members, and each pair
-    of blocks is dealt to a task by itself, so no task ever holds a whole large group; small groups share one.
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one signature group in different components that sizes and sketches allow.
+
+    members: key, rep, n, sketch, component.  In each group the members outside its largest component meet each
+    other and those of the largest; both sides are cut into blocks of about BLOCK members, and each pair of blocks is
+    dealt to a task by itself, so no task ever holds a whole large group; small groups share one.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    sizes = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("inside"), F.sum("c").alias("all"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
     tasks = max(1, members.count() // MEMBERS_PER_TASK)
-    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "*", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j")
-    )
-    work = pairs.select("rep", "n", "sketch", "component", "block", (F.col("i") == F.col("j")).alias("own"), F.xxhash64("key", "i", "j").alias("work"))
+    dealt = members.join(sizes.select("key", "main", blocks(F.col("inside")).alias("ins"), blocks(F.col("all") - F.col("inside")).alias("outs")), "key")
+    outside = F.col("component") != F.col("main")
+    block = F.pmod(F.xxhash64("rep"), F.when(outside, F.col("outs")).otherwise(F.col("ins"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    work = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    own = F.col("block")
+    with_inside = F.when(outside, F.transform(upto(F.col("ins")), lambda j: work(0, own, j))).otherwise(F.transform(upto(F.col("outs")), lambda i: work(0, i, own)))
+    with_outside = F.when(outside, F.transform(upto(F.col("outs")), lambda j: work(1, F.least(own, j), F.greatest(own, j)))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
+    dealt = dealt.withColumn("block", block).withColumn("w", F.explode(F.concat(with_inside, with_outside)))
+    side = F.when(F.col("w.kind") == 0, outside.cast("int")).when(F.col("w.i") == F.col("w.j"), F.lit(2)).otherwise((own == F.col("w.i")).cast("int"))
+    ready = dealt.select("rep", "n", "sketch", "component", side.alias("side"), F.xxhash64("key", "w").alias("work"))
 
     def compare(group: pa.Table) -> pa.Table:
         at = lambda c: np.asarray(group.column(c))
         order = np.lexsort((at("n"), at("work")))
-        rep, n, part, block, own, work = (at(c)[order] for c in ("rep", "n", "component", "block", "own", "work"))
+        rep, n, part, side, work = (at(c)[order] for c in ("rep", "n", "component", "side", "work"))
         blobs = group.column("sketch").take(pa.array(order)).to_pylist()
         run = np.cumsum(np.concatenate(([0], (work[1:] != work[:-1]).astype(np.int64)))) << 40
         here = np.arange(len(rep))
         count = np.searchsorted(run + n, run + n * 5 // 4, side="right") - here - 1
-        kept, first = [np.zeros((0, 3))], 0
+        kept, first = [], 0
         edge = np.concatenate(([0], np.cumsum(count)))
         while first < len(rep):
             last = max(first + 1, int(np.searchsorted(edge, edge[first] + 1_000_000, side="right")) - 1)
             x = np.repeat(here[first:last], count[first:last])
             y = x + 1 + np.arange(len(x)) - np.repeat(edge[first:last] - edge[first], count[first:last])
-            good = (part[x] != part[y]) & ((block[x] != block[y]) | own[x])
+            good = (part[x] != part[y]) & ((side[x] != side[y]) | (side[x] == 2))
             x, y = x[good], y[good]
-            apart = np.zeros(len(x), np.int64)
-            good = near(x, y, n, blobs, apart)
-            x, y, score = x[good], y[good], apart[good] / (n[x[good]] + n[y[good]])
-            pick = _best((part[x], part[y]), score) if closest and len(x) else slice(None)
-            kept.append(np.column_stack([x[pick], y[pick], score[pick]]))
+            good = near(x, y, n, blobs)
+            kept.append(np.column_stack([np.minimum(rep[x[good]], rep[y[good]]), np.maximum(rep[x[good]], rep[y[good]])]))
             first = last
-        found = np.concatenate(kept)
-        x, y = found[:, 0].astype(np.int64), found[:, 1].astype(np.int64)
-        if closest and len(x):
-            pick = _best((part[x], part[y]), found[:, 2])
-            x, y = x[pick], y[pick]
-        a, b = by_row(np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y]))
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        a, b = by_row(*np.concatenate(kept).T)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return work.groupBy(F.pmod("work", F.lit(tasks))).applyInArrow(compare, "a long, b long").distinct()
+    return ready.groupBy(F.pmod("work", F.lit(tasks))).applyInArrow(compare, "a long, b long").distinct()
 
 
 def _placed(classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -370,8 +408,6 @@ def _placed(classes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     """Labels after new links (a, b); only the graph of the components they touch is gone through."""
-    if not found.limit(1).count():
-        return labels
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     known = labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
     of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
@@ -394,33 +430,28 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull())
     sets = stored(shingle_sets(docs), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    n = max(LEAST_BUCKETS, -(-2 * total // (3 * KEYS_PER_BUCKET)))
+    n = max(1, -(-total // KEYS_PER_BUCKET))
     classes = stored(
         sets.where("set_id is not null and doc_id is not null")
         .groupBy("set_id")
         .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")),
         "classes",
     )
-    groups = stored(signature_groups(known, n), "groups")
+    met = scratch(spark, "groups")
+    signature_groups(known, n).write.option("compression", "zstd").parquet(met)
+    groups = spark.read.parquet(met)
     packed = classes.select("set_id", F.struct("rep", "n", "sketch").alias("x"))
     stars = groups.where(f"kind = {_STAR}").select("a", "b").distinct()
-    candidates = _allowed(
-        stars.join(packed.withColumnsRenamed({"set_id": "a", "x": "p"}), "a").join(packed.withColumnsRenamed({"set_id": "b", "x": "q"}), "b")
+    candidates = cut(
+        _allowed(stars.join(packed.withColumnsRenamed({"set_id": "a", "x": "p"}), "a").join(packed.withColumnsRenamed({"set_id": "b", "x": "q"}), "b"))
     )
-    links = cut(verified(cut(candidates), known))
-    labels = components(links)
+    homes = cut(_homes(candidates, classes))
+    labels = components(cut(verified(candidates, known, homes)))
     grouped = groups.where(f"kind = {_MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("set_id")).distinct()
-    still_open = _open(grouped, classes, labels)
-    texts = None
-    for closest in (True,) * CLOSEST_ROUNDS + (False,):
-        if texts is None:  # the texts that the rounds may ask for, taken out once
-            asked = still_open.join(classes, "set_id").select(F.col("rep").alias("doc_id")).distinct()
-            texts = stored(known.join(asked, "doc_id", "left_semi"), "texts")
-        pairs = cut(_across(still_open.join(_placed(classes, labels), "set_id"), closest))
-        found = cut(verified(pairs, texts))
-        labels = _merged(labels, found)
-        if closest:
-            still_open = _open(still_open, classes, labels)
+    members = _open(grouped, classes, labels)
+    pairs = cut(_across(members.join(_placed(classes, labels), "set_id")))
+    labels = _merged(labels, cut(verified(pairs, known, homes)))
+    delete(spark, met)
     reps = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("set_id").alias("_set"), F.coalesce("component", "rep").alias("component_id")
     )

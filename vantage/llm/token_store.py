@@ -9,8 +9,12 @@ so equal passages give equal chunks wherever they stand.  A store is a folder of
   ascending doc_id order over numbered parts;
 * ``manifest``: a Merkle tree over the recipes: blocks of up to 1,024 documents, parts, and one root.
 
+Ids are those of the tokenizers library's plain call: strings of added tokens in a text become their ids.
+A chunk's row has its number of ids, which tells the width of its body.
+
 A task sends a chunk on once however often its texts repeat it, so a passage in a third of all documents
-costs one row a task.  Reading checks every body against its digest and the recipes against the manifest.
+costs one row a task.  Reading checks every body against its digest and the recipes against the manifest; a
+store that fails either raises ValueError.
 
 Null text is an empty document: only the end id.  Rows without an id come first; rows that repeat an id
 each are a document.  An empty table gives an empty store.  Extra columns are not kept.
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vantage.llm.arrays import grams, mix, slices
-from vantage.llm.base import scratch, table
+from vantage.llm.base import delete, scratch, table
 from vantage.llm.pretokens import Ids
 
 END_ID = 0
@@ -44,14 +48,33 @@ BLOCK = 1024
 SEEN_CHUNKS = 500_000
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Ids:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts: pretokens through a cache, texts that hold an added token through the library as a whole."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 and END_ID < 1 << 16 else 4
+        self.cached = Ids(lambda words: [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)])
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return Ids(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the first of each text (and the end)."""
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return self.cached(texts)
+        apart = set(whole)
+        flat, edge = self.cached(["" if i in apart else t for i, t in enumerate(texts)])
+        found = {i: np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in whole}
+        parts = [found[i] if i in apart else flat[edge[i] : edge[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def chunk_ends(ids: np.ndarray, edge: np.ndarray) -> list[list[int]]:
@@ -88,20 +111,21 @@ def _pieces(docs: DataFrame, path: str) -> DataFrame:
             flat, edge = encode([t or "" for t in batch.column("text").to_pylist()])
             ids = np.insert(flat, edge[1:], END_ID)
             edge = edge + np.arange(len(edge))
-            raw = ids.astype("<u2").tobytes()
+            width = encode.width
+            raw = ids.astype(f"<u{width}").tobytes()
             rows = []
             for doc, a, b, ends in zip(batch.column("doc_id").to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), chunk_ends(ids, edge), strict=True):
                 digests, at = [], a
                 for e in ends:
-                    body = raw[2 * at : 2 * e]
+                    body = raw[width * at : width * e]
                     key = hashlib.blake2b(body, digest_size=DIGEST).digest()
                     digests.append(key)
-                    at = e
                     if key not in seen:
                         if len(seen) >= SEEN_CHUNKS:
                             seen.clear()
                         seen.add(key)
-                        rows.append((0, key, None, len(body) // 2, body))
+                        rows.append((0, key, None, e - at, body))
+                    at = e
                 rows.append((1, struct.pack(">qq", part, n_rows), doc, b - a, b"".join(digests)))
                 n_rows += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
@@ -110,20 +134,20 @@ def _pieces(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each key of a partition once."""
-    seen: set[bytes] = set()
+    """Each key of a partition once; equal keys stand side by side."""
+    last = None
     for batch in batches:
         keep = []
         for key in batch.column("key").to_pylist():
-            keep.append(key not in seen)
-            seen.add(key)
+            keep.append(key != last)
+            last = key
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def write_store(docs: DataFrame, tokenizer: str, to: str) -> None:
     """Writes the store of ``docs`` (doc_id, text) to the new folder ``to``."""
     spark = docs.sparkSession
-    pieces = _pieces(docs, tokenizer).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    pieces = _pieces(docs, tokenizer).repartition("key").sortWithinPartitions("key")
     schema = "kind int, key binary, doc_id long, n_tokens long, body binary"
     pieces.mapInArrow(_once, schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{to}/chunks")
     recipes = spark.read.schema(schema).parquet(f"{to}/chunks").where("kind = 1").select("doc_id", "n_tokens", F.col("body").alias("digests"), "key")
@@ -140,6 +164,7 @@ def write_store(docs: DataFrame, tokenizer: str, to: str) -> None:
         .select("part", "place", "doc_id", "start", "n_tokens", "digests")
     )
     placed.write.parquet(f"{to}/recipes")
+    delete(spark, f"{to}/ordered")
     merkle(spark, to).write.parquet(f"{to}/manifest")
 
 
@@ -173,7 +198,26 @@ def merkle(spark: SparkSession, store: str) -> DataFrame:
 def broken(spark: SparkSession, store: str) -> DataFrame:
     """Manifest entries that the recipes don't bear out; empty for a whole store."""
     kept = spark.read.schema("part int, block int, n_docs long, hash string").parquet(f"{store}/manifest")
-    return kept.exceptAll(merkle(spark, store)).unionByName(merkle(spark, store).exceptAll(kept))
+    both = kept.select("*", F.lit(1).alias("x")).unionByName(merkle(spark, store).select("*", F.lit(-1).alias("x")))
+    return both.groupBy("part", "block", "n_docs", "hash").agg(F.sum("x").alias("x")).where("x <> 0").drop("x")
+
+
+def verify(spark: SparkSession, store: str) -> None:
+    """Raises ValueError where the recipes don't bear out the manifest."""
+    wrong = broken(spark, store).limit(5).collect()
+    if wrong:
+        raise ValueError(f"manifest and recipes of {store} differ: {wrong}")
+
+
+def _bodies(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema("kind int, key binary, n_tokens long, body binary").parquet(f"{store}/chunks").where("kind = 0").select("key", F.col("n_tokens").alias("n"), "body")
+
+
+def _checked(key: bytes, n: int, body: bytes) -> np.ndarray:
+    """Ids of a body that its digest bears out."""
+    if hashlib.blake2b(body, digest_size=DIGEST).digest() != key:
+        raise ValueError(f"chunk {key.hex()} doesn't match its digest")
+    return np.frombuffer(body, f"<u{len(body) // n}")
 
 
 def _chunk_list(spark: SparkSession, store: str) -> DataFrame:
@@ -210,21 +254,20 @@ def joined_crc(crcs: list[int], sizes: list[int]) -> int:
 def checksums(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the bodies in the store's files.
 
-    Each distinct body is read and checked once; what travels to the documents is its checksum and length.
+    The recipes are checked against the manifest first.  Each distinct body is read and checked once; what
+    travels to the documents is its checksum and length.
     """
+    verify(spark, store)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums, sizes = [], []
-            for key, body in zip(batch.column("key").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                if hashlib.blake2b(body, digest_size=DIGEST).digest() != key:
-                    raise ValueError(f"chunk {key.hex()} doesn't match its digest")
-                sums.append(zlib.crc32(np.frombuffer(body, "<u2").astype("<u4").tobytes()))
-                sizes.append(len(body) // 2)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sums, pa.int64()), pa.array(sizes, pa.int64())], names=["key", "crc", "n"])
+            sums = [
+                zlib.crc32(_checked(key, n, body).astype("<u4").tobytes())
+                for key, n, body in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), batch.column("body").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sums, pa.int64()), batch.column("n")], names=["key", "crc", "n"])
 
-    bodies = spark.read.schema("kind int, key binary, body binary").parquet(f"{store}/chunks").where("kind = 0").select("key", "body")
-    sums = bodies.mapInArrow(read, "key binary, crc long, n long")
+    sums = _bodies(spark, store).mapInArrow(read, "key binary, crc long, n long")
 
     @F.pandas_udf("long")
     def join(crcs: pd.Series, sizes: pd.Series) -> pd.Series:
@@ -241,15 +284,15 @@ def checksums(spark: SparkSession, store: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, store: str) -> DataFrame:
-    """doc_id, start and ids (array of int, with the end id) of every document."""
-    bodies = spark.read.schema("kind int, key binary, body binary").parquet(f"{store}/chunks").where("kind = 0").select("key", "body")
+    """doc_id, start and ids (array of long, with the end id) of every document; checked as in checksums()."""
+    verify(spark, store)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def numbers(parts: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(b"".join(p), "<u2").astype(np.int32) for p in parts])
+        return pd.Series([np.concatenate([_checked(p["key"], p["n"], p["body"]) for p in own]).astype(np.int64) for own in parts])
 
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("nth", "body"))), lambda x: x["body"])
-    docs = _chunk_list(spark, store).join(bodies, F.col("digest") == F.col("key"), "left").groupBy("part", "place", "doc_id", "start").agg(listed.alias("x"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("nth", "key", "n", "body"))), lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n"), x["body"].alias("body")))
+    docs = _chunk_list(spark, store).join(_bodies(spark, store), F.col("digest") == F.col("key"), "left").groupBy("part", "place", "doc_id", "start").agg(listed.alias("x"))
     return docs.select("doc_id", "start", numbers("x").alias("ids"))
 
 

@@ -7,8 +7,8 @@ up to ``most_bits`` (8 MB); beyond that more rows shuffle, and the result stays
 
 Texts are equal when identical after replacing each run of ``[\\x20\\x09-\\x0D]`` by one space; null
 counts as empty.  Of equal texts the row with the smallest ``doc_id`` stays.  ``doc_id`` is the key:
-rows that repeat both id and text share one decision.  An empty table gives an empty result; columns
-with the names of this operator's outputs are replaced.
+rows that repeat both id and text share one decision, and ``survivors`` takes one row of them.  An empty
+table gives an empty result; columns with the names of this operator's outputs are replaced.
 """
 
 from __future__ import annotations
@@ -102,6 +102,14 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return alone.unionByName(decided)
 
 
+def survivors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of equal texts: of the smallest id and, where that id repeats, the row that sorts first."""
+    own = docs.drop(*OUTPUTS).columns
+    kept = exact_dedup(docs, id_column, text_column).where("kept")
+    tied = kept.where("group_size > 1").groupBy("text_sha256").agg(F.min(F.struct(*own)).alias("_row"))
+    return kept.where("group_size = 1").select(*own).unionByName(tied.select("_row.*"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *OUTPUTS)
 

@@ -144,6 +144,20 @@ def encode_decode(docs: DataFrame, path: str, text_column: str = "text") -> Data
     return docs.mapInArrow(run, f"{kinds}, ids binary, n_tokens long, decoded binary")
 
 
+def count_tokens(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
+    """``docs`` with n_tokens, the number of ids of the text."""
+    docs = docs.drop("n_tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, encode = _encoder(path)
+        for batch in slices(batches, text_column):
+            _, edge = encode([t or "" for t in batch.column(text_column).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(edge), pa.int64())], names=[*batch.schema.names, "n_tokens"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kinds}, n_tokens long")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -1,7 +1,8 @@
 """Length buckets that minimise padding, and token-budget batches inside each bucket.
 
 The exact histogram of lengths over all rows (one row for each distinct length) goes to the driver, where
-dynamic programming finds the bucket bounds that minimise total padding.  The cost of a bucket is Monge, so
+dynamic programming finds the bucket bounds that minimise total padding.  Lengths of texts are numbers of ids of
+a byte-level BPE, counted once and written down.  The cost of a bucket is Monge, so
 the best split only moves up with the length and divide and conquer takes buckets * n log n steps for n
 distinct lengths.  In a bucket of bound b a batch takes ``budget // b`` rows, at least one.
 
@@ -21,7 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vantage.llm.base import WORD, cut, table
+from vantage.llm.base import cut, stored, table
+from vantage.llm.bpe import count_tokens
 
 BUCKETS = 12
 BUDGET = 65_536
@@ -69,8 +71,8 @@ def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
 
 def pack(docs: DataFrame, length: Column, buckets: int = BUCKETS, budget: int = BUDGET, id_column: str = "doc_id") -> DataFrame:
     """``docs`` with n_tokens, bucket, bucket_length, batch and slot (from 0), and padding."""
-    docs = docs.drop(*OUTPUTS)
-    sized = docs.withColumn("n_tokens", F.coalesce(length, F.lit(0)).cast("long"))
+    sized = docs.withColumn("_length", F.coalesce(length, F.lit(0)).cast("long")).drop(*OUTPUTS).withColumnRenamed("_length", "n_tokens")
+    own = [c for c in docs.columns if c.lower() not in OUTPUTS]
     histogram = sized.groupBy(F.greatest("n_tokens", F.lit(1)).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()
     found = bounds(np.array([r.l for r in histogram]), np.array([r.n for r in histogram]), buckets) if histogram else [1]
     at = F.lit(len(found) - 1)
@@ -93,13 +95,19 @@ def pack(docs: DataFrame, length: Column, buckets: int = BUCKETS, budget: int =
         .withColumn("batch", F.floor(F.col("_place") / room).cast("long"))
         .withColumn("slot", (F.col("_place") % room).cast("int"))
         .withColumn("padding", F.col("bucket_length") - F.col("n_tokens"))
-        .select(*docs.columns, *OUTPUTS)
+        .select(*own, *OUTPUTS)
     )
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+def pack_texts(docs: DataFrame, tokenizer: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """``docs`` (doc_id, text and more) packed by the number of ids that the byte-level BPE of ``tokenizer`` gives."""
+    counted = stored(count_tokens(docs.drop(*OUTPUTS), tokenizer), "counted")
+    return pack(counted, F.col("n_tokens"), buckets, budget)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_count(F.col("text"))).select("doc_id", *OUTPUTS)
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = stored(count_tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).select("doc_id", "n_tokens"), "lengths")
+    return pack(counted, F.col("n_tokens")).select("doc_id", *OUTPUTS)

@@ -1,10 +1,16 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read a clause word by word: negation, reported speech, threat, target and insult.
-They are composed into one table of states, so a word costs one lookup.  An insult counts by its learned
-weight, less under a negation or in reported speech; a threat is a modal followed by a violent verb; a
-target in the clause raises both.  A document is scored by its strongest clause and by the sum over all
-clauses, never by isolated words, through a logistic curve.
+Five small transducers read a clause word by word: negation, reported speech, target, threat and insult.
+They are composed into one table of states, so a word costs one lookup.
+
+* Insult: an insulting word together with at least one more word of its clause; the word's learned weight
+  is held back until the clause has one.  Such a word that is a whole clause matches nothing.
+* Threat: a violent verb at most two words after a modal.
+* Target: a pronoun of address or of a person; it raises the matches of its clause by a quarter.
+* Negation and reported speech: they lower the matches in their reach.
+
+Words outside a match score nothing.  A document is scored by its strongest clause and by the sum over all
+clauses, through a logistic curve.
 
 Insult stems (word beginnings of three to nine letters, and whole words) and the curve are learned from
 labelled rows outside the held-out fifth (crc32 of the id as text, modulo 5, is 0).  At most
@@ -37,7 +43,7 @@ PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 CACHED_WORDS = 400_000
 OUTPUTS = ("held_out", "score", "predicted")
 
-# Fixed vocabularies of the grammar; insults are learned.
+# Fixed vocabularies of the grammar, function words and a few verbs; insults are learned.
 NEGATION = frozenset("not never no nobody isn aren wasn don doesn nicht kein keine nie pas jamais nunca jamás".split())
 REPORT = frozenset("said says called calls wrote claimed quoted quote sagte nannte schrieb dit écrit appelé dijo llamó escribió".split())
 TARGET = frozenset("you your you're u he she they them him her du dich ihr euch tu toi vous ils usted ustedes ellos".split())
@@ -48,6 +54,7 @@ OTHER, INSULT, NEGATE, REPORTED, AT, WILL, HARM = range(7)
 END = 8  # added to the symbol of a word that ends its clause
 NEGATED_WORDS = 3
 THREAT_WEIGHT = 2.0
+TARGETED = 1.25
 MOST_TOTAL = 20.0
 
 
@@ -69,16 +76,31 @@ def _threat(state: int, symbol: int) -> tuple[int, float]:
     return (2 if symbol == WILL else max(0, state - 1)), THREAT_WEIGHT if symbol == HARM and state else 0.0
 
 
-def _compose() -> dict[tuple[tuple[int, int, int, int], int], tuple[tuple[int, int, int, int], float, float]]:
-    """All reachable states of the four transducers side by side: (state, symbol) to (state, factor of an insult, weight of a threat)."""
-    start = (0, 0, 0, 0)
+START, WITHIN, ALONE = range(3)
+
+
+def _insult(state: int, symbol: int) -> tuple[int, bool]:
+    """State after a word, and whether the clause now bears an insult: it has another word besides."""
+    if state == START:
+        return (ALONE if symbol == INSULT else WITHIN), symbol != INSULT
+    return WITHIN, True
+
+
+State = tuple[int, int, int, int, int]
+
+
+def _compose() -> dict[tuple[State, int], tuple[State, float, float, bool]]:
+    """All reachable states of the five side by side: (state, symbol) to (state, factor of an insult, weight of a threat, insults count)."""
+    start = (0, 0, 0, 0, START)
     arcs, open_states, seen = {}, [start], {start}
     while open_states:
         state = open_states.pop()
         for symbol in range(7):
-            (n, fn), (r, fr), (t, _), (h, wh) = (f(s, symbol) for f, s in zip((_negation, _report, _target, _threat), state, strict=True))
-            to = (n, r, t, h)
-            arcs[state, symbol] = (to, fn * fr, wh * fn * fr)
+            (n, fn), (r, fr), (t, _), (h, wh), (i, bears) = (
+                f(s, symbol) for f, s in zip((_negation, _report, _target, _threat, _insult), state, strict=True)
+            )
+            to = (n, r, t, h, i)
+            arcs[state, symbol] = (to, fn * fr, wh * fn * fr, bears)
             if to not in seen:
                 seen.add(to)
                 open_states.append(to)
@@ -112,17 +134,20 @@ class Model:
 
     def clauses(self, tokens: list[str], codes: bytes) -> tuple[float, float]:
         """Score of the strongest clause, and the sum of all."""
-        state, mass, most, total = (0, 0, 0, 0), 0.0, 0.0, 0.0
+        fresh = (0, 0, 0, 0, START)
+        state, held, mass, most, total = fresh, 0.0, 0.0, 0.0, 0.0
         for token, code in zip(tokens, codes, strict=True):
             symbol = code & 7
-            state, factor, threat = ARCS[state, symbol]
+            state, factor, threat, bears = ARCS[state, symbol]
             if symbol == INSULT:
-                mass += factor * self.symbol(token)[1]
+                held += factor * self.symbol(token)[1]
+            if bears:
+                mass, held = mass + held, 0.0
             mass += threat
             if code & END:
-                mass *= 1.25 if state[2] else 1.0
-                most, total, mass, state = max(most, mass), total + mass, 0.0, (0, 0, 0, 0)
-        mass *= 1.25 if state[2] else 1.0
+                mass *= TARGETED if state[2] else 1.0
+                most, total, mass, held, state = max(most, mass), total + mass, 0.0, 0.0, fresh
+        mass *= TARGETED if state[2] else 1.0
         return max(most, mass), total + mass
 
     def score(self, most: float, total: float) -> float:

@@ -5,16 +5,22 @@
   parallel to the vector ``PARALLEL`` times as much as the rest, as only that part moves high inner
   products; assignment is by coordinate descent under this loss.
 * Index: every valid row is encoded, four bits for each pair of dimensions.
-* Search: queries and rows are dealt into blocks of bounded size, and each pair of blocks is scanned in one
-  task by 16-entry tables.  A block's ``KEPT`` best by the tables, and all that tie with the last of
-  them, are scored exactly, in double precision, on the original vectors; the best of all blocks are merged per query.
+* Scan: queries come in blocks of about ``QUERY_BLOCK``, which are broadcast; the codes, and nothing else of the rows,
+  are read through 16-entry tables where they lie.  A first pass over every ``SAMPLED``-th code finds, for
+  each query, a floor that about twice ``SHORT`` rows of all pass; the scan returns those.
+* Rerank: of each query's rows the ``SHORT`` best by the tables are scored exactly, in double precision, on the
+  original vectors: blocks of rows meet the queries that ask for some of them, so a vector is sent once a block.
+
+Neither pass shuffles rows or codes, and what it returns for a query does not grow with the table.
+``exact=True`` reads the vectors themselves in place of the codes and gives the true nearest.
 
 Equal vectors are one class that keeps its smallest ids, so a vector shared by a third of all rows costs one
 code; its members are spread again only within the answer.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take
 no part; nor do rows without an id.  Ties go to the smaller id.  An id that repeats with different vectors
-counts with each.  An empty table gives an empty result.  Extra columns don't matter.
+counts with each.  An empty table gives an empty result.  Extra columns don't matter.  Vectors pass for equal by a
+64-bit hash; two others share one with a chance of about 1 in 10**19 a pair.
 """
 
 from __future__ import annotations
@@ -27,17 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vantage.llm.base import stored, table
+from vantage.llm.base import cut, delete, scratch, stored, table
 
 MOST_FITTED = 8_192
 PARALLEL = 4.0
 CENTRES = 16
 ROUNDS = 8
 TOP = 20
-KEPT = 1_024
-TIED = 1e-5
+SHORT = 512
+SAMPLED = 64
 ROW_BLOCK = 16_384
-QUERY_BLOCK = 1_024
+QUERY_BLOCK = 16_384
+QUERIES_A_GROUP = 131_072
+AT_ONCE = 128
 EVERY = 20
 
 
@@ -119,7 +127,113 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().values if isinstance(column, pa.ChunkedArray) else column.flatten(), dtype=np.float64).reshape(-1, size)
 
 
-def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
+def _index(classes: DataFrame, quantiser: Quantiser, size: int) -> DataFrame:
+    """h and packed code of every class."""
+    shared = classes.sparkSession.sparkContext.broadcast(quantiser)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = shared.value.encode(_matrix(batch.column("v"), size)) if batch.num_rows else np.zeros((0, 2), np.uint8)
+            if codes.shape[1] % 2:
+                codes = np.hstack([codes, np.zeros((len(codes), 1), np.uint8)])
+            packed = codes[:, ::2] | (codes[:, 1::2] << 4)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([p.tobytes() for p in packed], pa.binary())], names=["h", "code"])
+
+    return classes.select("h", "v").mapInArrow(encode, "h long, code binary")
+
+
+def _table_scores(batch: pa.RecordBatch, q: np.ndarray, quantiser: Quantiser) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, scores of all rows of the batch for the queries from there on)."""
+    raw = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    codes = np.stack([raw & 15, raw >> 4], axis=2).reshape(batch.num_rows, -1)
+    for at in range(0, len(q), AT_ONCE):
+        tables = quantiser.tables(q[at : at + AT_ONCE])
+        scores = np.zeros((batch.num_rows, tables.shape[2]), np.float32)
+        for s in range(len(tables)):
+            scores += tables[s][codes[:, s]]
+        yield at, scores
+
+
+def _floors(codes: DataFrame, q: np.ndarray, quantiser: Quantiser, short: int) -> np.ndarray:
+    """For each query the table score that about twice ``short`` of all rows reach."""
+    most = -(-2 * short // SAMPLED)
+    shared = codes.sparkSession.sparkContext.broadcast((q, quantiser))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                best = [-np.sort(-scores, axis=0)[:most].T for _, scores in _table_scores(batch, *shared.value)]
+                yield pa.RecordBatch.from_pydict({"q": pa.array(np.arange(len(q)), pa.int32()), "best": pa.array([x for b in best for x in b.tolist()], pa.list_(pa.float32()))})
+
+    sample = codes.where(F.pmod(F.xxhash64("h", F.lit(3)), F.lit(SAMPLED)) == 0)
+    best = F.sort_array(F.flatten(F.collect_list("best")), asc=False)
+    rows = sample.mapInArrow(read, "q int, best array<float>").groupBy("q").agg(F.get(best, F.lit(most - 1)).alias("floor")).where("floor is not null").collect()
+    floors = np.full(len(q), -np.inf, np.float32)
+    floors[[r.q for r in rows]] = [r.floor for r in rows]
+    return floors
+
+
+def _passing(codes: DataFrame, qh: np.ndarray, q: np.ndarray, floors: np.ndarray, quantiser: Quantiser) -> DataFrame:
+    """query, found and rough score of all rows that reach a query's floor."""
+    shared = codes.sparkSession.sparkContext.broadcast((qh, q, floors, quantiser))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qh, q, floors, quantiser = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                h = np.asarray(batch.column("h"))
+                for at, scores in _table_scores(batch, q, quantiser):
+                    row, own = np.nonzero(scores >= floors[at : at + scores.shape[1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(qh[at + own]), pa.array(h[row]), pa.array(scores[row, own])], names=["query", "found", "rough"])
+
+    return codes.mapInArrow(read, "query long, found long, rough float")
+
+
+def _exact_best(classes: DataFrame, qh: np.ndarray, q: np.ndarray, size: int, top: int) -> DataFrame:
+    """query, found, first and score of each batch's best by the vectors themselves."""
+    shared = classes.sparkSession.sparkContext.broadcast((qh, q))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qh, q = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                x, h, first = _matrix(batch.column("v"), size), np.asarray(batch.column("h")), np.asarray(batch.column("first"))
+                for i in range(len(q)):
+                    score = (x * q[i]).sum(axis=1)
+                    own = np.lexsort((first, -score))[: top + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), qh[i])), pa.array(h[own]), pa.array(first[own]), pa.array(score[own])], names=["query", "found", "first", "score"])
+
+    return classes.select("h", "v", "first").mapInArrow(read, "query long, found long, first long, score double")
+
+
+def _rescored(short: DataFrame, classes: DataFrame, queries: DataFrame, blocks: int, groups: int, size: int) -> DataFrame:
+    """query, found, first and exact score of the pairs (query, found)."""
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(blocks)).cast("int")
+    asked = (
+        short.groupBy(block("found").alias("block"), F.pmod(F.xxhash64("query", F.lit(4)), F.lit(groups)).cast("int").alias("group"), "query")
+        .agg(F.collect_list("found").alias("wanted"))
+        .join(queries.select(F.col("h").alias("query"), F.col("v").alias("q")), "query")
+        .select("block", "group", "query", "q", "wanted")
+    )
+    rows = classes.select(block("h").alias("row_block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("row_group"), "h", "v", "first")
+
+    def score(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        h, first, x = np.asarray(rows.column("h")), np.asarray(rows.column("first")), _matrix(rows.column("v"), size)
+        order = np.argsort(h)
+        wanted = asked.column("wanted").combine_chunks()
+        count = np.diff(np.asarray(wanted.offsets))
+        at = order[np.searchsorted(h, np.asarray(wanted.values), sorter=order)] if len(h) else np.zeros(0, np.int64)
+        own = np.repeat(np.arange(len(count)), count)
+        q = _matrix(asked.column("q"), size)
+        found = np.zeros(len(at))
+        for i in range(0, len(at), 65_536):
+            found[i : i + 65_536] = (x[at[i : i + 65_536]] * q[own[i : i + 65_536]]).sum(axis=1)
+        return pa.table({"query": pa.array(np.asarray(asked.column("query"))[own], pa.int64()), "found": pa.array(h[at], pa.int64()), "first": pa.array(first[at], pa.int64()), "score": pa.array(found)})
+
+    return asked.groupBy("block", "group").cogroup(rows.groupBy("row_block", "row_group")).applyInArrow(score, "query long, found long, first long, score double")
+
+
+def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, short: int = SHORT, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id and score of the ``top`` nearest found of each row whose id ``every`` divides."""
     spark = vectors.sparkSession
     sizes = vectors.where(usable(F.col("embedding"))).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -138,68 +252,40 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame
         .withColumn("r", F.row_number().over(rank))
         .where(F.col("r") <= top + 1)
         .groupBy("h")
-        .agg(F.min_by("v", "r").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")),
+        .agg(F.min_by("v", "r").alias("v"), F.min("vec_id").alias("first"), F.array_sort(F.collect_list("vec_id")).alias("ids")),
         "vectors",
     )
-    sample = np.array([r.v for r in classes.orderBy(F.xxhash64("h"), "h").limit(MOST_FITTED).select("v").collect()])
-    quantiser = spark.sparkContext.broadcast(train(sample))
-    rows_n = classes.count()
-    blocks = -(-rows_n // ROW_BLOCK)
-    queries = hashed.where(F.col("vec_id") % every == 0).select("h").distinct()
-    queries = classes.join(queries, "h")
-    query_blocks = -(-max(queries.count(), 1) // QUERY_BLOCK)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = quantiser.value.encode(_matrix(batch.column("v"), size)) if batch.num_rows else np.zeros((0, 1), np.uint8)
-            if codes.shape[1] % 2:
-                codes = np.hstack([codes, np.zeros((len(codes), 1), np.uint8)])
-            packed = codes[:, ::2] | (codes[:, 1::2] << 4)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p.tobytes() for p in packed], pa.binary())], names=["h", "v", "code"])
-
-    block = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
-    index = classes.select("h", "v").mapInArrow(encode, "h long, v array<double>, code binary").select("*", block)
-    per_query = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    left = index.withColumn("part", per_query)
-    right = queries.select("h", "v", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(query_blocks)).cast("int").alias("part")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-
-    def scan(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        empty = pa.table({"query": pa.array([], pa.int64()), "found": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not rows.num_rows or not asked.num_rows:
-            return empty
-        x, h = _matrix(rows.column("v"), size), np.asarray(rows.column("h"))
-        raw = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
-        codes = np.stack([raw & 15, raw >> 4], axis=2).reshape(len(x), -1)
-        q, qh = _matrix(asked.column("v"), size), np.asarray(asked.column("h"))
-        out_q, out_h, out_s = [], [], []
-        for at in range(0, len(q), 64):
-            own = q[at : at + 64]
-            tables = quantiser.value.tables(own)
-            scores = np.zeros((len(x), len(own)), np.float32)
-            for s in range(len(tables)):
-                scores += tables[s][codes[:, s]]
-            k = max(0, len(x) - KEPT)
-            least = np.partition(scores, k, axis=0)[k] - TIED
-            for i in range(len(own)):
-                pick = np.flatnonzero(scores[:, i] >= least[i])
-                exact = (x[pick] * own[i]).sum(axis=1)
-                first = np.argsort(-exact, kind="stable")[: top + 1]
-                out_q.append(np.full(len(first), qh[at + i]))
-                out_h.append(h[pick[first]])
-                out_s.append(exact[first])
-        return pa.table({"query": pa.array(np.concatenate(out_q)), "found": pa.array(np.concatenate(out_h)), "score": pa.array(np.concatenate(out_s))})
-
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(scan, "query long, found long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "found")
-    kept = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top + 1).drop("r")
+    asked = hashed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("h").alias("query"))
+    queries = cut(classes.join(asked.select(F.col("query").alias("h")).distinct(), "h").select("h", "v"))
+    n, n_queries = classes.count(), queries.count()
+    parts = max(1, -(-n_queries // QUERY_BLOCK))
+    if not exact:
+        sample = np.array([r.v for r in classes.orderBy(F.xxhash64("h"), "h").limit(MOST_FITTED).select("v").collect()])
+        quantiser = train(sample)
+        codes = stored(_index(classes, quantiser, size), "codes")
+    to = scratch(spark, "passing")
+    for part in range(parts):
+        block = queries.where(F.pmod(F.xxhash64("h", F.lit(2)), F.lit(parts)) == part).collect()
+        qh, q = np.array([r.h for r in block], np.int64), np.array([r.v for r in block]).reshape(-1, size)
+        if exact:
+            found = _exact_best(classes, qh, q, size, top)
+        else:
+            found = _passing(codes, qh, q, _floors(codes, q, quantiser, short), quantiser)
+        found.write.mode("append").parquet(to)
+    if exact:
+        scored = spark.read.schema("query long, found long, first long, score double").parquet(to)
+    else:
+        rough = spark.read.schema("query long, found long, rough float").parquet(to)
+        best = rough.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rough"), "found"))).where(F.col("r") <= short)
+        scored = _rescored(best.select("query", "found"), classes, queries, -(-n // ROW_BLOCK), -(-max(n_queries, 1) // QUERIES_A_GROUP), size)
+    nearest_first = Window.partitionBy("query").orderBy(F.desc("score"), "first")
+    kept = cut(scored.withColumn("r", F.row_number().over(nearest_first)).where(F.col("r") <= top + 1).drop("r", "first"))
+    delete(spark, to)
     # classes back to rows: at most top + 1 classes of at most top + 1 ids each for a query vector
     spread = kept.join(classes.select(F.col("h").alias("found"), "ids"), "found").select("query", "score", F.explode("ids").alias("vec_id"))
     answer = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    short = spread.withColumn("r", F.row_number().over(answer)).where(F.col("r") <= top + 1)
-    lists = short.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("x"))
-    asked = hashed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("h").alias("query"))
+    listed = spread.withColumn("r", F.row_number().over(answer)).where(F.col("r") <= top + 1)
+    lists = listed.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("x"))
     others = F.slice(F.filter("x", lambda e: e["vec_id"] != F.col("query_id")), 1, top)
     return (
         asked.join(lists, "query")

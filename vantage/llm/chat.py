@@ -4,8 +4,10 @@ For every participant of a conversation the dialogue is rendered once with that
 others as named users; the mask lists the character ranges to train on, the speaker's own words with
 their end mark.  System turns are context: rendered for everybody, masked for nobody, and no perspective.
 
-A dialogue is rendered in parts of ``PART`` turn numbers, which in order of ``part`` make up the whole; so a
-conversation of any length is never one task's row.  Turns are ordered by number, then role, then text.
+A dialogue is rendered in parts of ``PART`` turns, which in order of ``part`` make up the whole; so a
+conversation of any length is never one task's row.  Turns are ordered by number, then role, then text, and
+numbered through: equal turns are counted before anything is sorted, the rest is dealt by range, and a turn's
+place is what stands before it in its range and in those before.
 
 A null role is the participant ``unknown``, null text is empty, a null turn number comes first, and rows
 without a conversation id are one conversation.  Repeated rows are repeated turns.  A conversation of system
@@ -14,10 +16,10 @@ turns only has no perspectives; an empty table gives an empty result; extra colu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vantage.llm.base import table
+from vantage.llm.base import stored, table
 
 PART = 256
 SYSTEM = "system"
@@ -32,17 +34,33 @@ def _header(role: Column, speaker: Column) -> Column:
     )
 
 
+def _placed(turns: DataFrame) -> DataFrame:
+    """Turns with ``part``, the PART turns of the conversation that it belongs to; repeated turns once for each time."""
+    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    counted = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
+    ranged = stored(counted.repartitionByRange("conv_id", *order).withColumn("range", F.spark_partition_id()), "turns")
+    sums = ranged.groupBy(F.col("conv_id").alias("_conv"), F.col("range").alias("_range")).agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("_conv").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = sums.select("_conv", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("conv_id", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(offsets, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("range") == F.col("_range"))).withColumn("end", F.col("offset") + F.sum("n").over(within))
+    first, last = F.col("end") - F.col("n"), F.col("end") - 1
+    parts = placed.withColumn("part", F.explode(F.sequence(F.floor(first / PART), F.floor(last / PART))))
+    copies = F.least(F.col("end"), (F.col("part") + 1) * PART) - F.greatest(first, F.col("part") * PART)
+    return parts.select("conv_id", "turn", "role", "text", "part", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+
+
 def perspectives(turns: DataFrame) -> DataFrame:
     """conv_id, speaker, part, n_turns, text and mask (array of start, end) of every participant's rendering."""
     clean = turns.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     speakers = clean.where(F.col("role") != SYSTEM).groupBy(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).agg(F.lit(1).alias("_one"))
     header = _header(F.col("role"), F.col("speaker"))
-    rendered = clean.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
+    rendered = _placed(clean).join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
         "conv_id",
         "speaker",
-        F.coalesce(F.floor(F.col("turn") / PART), F.lit(0)).cast("long").alias("part"),
+        F.col("part").cast("long").alias("part"),
         F.struct(
             "turn", "role", "text", header.alias("header"), F.concat(header, F.col("text"), F.lit(END_MARK)).alias("segment"), (F.col("role") == F.col("speaker")).alias("own")
         ).alias("x"),
@@ -79,10 +97,12 @@ def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-with t as (select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
+with t as (
+  select conv_id, turn, role, text, (row_number() over (partition by conv_id order by turn nulls first, role, text) - 1) // 256 as part
+  from (select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations)),
 s as (select distinct conv_id, role as speaker from t where role <> 'system'),
 g as (
-  select t.conv_id, speaker, coalesce(floor(turn / 256), 0)::bigint as part, turn, role, text,
+  select t.conv_id, speaker, part::bigint as part, turn, role, text,
          case when role = 'system' then '<|system|>' || chr(10) when role = speaker then '<|assistant|>' || chr(10)
               else '<|user name=' || role || '|>' || chr(10) end as header
   from t join s on t.conv_id is not distinct from s.conv_id),

@@ -54,7 +54,7 @@ KEYS_PER_BUCKET = 1_500_000
 MEMBERS_PER_TASK = 20_000
 BLOCK = 8192
 TEXT_BLOCK = 2_000_000
-TEXTS_PER_BLOCK = 2048
+TEXTS_PER_BLOCK = 512
 GATHERED = 4_000_000
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, with the hard cases of the corpus fixture."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -28,6 +29,14 @@ def test_exact_dedup(docs, corpus, nothing):
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
+def test_survivors_are_one_row_a_group(spark, docs, corpus):
+    twice = spark.createDataFrame([(7, "x", "b"), (7, "x", "a"), (7, "x", "a"), (8, "x ", "c"), (None, "x", "d"), (9, "y", "e"), (9, "y", "e"), (9, "z", "e")], "doc_id long, text string, keep_id string")
+    got = sorted((r.doc_id, r.text) for r in exact_dedup.survivors(twice).collect())
+    assert got == [(7, "x"), (8, "x "), (9, "y"), (9, "z")]
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    assert exact_dedup.survivors(docs).count() == len({norm(t) for _, t in corpus})
+
+
 def test_exact_dedup_with_a_tiny_table(docs):
     full = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
     tiny = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs, most_bits=13).collect()}
@@ -79,6 +88,43 @@ def test_signatures_lose_no_link():
             assert set(key[at == 0]) & set(key[at == 1])
 
 
+def test_a_large_family_of_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(2000):
+        words = base[:]
+        for _ in range(i % 9):  # links between about a third of all pairs
+            words[rng.randrange(120)] = f"m{rng.randrange(40)}" if i % 2 else f"u{i}x{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(116)} for t in texts]
+    number = {}
+    have = np.zeros((len(sets), len(set().union(*sets))), np.float32)
+    for i, s in enumerate(sets):
+        have[i, [number.setdefault(x, len(number)) for x in s]] = 1
+    both = have @ have.T
+    size = both.diagonal()
+    links = 100 * both >= 80 * (size[:, None] + size[None] - both)
+    part = np.arange(len(sets))
+    while True:
+        new = np.where(links, part[None], len(sets)).min(axis=1)
+        if (new == part).all():
+            break
+        part = new
+    out = ngram_join.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect()
+    assert {r.doc_id: r.component_id for r in out} == dict(enumerate(part.tolist())) and 20 < len(set(part)) < 1500
+
+
+def test_exact_comparison_sends_a_text_once_to_a_pair_of_blocks(spark):
+    texts = [(i, " ".join(f"w{j}" for j in range(i % 50, 300))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(400) for b in range(a + 1, 400, 3)], "a long, b long")
+    homes = spark.createDataFrame([(i, 0, i % 2) for i in range(400)], "doc_id long, home long, block long")
+    found = {(r.a, r.b) for r in ngram_join.verified(pairs, docs, homes).collect()}
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for _, t in texts]
+    assert found == {(r.a, r.b) for r in pairs.collect() if 100 * len(sets[r.a] & sets[r.b]) >= 80 * len(sets[r.a] | sets[r.b])}
+
+
 def test_substring_dedup(docs, corpus, nothing):
     texts = {i: WORD.findall(t or "") for i, t in corpus}
     first = {}
@@ -104,7 +150,6 @@ def test_token_store(spark, docs, corpus, nothing):
 
     path = P.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     store = scratch(spark, "store")
     token_store.write_store(docs, path, store)
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in corpus}
@@ -117,6 +162,7 @@ def test_token_store(spark, docs, corpus, nothing):
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
     assert {(r.doc_id, tuple(r.ids)) for r in token_store.read_documents(spark, store).collect()} == {(i, tuple(x)) for i, x in ids.items()}
     assert token_store.broken(spark, store).count() == 0
+    assert 50256 in ids[10]  # the added token in a text
     chunks = spark.read.parquet(f"{store}/chunks").where("kind = 0")
     assert chunks.count() == chunks.select("key").distinct().count()
     empty = scratch(spark, "store")
@@ -124,6 +170,16 @@ def test_token_store(spark, docs, corpus, nothing):
     assert token_store.checksums(spark, empty).count() == 0
 
 
+def test_a_changed_store_is_refused(spark, docs):
+    store = scratch(spark, "store")
+    token_store.write_store(docs, P.path("byte_bpe_50k.json"), store)
+    token_store.read_recipes(spark, store).where("place > 1").write.parquet(f"{store}/other")
+    token_store.delete(spark, f"{store}/recipes")
+    spark.read.parquet(f"{store}/other").write.parquet(f"{store}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.checksums(spark, store)
+
+
 def test_joined_crc():
     parts = [b"abc", b"", b"x" * 5000, bytes(range(256))]
     assert token_store.joined_crc([zlib.crc32(p) for p in parts], [len(p) for p in parts]) == zlib.crc32(b"".join(parts))
@@ -141,8 +197,6 @@ def test_bpe(docs, corpus, nothing):
 
 
 def test_pretokens_match_the_pattern():
-    import random
-
     import regex
 
     assert pretokens.PATTERN == P.PATTERN
@@ -199,8 +253,6 @@ def test_redaction(spark):
 
 
 def test_toxicity(spark, docs, nothing):
-    import random
-
     rng = random.Random(1)
     rows, labels = [], []
     for i in range(600):
@@ -227,36 +279,87 @@ def test_toxicity_grammar():
     codes = toxicity._Codes(model)
     read = lambda t: next(toxicity.readings(iter([t]), codes))[0]
     assert read("you idiot") > read("an idiot") > read("she said idiot") > read("not an idiot") > 0
-    assert read("they will kill") > read("kill") == 0
+    assert read("idiot") == read("idiot.") == read("fine. idiot! fine") == 0  # no clause, no score
+    assert read("idiot there") == read("an idiot")
+    assert read("they will kill") > read("kill") == read("kill them") == 0
     assert read("not this. an idiot") == read("an idiot")
 
 
+def clause_scores(text, insults):
+    """The grammar read from its description: clauses first, then every match of a clause by looking back at its words."""
+    scores = [0.0]
+    for clause in re.findall(r"(?:\S*[^\s.!?;:\"»”](?=\s|$)\s*)*(?:\S+)?", text.lower()):
+        own = [re.findall(r"[^\W\d_]+", w) for w in clause.split()]
+        own = [next((x for x in w if x in insults), next((x for x in w if x in KNOWN), "")) for w in own]
+        score = 0.0
+        for i, w in enumerate(own):
+            factor = (0.4 if any(x in toxicity.NEGATION for x in own[max(0, i - 3) : i]) else 1.0) * (0.6 if any(x in toxicity.REPORT for x in own[:i]) else 1.0)
+            if w in insults and len(own) > 1:
+                score += factor * insults[w]
+            elif w in toxicity.VIOLENCE and any(x in toxicity.MODAL for x in own[max(0, i - 2) : i]):
+                score += factor * 2.0
+        scores.append(score * (1.25 if any(w in toxicity.TARGET for w in own) else 1.0))
+    return max(scores), sum(scores)
+
+
+KNOWN = toxicity.NEGATION | toxicity.REPORT | toxicity.TARGET | toxicity.MODAL | toxicity.VIOLENCE
+
+
+def test_toxicity_clauses_against_brute_force():
+    rng = random.Random(8)
+    insults = {"idiot": 4.0, "scum": 2.5}
+    codes = toxicity._Codes(toxicity.Model({"=" + w: v for w, v in insults.items()}))
+    signs = ["idiot", "scum", "not", "said", "you", "will", "kill", "stone", "river", "idiot,", "river.", "scum!", "kill.", "never;"]
+    for _ in range(2000):
+        text = " ".join(rng.choice(signs) for _ in range(rng.randrange(9)))
+        assert next(toxicity.readings(iter([text]), codes)) == pytest.approx(clause_scores(text, insults)), text
+
+
 def test_packing(spark, docs, nothing):
     from itertools import combinations
 
-    from pyspark.sql import functions as F
-
     lengths, counts = np.array([8, 16, 40, 48, 200]), np.array([5, 3, 10, 1, 2])
     best = min(
         sum(c * (min(b for b in [*chosen, 200] if b >= n) - n) for n, c in zip(lengths, counts)) for k in range(3) for chosen in combinations(lengths[:-1].tolist(), k)
     )
     found = packing.bounds(lengths, counts, 3)
     assert found[-1] == 200 and sum(c * (min(b for b in found if b >= n) - n) for n, c in zip(lengths, counts)) == best
-    out = packing.pack(docs, packing.word_count(F.col("text")), buckets=4, budget=1000).toPandas()
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=dict(bpe.ranks(path)), special_tokens={})
+    out = packing.pack_texts(docs, path, buckets=4, budget=1000).toPandas()
+    assert [len(library.encode_ordinary(t or "")) for t in out.text] == out.n_tokens.tolist()
     assert len(out) == docs.count() and (out.padding >= 0).all() and (out.bucket_length - out.n_tokens == out.padding).all()
     for (_, size), g in out.groupby(["bucket", "bucket_length"]):
         room = max(1, 1000 // size)
         per = g.groupby("batch").size()
         assert not g.duplicated(["batch", "slot"]).any() and (per <= room).all() and (per < room).sum() <= 1 and g.batch.max() == len(per) - 1
-    assert packing.pack(nothing, packing.word_count(F.col("text"))).count() == 0
+    assert packing.pack_texts(nothing, path).count() == 0
 
 
 def test_chat(spark):
     rows = [(1, 0, "system", "be"), (1, 1, "ann", "hi 😀"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 300, "ann", None), (2, 0, "system", "x"), (None, None, None, "lost"), (3, 0, "u", "")]
-    out = {(r.conv_id, r.speaker, r.part): r for r in chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(out) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (None, "unknown", 0), (3, "u", 0)}
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, mask string, part string")
+    out = {(r.conv_id, r.speaker, r.part): r for r in chat.perspectives(table).collect()}
+    assert set(out) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "u", 0)}
     ann = out[1, "ann", 0]
-    assert ann.text == "<|system|>\nbe<|end|>\n<|assistant|>\nhi 😀<|end|>\n" + "<|user name=bob|>\nyo<|end|>\n" * 2
-    assert [ann.text[m.start : m.end] for m in ann.mask] == ["hi 😀<|end|>\n"]
+    assert ann.text == "<|system|>\nbe<|end|>\n<|assistant|>\nhi 😀<|end|>\n" + "<|user name=bob|>\nyo<|end|>\n" * 2 + "<|assistant|>\n<|end|>\n"
+    assert [ann.text[m.start : m.end] for m in ann.mask] == ["hi 😀<|end|>\n", "<|end|>\n"]
     assert [out[1, "bob", 0].text[m.start : m.end] for m in out[1, "bob", 0].mask] == ["yo<|end|>\n"] * 2
     assert chat.perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_splits_turns_without_numbers_and_repeated_turns(spark):
+    rng = random.Random(6)
+    rows = [(1, None, rng.choice("abc"), f"t{i}" if i % 3 else "same") for i in range(900)] + [(1, 7, "a", "again")] * 700 + [(2, 1, "a", "z" * 300_000)]
+    parts = {}
+    for r in chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect():
+        parts.setdefault((r.conv_id, r.speaker), {})[r.part] = r
+    turns = sorted(rows[:1600], key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+    for speaker in "abc":
+        own = parts[1, speaker]
+        assert [own[i].n_turns for i in sorted(own)] == [256] * 6 + [64] and sorted(own) == list(range(7))
+        whole = "".join(("<|assistant|>\n" if r[2] == speaker else f"<|user name={r[2]}|>\n") + r[3] + "<|end|>\n" for r in turns)
+        assert "".join(own[i].text for i in sorted(own)) == whole
+    assert len(parts[2, "a"][0].text) > 300_000

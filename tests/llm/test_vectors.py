@@ -1,8 +1,8 @@
 import numpy as np
+import pandas as pd
 import pytest
 
-from vantage.llm import exact_dedup, ngram_join, toxicity, vector_search
-from vantage.llm.base import table
+from vantage.llm import vector_search
 
 
 def brute(vectors, top=20):
@@ -22,8 +22,11 @@ def test_nearest(spark):
     x[300:600] = x[300]  # a third of all rows are one vector
     rows = [(i, v.tolist(), "extra") for i, v in enumerate(x)]
     odd = [(2000, None, "n"), (2020, [], "e"), (2040, [0.0] * 15, "z"), (2060, [float("nan")] * 15, "n"), (2080, [float("inf")] + [1.0] * 14, "i"), (2100, [None] * 15, "n"), (2120, [1.0] * 3, "s"), (None, [1.0] * 15, "x")]
-    got = vector_search.nearest(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label string")).collect()
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label string").withColumnsRenamed({"label": "score"})
     want = brute({i: v for i, v, _ in rows})
+    true = vector_search.nearest(table, exact=True).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in true) == sorted((q, k + 1, v) for q, found in want.items() for k, (v, _) in enumerate(found))
+    got = vector_search.nearest(table).collect()
     by = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         by.setdefault(r.query_id, []).append((r.vec_id, r.score, r.rank))
@@ -37,21 +40,17 @@ def test_nearest(spark):
     assert vector_search.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-
-    docs = table(spark, sf, "documents")
-    model = toxicity.fit(docs, table(spark, sf, "labels"))
-    clean = {r.doc_id for r in toxicity.score(docs, model).where("predicted = 0").collect()}
-    kept = docs.where(docs.doc_id.isin(list(clean)))
-    first = {r.doc_id for r in exact_dedup.exact_dedup(kept).where("kept").collect()}
-    left = kept.where(kept.doc_id.isin(list(first)))
-    last = {r.doc_id for r in ngram_join.ngram_components(left).where("doc_id = component_id").collect()}
-    out = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in out} == last and len(out) == len(last)
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "secret scans", "packing"]
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    assert all(r.n_chars == len(r.text) for r in out if r.text != texts[r.doc_id])
+def test_recall_where_few_rows_are_scored_exactly(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 24))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    found = vector_search.nearest(frame, every=200).toPandas()
+    hits = 0
+    for q, own in found.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(own.vec_id) & set(np.argsort(-score)[:20].tolist()))
+    assert found.query_id.nunique() == 100 and len(found) == 2000 and hits >= 0.95 * len(found)
 
 
 def test_queries_have_the_promised_columns(spark, sf):
@@ -59,7 +58,9 @@ def test_queries_have_the_promised_columns(spark, sf):
 
     promised = {
         "op1_ngram_jaccard_join": {"doc_id", "n_shingles", "component_id"},
+        "op2_token_store": {"doc_id", "start", "n_tokens", "ids_crc32"},
         "op4_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+        "op5_vector_search": {"query_id", "rank", "vec_id", "score"},
         "op6_toxicity": {"doc_id", "held_out", "score", "predicted"},
         "op7_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
         "op9_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"},

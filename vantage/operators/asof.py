@@ -166,3 +166,16 @@ def causal_knowledge(facts: DataFrame) -> DataFrame:
     """For every session the first instant at which it can be evaluated, and how many revisions were known then."""
     first = facts.groupBy("instrument_id", "session_date").agg(F.min(F.greatest("knowledge_time", "event_time")).alias("evaluated_at"))
     return facts.join(first, ["instrument_id", "session_date"]).groupBy("instrument_id", "session_date", "evaluated_at").agg(F.count_if(F.col("knowledge_time") <= F.col("evaluated_at")).alias("n_known"))
+
+
+def sessions_within(intervals: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Every row of ``intervals`` (valid_from, valid_to) with each session that it covers.
+
+    Both sides meet on the month, an equality, so the join shuffles like any other however many intervals there are.
+    """
+    month = lambda c: F.trunc(c, "month")
+    last = calendar.agg(F.max("session_date")).scalar()
+    until = F.least(F.coalesce(F.col("valid_to"), last), last)
+    spread = intervals.where(F.col("valid_from") <= until).withColumn("_month", F.explode(F.sequence(month("valid_from"), month(until), F.expr("interval 1 month"))))
+    days = calendar.withColumn("_of", month("session_date"))
+    return spread.join(days, (F.col("_month") == F.col("_of")) & covers(F.col("session_date"), F.col("valid_from"), F.col("valid_to"))).drop("_month", "_of")

@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from vantage.functions.scalar import listed, scaled, weighted
 
-LOOKBACKS = (20, 60, 120)
-RS_WEIGHTS = {20: 0.2, 60: 0.4, 120: 0.4}
+# Fixed values of the default strategy; every operator takes its own as parameters.
+LOOKBACKS = (20, 60, 120, 250)
+RS_WEIGHTS = {20: 0.15, 60: 0.25, 120: 0.3, 250: 0.3}
+SECTOR_WEIGHTS = {"relative_return": 0.25, "absolute_return": 0.15, "relative_momentum": 0.2, "breadth_above_50dma": 0.2, "breadth_above_200dma": 0.1, "participation": 0.1}
+VOLATILITY_BANDS = {"LOW": 0.2, "NORMAL": 0.6, "ELEVATED": 0.8, "HIGH": 0.95}
+SIGNALS = {"primary_trend": 0.3, "benchmark_agreement": 0.15, "ma_slope": 0.15, "breadth_above_200dma": 0.15, "new_high_low": 0.1, "sector_participation": 0.1, "volatility": 0.05}
+REGIMES = {"BULL_TRENDING": 0.6, "BULL_CHOPPY": 0.25, "NEUTRAL": -0.1, "BEAR_CHOPPY": -0.35, "BEAR_TRENDING": -0.65}
+VOLATILITY_SCORES = {"LOW": 0.5, "NORMAL": 0.25, "ELEVATED": -0.25, "HIGH": -0.7, "EXTREME": -1.0}
 
 
 def compare_to_benchmarks(bars: DataFrame, benchmarks: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS) -> DataFrame:
@@ -112,34 +118,50 @@ def dispersion(values: DataFrame, by: tuple[str, ...], value: str, least: int =
     return values.groupBy(*by).agg(F.count(value).alias("n"), F.when(F.count(value) >= least, F.stddev_samp(value)).alias("dispersion"))
 
 
-def sector_strength(features: DataFrame, least: int = 2) -> DataFrame:
-    """Mean returns per lookback, relative to the market, momentum, breadth and a score 0 to 100 per date and sector.
+def sector_strength(features: DataFrame, market: DataFrame, least: int = 5, weights: dict[str, float] = SECTOR_WEIGHTS) -> DataFrame:
+    """Returns over 20 and 60 sessions, absolute and relative to the market, momentum, breadth, score 0 to 100 and labels per date and sector.
 
-    features: session_date, sector, roc_20, roc_60, above_50 (boolean), advancing (boolean), relative_volume.
+    features: session_date, sector, roc_20, roc_60, above_50, above_200, at_high, at_low (booleans, null if unknown), relative_volume.
+    market: session_date, market_20, market_60.  A sector of fewer than ``least`` members gets neither score nor labels.
     """
-    market = features.groupBy("session_date").agg(F.avg("roc_60").alias("market_60"))
+    share = lambda c: F.avg(F.col(c).cast("double"))
     s = features.where("sector is not null").groupBy("session_date", "sector").agg(
         F.count(F.lit(1)).alias("members"),
         F.avg("roc_20").alias("return_20"),
         F.avg("roc_60").alias("return_60"),
-        F.avg(F.col("above_50").cast("double")).alias("above_50"),
-        F.avg(F.col("advancing").cast("double")).alias("participation"),
+        share("above_50").alias("above_50"),
+        share("above_200").alias("above_200"),
+        F.avg((F.col("roc_20") > 0).cast("double")).alias("participation"),
+        share("at_high").alias("leadership"),
         F.avg("relative_volume").alias("volume_ratio"),
+        F.count_if("at_high").alias("new_highs"),
+        F.count_if("at_low").alias("new_lows"),
     )
-    s = s.join(F.broadcast(market), "session_date").withColumn("relative", F.col("return_60") - F.col("market_60")).withColumn("momentum", F.col("return_20") - F.col("return_60") / 3)
-    score = weighted(
+    s = s.join(market, "session_date", "left")
+    for n in (20, 60):
+        s = s.withColumn(f"relative_{n}", F.when(F.col(f"market_{n}") > -1, (1 + F.col(f"return_{n}")) / (1 + F.col(f"market_{n}")) - 1))
+    s = s.withColumn("momentum", F.col("relative_20") - F.col("relative_60"))
+    factors = {
+        "relative_return": scaled(F.col("relative_20"), -0.1, 0.1),
+        "absolute_return": scaled(F.col("return_20"), -0.15, 0.15),
+        "relative_momentum": scaled(F.col("momentum"), -0.05, 0.05),
+        "breadth_above_50dma": F.col("above_50"),
+        "breadth_above_200dma": F.col("above_200"),
+        "participation": F.col("participation"),
+    }
+    enough = F.col("members") >= least
+    trend = F.when(F.col("momentum").isNull(), "unknown").when(F.col("momentum") > 0.02, "improving").when(F.col("momentum") < -0.02, "deteriorating").otherwise("stable")
+    breadth = F.when(F.col("above_50").isNull(), "unknown").when(F.col("above_50") >= 0.7, "strong").when(F.col("above_50") >= 0.45, "mixed").otherwise("weak")
+    led = F.col("leadership").isNull() | (F.col("leadership") >= 0.15)
+    part = F.when(F.col("participation").isNull(), "unknown").when((F.col("participation") >= 0.65) & led, "broad").when(F.col("participation") >= 0.45, "moderate").otherwise("narrow")
+    return s.withColumns(
         {
-            "relative": (scaled(F.col("relative"), -0.1, 0.1), 0.35),
-            "momentum": (scaled(F.col("momentum"), -0.05, 0.05), 0.2),
-            "breadth": (F.col("above_50"), 0.25),
-            "participation": (F.col("participation"), 0.1),
-            "volume": (scaled(F.col("volume_ratio"), 0.5, 1.5), 0.1),
+            "score": F.when(enough, F.round(100 * weighted({n: (v, weights[n]) for n, v in factors.items()}), 4)),
+            "trend": F.when(enough, trend),
+            "breadth_status": F.when(enough, breadth),
+            "participation_status": F.when(enough, part),
         }
     )
-    s = s.withColumn("score", F.when(F.col("members") >= least, score * 100))
-    return s.withColumn("trend", F.when(F.col("relative") > 0.02, "leading").when(F.col("relative") < -0.02, "lagging").otherwise("in_line")).withColumn(
-        "breadth_status", F.when(F.col("above_50").isNull(), "unknown").when(F.col("above_50") >= 0.6, "broad").when(F.col("above_50") <= 0.4, "narrow").otherwise("mixed")
-    )
 
 
 def ranked_sectors(s: DataFrame) -> DataFrame:
@@ -148,64 +170,106 @@ def ranked_sectors(s: DataFrame) -> DataFrame:
     return s.withColumn("rank", F.when(F.col("score").isNotNull(), F.row_number().over(w)))
 
 
-def volatility_regime(v: DataFrame, bands: tuple[float, ...] = (0.12, 0.2, 0.3, 0.45)) -> DataFrame:
-    """Band of the benchmark's volatility with what supports and contradicts it, and confidence by how central it lies.
+def volatility_regime(v: DataFrame, bands: dict[str, float] = VOLATILITY_BANDS) -> DataFrame:
+    """Band of the percentile of the benchmark's own trailing volatility, what supports and contradicts it, and how central it lies.
 
-    v: session_date, volatility, percentile, dispersion (null if unknown).
+    v: session_date, volatility, percentile, atr_percent, gap_frequency, dispersion, expansion (null if unknown).  Without a percentile the
+    regime is UNKNOWN with confidence 0; absolute levels never decide.
     """
-    names = ("LOW", "NORMAL", "ELEVATED", "HIGH", "EXTREME")
-    x = F.col("volatility")
-    regime = F.lit(names[-1])
-    for name, top in reversed(list(zip(names, bands, strict=False))):
-        regime = F.when(x < top, F.lit(name)).otherwise(regime)
-    edges = (0.0, *bands, 2 * bands[-1])
-    central = F.lit(0.0)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        central = F.when((x >= a) & (x < b), 1 - F.abs(x - (a + b) / 2) / ((b - a) / 2)).otherwise(central)
-    high = x >= bands[1]
-    return v.withColumn("regime", F.when(x.isNotNull(), regime)).withColumn("confidence", F.when(x.isNotNull(), 50 + 50 * central)).withColumn(
-        "supporting", listed(percentile_high=high & (F.col("percentile") >= 0.7), percentile_low=~high & (F.col("percentile") <= 0.5), dispersion_high=high & (F.col("dispersion") >= 0.05))
-    ).withColumn("contradicting", listed(percentile_low=high & (F.col("percentile") <= 0.3), percentile_high=~high & (F.col("percentile") >= 0.8), dispersion_high=~high & (F.col("dispersion") >= 0.05)))
+    p = F.col("percentile")
+    edges = [0.0, *bands.values(), 1.0]
+    regime, low, high = F.lit("EXTREME"), F.lit(edges[-2]), F.lit(edges[-1])
+    for i, (name, top) in reversed(list(enumerate(bands.items()))):
+        regime, low, high = F.when(p < top, name).otherwise(regime), F.when(p < top, edges[i]).otherwise(low), F.when(p < top, top).otherwise(high)
+    known = p.isNotNull() & ~F.isnan(p)
+    r, wide = F.col("regime"), F.col("dispersion") > 0.3
+    calm, wild = r.isin("LOW", "NORMAL"), r.isin("HIGH", "EXTREME")
+    supporting = listed(
+        percentile=known,
+        volatility=known & F.col("volatility").isNotNull(),
+        atr=known & F.col("atr_percent").isNotNull(),
+        expanding=known & (F.col("expansion") > 1.15),
+        contracting=known & (F.col("expansion") < 0.85) & ~r.isin("ELEVATED", "HIGH", "EXTREME"),
+        gaps=known & (F.col("gap_frequency") > 0.25),
+        dispersion=known & wide & ~calm,
+    )
+    contradicting = listed(
+        contracting=known & (F.col("expansion") < 0.85) & r.isin("ELEVATED", "HIGH", "EXTREME"), rare_gaps=known & (F.col("gap_frequency") < 0.05) & wild, dispersion=known & wide & calm
+    )
+    central = 1 - 2 * F.abs((p - F.col("_low")) / (F.col("_high") - F.col("_low")) - 0.5)
+    confidence = F.bround(F.greatest(F.lit(0.0), 50 + 50 * F.greatest(central, F.lit(0.0)) - 12 * F.size("contradicting"))).cast("int")
+    return (
+        v.withColumns({"regime": F.when(known, regime).otherwise("UNKNOWN"), "_low": low, "_high": high})
+        .withColumns({"supporting": supporting, "contradicting": contradicting})
+        .withColumn("confidence", F.when(known, confidence).otherwise(0))
+        .drop("_low", "_high")
+    )
+
 
+def benchmark_trends(benchmarks: DataFrame, fast: int = 50, slow: int = 200, slope_over: int = 20) -> DataFrame:
+    """session_date and trends, an array (benchmark_id, above_fast, above_slow, stacked, slope) of all benchmarks; null where history is short.
 
-SIGNALS = {"trend": 0.25, "breadth_50": 0.2, "breadth_200": 0.15, "thrust": 0.1, "highs_lows": 0.1, "momentum": 0.1, "volatility": 0.1}
+    benchmarks: benchmark_id, session_date, close.
+    """
+    w = Window.partitionBy("benchmark_id").orderBy("session_date")
+    mean = lambda n: F.when(F.row_number().over(w) >= n, F.avg("close").over(w.rowsBetween(-(n - 1), 0)))
+    x = benchmarks.withColumns({"fast": mean(fast), "slow": mean(slow)}).withColumn("was", F.lag("fast", slope_over).over(w))
+    facts = F.struct(
+        "benchmark_id", (F.col("close") > F.col("fast")).alias("above_fast"), (F.col("close") > F.col("slow")).alias("above_slow"), (F.col("fast") > F.col("slow")).alias("stacked"),
+        F.when(F.col("was") != 0, (F.col("fast") / F.col("was") - 1) / slope_over).alias("slope"),
+    )
+    return x.groupBy("session_date").agg(F.array_sort(F.collect_list(facts)).alias("trends"))
 
 
-def market_regime(m: DataFrame) -> DataFrame:
+def market_regime(m: DataFrame, weights: dict[str, float] = SIGNALS, regimes: dict[str, float] = REGIMES) -> DataFrame:
     """Seven signed signals in [-1, 1], their weighted composite, the regime, and evidence filed by agreement with it.
 
-    m: session_date, trend (distance from the long average), above_50, above_200, thrust, new_highs, new_lows, roster_size, roc_60, volatility_regime.
+    m: session_date, trends (of benchmark_trends; the first is the primary one), above_200, new_highs, new_lows, sectors_above, sectors,
+    volatility_regime.  Signals that can't be told are left out.  Extreme volatility with a composite under the neutral threshold is
+    HIGH_VOLATILITY whatever the trend.  Confidence is .45 distance from a threshold, .35 share of agreeing weight, .2 coverage,
+    less .04 for every fact of a benchmark that points the other way.
     """
-    signed = lambda x, low, high: scaled(x, low, high) * 2 - 1
+    clip = lambda x: F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)))
+    sign = lambda flag, size: F.when(flag, size).when(~flag, -size)
+    first = F.get("trends", F.lit(0))
+    told = F.filter(F.transform("trends", lambda t: t["above_slow"]), lambda x: x.isNotNull())
+    spread = F.col("new_highs") + F.col("new_lows")
     values = {
-        "trend": signed(F.col("trend"), -0.1, 0.1),
-        "breadth_50": signed(F.col("above_50"), 0.2, 0.8),
-        "breadth_200": signed(F.col("above_200"), 0.2, 0.8),
-        "thrust": signed(F.col("thrust"), 0.35, 0.65),
-        "highs_lows": signed((F.col("new_highs") - F.col("new_lows")) / F.col("roster_size"), -0.2, 0.2),
-        "momentum": signed(F.col("roc_60"), -0.1, 0.1),
-        "volatility": F.when(F.col("volatility_regime").isin("HIGH", "EXTREME"), -1.0).when(F.col("volatility_regime") == "ELEVATED", 0.0).when(F.col("volatility_regime").isNotNull(), 0.5),
+        "primary_trend": clip(sign(first["above_slow"], 0.5) + sign(first["above_fast"], 0.3) + F.coalesce(sign(first["stacked"], 0.2), F.lit(0.0))),
+        "benchmark_agreement": F.when(F.size(told) > 0, 2.0 * F.size(F.filter(told, lambda x: x)) / F.size(told) - 1),
+        "ma_slope": clip(first["slope"] / 0.001),
+        "breadth_above_200dma": clip((F.col("above_200") - 0.5) / 0.3),
+        "new_high_low": F.when(spread == 0, 0.0).otherwise((F.col("new_highs") - F.col("new_lows")) / F.nullif(spread, F.lit(0))),
+        "sector_participation": clip((F.col("sectors_above") / F.nullif("sectors", F.lit(0)) - 0.5) / 0.35),
+        "volatility": F.coalesce(*(F.when(F.col("volatility_regime") == n, F.lit(v)) for n, v in VOLATILITY_SCORES.items())),
     }
-    signals = F.filter(F.array(*(F.struct(F.lit(n).alias("name"), v.cast("double").alias("score"), F.lit(SIGNALS[n]).alias("weight")) for n, v in values.items())), lambda s: s["score"].isNotNull())
-    total = F.aggregate("signals", F.lit(0.0), lambda acc, s: acc + s["weight"])
-    mass = F.aggregate("signals", F.lit(0.0), lambda acc, s: acc + s["weight"] * s["score"])
-    c = F.col("composite")
-    base = F.when(c >= 0.5, "STRONG_BULL").when(c >= 0.15, "BULL").when(c > -0.15, "NEUTRAL").when(c > -0.5, "BEAR").otherwise("STRONG_BEAR")
-    regime = F.when(c.isNull(), "UNKNOWN").when((F.col("volatility_regime") == "EXTREME") & (c < 0), "CRISIS").otherwise(base)
-    agree = F.transform(F.filter("signals", lambda s: s["score"] * F.col("composite") > 0), lambda s: s["name"])
-    against = F.transform(F.filter("signals", lambda s: s["score"] * F.col("composite") < 0), lambda s: s["name"])
+    have = F.array(*(F.struct(F.lit(n).alias("name"), v.cast("double").alias("score"), F.lit(weights[n]).alias("weight")) for n, v in values.items()))
+    mass = lambda of: F.aggregate("signals", F.lit(0.0), lambda acc, s: acc + of(s))
+    c, key = F.col("composite"), F.col("_sign")
+    regime = F.lit(list(regimes)[-1])
+    for name, least in reversed(list(regimes.items())):
+        regime = F.when(c >= least, name).otherwise(regime)
+    facts = F.flatten(F.transform("trends", lambda t: F.array(sign(t["above_fast"], 1), sign(t["above_slow"], 1), F.when(t["slope"] != 0, F.signum(t["slope"]).cast("int")))))
+    opposing = F.size(F.filter(facts, lambda x: x.isNotNull() & (x != key)))
+    edge = F.least(F.array_min(F.array(*(F.abs(c - t) for t in regimes.values()))) / 0.15, F.lit(1.0))
+    agreeing = mass(lambda s: F.when((s["score"] != 0) & ((s["score"] > 0) == (c > 0)), s["weight"]).otherwise(0.0)) / mass(lambda s: s["weight"])
+    blended = 0.45 * edge + 0.35 * agreeing + 0.2 * F.least(F.size("signals") / 6, F.lit(1.0)) - 0.04 * opposing
+    names = lambda test: F.transform(F.filter("signals", test), lambda s: s["name"])
     return (
-        m.withColumn("signals", signals)
-        .withColumn("composite", F.when(total > 0, mass / total))
-        .withColumn("regime", regime)
-        .withColumn("supporting", agree)
-        .withColumn("contradicting", against)
-        .withColumn("confidence", F.when(F.size("signals") > 0, 100.0 * F.size("supporting") / F.size("signals")))
+        m.withColumn("signals", F.filter(have, lambda s: s["score"].isNotNull()))
+        .withColumn("composite", F.when(F.size("signals") > 0, F.round(mass(lambda s: s["weight"] * s["score"]) / mass(lambda s: s["weight"]), 6)))
+        .withColumn("_sign", F.signum("composite").cast("int"))
+        .withColumn("regime", F.when(c.isNull(), "UNKNOWN").when((F.col("volatility_regime") == "EXTREME") & (c < regimes["NEUTRAL"]), "HIGH_VOLATILITY").otherwise(regime))
+        .withColumn("supporting", names(lambda s: s["score"] * F.col("_sign") > 0))
+        .withColumn("contradicting", names(lambda s: s["score"] * F.col("_sign") <= 0))
+        .withColumn("opposing", opposing)
+        .withColumn("confidence", F.when(F.size("signals") > 0, F.bround(100 * F.greatest(F.least(blended, F.lit(1.0)), F.lit(0.0))).cast("int")).otherwise(0))
+        .drop("_sign")
     )
 
 
-def unreconciled(m: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Rows whose recorded signals don't give their composite; empty when all is well."""
+def unreconciled(m: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Rows whose recorded signals don't give their (rounded) composite; empty when all is well."""
     total = F.aggregate("signals", F.lit(0.0), lambda acc, s: acc + s["weight"])
     mass = F.aggregate("signals", F.lit(0.0), lambda acc, s: acc + s["weight"] * s["score"])
     return m.where(F.abs(mass / total - F.col("composite")) > tolerance)

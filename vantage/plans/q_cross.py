@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vantage.functions.scalar import covers, digest, digest_sql
+from vantage.functions.scalar import digest, digest_sql
 from vantage.operators import cross as C
 from vantage.operators import features as X
+from vantage.operators.asof import sessions_within
 from vantage.registry import register
 from vantage.sources.fixtures import frame, with_tables
 
@@ -15,9 +16,7 @@ D = digest_sql
 
 
 def _roster(s, d):
-    days = frame(s, d, "calendar").select("session_date")
-    u = frame(s, d, "universe")
-    return days.join(F.broadcast(u), covers(F.col("session_date"), F.col("valid_from"), F.col("valid_to"))).select("instrument_id", "session_date")
+    return sessions_within(frame(s, d, "universe"), frame(s, d, "calendar").select("session_date")).select("instrument_id", "session_date")
 
 
 def _relative(s, d):
@@ -26,13 +25,14 @@ def _relative(s, d):
 
 _ROSTER = "roster as (select u.instrument_id, c.session_date from calendar c join universe u on u.valid_from <= c.session_date and (u.valid_to is null or u.valid_to > c.session_date))"
 _PAIR = """j as (select b.instrument_id, m.benchmark_id, b.session_date, b.close, m.close as bench, b.close / m.close as ratio from bars b join benchmarks m using (session_date))"""
-_REL = _PAIR + """,
-k as (select unnest([20, 60, 120]) as lookback),
+_LAGS = " union all ".join(
+    f"select j.*, {k} as lookback, lag(close, {k}) over w as c0, lag(bench, {k}) over w as b0, lag(ratio, {k}) over w as r0, lag(ratio, {k - (k + 1) // 2}) over w as rm from j window w as (partition by instrument_id, benchmark_id order by session_date)"
+    for k in C.LOOKBACKS
+)
+_REL = _PAIR + f""",
+k as (select unnest({list(C.LOOKBACKS)}) as lookback),
 r as (select instrument_id, benchmark_id, session_date, lookback, (close / c0) / (bench / b0) - 1 as relative, (close / c0 - 1) - (bench / b0 - 1) as excess,
-  (ratio / r0 - 1) / lookback as ratio_trend, ratio / rm - rm / r0 as ratio_momentum from (
-  select j.*, 20 as lookback, lag(close, 20) over w as c0, lag(bench, 20) over w as b0, lag(ratio, 20) over w as r0, lag(ratio, 10) over w as rm from j window w as (partition by instrument_id, benchmark_id order by session_date)
-  union all select j.*, 60, lag(close, 60) over w, lag(bench, 60) over w, lag(ratio, 60) over w, lag(ratio, 30) over w from j window w as (partition by instrument_id, benchmark_id order by session_date)
-  union all select j.*, 120, lag(close, 120) over w, lag(bench, 120) over w, lag(ratio, 120) over w, lag(ratio, 60) over w from j window w as (partition by instrument_id, benchmark_id order by session_date)) x where c0 is not null)
+  (ratio / r0 - 1) / lookback as ratio_trend, ratio / rm - rm / r0 as ratio_momentum from ({_LAGS}) x where c0 is not null)
 """
 _RELT = "bars benchmarks"
 
@@ -88,7 +88,7 @@ def _x06(s, d):
     return wide.select("instrument_id", "session_date", digest(C.rs_score({k: F.col(f"p{k}") for k in C.LOOKBACKS}), 3).alias("score"))
 
 
-register("x06_rs_score", _x06, with_tables(_RANKT, "with " + _RANK + f""", y as (select instrument_id, session_date, sum(percentile * case lookback when 20 then 2e-1 else 4e-1 end) as m, sum(case when percentile is not null then case lookback when 20 then 2e-1 else 4e-1 end end) as t from q group by 1, 2)
+register("x06_rs_score", _x06, with_tables(_RANKT, "with " + _RANK + f""", y as (select instrument_id, session_date, sum(percentile * case lookback when 20 then 15e-2 when 60 then 25e-2 else 3e-1 end) as m, sum(case when percentile is not null then case lookback when 20 then 15e-2 when 60 then 25e-2 else 3e-1 end end) as t from q group by 1, 2)
 select instrument_id, session_date, {D('round(m / t * 100, 4)', 3)} as score from y"""))
 register("x07_beats_all", lambda s, d: _relative(s, d).groupBy("instrument_id", "session_date", "lookback").agg(F.bool_and(F.col("relative") > 1e-9).alias("beats_all")),
          with_tables(_RELT, "with " + _REL + "select instrument_id, session_date, lookback, bool_and(relative > 1e-9) as beats_all from r group by 1, 2, 3"))
@@ -130,66 +130,120 @@ register("x11_thrust", lambda s, d: C.thrust(_breadth(s, d)).select("session_dat
 
 def _sector_input(s, d):
     c = F.col("close")
-    b = frame(s, d, "bars").withColumns({"roc_20": X.rate_of_change(c, 20), "roc_60": X.rate_of_change(c, 60), "sma_50": digest(X.sma(c, 50)), "advancing": c > F.lag("close", 1).over(X.series()), "relative_volume": X.relative_volume(20)})
-    return _sector_of(s, d, b.withColumn("above_50", c > F.col("sma_50")))
-
-
-_S = f"""n as (select *, row_number() over w as i, close / lag(close, 20) over w - 1 as roc_20, close / lag(close, 60) over w - 1 as roc_60, sum(close) {_t(50)} / 50 as a,
-  close > lag(close) over w as advancing, avg(volume) over (partition by instrument_id order by session_date rows between 20 preceding and 1 preceding) as av from bars window w as (partition by instrument_id order by session_date)),
-v as (select instrument_id, session_date, roc_20, roc_60, close > case when i >= 50 then {D('a')} end as above_50, advancing, case when i > 20 then volume / av end as relative_volume from n),
-m as (select session_date, avg(roc_60) as market_60 from v group by 1),
-g as (select v.session_date, s.sector, count(*) as members, avg(roc_20) as return_20, avg(roc_60) as return_60, avg(above_50::int) as above_50, avg(advancing::int) as participation, avg(relative_volume) as volume_ratio
-  from v {_SEC} where s.sector is not null group by 1, 2),
-h as (select g.*, return_60 - market_60 as relative, return_20 - return_60 / 3 as momentum from g join m using (session_date)),
-z as (select *, greatest(least((relative + 1e-1) / 2e-1, 1), 0) as z1, greatest(least((momentum + 5e-2) / 1e-1, 1), 0) as z2, greatest(least((volume_ratio - 5e-1) / 1e0, 1), 0) as z5 from h),
-y as (select *, case when members >= 2 then 100 * (coalesce(35e-2 * case when relative is not null then z1 end, 0) + coalesce(2e-1 * case when momentum is not null then z2 end, 0) + coalesce(25e-2 * above_50, 0) + coalesce(1e-1 * participation, 0) + coalesce(1e-1 * case when volume_ratio is not null then z5 end, 0))
-  / nullif(case when relative is not null then 35e-2 else 0 end + case when momentum is not null then 2e-1 else 0 end + case when above_50 is not null then 25e-2 else 0 end + case when participation is not null then 1e-1 else 0 end + case when volume_ratio is not null then 1e-1 else 0 end, 0) end as score from z)
+    b = frame(s, d, "bars").withColumns(
+        {"roc_20": X.rate_of_change(c, 20), "roc_60": X.rate_of_change(c, 60), "sma_50": digest(X.sma(c, 50)), "sma_200": digest(X.sma(c, 200)), "high_252": X.rolling_max(c, 252), "low_252": X.rolling_min(c, 252), "relative_volume": X.relative_volume(20)}
+    )
+    return _sector_of(s, d, b.withColumns({"above_50": c > F.col("sma_50"), "above_200": c > F.col("sma_200"), "at_high": c >= F.col("high_252"), "at_low": c <= F.col("low_252")}))
+
+
+def _market(s, d):
+    w = Window.partitionBy("benchmark_id").orderBy("session_date")
+    back = lambda n: (F.col("close") / F.lag("close", n).over(w) - 1).alias(f"market_{n}")
+    return frame(s, d, "benchmarks").where("benchmark_id = 101").select("session_date", back(20), back(60))
+
+
+def _sectors(s, d):
+    return C.sector_strength(_sector_input(s, d), _market(s, d))
+
+
+_S = f"""n as (select *, row_number() over w as i, close / lag(close, 20) over w - 1 as roc_20, close / lag(close, 60) over w - 1 as roc_60, sum(close) {_t(50)} / 50 as a, sum(close) {_t(200)} / 200 as b, max(close) {_t(252)} as h, min(close) {_t(252)} as l,
+  avg(volume) over (partition by instrument_id order by session_date rows between 20 preceding and 1 preceding) as av from bars window w as (partition by instrument_id order by session_date)),
+v as (select instrument_id, session_date, roc_20, roc_60, close > case when i >= 50 then {D('a')} end as above_50, close > case when i >= 200 then {D('b')} end as above_200, close >= case when i >= 252 then h end as at_high, close <= case when i >= 252 then l end as at_low, case when i > 20 then volume / av end as relative_volume from n),
+mk as (select session_date, close / lag(close, 20) over (order by session_date) - 1 as market_20, close / lag(close, 60) over (order by session_date) - 1 as market_60 from benchmarks where benchmark_id = 101),
+g as (select v.session_date, s.sector, count(*) as members, avg(roc_20) as return_20, avg(roc_60) as return_60, avg(above_50::int) as above_50, avg(above_200::int) as above_200, avg((roc_20 > 0)::int) as participation, avg(at_high::int) as leadership, avg(relative_volume) as volume_ratio,
+  count(*) filter (at_high) as new_highs, count(*) filter (at_low) as new_lows from v {_SEC} where s.sector is not null group by 1, 2),
+h as (select g.*, (1 + return_20) / (1 + market_20) - 1 as relative_20, (1 + return_60) / (1 + market_60) - 1 as relative_60 from g left join mk using (session_date)),
+z as (select *, relative_20 - relative_60 as momentum from h),
+y as (select *, case when members >= 5 then round(100 * (coalesce(25e-2 * (case when relative_20 is not null then greatest(least((relative_20 + 1e-1) / 2e-1, 1), 0) end), 0) + coalesce(15e-2 * (case when return_20 is not null then greatest(least((return_20 + 15e-2) / 3e-1, 1), 0) end), 0)
+  + coalesce(2e-1 * (case when momentum is not null then greatest(least((momentum + 5e-2) / 1e-1, 1), 0) end), 0) + coalesce(2e-1 * above_50, 0) + coalesce(1e-1 * above_200, 0) + coalesce(1e-1 * participation, 0))
+  / nullif(case when relative_20 is not null then 25e-2 else 0 end + case when return_20 is not null then 15e-2 else 0 end + case when momentum is not null then 2e-1 else 0 end + case when above_50 is not null then 2e-1 else 0 end + case when above_200 is not null then 1e-1 else 0 end + case when participation is not null then 1e-1 else 0 end, 0), 4) end as score,
+  case when members >= 5 then case when momentum is null then 'unknown' when momentum > 2e-2 then 'improving' when momentum < -2e-2 then 'deteriorating' else 'stable' end end as trend,
+  case when members >= 5 then case when above_50 is null then 'unknown' when above_50 >= 7e-1 then 'strong' when above_50 >= 45e-2 then 'mixed' else 'weak' end end as breadth_status,
+  case when members >= 5 then case when participation is null then 'unknown' when participation >= 65e-2 and (leadership is null or leadership >= 15e-2) then 'broad' when participation >= 45e-2 then 'moderate' else 'narrow' end end as participation_status from z)
 """
-register("x12_sector_aggregate", lambda s, d: C.sector_strength(_sector_input(s, d)).select("session_date", "sector", "members", *(digest(F.col(c), 5).alias(c) for c in ("return_20", "return_60", "relative", "momentum", "above_50", "participation", "volume_ratio"))),
-         with_tables("bars sectors", "with " + _S + f"select session_date, sector, members, {', '.join(f'{D(c, 5)} as {c}' for c in ('return_20', 'return_60', 'relative', 'momentum', 'above_50', 'participation', 'volume_ratio'))} from y"))
-register("x13_sector_score", lambda s, d: C.sector_strength(_sector_input(s, d)).select("session_date", "sector", digest(F.col("score"), 3).alias("score")), with_tables("bars sectors", "with " + _S + f"select session_date, sector, {D('score', 3)} as score from y"))
-register("x14_sector_labels", lambda s, d: C.sector_strength(_sector_input(s, d)).select("session_date", "sector", "trend", "breadth_status"),
-         with_tables("bars sectors", "with " + _S + "select session_date, sector, case when relative > 2e-2 then 'leading' when relative < -2e-2 then 'lagging' else 'in_line' end as trend, case when above_50 is null then 'unknown' when above_50 >= 6e-1 then 'broad' when above_50 <= 4e-1 then 'narrow' else 'mixed' end as breadth_status from y"))
+_ST = "bars sectors benchmarks"
+_SC = ("return_20", "return_60", "relative_20", "relative_60", "momentum", "above_50", "above_200", "participation", "leadership", "volume_ratio")
+register("x12_sector_aggregate", lambda s, d: _sectors(s, d).select("session_date", "sector", "members", "new_highs", "new_lows", *(digest(F.col(c), 5).alias(c) for c in _SC)),
+         with_tables(_ST, "with " + _S + f"select session_date, sector, members, new_highs, new_lows, {', '.join(f'{D(c, 5)} as {c}' for c in _SC)} from y"))
+register("x13_sector_score", lambda s, d: _sectors(s, d).select("session_date", "sector", digest(F.col("score"), 3).alias("score")), with_tables(_ST, "with " + _S + f"select session_date, sector, {D('score', 3)} as score from y"))
+register("x14_sector_labels", lambda s, d: _sectors(s, d).select("session_date", "sector", "trend", "breadth_status", "participation_status"), with_tables(_ST, "with " + _S + "select session_date, sector, trend, breadth_status, participation_status from y"))
 
 
 def _x15(s, d):
-    scored = C.sector_strength(_sector_input(s, d)).withColumn("score", digest(F.col("score"), 3))
+    scored = _sectors(s, d).withColumn("score", digest(F.col("score"), 3))
     return C.ranked_sectors(scored).select("session_date", "sector", "rank")
 
 
-register("x15_sector_rank", _x15, with_tables("bars sectors", "with " + _S + f", q as (select session_date, sector, {D('score', 3)} as score from y) select session_date, sector, case when score is not null then cast(row_number() over (partition by session_date, score is null order by score desc, sector) as int) end as rank from q"))
+register("x15_sector_rank", _x15, with_tables(_ST, "with " + _S + f", q as (select session_date, sector, {D('score', 3)} as score from y) select session_date, sector, case when score is not null then cast(row_number() over (partition by session_date, score is null order by score desc, sector) as int) end as rank from q"))
 
 
 def _volatility(s, d):
     b = frame(s, d, "benchmarks").where("benchmark_id = 101").select(F.col("benchmark_id").alias("instrument_id"), "session_date", "close")
-    v = b.withColumn("r", X.log_return()).withColumn("volatility", digest(X.realized_volatility(F.col("r"), 20), 6)).withColumn("percentile", X.percent_rank(F.col("volatility"), 120))
+    v = b.withColumns({"r": X.log_return(), "was": F.lag("close", 1).over(X.series())}).withColumns({"volatility": digest(X.realized_volatility(F.col("r"), 20), 6), "slow": X.realized_volatility(F.col("r"), 60)})
+    v = v.withColumns({"percentile": X.percent_rank(F.col("volatility"), 252), "expansion": digest(F.col("volatility") / F.col("slow"), 5), "atr_percent": F.lit(None).cast("double")})
+    v = v.withColumn("gap_frequency", X.warm(21, F.avg((F.abs(F.col("close") / F.col("was") - 1) > 0.02).cast("double")).over(X.trailing(20))))
     r = frame(s, d, "bars").withColumn("roc", X.rate_of_change(F.col("close"), 20))
-    return C.volatility_regime(v.join(C.dispersion(r, ("session_date",), "roc", 15).select("session_date", "dispersion"), "session_date", "left"))
+    return C.volatility_regime(v.join(C.dispersion(r, ("session_date",), "roc", 20).select("session_date", digest(F.col("dispersion"), 5).alias("dispersion")), "session_date", "left"))
+
+
+_V = f"""vb as (select session_date, close, ln(close / lag(close) over (order by session_date)) as r, abs(close / lag(close) over (order by session_date) - 1) > 2e-2 as gap from benchmarks where benchmark_id = 101),
+vv as (select session_date, {D('case when count(r) over k >= 20 then stddev_samp(r) over k * sqrt(252) end', 6)} as volatility, case when count(r) over k2 >= 60 then stddev_samp(r) over k2 * sqrt(252) end as slow,
+  case when count(r) over k >= 20 then avg(gap::int) over k end as gap_frequency from vb window k as (order by session_date rows 19 preceding), k2 as (order by session_date rows 59 preceding)),
+vu as (select *, row_number() over (order by session_date) as i, list(volatility) filter (volatility is not null) over (order by session_date rows 251 preceding) as seen from vv),
+vd as (select session_date, {D('case when count(roc) >= 20 then stddev_samp(roc) end', 5)} as dispersion from (select session_date, close / lag(close, 20) over (partition by instrument_id order by session_date) - 1 as roc from bars) group by 1),
+vw as (select session_date, volatility, gap_frequency, dispersion, {D('volatility / slow', 5)} as expansion, case when i >= 252 and volatility is not null and len(seen) >= 2 then (len(list_filter(seen, lambda z: z <= volatility * (1 + 7e-15))) - 1) / (len(seen) - 1)::double end as percentile from vu left join vd using (session_date)),
+vx as (select *, case when percentile is null then 'UNKNOWN' when percentile < 2e-1 then 'LOW' when percentile < 6e-1 then 'NORMAL' when percentile < 8e-1 then 'ELEVATED' when percentile < 95e-2 then 'HIGH' else 'EXTREME' end as regime,
+  case when percentile < 2e-1 then 1 - 2 * abs(percentile / 2e-1 - 5e-1) when percentile < 6e-1 then 1 - 2 * abs((percentile - 2e-1) / 4e-1 - 5e-1) when percentile < 8e-1 then 1 - 2 * abs((percentile - 6e-1) / 2e-1 - 5e-1)
+       when percentile < 95e-2 then 1 - 2 * abs((percentile - 8e-1) / 15e-2 - 5e-1) else 1 - 2 * abs((percentile - 95e-2) / 5e-2 - 5e-1) end as central from vw),
+vy as (select *, case when percentile is null then '' else concat_ws(',', case when expansion < 85e-2 and regime in ('ELEVATED', 'HIGH', 'EXTREME') then 'contracting' end, case when gap_frequency < 5e-2 and regime in ('HIGH', 'EXTREME') then 'rare_gaps' end,
+  case when dispersion > 3e-1 and regime in ('LOW', 'NORMAL') then 'dispersion' end) end as contradicting,
+  case when percentile is null then '' else concat_ws(',', 'percentile', 'volatility', case when expansion > 115e-2 then 'expanding' end, case when expansion < 85e-2 and regime in ('LOW', 'NORMAL') then 'contracting' end, case when gap_frequency > 25e-2 then 'gaps' end,
+  case when dispersion > 3e-1 and regime not in ('LOW', 'NORMAL') then 'dispersion' end) end as supporting from vx),
+vz as (select *, case when percentile is null then 0 else cast(round_even(greatest(0, 50 + 50 * greatest(central, 0) - 12 * case when contradicting = '' then 0 else len(string_split(contradicting, ',')) end), 0) as int) end as confidence from vy)
+"""
+register("x16_volatility_regime", lambda s, d: _volatility(s, d).select("session_date", "regime", "confidence", digest(F.col("percentile"), 5).alias("percentile"), F.array_join("supporting", ",").alias("supporting"), F.array_join("contradicting", ",").alias("contradicting")),
+         with_tables("bars benchmarks", "with " + _V + f"select session_date, regime, confidence, {D('percentile', 5)} as percentile, supporting, contradicting from vz"))
+register("x17_dispersion", lambda s, d: C.dispersion(frame(s, d, "bars").withColumn("roc", X.rate_of_change(F.col("close"), 20)), ("session_date",), "roc", 20).select("session_date", "n", digest(F.col("dispersion"), 6).alias("dispersion")),
+         with_tables("bars", f"with r as (select session_date, close / lag(close, 20) over (partition by instrument_id order by session_date) - 1 as roc from bars) select session_date, count(roc) as n, {D('case when count(roc) >= 20 then stddev_samp(roc) end', 6)} as dispersion from r group by 1"))
 
 
-_V = f"""b as (select session_date, close, ln(close / lag(close) over (order by session_date)) as r from benchmarks where benchmark_id = 101),
-v as (select session_date, {D('case when count(r) over k >= 20 then stddev_samp(r) over k * sqrt(252) end', 6)} as volatility from b window k as (order by session_date rows 19 preceding)),
-u as (select *, row_number() over (order by session_date) as i, list(volatility) filter (volatility is not null) over (order by session_date rows 119 preceding) as seen from v),
-w as (select session_date, volatility, case when i >= 120 and volatility is not null and len(seen) >= 2 then (len(list_filter(seen, lambda z: z <= volatility * (1 + 7e-15))) - 1) / (len(seen) - 1)::double end as percentile from u),
-x as (select *, case when volatility is null then null when volatility < 12e-2 then 'LOW' when volatility < 2e-1 then 'NORMAL' when volatility < 3e-1 then 'ELEVATED' when volatility < 45e-2 then 'HIGH' else 'EXTREME' end as regime,
-  case when volatility < 12e-2 then 1 - abs(volatility - 6e-2) / 6e-2 when volatility < 2e-1 then 1 - abs(volatility - 16e-2) / 4e-2 when volatility < 3e-1 then 1 - abs(volatility - 25e-2) / 5e-2
-       when volatility < 45e-2 then 1 - abs(volatility - 375e-3) / 75e-3 when volatility < 9e-1 then 1 - abs(volatility - 675e-3) / 225e-3 else 0 end as central from w)
+def _regime(s, d):
+    trends = C.benchmark_trends(frame(s, d, "benchmarks").withColumn("close", digest(F.col("close"), 5)))
+    sectors = _sectors(s, d).groupBy("session_date").agg(F.count_if(F.col("above_50") > 0.5).alias("sectors_above"), F.count("above_50").alias("sectors"))
+    volatile = _volatility(s, d).select("session_date", F.col("regime").alias("volatility_regime"))
+    return C.market_regime(_breadth(s, d).join(trends, "session_date").join(sectors, "session_date", "left").join(volatile, "session_date", "left"))
+
+
+_R = _B + ", " + ", ".join(x for x in (_S.replace("n as (", "sn as (", 1).replace(" from n),", " from sn),", 1).replace("v as (", "sv as (", 1).replace("from v ", "from sv v ", 1).strip(), _V.strip())) + f""",
+bt as (select benchmark_id, session_date, {D('close', 5)} as close from benchmarks),
+tr as (select *, row_number() over w as i, avg(close) over (partition by benchmark_id order by session_date rows 49 preceding) as fa, avg(close) over (partition by benchmark_id order by session_date rows 199 preceding) as sl from bt window w as (partition by benchmark_id order by session_date)),
+ts as (select benchmark_id, session_date, close, case when i >= 50 then fa end as fast, case when i >= 200 then sl end as slow from tr),
+tt as (select *, close > fast as above_fast, close > slow as above_slow, fast > slow as stacked, (fast / lag(fast, 20) over (partition by benchmark_id order by session_date) - 1) / 20 as slope from ts),
+ta as (select session_date, max(case when above_slow then 5e-1 else -5e-1 end + case when above_fast then 3e-1 else -3e-1 end + case when stacked then 2e-1 else -2e-1 end) filter (benchmark_id = 101 and above_slow is not null and above_fast is not null) as s1,
+  2e0 * count(*) filter (above_slow) / nullif(count(above_slow), 0) - 1 as s2, max(greatest(least(slope / 1e-3, 1), -1)) filter (benchmark_id = 101 and slope is not null) as s3,
+  count(*) filter (above_fast) + count(*) filter (above_slow) + count(*) filter (slope > 0) as ups, count(*) filter (not above_fast) + count(*) filter (not above_slow) + count(*) filter (slope < 0) as downs from tt group by 1),
+se as (select session_date, count(*) filter (above_50 > 5e-1) as sectors_above, count(above_50) as sectors from y group by 1),
+sg as (select m.session_date, vz.regime as volatility_regime, s1, s2, s3, greatest(least((above_200 - 5e-1) / 3e-1, 1), -1) + 0 * above_200 as s4, case when new_highs + new_lows = 0 then 0 else (new_highs - new_lows) / (new_highs + new_lows)::double end as s5,
+  case when sectors > 0 then greatest(least((sectors_above / sectors::double - 5e-1) / 35e-2, 1), -1) end as s6, case vz.regime when 'LOW' then 5e-1 when 'NORMAL' then 25e-2 when 'ELEVATED' then -25e-2 when 'HIGH' then -7e-1 when 'EXTREME' then -1e0 end as s7, ups, downs
+  from m join ta using (session_date) left join se using (session_date) left join vz using (session_date)),
+sl as (select session_date, volatility_regime, ups, downs, unnest([{{'n': 'primary_trend', 's': s1, 'w': 3e-1}}, {{'n': 'benchmark_agreement', 's': s2, 'w': 15e-2}}, {{'n': 'ma_slope', 's': s3, 'w': 15e-2}}, {{'n': 'breadth_above_200dma', 's': s4, 'w': 15e-2}}, {{'n': 'new_high_low', 's': s5, 'w': 1e-1}}, {{'n': 'sector_participation', 's': s6, 'w': 1e-1}}, {{'n': 'volatility', 's': s7, 'w': 5e-2}}]) as g, unnest([1, 2, 3, 4, 5, 6, 7]) as o from sg),
+sc as (select session_date, round(sum(g.w * g.s) / sum(g.w) filter (g.s is not null), 6) as composite from sl group by 1),
+sr as (select sl.session_date, any_value(composite) as composite, any_value(volatility_regime) as vr, count(g.s) as n, sum(g.w) filter (g.s <> 0 and (g.s > 0) = (composite > 0)) as agreeing, sum(g.w) filter (g.s is not null) as total,
+  string_agg(g.n, ',' order by o) filter (g.s * sign(composite) > 0) as supporting, string_agg(g.n, ',' order by o) filter (g.s * sign(composite) <= 0) as contradicting, any_value(case when composite > 0 then downs when composite < 0 then ups else ups + downs end) as opposing from sl join sc using (session_date) group by 1),
+rg as (select *, case when composite is null then 'UNKNOWN' when vr = 'EXTREME' and composite < -1e-1 then 'HIGH_VOLATILITY' when composite >= 6e-1 then 'BULL_TRENDING' when composite >= 25e-2 then 'BULL_CHOPPY' when composite >= -1e-1 then 'NEUTRAL' when composite >= -35e-2 then 'BEAR_CHOPPY' else 'BEAR_TRENDING' end as regime,
+  case when n > 0 then cast(round_even(100 * greatest(least(45e-2 * least(least(abs(composite - 6e-1), abs(composite - 25e-2), abs(composite + 1e-1), abs(composite + 35e-2), abs(composite + 65e-2)) / 15e-2, 1) + 35e-2 * coalesce(agreeing, 0) / total + 2e-1 * least(n / 6e0, 1) - 4e-2 * opposing, 1), 0), 0) as int) else 0 end as confidence from sr)
 """
-register("x16_volatility_regime", lambda s, d: _volatility(s, d).select("session_date", "regime", digest(F.col("confidence"), 2).alias("confidence"), digest(F.col("percentile"), 5).alias("percentile")),
-         with_tables("benchmarks", "with " + _V + f"select session_date, regime, {D('case when volatility is not null then 50 + 50 * central end', 2)} as confidence, {D('percentile', 5)} as percentile from x"))
-register("x17_dispersion", lambda s, d: C.dispersion(frame(s, d, "bars").withColumn("roc", X.rate_of_change(F.col("close"), 20)), ("session_date",), "roc", 15).select("session_date", "n", digest(F.col("dispersion"), 6).alias("dispersion")),
-         with_tables("bars", f"with r as (select session_date, close / lag(close, 20) over (partition by instrument_id order by session_date) - 1 as roc from bars) select session_date, count(roc) as n, {D('case when count(roc) >= 15 then stddev_samp(roc) end', 6)} as dispersion from r group by 1"))
+_RT = "bars calendar universe sectors benchmarks"
+register("x18_market_regime", lambda s, d: _regime(s, d).select("session_date", "regime", digest(F.col("composite"), 4).alias("composite"), F.array_join("supporting", ",").alias("supporting"), F.array_join("contradicting", ",").alias("contradicting"), "opposing", "confidence"),
+         with_tables(_RT, "with " + _R + f"select session_date, regime, {D('composite', 4)} as composite, coalesce(supporting, '') as supporting, coalesce(contradicting, '') as contradicting, opposing, confidence from rg"))
 
 
-def _regime(s, d):
-    b = frame(s, d, "benchmarks").where("benchmark_id = 101").select(F.col("benchmark_id").alias("instrument_id"), "session_date", "close")
-    b = b.withColumn("trend", F.col("close") / X.sma(F.col("close"), 200) - 1).withColumn("roc_60", X.rate_of_change(F.col("close"), 60)).select("session_date", "trend", "roc_60")
-    br = _breadth(s, d)
-    return C.market_regime(br.join(b, "session_date").join(C.thrust(br), "session_date").join(_volatility(s, d).select("session_date", F.col("regime").alias("volatility_regime")), "session_date"))
+def _planted(s, d):
+    """Recorded regimes of which every 97th session's composite was changed after the fact."""
+    return _regime(s, d).withColumn("composite", F.when(F.unix_date("session_date") % 97 == 0, F.col("composite") + 0.01).otherwise(F.col("composite")))
 
 
-register("x18_market_regime", lambda s, d: _regime(s, d).select("session_date", "regime", digest(F.col("composite"), 6).alias("composite"), F.array_join("supporting", ",").alias("supporting"), F.array_join("contradicting", ",").alias("contradicting"), digest(F.col("confidence"), 2).alias("confidence")))
-register("x19_unreconciled", lambda s, d: C.unreconciled(_regime(s, d)).select("session_date"), with_tables("bars", "select session_date from bars where false"))
+register("x19_unreconciled", lambda s, d: C.unreconciled(_planted(s, d)).select("session_date"), with_tables(_RT, "with " + _R + "select session_date from rg where composite is not null and (session_date - date '1970-01-01') % 97 = 0"))
 register("x21_roster_digest", lambda s, d: _roster(s, d).groupBy("session_date").agg(C.roster_digest().alias("roster_digest")),
          with_tables("calendar universe", "with " + _ROSTER + " select session_date, sha256(array_to_string(list_sort(list(distinct instrument_id)), ',')) as roster_digest from roster group by 1"))
 

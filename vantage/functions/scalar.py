@@ -54,6 +54,34 @@ def step(x: Column, *steps: tuple[float, float]) -> Column:
     return out
 
 
+def ramp_between(x: Column, zero: float | Column, full: float | Column, floor: float = 0.0, cap: float = 100.0) -> Column:
+    """``floor`` at ``zero``, ``cap`` at ``full`` (on either side of it), straight between and level outside; null stays null."""
+    share = (x - zero) / (full - zero)
+    return F.when(x.isNotNull(), F.greatest(F.least(floor + (cap - floor) * share, F.lit(cap)), F.lit(floor)))
+
+
+def between(x: Column, ideal_low: float, ideal_high: float, low: float, high: float, floor: float = 0.0) -> Column:
+    """100 in the ideal range, falling to ``floor`` at the outer bounds."""
+    return F.when(x < ideal_low, ramp_between(x, low, ideal_low, floor)).when(x > ideal_high, ramp_between(x, high, ideal_high, floor)).when(x.isNotNull(), 100.0)
+
+
+def piecewise(x: Column, points: list[tuple[float, float]]) -> Column:
+    """Straight lines through the points, level outside them; a missing value takes the first."""
+    out = F.lit(float(points[-1][1]))
+    for (x0, y0), (x1, y1) in reversed(list(zip(points[:-1], points[1:], strict=True))):
+        out = F.when(x <= x1, y0 + (y1 - y0) * (x - x0) / (x1 - x0)).otherwise(out)
+    return F.when(x.isNull() | F.isnan(x) | (x <= points[0][0]), float(points[0][1])).otherwise(out)
+
+
+def structure_confidence(coverage: Column, scores: Column, sessions: Column, least: int) -> Column:
+    """0 to 100: .45 share of the weight that was available, .35 agreement of the component scores, .20 maturity."""
+    have = F.filter(scores, lambda v: v.isNotNull())
+    mean = F.aggregate(have, F.lit(0.0), lambda a, v: a + v) / F.size(have)
+    spread = F.sqrt(F.aggregate(have, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(have))
+    agreement = F.when(F.size(have) >= 2, clamp(1 - spread / 30, 0.0, 1.0)).otherwise(0.5)
+    return clamp((0.45 * coverage + 0.35 * agreement + 0.2 * clamp(sessions / (2.0 * least), 0.0, 1.0)) * 100, 0.0, 100.0)
+
+
 def weighted(parts: dict[str, tuple[Column, float]]) -> Column:
     """Weighted mean over the parts that are not null; null when none is."""
     have = [(v, w) for v, w in parts.values()]

@@ -27,4 +27,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-from vantage.plans import q_breakout, q_cross, q_features, q_filings, q_ingest, q_quality, q_reads, q_structure  # noqa: E402, F401
+from vantage.plans import q_breakout, q_cross, q_features, q_filings, q_ingest, q_profiles, q_quality, q_reads, q_structure  # noqa: E402, F401

@@ -51,8 +51,7 @@ PAIR_BYTES = 16_000_000
 N2, K2 = 3, 1
 SUBSETS = tuple(combinations(range(N2), N2 - K2))
 KEYS_PER_BUCKET = 1_500_000
-MEMBERS_PER_TASK = 20_000
-BLOCK = 8192
+MEMBERS_PER_TASK = 50_000
 TEXT_BLOCK = 2_000_000
 TEXTS_PER_BLOCK = 512
 GATHERED = 4_000_000
@@ -356,32 +355,25 @@ def _homes(candidates: DataFrame, classes: DataFrame) -> DataFrame:
 def _across(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of one signature group in different components that sizes and sketches allow.
 
-    members: key, rep, n, sketch, component.  In each group the members outside its largest component meet each
-    other and those of the largest; both sides are cut into blocks of about BLOCK members, and each pair of blocks is
-    dealt to a task by itself, so no task ever holds a whole large group; small groups share one.
+    members: key, rep, n, sketch, component, home.  Groups with the same smallest home are compared together, so a pair that
+    shares many signatures comes out once.  The members of a home are cut into blocks, alike in all its groups, that hold
+    about MEMBERS_PER_TASK rows, and each pair of blocks is dealt to a task by itself; small homes share one.
     """
-    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    sizes = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("inside"), F.sum("c").alias("all"))
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    groups = members.groupBy("key").agg(F.min("home").alias("of"), F.count(F.lit(1)).alias("c"))
+    sizes = groups.groupBy("of").agg(F.ceil(F.sum("c") / MEMBERS_PER_TASK).cast("int").alias("blocks"))
     tasks = max(1, members.count() // MEMBERS_PER_TASK)
-    dealt = members.join(sizes.select("key", "main", blocks(F.col("inside")).alias("ins"), blocks(F.col("all") - F.col("inside")).alias("outs")), "key")
-    outside = F.col("component") != F.col("main")
-    block = F.pmod(F.xxhash64("rep"), F.when(outside, F.col("outs")).otherwise(F.col("ins"))).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    work = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    own = F.col("block")
-    with_inside = F.when(outside, F.transform(upto(F.col("ins")), lambda j: work(0, own, j))).otherwise(F.transform(upto(F.col("outs")), lambda i: work(0, i, own)))
-    with_outside = F.when(outside, F.transform(upto(F.col("outs")), lambda j: work(1, F.least(own, j), F.greatest(own, j)))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
-    dealt = dealt.withColumn("block", block).withColumn("w", F.explode(F.concat(with_inside, with_outside)))
-    side = F.when(F.col("w.kind") == 0, outside.cast("int")).when(F.col("w.i") == F.col("w.j"), F.lit(2)).otherwise((own == F.col("w.i")).cast("int"))
-    ready = dealt.select("rep", "n", "sketch", "component", side.alias("side"), F.xxhash64("key", "w").alias("work"))
+    dealt = members.join(groups.select("key", "of"), "key").join(sizes, "of").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "*", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j")
+    )
+    ready = spread.select("key", "rep", "n", "sketch", "component", "block", (F.col("i") == F.col("j")).alias("own"), F.xxhash64("of", "i", "j").alias("work"))
 
     def compare(group: pa.Table) -> pa.Table:
         at = lambda c: np.asarray(group.column(c))
-        order = np.lexsort((at("n"), at("work")))
-        rep, n, part, side, work = (at(c)[order] for c in ("rep", "n", "component", "side", "work"))
+        order = np.lexsort((at("n"), at("key"), at("work")))
+        rep, n, part, block, own, key, work = (at(c)[order] for c in ("rep", "n", "component", "block", "own", "key", "work"))
         blobs = group.column("sketch").take(pa.array(order)).to_pylist()
-        run = np.cumsum(np.concatenate(([0], (work[1:] != work[:-1]).astype(np.int64)))) << 40
+        run = np.cumsum(np.concatenate(([0], ((work[1:] != work[:-1]) | (key[1:] != key[:-1])).astype(np.int64)))) << 40
         here = np.arange(len(rep))
         count = np.searchsorted(run + n, run + n * 5 // 4, side="right") - here - 1
         kept, first = [], 0
@@ -390,7 +382,7 @@ def _across(members: DataFrame) -> DataFrame:
             last = max(first + 1, int(np.searchsorted(edge, edge[first] + 1_000_000, side="right")) - 1)
             x = np.repeat(here[first:last], count[first:last])
             y = x + 1 + np.arange(len(x)) - np.repeat(edge[first:last] - edge[first], count[first:last])
-            good = (part[x] != part[y]) & ((side[x] != side[y]) | (side[x] == 2))
+            good = (part[x] != part[y]) & ((block[x] != block[y]) | own[x])
             x, y = x[good], y[good]
             good = near(x, y, n, blobs)
             kept.append(np.column_stack([np.minimum(rep[x[good]], rep[y[good]]), np.maximum(rep[x[good]], rep[y[good]])]))
@@ -449,7 +441,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     labels = components(cut(verified(candidates, known, homes)))
     grouped = groups.where(f"kind = {_MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("set_id")).distinct()
     members = _open(grouped, classes, labels)
-    pairs = cut(_across(members.join(_placed(classes, labels), "set_id")))
+    placed = members.join(_placed(classes, labels), "set_id").join(homes.select(F.col("doc_id").alias("rep"), "home"), "rep")
+    pairs = cut(_across(placed))
     labels = _merged(labels, cut(verified(pairs, known, homes)))
     delete(spark, met)
     reps = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(

@@ -111,7 +111,7 @@ class Merges:
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> tuple[Merges, Ids]:
     merges = Merges(ranks(path))
-    return merges, Ids(lambda words: merges.replay([w.encode("utf-8", "surrogatepass") for w in words]))
+    return merges, Ids(lambda words: merges.replay([w.encode("utf-8", "surrogatepass") for w in words]), kind=np.uint16 if max(merges.strings) < 1 << 16 else np.uint32)
 
 
 def encode_decode(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:

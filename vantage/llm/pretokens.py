@@ -85,24 +85,24 @@ def hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Ids:
-    """Ids of the pretokens met so far, as flat arrays; ``encode`` gives the ids of a list of new pretokens."""
+    """Ids of the pretokens met so far, as flat arrays; ``encode`` gives the ids of a list of new pretokens, ``kind`` holds the largest."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 3_000_000) -> None:
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 3_000_000, kind: type = np.uint16) -> None:
+        self.encode, self.most, self.kind = encode, most, kind
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int32)
-        self.pool = np.zeros(0, np.uint32)
+        self.pool = np.zeros(0, self.kind)
         self.used = 0
 
     def _add(self, keys: np.ndarray, found: list[list[int]]) -> None:
         count = np.array([len(f) for f in found], np.int32)
-        flat = np.fromiter((i for f in found for i in f), np.uint32, int(count.sum()))
+        flat = np.fromiter((i for f in found for i in f), self.kind, int(count.sum()))
         if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(flat), self.used // 2, 1 << 16), np.uint32)])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(flat), self.used // 2, 1 << 16), self.kind)])
         self.pool[self.used : self.used + len(flat)] = flat
         at = self.used + np.cumsum(count) - count
         self.used += len(flat)

@@ -58,7 +58,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 and END_ID < 1 << 16 else 4
-        self.cached = Ids(lambda words: [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)])
+        self.cached = Ids(lambda words: [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)], kind=np.uint16 if self.width == 2 else np.uint32)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the first of each text (and the end)."""

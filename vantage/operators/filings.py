@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What each form says about an issuer.  Fixed values.
-FORM_KINDS = {"8-A12B": "birth", "25": "exit_confirming", "15-12B": "exit_confirming", "8-K": "pointer", "10-K": "periodic", "10-Q": "periodic"}
+#: What each form says about an issuer: role, scope, evidence of an exit.  Fixed values.
+FORMS = {
+    "8-A12B": ("birth", "exchange_listing", None),
+    "8-A12G": ("birth", "security_class", None),
+    "25": ("exit_confirming", "exchange_listing", "exchange_delisting"),
+    "25-NSE": ("exit_confirming", "exchange_listing", "exchange_delisting"),
+    "15-12B": ("exit_confirming", "sec_reporting", "registration_termination"),
+    "15-12G": ("exit_confirming", "sec_reporting", "registration_termination"),
+    "15-15D": ("exit_confirming", "sec_reporting", "registration_termination"),
+    "15F-12B": ("exit_confirming", "sec_reporting", "registration_termination"),
+    "15F-12G": ("exit_confirming", "sec_reporting", "registration_termination"),
+    "8-K": ("exit_candidate", None, None),
+    "S-4": ("transaction_pointer", None, None),
+    "DEFM14A": ("transaction_pointer", None, None),
+    "SC 14D9": ("transaction_pointer", None, None),
+}
+PERIODIC = ("10-K", "10-K405", "10-KSB", "10-K/A", "10-Q", "10-QSB", "10-Q/A", "20-F", "40-F")
+NUMBERED_8K, ELECTRONIC_25 = "2004-08-23", "2005-12-01"
 
 
 def parsed_index(lines: DataFrame) -> DataFrame:
@@ -29,8 +45,17 @@ def parsed_index(lines: DataFrame) -> DataFrame:
 
 
 def classified(filings: DataFrame) -> DataFrame:
-    kind = F.create_map(*(F.lit(x) for pair in FORM_KINDS.items() for x in pair))
-    return filings.withColumn("kind", F.coalesce(F.element_at(kind, F.col("form_type")), F.lit("irrelevant")))
+    """Adds kind (role of the form), scope, evidence and an era note; a form that is in no table is irrelevant."""
+    form = F.upper(F.trim("form_type"))
+    rows = FORMS | {f: ("periodic", "sec_reporting", None) for f in PERIODIC}
+    pick = lambda i: F.element_at(F.create_map(*(F.lit(x) for f, v in rows.items() for x in (f, v[i]))), form)
+    era = F.when(form.isin("25", "25-NSE") & (F.col("filed_at") < ELECTRONIC_25), "sparse_before_electronic").when((form == "8-K") & (F.col("filed_at") < NUMBERED_8K), "old_item_scheme")
+    return filings.withColumns({"kind": F.coalesce(pick(0), F.lit("irrelevant")), "scope": pick(1), "evidence": pick(2), "era": era})
+
+
+def lifecycle_evidence(classified_rows: DataFrame) -> DataFrame:
+    """Rows that say something about an issuer's life."""
+    return classified_rows.where("kind <> 'irrelevant'")
 
 
 def missing_quarters(filings: DataFrame, first: str, last: str) -> DataFrame:
@@ -43,10 +68,11 @@ def timelines(evidence: DataFrame) -> DataFrame:
     """One row an issuer; all of it conditional aggregates, no sequential state."""
     periodic, confirming = F.col("kind") == "periodic", F.col("kind") == "exit_confirming"
     per = evidence.groupBy("cik").agg(
-        F.max_by("name", F.struct("filed_at", "accession")).alias("name"), F.min("filed_at").alias("first_seen"), F.max("filed_at").alias("last_seen"), F.count(F.lit(1)).alias("n"), F.max(F.when(periodic, F.col("filed_at"))).alias("last_periodic")
+        F.max_by("name", F.struct("filed_at", "accession")).alias("name"), F.min("filed_at").alias("first_seen"), F.max("filed_at").alias("last_seen"), F.count(F.lit(1)).alias("n"), F.max(F.when(periodic, F.col("filed_at"))).alias("last_periodic"),
+        F.min(F.when(F.col("form_type") == "8-A12B", F.col("filed_at"))).alias("listing_start"),
     )
     standing = evidence.where(confirming).join(per.select("cik", "last_periodic"), "cik").where(F.col("last_periodic").isNull() | (F.col("filed_at") >= F.col("last_periodic")))
-    exits = standing.groupBy("cik").agg(F.min("filed_at").alias("first_exit"), F.max("filed_at").alias("last_exit"), F.count_distinct("form_type").alias("exit_forms"), F.count(F.lit(1)).alias("standing"))
+    exits = standing.groupBy("cik").agg(F.min("filed_at").alias("first_exit"), F.max("filed_at").alias("last_exit"), F.count_distinct("evidence").alias("exit_forms"), F.count(F.lit(1)).alias("standing"))
     total = evidence.where(confirming).groupBy("cik").agg(F.count(F.lit(1)).alias("confirming"))
     return per.join(exits, "cik", "left").join(total, "cik", "left")
 
@@ -56,7 +82,7 @@ def resolved_exits(t: DataFrame, as_of: Column, quiet_quarters: int = 8) -> Data
     quiet = F.months_between(as_of, "last_seen") >= 3 * quiet_quarters
     status = F.when(F.col("exit_forms") >= 2, "extinguished").when(F.col("standing") > 0, "exited").when(quiet, "cessation_candidate").otherwise("reporting")
     date = F.when(F.col("exit_forms") >= 2, F.col("last_exit")).when(F.col("standing") > 0, F.col("first_exit"))
-    return t.select("cik", "name", "first_seen", "last_seen", status.alias("status"), date.alias("exit_date"), (F.coalesce("confirming", F.lit(0)) - F.coalesce("standing", F.lit(0))).alias("superseded"))
+    return t.select("cik", "name", "listing_start", "first_seen", "last_seen", status.alias("status"), date.alias("exit_date"), (F.coalesce("confirming", F.lit(0)) - F.coalesce("standing", F.lit(0))).alias("superseded"))
 
 
 def contradicted(exits: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -65,18 +91,19 @@ def contradicted(exits: DataFrame, evidence: DataFrame) -> DataFrame:
     return exits.where(F.col("exit_date").isNotNull()).join(later, "cik").where(F.col("p") > F.col("exit_date")).select("cik")
 
 
-def lifespans(exits: DataFrame, as_of: Column) -> DataFrame:
-    years = F.datediff(F.coalesce("exit_date", as_of), "first_seen") / 365.25
-    bucket = F.when(years < 1, "under_1").when(years < 3, "1_to_3").when(years < 5, "3_to_5").otherwise("5_or_more")
-    return exits.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+def lifespans(exits: DataFrame) -> DataFrame:
+    """Issuers with a dated exit by the years from first seen to it."""
+    years = F.datediff("exit_date", "first_seen") / 365.25
+    bucket = F.when(years < 1, "<1y").when(years < 3, "1-3y").when(years < 10, "3-10y").otherwise(">10y")
+    return exits.where("exit_date is not null").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cohort_survival(exits: DataFrame, as_of: Column, horizons: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """Share of each first-seen year alive after each horizon that has fully passed."""
+def cohort_survival(exits: DataFrame, horizons: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """Of each year of listing (or of first being seen), the share still there after each horizon."""
+    birth = F.coalesce("listing_start", "first_seen")
     h = exits.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
-    due = F.add_months("first_seen", F.col("horizon") * 12)
-    alive = (F.col("exit_date").isNull() | (F.col("exit_date") > due)).cast("int")
-    return h.where(due <= as_of).groupBy(F.year("first_seen").alias("cohort"), "horizon").agg(F.count(F.lit(1)).alias("n"), F.sum(alive).alias("alive"))
+    alive = (F.col("exit_date").isNull() | (F.datediff("exit_date", birth) / 365.25 > F.col("horizon"))).cast("int")
+    return h.groupBy(F.year(birth).alias("cohort"), "horizon").agg(F.count(F.lit(1)).alias("n"), F.sum(alive).alias("alive"))
 
 
 def html_text(html: Column) -> Column:
@@ -108,7 +135,7 @@ def agreement(reviews: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def review_queue(items: DataFrame, strategy: str, limit: int, seed: int = 0) -> DataFrame:
     """items: doc_id, quality (0 to 100).  A sampling operator: the limit is its purpose."""
-    mixed = F.xxhash64("doc_id", F.lit(seed))
+    mixed = F.md5(F.concat_ws("|", "doc_id", F.lit(seed)))
     if strategy == "random":
         return items.orderBy(mixed, "doc_id").limit(limit)
     if strategy == "borderline":
@@ -118,3 +145,154 @@ def review_queue(items: DataFrame, strategy: str, limit: int, seed: int = 0) ->
     band = F.least(F.floor(F.col("quality") / 20), F.lit(4)).cast("int")
     w = Window.partitionBy("band").orderBy(mixed, "doc_id")
     return items.withColumn("band", band).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+
+
+RANKS = ("manual_filing_citation", "sec_company_tickers", "filing_document_text", "submissions_former_names", "full_text_search", "name_match")
+INSUFFICIENT = ("full_text_search", "name_match")
+
+
+def resolved_mappings(candidates: DataFrame) -> DataFrame:
+    """One ticker an issuer by the best-ranked evidence: resolved, manual_verified (needs a citation) or ambiguous.
+
+    candidates: cik, ticker, evidence, citation.  Evidence that can't establish a mapping alone leaves it ambiguous.
+    """
+    rank = F.array_position(F.array(*map(F.lit, RANKS)), F.col("evidence")) - 1
+    ticker = F.upper(F.trim("ticker"))
+    per = candidates.groupBy("cik", rank.alias("rank")).agg(F.count_distinct(ticker).alias("tickers"), F.min(ticker).alias("ticker"), F.min(F.when(F.col("citation") != "", F.col("citation"))).alias("citation"))
+    best = per.groupBy("cik").agg(F.min_by(F.struct("rank", "tickers", "ticker", "citation"), "rank").alias("b")).select("cik", "b.*")
+    evidence = F.element_at(F.array(*map(F.lit, RANKS)), (F.col("rank") + 1).cast("int"))
+    status = (
+        F.when(F.col("tickers") > 1, "ambiguous").when((F.col("rank") == 0) & F.col("citation").isNull(), "ambiguous").when(F.col("rank") == 0, "manual_verified")
+        .when(evidence.isin(*INSUFFICIENT), "ambiguous").otherwise("resolved")
+    )
+    out = best.withColumn("evidence", evidence).withColumn("status", status)
+    return out.select("cik", F.when(F.col("status").isin("resolved", "manual_verified"), F.col("ticker")).alias("ticker"), "status", "evidence")
+
+
+def mapping_counts(exits: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Issuers by mapping status; those without a mapping are unresolved."""
+    return exits.select("cik").join(mappings, "cik", "left").groupBy(F.coalesce("status", F.lit("unresolved")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def mapping_reach(exits: DataFrame, mappings: DataFrame) -> DataFrame:
+    """How many of the supplied mappings meet an issuer."""
+    m = mappings.join(exits.select("cik", F.lit(1).alias("hit")), "cik", "left")
+    return m.agg(F.count(F.lit(1)).alias("supplied"), F.count("hit").alias("matched"), F.count_if(F.col("hit").isNull()).alias("unmatched"))
+
+
+def coverage(exits: DataFrame, mappings: DataFrame, roster: DataFrame) -> DataFrame:
+    """Matched, resolved and all issuers; share of the resolved (upper bound) and of all (lower bound), and what lies between."""
+    tickers = roster.select(F.upper(F.trim("ticker")).alias("ticker")).distinct().withColumn("listed", F.lit(1))
+    have = mappings.where(F.col("status").isin("resolved", "manual_verified")).join(tickers, "ticker", "left")
+    x = exits.select("cik").join(have.select("cik", F.lit(1).alias("resolved"), "listed"), "cik", "left")
+    out = x.agg(F.count("listed").alias("matched"), F.count("resolved").alias("resolved"), F.count(F.lit(1)).alias("issuers"))
+    upper, lower = F.col("matched") / F.nullif("resolved", F.lit(0)), F.col("matched") / F.nullif("issuers", F.lit(0))
+    return out.withColumns({"matched_coverage": upper, "bounded_coverage": lower, "uncertainty": upper - lower})
+
+
+def corpus_class(bounds: DataFrame, passed: int, total: int, research_grade: float | None = None) -> DataFrame:
+    """Grade of a roster by its lower bound and the controls passed; the top grade needs a threshold that somebody has set."""
+    low = F.col("bounded_coverage")
+    best = (low >= research_grade) if research_grade is not None and passed == total else F.lit(False)
+    grade = F.when((low >= 0.45) & best, "survivorship_safe_research_grade").when(low >= 0.45, "materially_survivorship_corrected").when(low >= 0.25, "partially_survivorship_corrected").when(low.isNotNull(), "survivor_biased")
+    return bounds.withColumn("grade", grade)
+
+
+def name_matches(names: DataFrame, controls: DataFrame) -> DataFrame:
+    """Registrants whose name holds every word of a control's term, with first and last filing.
+
+    names: cik, name, filed_at.  controls: control, term.  The join is on each term's rarest word, so a word that stands in
+    every name brings no rows together.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""))
+    spans = names.groupBy("cik", "name").agg(F.min("filed_at").alias("first_filed"), F.max("filed_at").alias("last_filed"), F.count(F.lit(1)).alias("filings")).withColumn("words", words(F.col("name")))
+    spread = spans.select("*", F.explode("words").alias("word"))
+    asked = controls.withColumn("need", words(F.col("term"))).select("*", F.explode("need").alias("word"))
+    common = spread.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(common, "word").groupBy("control").agg(F.min_by(F.struct("word", "need"), F.struct("n", "word")).alias("b")).select("control", "b.*")
+    hits = spread.join(rarest, "word").where(F.size(F.array_except("need", "words")) == 0)
+    return hits.select("control", "cik", "name", "first_filed", "last_filed", "filings")
+
+
+def submission_documents(filings: DataFrame) -> DataFrame:
+    """Documents of full submission texts (accession, text): nth, type and body of each."""
+    parts = F.filter(F.split("text", "<DOCUMENT>"), lambda p: p.contains("</DOCUMENT>"))
+    x = filings.select("accession", F.posexplode(parts).alias("nth", "part"))
+    body = F.regexp_extract("part", r"(?s)<TEXT>\n?(.*?)</TEXT>", 1)
+    return x.select("accession", "nth", F.regexp_extract("part", r"<TYPE>([^\n]*)", 1).alias("type"), body.alias("body"))
+
+
+def submission_headers(filings: DataFrame) -> DataFrame:
+    """Header fields of full submission texts: form, date, and the entities with their roles."""
+    head = F.substring_index("text", "<DOCUMENT>", 1)
+    entity = F.transform(F.regexp_extract_all(head, F.lit(r"(?m)^([A-Z][A-Z -]*):\n\s+CENTRAL INDEX KEY:\s+\d+"), F.lit(0)), lambda e: F.struct(F.regexp_extract(e, "^([A-Z -]+):", 1).alias("role"), F.regexp_extract(e, r"(\d+)$", 1).cast("long").alias("cik")))
+    return filings.select("accession", F.regexp_extract(head, r"(?m)^FORM TYPE:\s+(\S+)", 1).alias("form_type"), F.try_to_date(F.regexp_extract(head, r"FILED AS OF DATE:\s+(\d{8})", 1), "yyyyMMdd").alias("filed_at"), entity.alias("entities"))
+
+
+ROLES = ("FILER", "SUBJECT COMPANY", "FILED BY", "ISSUER", "REPORTING-OWNER")
+
+
+def entities_by_role(headers: DataFrame) -> DataFrame:
+    """One row an entity of a submission; a role that is in no table is flagged, not dropped."""
+    return headers.select("accession", F.explode("entities").alias("e")).select("accession", "e.role", "e.cik", (~F.col("e.role").isin(*ROLES)).alias("unknown_role"))
+
+
+def header_mismatches(headers: DataFrame, index: DataFrame) -> DataFrame:
+    """accession, field, header and index value wherever the header of a submission differs from its index row."""
+    h = headers.select("accession", F.get("entities", F.lit(0))["cik"].cast("string").alias("h_cik"), F.col("form_type").alias("h_form_type"), F.col("filed_at").cast("string").alias("h_filed_at"))
+    both = index.select("accession", F.col("cik").cast("string").alias("cik"), "form_type", F.col("filed_at").cast("string").alias("filed_at")).join(h, "accession")
+    pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"h_{c}").alias("header"), F.col(c).alias("index")) for c in ("cik", "form_type", "filed_at")))
+    return both.select("accession", F.explode(F.filter(pairs, lambda p: ~p["header"].eqNullSafe(p["index"]))).alias("p")).select("accession", "p.*")
+
+
+def primary_keys(entities: DataFrame, role: str = "FILER") -> tuple[DataFrame, DataFrame]:
+    """(accession, cik) where exactly one entity has the role, and the accessions refused because several have."""
+    per = entities.where(F.col("role") == role).groupBy("accession").agg(F.count_distinct("cik").alias("n"), F.min("cik").alias("cik"))
+    return per.where("n = 1").select("accession", "cik"), per.where("n > 1").select("accession", "n")
+
+
+def index_audit(raw: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Per quarter: rows that an independent reading of the lines and the parser both see, rows only one sees, rows that differ, duplicates.
+
+    raw and parsed: accession, cik, form_type, filed_at.
+    """
+    n = raw.select("accession", F.struct("cik", "form_type", "filed_at").alias("r"), F.col("filed_at").alias("rd")).join(parsed.select("accession", F.struct("cik", "form_type", "filed_at").alias("p"), F.col("filed_at").alias("pd")), "accession", "full_outer")
+    n = n.withColumn("quarter", F.to_date(F.date_trunc("quarter", F.coalesce("rd", "pd"))))
+    return n.groupBy("quarter").agg(F.count_if(F.col("r").isNotNull() & F.col("p").isNotNull()).alias("both"), F.count_if(F.col("p").isNull()).alias("only_raw"), F.count_if(F.col("r").isNull()).alias("only_parsed"), F.count_if(F.col("r") != F.col("p")).alias("differ"))
+
+
+LEAST_SESSIONS, TAIL_DAYS, REUSE_DAYS = 252, 21, 92
+OUTCOMES = {
+    "not_found": "NOT_FOUND", "unavailable_historically": "PROVIDER_HISTORY_UNAVAILABLE", "plan_restricted": "PLAN_RESTRICTED", "ambiguous": "AMBIGUOUS", "empty": "PROVIDER_HISTORY_UNAVAILABLE",
+    "rejected": "NOT_FOUND", "unreachable": "PROVIDER_ERROR", "rate_limited": "PROVIDER_ERROR", "quota_exhausted": "PROVIDER_ERROR", "malformed": "PROVIDER_ERROR",
+}
+
+
+def roster_status(controls: DataFrame, observed: DataFrame, outcomes: DataFrame, requested_start: Column) -> DataFrame:
+    """Each control's state among ten, its required start and whether it counts as covered; only COVERED does.
+
+    controls: ticker, aliases (array), first_trade, last_trade.  observed: ticker, first_session, last_session, bars.
+    outcomes: ticker, outcome, the provider's word on a requested symbol.
+    """
+    required = F.coalesce("first_trade", F.date_sub("last_trade", int(LEAST_SESSIONS * 365.25 / 252) + 1))
+    seen = outcomes.select(F.col("ticker").alias("_t")).unionByName(observed.select(F.col("ticker").alias("_t"))).distinct()
+    tried = controls.select("ticker", F.explode("aliases").alias("_t")).join(seen, "_t").select("ticker", F.lit(True).alias("alias_tried")).distinct()
+    x = controls.join(observed, "ticker", "left").join(outcomes, "ticker", "left").join(tried, "ticker", "left").withColumn("required_start", required)
+    late, over = F.datediff("last_trade", "last_session"), F.datediff("last_session", "last_trade")
+    short = (F.col("bars") < LEAST_SESSIONS) | F.coalesce(late > TAIL_DAYS, F.lit(False)) | F.coalesce(over > REUSE_DAYS, F.lit(False))
+    untried = (F.size("aliases") > 0) & F.col("alias_tried").isNull()
+    said = F.element_at(F.create_map(*(F.lit(v) for pair in OUTCOMES.items() for v in pair)), F.lower("outcome"))
+    status = (
+        F.when(F.col("bars").isNotNull(), F.when(short, "INSUFFICIENT_HISTORY").otherwise("COVERED"))
+        .when(F.col("required_start") < requested_start, "REQUEST_WINDOW_EXCLUDED")
+        .when(F.col("outcome").isNull(), F.when(untried, "WRONG_ALIAS").otherwise("UNRESOLVED"))
+        .when(said.isNull(), "UNRESOLVED")
+        .when((said == "NOT_FOUND") & untried, "WRONG_ALIAS")
+        .otherwise(said)
+    )
+    return x.select("ticker", "required_start", status.alias("status"), (status == "COVERED").alias("covered"))
+
+
+def difficulty_index(controls: DataFrame) -> DataFrame:
+    """Tickers of each difficulty, and how many of them a source without delisted names cannot supply."""
+    return controls.groupBy("difficulty").agg(F.array_sort(F.collect_set("ticker")).alias("tickers"), F.count_if(F.col("last_trade").isNotNull()).alias("gap"))

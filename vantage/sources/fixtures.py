@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
-    "daily_flow": ((), """
-        select cast(substr(p_brand, 7) as int) as instrument_id, cast(l_shipdate as date) as session_date, count(*) as n,
+    "instruments_a_brand": ((), "select greatest(cast(count(*) / 2000 as bigint), 1) as g from part"),
+    "listed_parts": (("instruments_a_brand",), """
+        select p_partkey, cast(cast(substr(p_brand, 7) as int) + 25 * (p_partkey % g) as int) as instrument_id from part cross join instruments_a_brand"""),
+    "daily_flow": (("listed_parts",), """
+        select instrument_id, cast(l_shipdate as date) as session_date, count(*) as n,
                sum(cast(floor(l_discount * 100 + 5e-1) as bigint)) as disc, sum(cast(floor(l_tax * 100 + 5e-1) as bigint)) as tax,
                sum(cast(floor(l_quantity + 5e-1) as bigint)) as volume
-        from lineitem join part on l_partkey = p_partkey group by 1, 2"""),
+        from lineitem join listed_parts on l_partkey = p_partkey group by 1, 2"""),
     "daily_return": (("daily_flow",), """
         select instrument_id, session_date, volume, cast(floor(4e3 * (cast(disc as double) / n - 5e0) + 5e-1) as bigint) as r_micro,
                50 + cast(floor(2e1 * tax / n + 5e-1) as bigint) as spread_bp from daily_flow"""),
@@ -109,8 +112,25 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         where not (b.instrument_id = 3 and c.session_ord between 100 and 159)"""),
     "filings": ((), """
         select cast(o_custkey as bigint) as cik, 'Customer ' || cast(o_custkey as varchar(20)) as name, cast(o_orderdate as date) as filed_at,
-               case o_orderpriority when '1-URGENT' then '25' when '2-HIGH' then '10-Q' when '3-MEDIUM' then '10-K' when '4-NOT SPECIFIED' then '8-K' else '15-12B' end as form_type,
+               case o_orderpriority when '1-URGENT' then case when o_orderkey % 3 = 0 then '25-NSE' else '25' end when '2-HIGH' then case when o_orderkey % 5 = 0 then '10-QSB' else '10-Q' end
+                    when '3-MEDIUM' then case when o_orderkey % 7 = 0 then '20-F' else '10-K' end when '4-NOT SPECIFIED' then case o_orderkey % 4 when 0 then '8-A12B' when 1 then 'S-4' when 2 then 'UPLOAD' else '8-K' end
+                    else case when o_orderkey % 2 = 0 then '15-12G' else '15-12B' end end as form_type,
                cast(o_orderkey as bigint) as accession from orders"""),
+    "mapping_candidates": ((), """
+        select cast(c_custkey as bigint) as cik, case when c_custkey % 11 = 0 then ' t' else 'T' end || cast(c_custkey as varchar(20)) as ticker,
+               case c_custkey % 7 when 0 then 'manual_filing_citation' when 1 then 'sec_company_tickers' when 2 then 'filing_document_text' when 3 then 'submissions_former_names' when 4 then 'full_text_search' else 'name_match' end as evidence,
+               case when c_custkey % 14 = 0 then 'p. 3' else '' end as citation from customer where c_custkey % 13 <> 0
+        union all
+        select c_custkey, 'X' || cast(c_custkey as varchar(20)), case when c_custkey % 2 = 0 then 'sec_company_tickers' else 'name_match' end, '' from customer where c_custkey % 4 = 0 and c_custkey % 13 <> 0"""),
+    "observations": ((), """
+        select cast(o_custkey % 97 + 1 as int) as instrument_id, 'p' || cast(o_custkey as varchar(20)) || case when o_custkey % 10 = 0 then ':1996-01-01' else '' end as key,
+               case o_custkey % 4 when 0 then 'flat_base' when 1 then 'vcp' when 2 then 'breakout_retest' else 'pennant' end as family, cast(o_orderdate as date) as session_date, cast(o_orderkey as bigint) as seq,
+               case o_orderpriority when '1-URGENT' then 'FORMING' when '2-HIGH' then 'MATURE' when '3-MEDIUM' then 'NEAR_BREAKOUT' when '4-NOT SPECIFIED' then 'BROKEN_OUT_UNCONFIRMED' else case when o_orderkey % 2 = 0 then 'INVALIDATED' else 'EXPIRED' end end as to_state,
+               cast(o_orderkey % 101 as double) as quality, cast(o_custkey % 61 + 40 as double) as coverage, cast(case when o_orderkey % 9 = 0 then o_orderkey % 5 + 1 else -(o_orderkey % 30) end as int) as known_after from orders"""),
+    "event_history": ((), """
+        select cast(o_custkey % 97 + 1 as int) as instrument_id, 'e' || cast(o_custkey as varchar(20)) as event_key, cast(o_orderdate as date) as session_date, cast(o_orderkey as bigint) as seq,
+               case o_orderkey % 13 when 0 then 'not_approaching' when 1 then 'approaching' when 2 then 'testing_resistance' when 3 then 'intraday_break' when 4 then 'closed_above' when 5 then 'confirmation_pending' when 6 then 'confirmed'
+                    when 7 then 'retest_pending' when 8 then 'retest_holding' when 9 then 'retest_confirmed' when 10 then 'rejected' when 11 then 'failed_breakout' else 'expired' end as to_state from orders"""),
     "reviews": ((), """
         select doc_id, 'r1' as reviewer, 1 as revision, cast(quality as int) as label from labels
         union all select doc_id, 'r2', 1, cast(case when doc_id % 9 = 0 then 1 - quality else quality end as int) from labels

@@ -14,9 +14,9 @@ from vantage.functions.scalar import identity
 #: Legal edges of a tracked structure.  Terminal states have none.
 EDGES = {
     "FORMING": ("MATURE", "NEAR_BREAKOUT", "BROKEN_OUT_UNCONFIRMED", "INVALIDATED", "EXPIRED"),
-    "MATURE": ("FORMING", "NEAR_BREAKOUT", "BROKEN_OUT_UNCONFIRMED", "INVALIDATED", "EXPIRED"),
-    "NEAR_BREAKOUT": ("FORMING", "MATURE", "BROKEN_OUT_UNCONFIRMED", "INVALIDATED", "EXPIRED"),
-    "BROKEN_OUT_UNCONFIRMED": ("NEAR_BREAKOUT", "INVALIDATED", "EXPIRED"),
+    "MATURE": ("NEAR_BREAKOUT", "BROKEN_OUT_UNCONFIRMED", "INVALIDATED", "EXPIRED"),
+    "NEAR_BREAKOUT": ("MATURE", "BROKEN_OUT_UNCONFIRMED", "INVALIDATED", "EXPIRED"),
+    "BROKEN_OUT_UNCONFIRMED": ("INVALIDATED", "EXPIRED"),
 }
 TERMINAL = ("INVALIDATED", "EXPIRED")
 CARRY = 10
@@ -89,7 +89,9 @@ def believed(history: DataFrame, as_of: Column) -> DataFrame:
 
 
 def relationships(spans: DataFrame) -> DataFrame:
-    """Pairs of structures of one series whose spans overlap: nested, near-identical, overlapping.
+    """Pairs of structures of one series whose spans overlap: near-identical of two families, containing, nested, overlapping.
+
+    Near-identical spans of one family are one structure read twice and get no edge.
 
     spans: instrument_id, key, family, start_date, end_date.
     """
@@ -98,9 +100,10 @@ def relationships(spans: DataFrame) -> DataFrame:
     days = lambda x, y: F.datediff(y, x) + 1
     both = days(F.greatest("a.start_date", "b.start_date"), F.least("a.end_date", "b.end_date"))
     pa, pb = both / days(F.col("a.start_date"), F.col("a.end_date")), both / days(F.col("b.start_date"), F.col("b.end_date"))
+    same = (pa >= 0.85) & (pb >= 0.85)
     kind = (
-        F.when((pa >= 0.85) & (pb >= 0.85), F.when(F.col("a.family") != F.col("b.family"), "RELATED_TO").otherwise("OVERLAPS"))
-        .when(pa >= 0.8, "NESTED_IN").when(pb >= 0.8, "CONTAINS").when(F.greatest(pa, pb) >= 0.25, "OVERLAPS")
+        F.when(same & (F.col("a.family") != F.col("b.family")), "RELATED_TO").when(same, F.lit(None).cast("string"))
+        .when(pb >= 0.8, "CONTAINS").when(pa >= 0.8, "NESTED_IN").when(F.greatest(pa, pb) >= 0.25, "OVERLAPS")
     )
     return a.join(b, meet).select(F.col("a.key").alias("from_key"), F.col("b.key").alias("to_key"), kind.alias("kind"), F.greatest(pa, pb).alias("overlap")).where("kind is not null")
 

@@ -66,7 +66,6 @@ register("d13_scan", lambda s, d: P.with_state(P.detect(_bars(s, d))))
 register("d13_family_counts", lambda s, d: P.family_counts(_found(s, d)))
 register("p24_violations", lambda s, d: P.violations(P.detect(_bars(s, d))).select("instrument_id", "session_date", "family"))
 register("k02_tracked", lambda s, d: K.track(P.with_state(P.detect(_bars(s, d))), _bars(s, d)))
-register("k04_illegal_steps", lambda s, d: K.illegal_steps(K.track(_found(s, d), _bars(s, d))).select("key", "session_date"), with_tables("bars", "select cast(null as varchar) as key, session_date from bars where false"))
 
 
 def _spans(s, d):
@@ -75,9 +74,9 @@ def _spans(s, d):
 
 register("k05_relationships", lambda s, d: K.relationships(_spans(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
 register("k09_coexistence", lambda s, d: K.coexistence(_found(s, d)))
-register("k11_believed", lambda s, d: K.believed(K.track(_found(s, d), _bars(s, d)), F.lit(_ON).cast("date")))
+register("k11_believed_tracked", lambda s, d: K.believed(K.track(_found(s, d), _bars(s, d)), F.lit(_ON).cast("date")))
 register("v11_concentration", lambda s, d: K.concentration(_found(s, d)))
-register("v12_churn", lambda s, d: K.churn(_found(s, d)))
+register("v12_churn_tracked", lambda s, d: K.churn(_found(s, d)))
 
 
 def _events(s, d):

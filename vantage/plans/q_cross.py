@@ -250,17 +250,17 @@ register("x21_roster_digest", lambda s, d: _roster(s, d).groupBy("session_date")
 
 def _eligible(s, d):
     c = F.col("close")
-    f = frame(s, d, "bars").withColumns({"sma_200": X.sma(c, 200), "roc_252": X.rate_of_change(c, 252)})
+    f = frame(s, d, "dirty_bars").where("line in (1, 5)").withColumns({"sma_200": X.sma(c, 200), "roc_252": X.rate_of_change(c, 252)})
     per = f.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.max_by("close", "session_date").alias("last_close"), F.avg((F.col("volume") == 0).cast("double")).alias("share_zero_volume"), *(F.max_by(x, "session_date").alias(x) for x in ("sma_200", "roc_252")))
     return C.eligibility(per, 1450, ["sma_200", "roc_252"])
 
 
-_E = """n as (select instrument_id, count(*) as n_sessions from bars group by 1),
-e as (select *, case when n_sessions < 1450 then 'INELIGIBLE' when n_sessions < 253 then 'DATA_ELIGIBLE' else 'FEATURE_READY' end as state,
-  case when n_sessions < 1450 then 'too_short' else '' end as reasons, concat_ws(',', case when n_sessions < 200 then 'sma_200' end, case when n_sessions < 253 then 'roc_252' end) as missing, greatest(1450 - n_sessions, 0) as sessions_until_ready from n)
+_E = """n as (select instrument_id, count(*) as n_sessions, avg((volume = 0)::int) > 2e-1 as idle from dirty_bars where line in (1, 5) group by 1),
+e as (select * exclude (idle), case when n_sessions < 1450 or idle then 'INELIGIBLE' when n_sessions < 253 then 'DATA_ELIGIBLE' else 'FEATURE_READY' end as state,
+  concat_ws(',', case when n_sessions < 1450 then 'too_short' end, case when idle then 'illiquid' end) as reasons, concat_ws(',', case when n_sessions < 200 then 'sma_200' end, case when n_sessions < 253 then 'roc_252' end) as missing, greatest(1450 - n_sessions, 0) as sessions_until_ready from n)
 """
-register("e01_eligibility", lambda s, d: _eligible(s, d).select("instrument_id", "n_sessions", "state", F.array_join("reasons", ",").alias("reasons"), F.array_join("missing", ",").alias("missing"), "sessions_until_ready"), with_tables("bars", "with " + _E + "select instrument_id, n_sessions, state, reasons, missing, sessions_until_ready from e"))
-register("e02_partition", lambda s, d: _eligible(s, d).groupBy("state").agg(F.count(F.lit(1)).alias("n")), with_tables("bars", "with " + _E + "select state, count(*) as n from e group by 1"))
-register("e03_blocking_features", lambda s, d: _eligible(s, d).select(F.explode("missing").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n")), with_tables("bars", "with " + _E + "select feature, count(*) as n from (select unnest(string_split(missing, ',')) as feature from e where missing <> '') x group by 1"))
-register("e04_sessions_until_ready", lambda s, d: _eligible(s, d).select("instrument_id", "sessions_until_ready"), with_tables("bars", "with " + _E + "select instrument_id, sessions_until_ready from e"))
-register("e07_rosters", lambda s, d: _eligible(s, d).where("state <> 'INELIGIBLE'").select("instrument_id", (F.col("state") == "FEATURE_READY").alias("scannable")), with_tables("bars", "with " + _E + "select instrument_id, state = 'FEATURE_READY' as scannable from e where state <> 'INELIGIBLE'"))
+register("e01_eligibility", lambda s, d: _eligible(s, d).select("instrument_id", "n_sessions", "state", F.array_join("reasons", ",").alias("reasons"), F.array_join("missing", ",").alias("missing"), "sessions_until_ready"), with_tables("dirty_bars", "with " + _E + "select instrument_id, n_sessions, state, reasons, missing, sessions_until_ready from e"))
+register("e02_partition", lambda s, d: _eligible(s, d).groupBy("state").agg(F.count(F.lit(1)).alias("n")), with_tables("dirty_bars", "with " + _E + "select state, count(*) as n from e group by 1"))
+register("e03_blocking_features", lambda s, d: _eligible(s, d).select(F.explode("missing").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n")), with_tables("dirty_bars", "with " + _E + "select feature, count(*) as n from (select unnest(string_split(missing, ',')) as feature from e where missing <> '') x group by 1"))
+register("e04_sessions_until_ready", lambda s, d: _eligible(s, d).select("instrument_id", "sessions_until_ready"), with_tables("dirty_bars", "with " + _E + "select instrument_id, sessions_until_ready from e"))
+register("e07_rosters", lambda s, d: _eligible(s, d).where("state <> 'INELIGIBLE'").select("instrument_id", (F.col("state") == "FEATURE_READY").alias("scannable")), with_tables("dirty_bars", "with " + _E + "select instrument_id, state = 'FEATURE_READY' as scannable from e where state <> 'INELIGIBLE'"))

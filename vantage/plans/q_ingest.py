@@ -35,7 +35,7 @@ _K = "case when instrument_id % 5 = 1 then 'symbols' when instrument_id % 5 = 2
 _CLOSE = "case when instrument_id % 5 = 2 then -close else close end"
 _BADC = "((instrument_id = 9 and extract(day from session_date) = 1) or (instrument_id % 5 = 2 and close < 0))"
 _TYPED = f"t as (select instrument_id, session_date, line, open, high, low, volume, {_CLOSE} as close, {_BADC} as unreadable, case when instrument_id % 3 = 2 then null when instrument_id % 3 = 0 then 'slashes' else 'packed_date' end as df, case when not {_BADC} and not (instrument_id = 9 and extract(day from session_date) = 1) then {_K} end as cf from dirty_bars)"
-register("s04_mapping_report", lambda s, d: I.mapping_report(_raw(s, d), "daily_bars"), with_tables("bars", "select distinct 'note' as \"column\", 'unused' as problem from bars"))
+register("s04_mapping_report", lambda s, d: I.mapping_report(_raw(s, d), "daily_bars").join(_raw(s, d).agg(F.count(F.lit(1)).alias("rows"))), with_tables("dirty_bars", "select 'note' as \"column\", 'unused' as problem, count(*) as rows from dirty_bars"))
 register("s05_coercion", lambda s, d: _typed(s, d).select(F.explode("corrections").alias("c")).groupBy(F.col("c.field").alias("field"), F.col("c.rule").alias("rule")).agg(F.count(F.lit(1)).alias("n")),
          with_tables("dirty_bars", "with " + _TYPED + " select 'session_date' as field, df as rule, count(*) as n from t where df is not null group by 2 union all select 'close', cf, count(*) from t where cf is not null group by 2"))
 register("s05_unreadable", lambda s, d: _typed(s, d).where(F.size("errors") > 0).select("instrument_id", "session_date", "line", F.array_join("errors", ",").alias("errors")),

@@ -72,8 +72,8 @@ def _spans(s, d):
     return _found(s, d).groupBy("instrument_id", "key", "family", "start_date").agg(F.max("session_date").alias("end_date"))
 
 
-register("k05_relationships", lambda s, d: K.relationships(_spans(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
-register("k09_coexistence", lambda s, d: K.coexistence(_found(s, d)))
+register("k05_tracked", lambda s, d: K.relationships(_spans(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+register("k09_tracked", lambda s, d: K.coexistence(_found(s, d)))
 register("k11_believed_tracked", lambda s, d: K.believed(K.track(_found(s, d), _bars(s, d)), F.lit(_ON).cast("date")))
 register("v11_concentration", lambda s, d: K.concentration(_found(s, d)))
 register("v12_churn_tracked", lambda s, d: K.churn(_found(s, d)))
@@ -115,12 +115,14 @@ register("o06_walk_forward", lambda s, d: O.walk_forward(frame(s, d, "calendar")
 
 
 def _v02(s, d):
+    """Window features, and one planted feature that looks a session ahead, over all bars and over those up to a cut."""
     cut = F.lit("1998-12-31").cast("date")
-    names = ["sma_20", "roc_20", "volatility_20", "relative_volume_20"]
-    whole = X.long_form(X.window_features(_bars(s, d)), names).where(F.col("session_date") <= cut)
-    prefix = X.long_form(X.window_features(_bars(s, d).where(F.col("session_date") <= cut)), names).withColumnRenamed("value", "v")
+    names = ["sma_20", "roc_20", "volatility_20", "relative_volume_20", "peek"]
+    computed = lambda b: X.long_form(X.window_features(b).withColumn("peek", F.lead("close").over(X.series())), names)
+    whole = computed(_bars(s, d)).where(F.col("session_date") <= cut)
+    prefix = computed(_bars(s, d).where(F.col("session_date") <= cut)).withColumnRenamed("value", "v")
     j = whole.join(prefix, ["instrument_id", "session_date", "feature"], "full_outer")
     return j.where(~(F.abs(F.col("value") - F.col("v")) <= 1e-9 * F.abs("v")) | (F.col("value").isNull() != F.col("v").isNull())).select("instrument_id", "session_date", "feature")
 
 
-register("v02_look_ahead", _v02, with_tables("bars", "select instrument_id, session_date, cast('' as varchar) as feature from bars where false"))
+register("v02_look_ahead", _v02, with_tables("bars", "select instrument_id, max(session_date) as session_date, 'peek' as feature from bars where session_date <= date '1998-12-31' and instrument_id in (select instrument_id from bars where session_date > date '1998-12-31') group by 1"))

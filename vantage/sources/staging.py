@@ -3,15 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged_table(df: DataFrame) -> DataFrame:
-    """The same rows from the session's checkpoint folder; one of this machine only where the session names none."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for all its executors.
+
+    Where it names none, a session in one process (tests) gets a folder of its own; on a cluster no folder of one machine
+    would do, so that is an error.
+    """
     context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not where and context.master.split("[")[0] == "local":
+        where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    if not where:
+        raise ValueError("spark.checkpoint.dir is not set; name a folder that driver and executors share")
     if context.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='vantage-')}")
+        context.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged_table(df: DataFrame) -> DataFrame:
+    """The same rows from the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

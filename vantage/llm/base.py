@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from vantage.sources.staging import shared_folder, shared_path
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,19 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of this machine only where the session names none."""
-    context = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='vantage-')}"
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return shared_path(spark, name)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -52,6 +52,7 @@ N2, K2 = 3, 1
 SUBSETS = tuple(combinations(range(N2), N2 - K2))
 KEYS_PER_BUCKET = 1_500_000
 MEMBERS_PER_TASK = 50_000
+MEMBERS_PER_BLOCK = 150_000
 TEXT_BLOCK = 2_000_000
 TEXTS_PER_BLOCK = 512
 GATHERED = 4_000_000
@@ -357,10 +358,10 @@ def _across(members: DataFrame) -> DataFrame:
 
     members: key, rep, n, sketch, component, home.  Groups with the same smallest home are compared together, so a pair that
     shares many signatures comes out once.  The members of a home are cut into blocks, alike in all its groups, that hold
-    about MEMBERS_PER_TASK rows, and each pair of blocks is dealt to a task by itself; small homes share one.
+    about MEMBERS_PER_BLOCK rows, and each pair of blocks is dealt to a task by itself; small homes share one.
     """
     groups = members.groupBy("key").agg(F.min("home").alias("of"), F.count(F.lit(1)).alias("c"))
-    sizes = groups.groupBy("of").agg(F.ceil(F.sum("c") / MEMBERS_PER_TASK).cast("int").alias("blocks"))
+    sizes = groups.groupBy("of").agg(F.ceil(F.sum("c") / MEMBERS_PER_BLOCK).cast("int").alias("blocks"))
     tasks = max(1, members.count() // MEMBERS_PER_TASK)
     dealt = members.join(groups.select("key", "of"), "key").join(sizes, "of").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -410,9 +411,9 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
 
 def _open(grouped: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (key, set_id) of signature groups that still span several components."""
-    members = cut(grouped.select("key", "set_id").join(_placed(classes, labels).select("set_id", "component"), "set_id").select("key", "set_id", "component"))
+    members = stored(grouped.select("key", "set_id").join(_placed(classes, labels).select("set_id", "component"), "set_id").select("key", "set_id", "component"), "members")
     spans = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    return cut(members.join(spans, "key").select("key", "set_id"))
+    return stored(members.join(spans, "key").select("key", "set_id"), "open")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.functions.scalar import identity
+from vantage.operators.families import FINDERS, Chart
 from vantage.operators.features import atr, series
 
 LEFT = RIGHT = 3
-FAMILIES = ("flat_base", "tight_consolidation", "double_bottom", "ascending_triangle", "volatility_contraction")
+FAMILIES = ("flat_base", "tight_consolidation", "double_bottom", "ascending_triangle", "volatility_contraction", *FINDERS)
+#: Bars that a family needs before its first session.  Fixed values.
+WARM = dict.fromkeys(FAMILIES, 60) | {"cup_handle": 90, "inverse_head_shoulders": 90, "base_on_base": 100, "breakout_retest": 100}
 LOOKBACK = 160
 WARM_UP = 60
 BLOCK = 320
@@ -209,7 +212,7 @@ def _vcp(s: _Series, end: int):
     return spots[0], float(s.high[spots[0]]), float(s.low[spots[0] : end].min()), {"count": _share(len(depths), 1, 4), "tightening": 1 - depths[-1] / depths[0], "depth": 1 - depths[0] / 0.4}
 
 
-_FIND = dict(zip(FAMILIES, (_flat_base, _tight, _double_bottom, _triangle, _vcp), strict=True))
+_FIND = dict(zip(FAMILIES[:5], (_flat_base, _tight, _double_bottom, _triangle, _vcp), strict=True))
 _INSTANCE = "instrument_id int, session_date date, family string, start_date date, level double, invalidation double, quality double, close double, atr double"
 
 
@@ -227,27 +230,60 @@ def detect(bars: DataFrame) -> DataFrame:
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("position")
         days, at = x["session_date"].to_numpy(), x["position"].to_numpy()
-        h, lo, c, v, span = (x[k].to_numpy(float) for k in ("high", "low", "close", "volume", "atr"))
+        o, h, lo, c, v, span = (x[k].to_numpy(float) for k in ("open", "high", "low", "close", "volume", "atr"))
         highs, lows = _pivots(h, LEFT, RIGHT), _pivots(-lo, LEFT, RIGHT)
         rows = []
         for t in np.flatnonzero((at >= WARM_UP) & (at // BLOCK == key[1])):
             a = max(0, t + 1 - LOOKBACK)
             end = t + 1 - RIGHT - a
             part = _Series(h[a : t + 1], lo[a : t + 1], c[a : t + 1], v[a : t + 1], *(p[(p >= a + LEFT) & (p < a + end)] - a for p in (highs, lows)))
-            for family, find in _FIND.items():
-                got = find(part, end)
+            chart = Chart(o[a : t + 1], h[a : t + 1], lo[a : t + 1], c[a : t + 1], v[a : t + 1], span[a : t + 1], part.highs, part.lows)
+            for family in FAMILIES:
+                if at[t] < WARM[family]:
+                    continue
+                got = _FIND[family](part, end) if family in _FIND else FINDERS[family](chart, end - 1)
                 if got is not None and got[2] < got[1]:
                     first, level, floor, parts = got
                     rows.append((key[0], days[t], family, days[a + first], round(level, 6), round(float(floor), 6), round(100 * float(np.mean(list(parts.values()))), 4), c[t], span[t]))
         return pd.DataFrame(rows, columns=[k.split()[0] for k in _INSTANCE.split(", ")])
 
-    kinds = "instrument_id int, session_date date, high double, low double, close double, volume double"
+    kinds = "instrument_id int, session_date date, open double, high double, low double, close double, volume double"
     placed = bars.select(*(k.split()[0] for k in kinds.split(", "))).groupBy("instrument_id").applyInPandas(spans, f"{kinds}, position long, atr double")
     block = F.explode(F.sequence(F.floor(F.col("position") / BLOCK), F.floor((F.col("position") + LOOKBACK - 1) / BLOCK)))
     tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: rows are few and work is much, so they mustn't be coalesced by size
     return placed.withColumn("block", block).repartition(tasks, "instrument_id", "block").groupBy("instrument_id", "block").applyInPandas(run, _INSTANCE)
 
 
+def skipped(bars: DataFrame) -> DataFrame:
+    """instrument_id, family and missing of every family that a series is too short for."""
+    n = bars.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n"))
+    need = F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(k + 1).alias("need")) for f, k in WARM.items()))).alias("x")
+    return n.select("instrument_id", "n", need).where("n < x.need").select("instrument_id", "x.family", (F.col("x.need") - F.col("n")).alias("missing"))
+
+
+def detect_latest(bars: DataFrame, sessions: int = 1) -> DataFrame:
+    """Structures seen at the last sessions of each series, from the bars that a full scan would use and no others."""
+    last = Window.partitionBy("instrument_id").orderBy(F.desc("session_date"))
+    keep = sessions + max(LOOKBACK, max(WARM.values())) + 6 * 14
+    tail = bars.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= keep)
+    recent = tail.where(F.col("_k") <= sessions).select("instrument_id", "session_date")
+    return detect(tail.drop("_k")).join(recent, ["instrument_id", "session_date"], "left_semi")
+
+
+def across_timeframes(daily: DataFrame, weekly: DataFrame) -> DataFrame:
+    """Edges between structures of two timeframes (instrument_id, key, start_date, end_date) with real overlap: the coarser contains the finer.
+
+    Both sides meet on instrument and year, an equality; a pair that shares several years comes out once.
+    """
+    years = lambda x: x.withColumn("_y", F.explode(F.sequence(F.year("start_date"), F.year("end_date"))))
+    a, b = years(weekly).alias("a"), years(daily).alias("b")
+    days = lambda x, y: F.datediff(y, x) + 1
+    both = days(F.greatest("a.start_date", "b.start_date"), F.least("a.end_date", "b.end_date"))
+    part = F.greatest(both / days(F.col("a.start_date"), F.col("a.end_date")), both / days(F.col("b.start_date"), F.col("b.end_date")))
+    met = a.join(b, (F.col("a.instrument_id") == F.col("b.instrument_id")) & (F.col("a._y") == F.col("b._y"))).where(part >= 0.25)
+    return met.select(F.col("a.key").alias("from_key"), F.col("b.key").alias("to_key"), F.lit("CONTAINS").alias("kind")).distinct()
+
+
 def with_state(found: DataFrame, least: float = 25.0) -> DataFrame:
     """Identity and state of each structure; weak ones go."""
     c, level = F.col("close"), F.col("level")

@@ -62,7 +62,31 @@ def _found(s, d):
     return staged_table(P.with_state(P.detect(_bars(s, d))))
 
 
+def _observed(s, d, rows):
+    return frame(s, d, "observations").where(rows).groupBy("instrument_id", "key").agg(F.min("session_date").alias("start_date"), F.max("session_date").alias("end_date"))
+
+
 register("d13_scan", lambda s, d: P.with_state(P.detect(_bars(s, d))))
+register("d13_skips", lambda s, d: P.skipped(_bars(s, d)), with_tables("bars", "with n as (select instrument_id, count(*) as n from bars group by 1), w as (select * from (values " + ", ".join(f"('{f}', {k + 1})" for f, k in P.WARM.items()) + ") v(family, need)) select instrument_id, family, need - n as missing from n cross join w where n < need"))
+register("d14_latest", lambda s, d: P.detect_latest(_bars(s, d)))
+
+
+def _weekly_bars(s, d):
+    from vantage.operators.bars import aggregate_daily, completed_only
+
+    weeks = completed_only(aggregate_daily(_bars(s, d), frame(s, d, "calendar"), "1w", F.lit("2001-12-31").cast("date")))
+    return weeks.select("instrument_id", F.col("period_end").alias("session_date"), "open", "high", "low", "close", "volume")
+
+
+def _d15(s, d):
+    span = lambda b: staged_table(P.with_state(P.detect(b))).groupBy("instrument_id", "key", "start_date").agg(F.max("session_date").alias("end_date"))
+    return P.across_timeframes(span(_bars(s, d)), span(_weekly_bars(s, d)))
+
+
+register("d15_timeframes", _d15)
+register("d15_timeframe_edges", lambda s, d: P.across_timeframes(_observed(s, d, "seq % 2 = 0"), _observed(s, d, "seq % 2 = 1")),
+         with_tables("observations", """with a as (select instrument_id, key, min(session_date) as s, max(session_date) as e from observations where seq % 2 = 1 group by 1, 2), b as (select instrument_id, key, min(session_date) as s, max(session_date) as e from observations where seq % 2 = 0 group by 1, 2)
+select a.key as from_key, b.key as to_key, 'CONTAINS' as kind from a join b on a.instrument_id = b.instrument_id and a.s <= b.e and b.s <= a.e where greatest((least(a.e, b.e) - greatest(a.s, b.s) + 1) / (a.e - a.s + 1)::double, (least(a.e, b.e) - greatest(a.s, b.s) + 1) / (b.e - b.s + 1)::double) >= 25e-2"""))
 register("d13_family_counts", lambda s, d: P.family_counts(_found(s, d)))
 register("p24_violations", lambda s, d: P.violations(P.detect(_bars(s, d))).select("instrument_id", "session_date", "family"))
 register("k02_tracked", lambda s, d: K.track(P.with_state(P.detect(_bars(s, d))), _bars(s, d)))

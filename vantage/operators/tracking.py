@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,19 +68,6 @@ def track(found: DataFrame, sessions: DataFrame) -> DataFrame:
     return seen.groupBy("instrument_id").cogroup(sessions.select("instrument_id", "session_date").groupBy("instrument_id")).applyInPandas(fold, _HISTORY)
 
 
-def illegal_steps(history: DataFrame) -> DataFrame:
-    """Transitions outside the table of edges; must be empty."""
-    legal = history.sparkSession.createDataFrame([(a, b) for a, more in EDGES.items() for b in more], "from_state string, to_state string")
-    return history.where("from_state is not null").join(legal, ["from_state", "to_state"], "left_anti")
-
-
-def net_steps(history: DataFrame) -> DataFrame:
-    """One change per key and session: from the first state to the last."""
-    order = F.monotonically_increasing_id()
-    h = history.withColumn("_o", order)
-    return h.groupBy("key", "session_date").agg(F.min_by("from_state", "_o").alias("from_state"), F.max_by("to_state", "_o").alias("to_state"))
-
-
 def believed(history: DataFrame, as_of: Column) -> DataFrame:
     """The state each identity had on a date."""
     seen = history.where(F.col("session_date") <= as_of)
@@ -115,86 +101,10 @@ def coexistence(found: DataFrame) -> DataFrame:
     return a.join(b, ["instrument_id", "session_date"]).where("family < other").groupBy("family", "other").agg(F.count(F.lit(1)).alias("n"))
 
 
-_EVENT = "event_key string, instrument_id int, session_date date, state string, level double, close double"
-ZONE, DECISIVE, EXPIRE_APPROACHING, EXPIRE_PENDING, EXPIRE_CONFIRMED = 0.0015, 1.2, 40, 15, 30
-STALE_DAYS = 25
-
-
-def events(bars: DataFrame, boundaries: DataFrame, most_attempts: int = 3) -> DataFrame:
-    """Breakout attempts at frozen levels, advanced session by session over all later bars.
-
-    bars: instrument_id, session_date, close, volume, average_volume, atr.  boundaries: instrument_id, key, level, frozen_on and
-    seen, the dates on which the structure was observed in a monitored state.
-    APPROACHING until a close clears the zone; PENDING; CONFIRMED by a second close above or 1.5 x volume; FAILED by a close
-    more than DECISIVE ATR below or two closes back inside; EXPIRED after its term; terminal states end the attempt.
-    A boundary last observed more than STALE_DAYS days ago is stale: its live attempt is EXPIRED and none opens until it is
-    observed again.  After a terminal state the next attempt is open from the next session on; a level is left for good after
-    COMPLETED or ``most_attempts`` failures (attempts that ran out of time don't count).
-    """
-
-    def fold(key: tuple, b: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("session_date")
-        days = b["session_date"].to_numpy()
-        bar = list(b.itertuples())
-        rows = []
-        for r in edge.sort_values(["frozen_on", "key"]).itertuples():
-            seen = np.sort(np.asarray(r.seen, dtype="datetime64[D]"))
-            attempt, failures, state, inside, age = 1, 0, "APPROACHING", 0, 0
-            for x in bar[np.searchsorted(days, r.frozen_on, side="right") :]:
-                today = np.datetime64(x.session_date, "D")
-                last = seen[np.searchsorted(seen, today, side="right") - 1]
-                stale = (today - last).astype(int) > STALE_DAYS
-                if state is None:
-                    if stale and last == seen[-1]:
-                        break
-                    if stale:
-                        continue
-                    state = "APPROACHING"
-                above, was = x.close > r.level * (1 + ZONE), state
-                age += 1
-                if stale:
-                    state = "EXPIRED"
-                elif state == "APPROACHING":
-                    state = "PENDING" if above else "EXPIRED" if age > EXPIRE_APPROACHING else state
-                elif state == "PENDING":
-                    if x.close < r.level - DECISIVE * x.atr:
-                        state = "FAILED"
-                    elif above:
-                        state = "CONFIRMED"
-                    else:
-                        inside += 1
-                        state = "FAILED" if inside >= 2 else "EXPIRED" if age > EXPIRE_PENDING else state
-                elif state == "CONFIRMED":
-                    inside = 0 if above else inside + 1
-                    if x.close < r.level - DECISIVE * x.atr or inside >= 2:
-                        state = "FAILED"
-                    elif age > EXPIRE_CONFIRMED:
-                        state = "COMPLETED"
-                if state == "PENDING" and was == "APPROACHING" and x.volume >= 1.5 * x.average_volume:
-                    state = "CONFIRMED"
-                if state != was:
-                    rows.append((f"{r.key}:{attempt}", r.instrument_id, x.session_date, state, r.level, x.close))
-                    age = 0
-                    if state in ("FAILED", "EXPIRED", "COMPLETED"):
-                        failures += state == "FAILED"
-                        if failures == most_attempts or state == "COMPLETED":
-                            break
-                        attempt, state, inside = attempt + 1, None, 0
-        return pd.DataFrame(rows, columns=[k.split()[0] for k in _EVENT.split(", ")])
-
-    return bars.groupBy("instrument_id").cogroup(boundaries.groupBy("instrument_id")).applyInPandas(fold, _EVENT)
-
-
 def event_identity(instrument: Column, anchor: Column, attempt: Column) -> Column:
     return identity(instrument, F.lit("1d"), anchor, attempt)
 
 
-def state_on(history: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (event_key, on) with the state of the event on that date."""
-    h = history.select("event_key", "session_date", "state")
-    return asked.join(h, "event_key").where(F.col("session_date") <= F.col("on")).groupBy("event_key", "on").agg(F.max_by("state", "session_date").alias("state"))
-
-
 def churn(history: DataFrame) -> DataFrame:
     """Observations per identity: quantiles by position int(q * (n - 1)) of the sorted counts, and the share observed once."""
     per = history.groupBy("key").agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vantage.functions.scalar import digest, digest_sql
+from vantage.operators import breakout as BR
 from vantage.operators import features as X
+from vantage.operators import machine as MA
 from vantage.operators import screens as O
 from vantage.operators import structure as P
 from vantage.operators import tracking as K
@@ -103,17 +105,48 @@ register("v11_concentration", lambda s, d: K.concentration(_found(s, d)))
 register("v12_churn_tracked", lambda s, d: K.churn(_found(s, d)))
 
 
-def _events(s, d):
+def _boundaries(s, d):
+    """Levels frozen at the first early sighting of each structure, with the ATR of that session and the zone around them."""
     found = _found(s, d)
     early = "state in ('MATURE', 'NEAR_BREAKOUT')"
     watched = found.where(f"{early} or state = 'BROKEN_OUT_UNCONFIRMED'").withColumn("_early", F.when(F.expr(early), F.col("session_date")))
-    edge = watched.groupBy("instrument_id", "key").agg(F.min_by("level", "_early").alias("level"), F.min("_early").alias("frozen_on"), F.collect_set("session_date").alias("seen")).where("frozen_on is not null")
-    b = _bars(s, d).withColumn("average_volume", F.avg("volume").over(X.prior(20))).join(X.recursive_features(_bars(s, d)).select("instrument_id", "session_date", F.col("atr_14").alias("atr")), ["instrument_id", "session_date"]).where("atr is not null")
-    return K.events(b.select("instrument_id", "session_date", "close", "volume", "average_volume", "atr"), edge)
+    edge = watched.groupBy("instrument_id", "key").agg(F.min_by("level", "_early").alias("level"), F.min_by("atr", "_early").alias("atr"), F.min_by("quality", "_early").alias("confidence"), F.min("_early").alias("frozen_on"), F.collect_set("session_date").alias("seen"))
+    return edge.where("frozen_on is not null and atr is not null").withColumn("tolerance", BR.zone(F.col("level"), F.col("atr"), F.col("confidence"))).withColumn("touches", F.lit(2))
+
+
+def _followed(s, d):
+    return _bars(s, d).withColumn("average_volume", F.coalesce(F.avg("volume").over(X.prior(20)), F.lit(0.0))).select("instrument_id", "session_date", "open", "high", "low", "close", "volume", "average_volume")
+
+
+def _events(s, d):
+    return MA.histories(_followed(s, d), _boundaries(s, d))
+
+
+register("b17_events", lambda s, d: MA.with_event_key(_events(s, d)))
+register("b18_active", lambda s, d: MA.active(_events(s, d)))
+register("b19_defeated", lambda s, d: MA.defeated(_events(s, d)))
+register("b26_event_states", lambda s, d: _events(s, d).groupBy("to_state").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("instrument_id", "key", "attempt").alias("attempts")))
+
+
+def _recent_high(s, d):
+    """Levels for which SQL knows the answer to every step before a close above: the highest high of each series' first 60 sessions."""
+    x = _bars(s, d).withColumns({"n": F.row_number().over(X.series()), "tr": X.true_range()})
+    return x.where("n <= 60").groupBy("instrument_id").agg(F.max("high").alias("level"), F.max("session_date").alias("frozen_on"), F.avg("tr").alias("atr")).withColumns({"key": F.lit("first"), "confidence": F.lit(50.0), "touches": F.lit(2)}).withColumn("tolerance", BR.zone(F.col("level"), F.col("atr"), F.col("confidence"))).withColumn("seen", F.sequence("frozen_on", F.date_add("frozen_on", 4000)))
+
+
+def _first_attempts(s, d):
+    h = MA.histories(_followed(s, d), _recent_high(s, d)).where("attempt = 1")
+    early = ("not_approaching", "approaching", "testing_resistance", "intraday_break", "closed_above", "rejected")
+    return h.where(F.col("to_state").isin(*early)).select("instrument_id", "session_date", "to_state")
 
 
-register("b17_events", _events)
-register("b26_event_states", lambda s, d: _events(s, d).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_key").alias("events")))
+register("b30_first_attempts", _first_attempts, with_tables("bars", """with n as (select *, row_number() over w as n, case when lag(close) over w is not null then greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) end as tr from bars window w as (partition by instrument_id order by session_date)),
+l as (select instrument_id, max(high) as level, max(session_date) as frozen_on, avg(tr) as atr from n where n <= 60 group by 1), z as (select *, least(2e-2, greatest(15e-4, 1e-1 * atr / level) * 13e-1) as tolerance from l),
+p as (select b.*, level, atr, tolerance, level * (1 + tolerance) as top, row_number() over (partition by b.instrument_id order by b.session_date) as age from bars b join z using (instrument_id) where b.session_date > frozen_on),
+s as (select *, case when close > top then 'closed_above' when high > top and close < level and ((high - greatest(open, close)) / nullif(high - low, 0) >= 5e-1 or (close - low) / nullif(high - low, 0) <= 35e-2) then 'rejected' when age - 1 > 40 then 'expired' when high > top then 'intraday_break'
+  when high between level * (1 - tolerance) and top or abs((level - close) / atr) <= 4e-1 then 'testing_resistance' when (level - close) / atr <= 25e-1 and (level - close) / level <= 12e-2 then 'approaching' else 'not_approaching' end as st from p),
+e as (select *, min(case when st in ('closed_above', 'rejected', 'expired') then age end) over (partition by instrument_id) as ends, lag(st) over (partition by instrument_id order by age) as was from s)
+select instrument_id, session_date, st as to_state from e where age <= coalesce(ends, 1000000) and st <> 'expired' and (was is null or was <> st)"""))
 
 
 def _latest(s, d):

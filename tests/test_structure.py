@@ -7,6 +7,7 @@ import pytest
 
 from vantage.operators import structure as P
 from vantage.operators import tracking as K
+from vantage.operators.families import FINDERS, Chart
 from vantage.sources.fixtures import frame
 
 DAY0 = dt.date(2020, 1, 1)
@@ -26,13 +27,17 @@ def test_every_session_is_read(bars):
     expected = {}
     for instrument, x in bars.toPandas().sort_values("session_date").groupby("instrument_id"):
         days = x["session_date"].to_numpy()
-        h, lo, c, v = (x[k].to_numpy(float) for k in ("high", "low", "close", "volume"))
+        o, h, lo, c, v = (x[k].to_numpy(float) for k in ("open", "high", "low", "close", "volume"))
         span = P.atr(h, lo, c)
         for t in range(60, len(x)):
             own = slice(max(0, t + 1 - P.LOOKBACK), t + 1)
             highs, lows = P._pivots(h[own], P.LEFT, P.RIGHT), P._pivots(-lo[own], P.LEFT, P.RIGHT)
-            for family, find in P._FIND.items():
-                got = find(P._Series(h[own], lo[own], c[own], v[own], highs, lows), len(h[own]) - P.RIGHT)
+            chart = Chart(o[own], h[own], lo[own], c[own], v[own], span[own], highs, lows)
+            for family in P.FAMILIES:
+                if t < P.WARM[family]:
+                    continue
+                end = len(h[own]) - P.RIGHT
+                got = P._FIND[family](P._Series(h[own], lo[own], c[own], v[own], highs, lows), end) if family in P._FIND else FINDERS[family](chart, end - 1)
                 if got is not None and got[2] < got[1]:
                     expected[instrument, days[t], family] = (days[own][got[0]], round(got[1], 6), round(float(got[2]), 6), round(100 * float(np.mean(list(got[3].values()))), 4), span[t])
     assert len(expected) > 100 and found == expected
@@ -46,28 +51,41 @@ def test_carry_counts_sessions(spark):
     assert steps == {("a", day(0), None, "MATURE"), ("b", day(3), None, "MATURE"), ("a", day(K.CARRY + 1), "MATURE", "EXPIRED")}
 
 
-def _events(spark, closes, seen, frozen=0):
-    bars = spark.createDataFrame([(1, day(n), float(c), 1.0, 1.0, 1.0) for n, c in enumerate(closes)], "instrument_id int, session_date date, close double, volume double, average_volume double, atr double")
-    edge = spark.createDataFrame([(1, "k", 100.0, day(frozen), [day(n) for n in seen])], "instrument_id int, key string, level double, frozen_on date, seen array<date>")
-    return [(r.event_key, (r.session_date - DAY0).days, r.state) for r in K.events(bars, edge).orderBy("session_date", "event_key").collect()]
-
-
-def test_events_are_followed_to_their_end(spark):
-    """A level first broken 70 sessions on, and confirmed until its term: nothing ends by a count of bars."""
-    closes = [99.5] * 70 + [101] * 40
-    assert _events(spark, closes, range(110)) == [("k:1", 41, "EXPIRED"), ("k:2", 70, "PENDING"), ("k:2", 71, "CONFIRMED"), ("k:2", 102, "COMPLETED")]
-
-
-def test_a_stale_boundary_opens_no_attempt(spark):
-    assert _events(spark, [99.5] * 130, range(5)) == [("k:1", 4 + K.STALE_DAYS + 1, "EXPIRED")]
-    again = _events(spark, [99.5] * 70 + [101] * 3, [*range(5), 70, 71])
-    assert again == [("k:1", 4 + K.STALE_DAYS + 1, "EXPIRED"), ("k:2", 70, "PENDING"), ("k:2", 71, "CONFIRMED")]
-
-
-def test_attempts_that_ran_out_of_time_do_not_end_a_level(spark):
-    assert _events(spark, [99.5] * 170 + [101] * 2, range(172))[-2:] == [("k:5", 170, "PENDING"), ("k:5", 171, "CONFIRMED")]
-    beaten = _events(spark, [99.5, *[101, 90] * 6], range(13))
-    assert [x for _, _, x in beaten] == ["PENDING", "FAILED"] * 3
+def chart(*legs):
+    """A chart along straight legs (sessions, price at the end), with its confirmed pivots."""
+    price = [legs[0][1]]
+    for n, to in legs[1:]:
+        price += np.linspace(price[-1], to, n + 1)[1:].tolist()
+    c = np.array(price)
+    high, low = c * 1.004, c * 0.996
+    return Chart(c * 0.999, high, low, c, np.full(len(c), 100.0), np.full(len(c), 1.5), P._pivots(high, 3, 3), P._pivots(-low, 3, 3)), len(c) - 4
+
+
+SHAPES = {
+    "bull_flag": [(0, 100), (22, 90), (10, 115), (10, 110), (4, 111)],
+    "pennant": [(0, 100), (22, 90), (14, 115), (3, 107), (3, 114), (3, 109), (3, 112), (3, 110), (3, 111)],
+    "high_tight_flag": [(0, 100), (22, 90), (25, 170), (8, 160), (4, 164)],
+    "cup_handle": [(0, 80), (25, 100), (25, 80), (15, 79), (25, 99), (6, 94), (5, 97)],
+    "inverse_head_shoulders": [(0, 130), (45, 100), (8, 108), (8, 92), (9, 108), (8, 100), (6, 107)],
+    "base_on_base": [(0, 70), (60, 100), (5, 93), (7, 100), (5, 94), (5, 99), (3, 103), (5, 97), (6, 103), (5, 98), (4, 101)],
+    "breakout_retest": [(0, 90), (10, 100), (8, 93), (10, 100), (8, 93), (10, 100), (8, 95), (12, 108), (8, 101), (6, 105)],
+}
+
+
+@pytest.mark.parametrize("family", sorted(SHAPES))
+def test_families_find_what_they_name(family):
+    c, end = chart(*SHAPES[family])
+    first, level, invalidation, parts = FINDERS[family](c, end)
+    assert 0 <= first < end and invalidation < level and all(0 <= x <= 1 for x in parts.values())
+    flat, last = chart((0, 100), (120, 100.5))
+    assert FINDERS[family](flat, last) is None
+
+
+def test_latest_scan_is_the_end_of_the_full_one(bars):
+    full = {tuple(r) for r in P.detect(bars).collect()}
+    last = {r.instrument_id: r.d for r in bars.groupBy("instrument_id").agg({"session_date": "max"}).withColumnRenamed("max(session_date)", "d").collect()}
+    short = {tuple(r)[:8] for r in P.detect_latest(bars).collect()}
+    assert short == {r[:8] for r in full if r[1] == last[r[0]]}  # the ATR's memory is the one thing that a bounded scan starts anew
 
 
 @pytest.mark.parametrize("kind", ["high", "low"])

@@ -87,14 +87,14 @@ def pennant(chart: Chart, end: int) -> Found | None:
     for origin, peak, gain in _advances(chart, end, (3, 25), (5, 25)):
         if gain < 0.1 or end - peak > 1.2 * (peak - origin):
             continue
-        x, flag = np.arange(end - peak), slice(peak + 1, end + 1)
-        upper, lower = (np.polyfit(x, side[flag], 1) for side in (chart.high, chart.low))
-        wide, narrow = upper[1] - lower[1], np.polyval(upper, x[-1]) - np.polyval(lower, x[-1])
-        closing = 1 - narrow / wide if wide > 0 else 0.0
-        steep = sorted((abs(upper[0]), abs(lower[0])))
-        if closing < 0.35 or upper[0] >= 0 or lower[0] <= 0 or steep[1] > 3 * max(steep[0], 1e-12):
-            continue
-        parts = {"impulse": share(gain, 0.1, 0.3), "convergence": share(closing, 0.35, 0.45), "symmetry": 1 - share(steep[1] / max(steep[0], 1e-12), 1, 3), "duration": held(end - peak, 4, 6, 15, 26), "volume": _dry(chart, origin, peak, end)}
+        flag, third = slice(peak + 1, end + 1), max(2, (end - peak) // 3)
+        tops = chart.high[flag][:third].max(), chart.high[flag][-third:].max()
+        floors = chart.low[flag][:third].min(), chart.low[flag][-third:].min()
+        closing = 1 - (tops[1] - floors[1]) / (tops[0] - floors[0])
+        steep = sorted((tops[0] - tops[1], floors[1] - floors[0]))
+        if closing < 0.35 or steep[0] <= 0 or steep[1] > 3 * steep[0]:
+            continue
+        parts = {"impulse": share(gain, 0.1, 0.3), "convergence": share(closing, 0.35, 0.45), "symmetry": 1 - share(steep[1] / steep[0], 1, 3), "duration": held(end - peak, 4, 6, 15, 26), "volume": _dry(chart, origin, peak, end)}
         return origin, float(chart.high[flag].max()), float(chart.low[flag].min()), parts
     return None
 

@@ -7,6 +7,7 @@ series or picks up where a stream left off.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,9 +77,11 @@ class Attempt:
     quality: float = 0.0
     relative_volume: float | None = None
     since: int = 0
-    top_close: float = 0.0
-    floor_low: float = 0.0
     spread: float = 0.0
+    floor_low: float = 0.0
+    later_top: float = -math.inf
+    later_low: float = math.inf
+    later_spread: float = 0.0
     later_volume: float = 0.0
     closes: int = 0
     run: int = 0
@@ -90,7 +93,7 @@ class Attempt:
 
 @dataclass
 class Monitor:
-    """One level with its attempts; ``take`` feeds a session and returns (attempt, state, reason) where the state changed."""
+    """One level with its attempts; ``take`` feeds a session and returns (attempt, state, reason) of every change of state."""
 
     level: float
     tolerance: float
@@ -103,28 +106,29 @@ class Monitor:
     previous_close: float | None = None
     closed: bool = False
 
-    def take(self, bar: Bar, watched: bool) -> tuple[int, str, str] | None:
+    def take(self, bar: Bar, watched: bool) -> list[tuple[int, str, str]]:
         """``watched``: the structure behind the level has been observed lately."""
-        out = None
-        if not self.closed:
-            now = self.attempt
-            if now is None and watched:
+        out, now = [], self.attempt
+        if not self.closed and (now is not None or watched):
+            was = None
+            if now is None:
                 self.number += 1
                 now = self.attempt = Attempt(self.number)
                 self._advance(now, bar)
-                out = (now.number, now.state, now.reason)
-            elif now is not None:
+            else:
                 was = now.state
-                if watched or was in RETESTING or now.since:
+                if watched or now.since:
                     self._advance(now, bar)
                 else:
                     now.state, now.reason = "expired", "timed_out"
-                out = (now.number, now.state, now.reason) if now.state != was else None
-            if now is not None and (now.state in TERMINAL or now.state == "rejected"):
-                self.rejections += now.state == "rejected"
+            if now.state != was:
+                out.append((now.number, now.state, now.reason))
+            if now.state == "rejected":
+                self.rejections += 1
                 if self.rejections >= MOST_REJECTIONS:
-                    out = (now.number, "failed_breakout", "repeated_rejection")
+                    out.append((now.number, "failed_breakout", "repeated_rejection"))
                     self.closed = True
+            if now.state in TERMINAL or now.state == "rejected":
                 self.attempt = None
         self.previous_close = bar.close
         return out
@@ -143,8 +147,7 @@ class Monitor:
         if bar.close > top:
             a.state, a.reason = "closed_above", "qualifying_close"
             a.close, a.low, a.volume, a.since, a.closes, a.run = bar.close, bar.low, bar.volume, 1, 1, 1
-            a.top_close, a.floor_low = bar.close, bar.low
-            a.spread = span
+            a.floor_low, a.spread = bar.low, span
             a.relative_volume = bar.volume / bar.average_volume if bar.average_volume > 0 else None
             a.quality = self._quality(bar, place, wick, a.relative_volume)
             return
@@ -189,8 +192,10 @@ class Monitor:
         a.closes += above
         a.run = a.run + 1 if above else 0
         a.inside = a.inside + 1 if bar.close < self.level * (1 - self.tolerance) else 0
-        a.top_close, a.floor_low = max(a.top_close, bar.close), min(a.floor_low, bar.low)
+        a.floor_low = min(a.floor_low, bar.low)
+        a.later_top, a.later_low = max(a.later_top, bar.close), min(a.later_low, bar.low)
         a.spread += bar.high - bar.low
+        a.later_spread += bar.high - bar.low
         a.later_volume += bar.volume
         if self.atr > 0 and (self.level - bar.close) / self.atr >= DECISIVE:
             a.state, a.reason = "failed_breakout", "closed_back_inside"
@@ -248,9 +253,9 @@ class Monitor:
         if n:
             atr = self.atr
             terms = {
-                "progress": _ramp((a.top_close - a.close) / atr, 0, 1) if atr > 0 else 50.0,
-                "adverse": _ramp(max(0.0, (a.close - a.floor_low) / atr), 1, 0) if atr > 0 else 50.0,
-                "expansion": _ramp(a.spread / a.since / atr, 0, 1.2) if atr > 0 else 50.0,
+                "progress": _ramp((a.later_top - a.close) / atr, 0, 1) if atr > 0 else 50.0,
+                "adverse": _ramp(max(0.0, (a.close - a.later_low) / atr), 1, 0) if atr > 0 else 50.0,
+                "expansion": _ramp(a.later_spread / n / atr, 0, 1.2) if atr > 0 else 50.0,
                 "volume": _ramp(a.later_volume / n / a.volume, 0, 0.7) if a.volume > 0 else 50.0,
             }
             follow = sum(v * FOLLOW_THROUGH[k] for k, v in terms.items())
@@ -300,9 +305,7 @@ def histories(bars: DataFrame, boundaries: DataFrame) -> DataFrame:
             for i, x in enumerate(bar[first:]):
                 if m.closed or (i >= final and m.attempt is None):
                     break
-                change = m.take(x, watched[i])
-                if change:
-                    number, state, reason = change
+                for number, state, reason in m.take(x, watched[i]):
                     rows.append((group[0], r.key, number, x.day.item(), was.get(number), state, reason, r.level, x.close))
                     was[number] = state
         return pd.DataFrame(rows, columns=_NAMES)
@@ -322,5 +325,5 @@ def active(history: DataFrame) -> DataFrame:
 
 def defeated(history: DataFrame, most: int = MOST_REJECTIONS) -> DataFrame:
     """Levels that were rejected so often that no further attempt opens."""
-    n = history.where("to_state = 'rejected' or reason = 'repeated_rejection'").groupBy("instrument_id", "key").agg(F.count(F.lit(1)).alias("rejections"))
+    n = history.where("to_state = 'rejected'").groupBy("instrument_id", "key").agg(F.count(F.lit(1)).alias("rejections"))
     return n.where(F.col("rejections") >= most)

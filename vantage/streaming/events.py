@@ -37,9 +37,7 @@ def event_stream(bars: DataFrame, boundaries: DataFrame) -> DataFrame:
             watched = bool((day - seen[np.searchsorted(seen, day, side="right") - 1]).astype(int) <= STALE_DAYS)
             if not watched and monitor.attempt is None and day > seen[-1]:
                 continue
-            change = monitor.take(Bar(day, r.open, r.high, r.low, r.close, r.volume, r.average_volume), watched)
-            if change:
-                number, now, reason = change
+            for number, now, reason in monitor.take(Bar(day, r.open, r.high, r.low, r.close, r.volume, r.average_volume), watched):
                 rows.append((group[0], group[1], number, r.session_date, was.get(number), now, reason, r.level, r.close))
                 was[number] = now
         state.update((pickle.dumps((monitor, was)),))

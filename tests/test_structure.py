@@ -63,7 +63,7 @@ def chart(*legs):
 
 SHAPES = {
     "bull_flag": [(0, 100), (22, 90), (10, 115), (10, 110), (4, 111)],
-    "pennant": [(0, 100), (22, 90), (14, 115), (3, 107), (3, 114), (3, 109), (3, 112), (3, 110), (3, 111)],
+    "pennant": [(0, 100), (22, 90), (14, 115), (2, 106), (2, 114), (3, 108), (3, 112), (3, 109.5), (2, 110.5), (1, 110)],
     "high_tight_flag": [(0, 100), (22, 90), (25, 170), (8, 160), (4, 164)],
     "cup_handle": [(0, 80), (25, 100), (25, 80), (15, 79), (25, 99), (6, 94), (5, 97)],
     "inverse_head_shoulders": [(0, 130), (45, 100), (8, 108), (8, 92), (9, 108), (8, 100), (6, 107)],

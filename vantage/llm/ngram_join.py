@@ -52,7 +52,8 @@ N2, K2 = 3, 1
 SUBSETS = tuple(combinations(range(N2), N2 - K2))
 KEYS_PER_BUCKET = 1_500_000
 MEMBERS_PER_TASK = 50_000
-MEMBERS_PER_BLOCK = 150_000
+MEMBERS_PER_BLOCK = 100_000
+PAIRS_AT_ONCE = 250_000
 TEXT_BLOCK = 2_000_000
 TEXTS_PER_BLOCK = 512
 GATHERED = 4_000_000
@@ -356,11 +357,12 @@ def _homes(candidates: DataFrame, classes: DataFrame) -> DataFrame:
 def _across(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of one signature group in different components that sizes and sketches allow.
 
-    members: key, rep, n, sketch, component, home.  Groups with the same smallest home are compared together, so a pair that
-    shares many signatures comes out once.  The members of a home are cut into blocks, alike in all its groups, that hold
+    members: key, rep, n, sketch, component, home.  Groups in which the same home is the most frequent are compared together, so
+    a pair that shares many signatures comes out once.  The members of a home are cut into blocks, alike in all its groups, that hold
     about MEMBERS_PER_BLOCK rows, and each pair of blocks is dealt to a task by itself; small homes share one.
     """
-    groups = members.groupBy("key").agg(F.min("home").alias("of"), F.count(F.lit(1)).alias("c"))
+    homes = members.groupBy("key", "home").agg(F.count(F.lit(1)).alias("c"))
+    groups = homes.groupBy("key").agg(F.max_by("home", F.struct("c", F.xxhash64("key", "home"))).alias("of"), F.sum("c").alias("c"))
     sizes = groups.groupBy("of").agg(F.ceil(F.sum("c") / MEMBERS_PER_BLOCK).cast("int").alias("blocks"))
     tasks = max(1, members.count() // MEMBERS_PER_TASK)
     dealt = members.join(groups.select("key", "of"), "key").join(sizes, "of").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -380,7 +382,7 @@ def _across(members: DataFrame) -> DataFrame:
         kept, first = [], 0
         edge = np.concatenate(([0], np.cumsum(count)))
         while first < len(rep):
-            last = max(first + 1, int(np.searchsorted(edge, edge[first] + 1_000_000, side="right")) - 1)
+            last = max(first + 1, int(np.searchsorted(edge, edge[first] + PAIRS_AT_ONCE, side="right")) - 1)
             x = np.repeat(here[first:last], count[first:last])
             y = x + 1 + np.arange(len(x)) - np.repeat(edge[first:last] - edge[first], count[first:last])
             good = (part[x] != part[y]) & ((block[x] != block[y]) | own[x])

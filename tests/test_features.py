@@ -46,7 +46,29 @@ def test_kernels():
     assert X.rsi(np.arange(20.0))[-1] == 100 and X.rsi(np.ones(20))[-1] == 50
     flat = np.full(60, 10.0)
     a, p, m = X.adx(flat + 1, flat - 1, flat)
-    assert a[-1] == 0 and p[-1] == 0 and m[-1] == 0
+    assert np.isnan(a).all() and p[-1] == 0 and m[-1] == 0  # no movement either way
+    assert all(np.isnan(y).all() for y in X.adx(flat, flat, flat)) and all(np.isnan(y).all() for y in X.adx(x, x - 1, x))
+    rise = np.arange(60.0)
+    assert X.adx(rise + 1, rise, rise + 0.5)[0][-1] == pytest.approx(100)
+
+
+def test_smoothing_against_plain_loops():
+    x = np.random.default_rng(2).normal(100, 3, 80)
+    value, smooth = x[:12].mean(), [x[:12].mean()]
+    for v in x[12:]:
+        value = value + 2 / 13 * (v - value)
+        smooth.append(value)
+    np.testing.assert_allclose(X.ema(x, 12)[11:], smooth, rtol=1e-12)
+    high, low = x + 1, x - 1
+    ranges = [max(h - lo, abs(h - c), abs(lo - c)) for h, lo, c in zip(high[1:], low[1:], x[:-1])]
+    value, spans = np.mean(ranges[:14]), [np.mean(ranges[:14])]
+    for v in ranges[14:]:
+        value = value + (v - value) / 14
+        spans.append(value)
+    np.testing.assert_allclose(X.atr(high, low, x)[14:], spans, rtol=1e-12)
+    line, signal, rest = X.macd(x)
+    np.testing.assert_allclose(line[25:], X.ema(x, 12)[25:] - X.ema(x, 26)[25:])
+    np.testing.assert_allclose(rest[40:], line[40:] - signal[40:])
 
 
 def test_greatest_does_not_fill_the_first_true_range(bars):

@@ -45,7 +45,7 @@ def split_adjusted(bars: DataFrame, splits: DataFrame) -> DataFrame:
     listed = splits.groupBy("instrument_id").agg(F.array_sort(F.collect_list(F.struct("ex_date", "ratio"))).alias("_splits"))
     after = F.filter("_splits", lambda s: s["ex_date"] > F.col("session_date"))
     factor = F.aggregate(after, F.lit(1.0), lambda acc, s: acc * s["ratio"])
-    out = bars.join(F.broadcast(listed), "instrument_id", "left").withColumn("factor", F.coalesce(factor, F.lit(1.0)))
+    out = bars.join(listed, "instrument_id", "left").withColumn("factor", F.coalesce(factor, F.lit(1.0)))
     prices = {c: (F.col(c) / F.col("factor")).alias(c) for c in ("open", "high", "low", "close") if c in bars.columns}
     return out.select(*(prices.get(c, (F.col(c) * F.col("factor")).alias(c) if c == "volume" else F.col(c)) for c in bars.columns), "factor")
 
@@ -62,7 +62,7 @@ def total_return_adjusted(bars: DataFrame, dividends: DataFrame) -> DataFrame:
     after = F.filter("_cash", lambda s: s["ex_date"] > F.col("session_date"))
     factor = F.aggregate(after, F.lit(1.0), lambda acc, s: acc * s["ratio"])
     return (
-        bars.join(F.broadcast(listed), "instrument_id", "left")
+        bars.join(listed, "instrument_id", "left")
         .withColumn("factor", F.coalesce(factor, F.lit(1.0)))
         .select("instrument_id", "session_date", (F.col("close") * F.col("factor")).alias("close"), "factor")
     )
@@ -150,8 +150,8 @@ def prefix_mode(facts: DataFrame) -> DataFrame:
 
 def shifted(df: DataFrame, calendar: DataFrame, n: int, on: str = "session_date") -> DataFrame:
     """Adds ``shifted``: the session n sessions after (before, if negative) that of ``on``; two equi-joins on the small calendar."""
-    here = F.broadcast(calendar.select(F.col("session_date").alias("_d"), F.col("session_ord").alias("_o")))
-    there = F.broadcast(calendar.select(F.col("session_date").alias("shifted"), F.col("session_ord").alias("_to")))
+    here = calendar.select(F.col("session_date").alias("_d"), F.col("session_ord").alias("_o"))
+    there = calendar.select(F.col("session_date").alias("shifted"), F.col("session_ord").alias("_to"))
     return df.join(here, F.col(on) == F.col("_d"), "left").join(there, F.col("_o") + n == F.col("_to"), "left").drop("_d", "_o", "_to")
 
 
@@ -159,7 +159,7 @@ def sessions_between(df: DataFrame, calendar: DataFrame, first: str, last: str)
     """Adds n_sessions: sessions from ``first`` to ``last``, both included."""
     counted = calendar.select("session_date", "session_ord")
     a, b = counted.select(F.col("session_date").alias("_a"), F.col("session_ord").alias("_i")), counted.select(F.col("session_date").alias("_b"), F.col("session_ord").alias("_j"))
-    return df.join(F.broadcast(a), F.col(first) == F.col("_a"), "left").join(F.broadcast(b), F.col(last) == F.col("_b"), "left").withColumn("n_sessions", F.col("_j") - F.col("_i") + 1).drop("_a", "_b", "_i", "_j")
+    return df.join(a, F.col(first) == F.col("_a"), "left").join(b, F.col(last) == F.col("_b"), "left").withColumn("n_sessions", F.col("_j") - F.col("_i") + 1).drop("_a", "_b", "_i", "_j")
 
 
 def causal_knowledge(facts: DataFrame) -> DataFrame:
@@ -179,3 +179,15 @@ def sessions_within(intervals: DataFrame, calendar: DataFrame) -> DataFrame:
     spread = intervals.where(F.col("valid_from") <= until).withColumn("_month", F.explode(F.sequence(month("valid_from"), month(until), F.expr("interval 1 month"))))
     days = calendar.withColumn("_of", month("session_date"))
     return spread.join(days, (F.col("_month") == F.col("_of")) & covers(F.col("session_date"), F.col("valid_from"), F.col("valid_to"))).drop("_month", "_of")
+
+
+def by_episode(bars: DataFrame, calendar: DataFrame, compute, most: int = 1000) -> DataFrame:
+    """What ``compute`` makes of each unbroken stretch of a series, with episode_id; no window reaches across a structural break.
+
+    A stretch is a series of its own for as long as it is computed: instrument and episode are put into one id and taken
+    apart again, so every windowed or grouped operator keeps its one key.
+    """
+    numbered = bars.join(calendar.select("session_date", "session_ord"), "session_date") if "session_ord" not in bars.columns else bars
+    split = episodes(numbered).withColumn("instrument_id", (F.col("instrument_id") * most + F.col("episode_id")).cast("int"))
+    out = compute(split.drop("episode_id", "session_ord"))
+    return out.withColumn("episode_id", (F.col("instrument_id") % most).cast("long")).withColumn("instrument_id", F.floor(F.col("instrument_id") / most).cast("int"))

@@ -26,7 +26,7 @@ def aggregate_daily(bars: DataFrame, calendar: DataFrame, timeframe: str, as_of:
         F.count(F.lit(1)).alias("n_sessions"),
         F.max("session_date").alias("period_end"),
     )
-    return folded.join(F.broadcast(ends), "period_start").withColumn("complete", F.col("scheduled_end") <= as_of)
+    return folded.join(ends, "period_start").withColumn("complete", F.col("scheduled_end") <= as_of)
 
 
 def completed_only(bars: DataFrame) -> DataFrame:

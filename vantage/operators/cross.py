@@ -19,7 +19,7 @@ VOLATILITY_SCORES = {"LOW": 0.5, "NORMAL": 0.25, "ELEVATED": -0.25, "HIGH": -0.7
 
 def compare_to_benchmarks(bars: DataFrame, benchmarks: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS) -> DataFrame:
     """Relative return, excess, ratio trend and ratio momentum per benchmark and lookback, over shared sessions only."""
-    both = bars.select("instrument_id", "session_date", "close").join(F.broadcast(benchmarks.select("benchmark_id", "session_date", F.col("close").alias("bench"))), "session_date")
+    both = bars.select("instrument_id", "session_date", "close").join(benchmarks.select("benchmark_id", "session_date", F.col("close").alias("bench")), "session_date")
     w = Window.partitionBy("instrument_id", "benchmark_id").orderBy("session_date")
     ratio = F.col("close") / F.col("bench")
 

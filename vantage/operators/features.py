@@ -176,17 +176,23 @@ def atr(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> np
 
 
 def adx(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ADX, +DI and -DI; moves that differ by rounding only count for neither side."""
+    """ADX, +DI and -DI; moves that differ by rounding only count for neither side.
+
+    Undefined where the smoothed range is 0, ADX also where there is no movement either way, and all in a series of 2 n sessions or fewer.
+    """
+    none = np.full(len(close), np.nan)
+    if len(close) < 2 * n + 1:
+        return none, none.copy(), none.copy()
     up, down = np.diff(high, prepend=np.nan), -np.diff(low, prepend=np.nan)
-    tie = 32 * EPS * np.maximum(np.abs(high), np.abs(low))
+    size = np.maximum(np.abs(high), np.abs(low))
+    tie = 32 * EPS * np.maximum(size, np.concatenate(([0.0], size[:-1])))
     plus = np.where((up > down + tie) & (up > tie), up, 0.0)
     minus = np.where((down > up + tie) & (down > tie), down, 0.0)
     plus[:1], minus[:1] = np.nan, np.nan
     span = wilder(true_ranges(high, low, close), n)
     with np.errstate(divide="ignore", invalid="ignore"):
-        p, m = 100 * wilder(plus, n) / span, 100 * wilder(minus, n) / span
-        p[span == 0], m[span == 0] = 0, 0
-        dx = np.where(p + m > 0, 100 * np.abs(p - m) / (p + m), np.where(np.isnan(p), np.nan, 0.0))
+        p, m = (np.where(span > 0, 100 * wilder(x, n) / span, np.nan) for x in (plus, minus))
+        dx = np.where(p + m > 0, 100 * np.abs(p - m) / (p + m), np.nan)
     return wilder(dx, n), p, m
 
 
@@ -205,7 +211,7 @@ def recursive_features(bars: DataFrame) -> DataFrame:
         columns = (ema(c, 12), ema(c, 26), wilder(c, 14), rsi(c), *macd(c), a, percent, *adx(h, lo, c))
         out = x[["instrument_id", "session_date"]].copy()
         for name, values in zip(RECURSIVE, columns, strict=True):
-            out[name] = pd.Series(values, index=out.index).astype(object).where(~np.isnan(values), None)
+            out[name] = pd.array(values, dtype="Float64", copy=False) if not np.isnan(values).any() else pd.arrays.FloatingArray(np.nan_to_num(values), np.isnan(values))
         return out
 
     kinds = ", ".join(f"{n} double" for n in RECURSIVE)

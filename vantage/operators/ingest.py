@@ -60,8 +60,12 @@ def mapping_report(raw: DataFrame, dataset: str) -> DataFrame:
     return raw.sparkSession.createDataFrame(rows, "column string, problem string")
 
 
-def coerced(kind: str, text: Column) -> tuple[Column, Column]:
-    """The typed value (null if it can't be) and the name of the correction that was needed (null if none)."""
+def coerced(kind: str, text: Column, decimal_comma: bool = False) -> tuple[Column, Column]:
+    """The typed value (null if it can't be) and the name of the correction that was needed (null if none).
+
+    A comma is a decimal comma only where the delivery says so; then points group thousands, and digits that mix the two
+    the other way are refused.
+    """
     t = F.trim(text)
     if kind == "int":
         return F.when(t.rlike(r"^[+-]?\d{1,18}$"), t.cast("long")), F.when(t != text, "trimmed")
@@ -70,7 +74,7 @@ def coerced(kind: str, text: Column) -> tuple[Column, Column]:
         value = F.when(iso, F.try_to_date(t, "yyyy-MM-dd")).when(slashed, F.try_to_date(t, "yyyy/MM/dd")).when(packed, F.try_to_date(t, "yyyyMMdd"))
         return value, F.when(slashed, "slashes").when(packed, "packed_date").when(t != text, "trimmed")
     if kind == "decimal":
-        parsed = let(F.regexp_replace(t, r"[$€£\s]", ""), _decimal)
+        parsed = let(F.regexp_replace(t, r"[$€£\s]", ""), lambda x: _decimal(x, decimal_comma))
         rule = F.coalesce(parsed["rule"], F.when(F.regexp_replace(t, r"[$€£\s]", "") != t, "symbols"), F.when(t != text, "trimmed"))
         return parsed["value"], F.when(parsed["value"].isNotNull(), rule)
     if kind == "bool":
@@ -79,25 +83,29 @@ def coerced(kind: str, text: Column) -> tuple[Column, Column]:
     return F.when(t != "", t), F.when(t != text, "trimmed")
 
 
-def _decimal(bare: Column) -> Column:
+def _decimal(bare: Column, decimal_comma: bool = False) -> Column:
     """(value, rule) of digits with decimal comma, thousands separators or accounting brackets; a percentage is refused."""
     negative = bare.rlike(r"^\(.*\)$")
 
     def read(inner: Column) -> Column:
-        comma, thousands = inner.rlike(r"^-?\d+,\d{1,2}$"), inner.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$")
-        plain = F.when(comma, F.regexp_replace(inner, ",", ".")).when(thousands, F.regexp_replace(inner, ",", "")).otherwise(inner)
+        if decimal_comma:
+            comma, thousands = inner.rlike(r"^-?\d+,\d+$"), inner.rlike(r"^-?\d{1,3}(\.\d{3})+(,\d+)?$")
+            plain = F.when(comma | thousands, F.replace(F.replace(inner, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(~inner.contains("."), inner)
+        else:
+            comma, thousands = F.lit(False), inner.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$")
+            plain = F.when(thousands, F.regexp_replace(inner, ",", "")).otherwise(inner)
         return F.struct(F.when(plain.rlike(r"^[+-]?\d+(\.\d+)?$"), plain.try_cast("decimal(28,6)")).alias("value"), F.when(comma, "decimal_comma").when(thousands, "thousands").alias("rule"))
 
     got = let(F.when(negative, F.concat(F.lit("-"), F.substring(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare), read)
     return F.struct(got["value"].alias("value"), F.when(negative, "accounting_negative").otherwise(got["rule"]).alias("rule"))
 
 
-def normalised(mapped_rows: DataFrame, dataset: str) -> DataFrame:
+def normalised(mapped_rows: DataFrame, dataset: str, decimal_comma: bool = False) -> DataFrame:
     """Typed columns, the raw row, ``corrections`` (array of field, raw, rule) and ``errors`` (fields that can't be read)."""
     contract = CONTRACTS[dataset]
     values, fixes, errors = [], [], []
     for name, (kind, need, _) in contract.items():
-        value, rule = coerced(kind, F.col(name))
+        value, rule = coerced(kind, F.col(name), decimal_comma)
         empty = F.col(name).isNull() | (F.trim(name) == "")
         values.append(value.alias(name))
         fixes.append(F.when(rule.isNotNull(), F.struct(F.lit(name).alias("field"), F.col(name).alias("raw"), rule.alias("rule"))))
@@ -174,8 +182,9 @@ def knowledge_time(kind: str, rows: DataFrame, export_date: Column, estimate: bo
 
 
 def fresh(incoming: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose revision key isn't stored yet, each key once: appending them twice adds nothing."""
-    return incoming.join(stored.select(*key), key, "left_anti").dropDuplicates(key)
+    """Rows whose revision key isn't stored yet, each key once (of several the one that sorts first): appending them twice adds nothing."""
+    new = incoming.join(stored.select(*key), key, "left_anti")
+    return new.groupBy(*key).agg(F.min(F.struct(*new.columns)).alias("x")).select("x.*")
 
 
 def row_digest(columns: list[str]) -> Column:
@@ -199,7 +208,8 @@ def vendor_prices(raw: DataFrame) -> dict[str, DataFrame]:
     """Vendor rows (symbol, payload json array) to bars, splits, dividends and rejects."""
     kind = "array<struct<date:string,open:double,high:double,low:double,close:double,volume:double,split:double,cash:double>>"
     rows = raw.select("symbol", F.explode(F.from_json("payload", kind)).alias("x")).select("symbol", F.try_to_date(F.col("x.date"), "yyyy-MM-dd").alias("session_date"), "x.*").drop("date")
-    good = rows.where("session_date is not null and close is not null").dropDuplicates(["symbol", "session_date"])
+    named = [c for c in rows.columns if c not in ("symbol", "session_date")]
+    good = rows.where("session_date is not null and close is not null").groupBy("symbol", "session_date").agg(F.min(F.struct(*named)).alias("x")).select("symbol", "session_date", "x.*")
     return {
         "bars": good.select("symbol", "session_date", "open", "high", "low", "close", "volume"),
         "splits": good.where("split is not null and split <> 1").select("symbol", F.col("session_date").alias("ex_date"), F.col("split").alias("ratio")),

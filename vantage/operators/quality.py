@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantage.operators.asof import sessions_within
 from vantage.functions.scalar import listed
 
 INFO, WARN, REJECT = "INFO", "WARN", "REJECT"
@@ -48,7 +49,7 @@ def runs(bars: DataFrame, same: Column, least: int, keep: Column | None = None)
 def volume(bars: DataFrame, absurd: float = 1e11, spike: float = 50.0, zero_run: int = 3) -> DataFrame:
     """Negative or absurd volumes, runs without volume, and spikes against the exact median of the positive ones."""
     median = bars.where("volume > 0").groupBy("instrument_id").agg(F.median("volume").alias("m"))
-    spikes = bars.join(F.broadcast(median), "instrument_id").where(F.col("volume") > spike * F.col("m"))
+    spikes = bars.join(median, "instrument_id").where(F.col("volume") > spike * F.col("m"))
     return (
         _finding(bars.where((F.col("volume") < 0) | (F.col("volume") > absurd)), "volume_range", REJECT)
         .unionByName(_finding(runs(bars, F.col("volume") == 0, zero_run, F.col("volume") == 0), "zero_volume_run", WARN, F.col("n")))
@@ -85,8 +86,8 @@ def timestamps(facts: DataFrame, now: Column) -> DataFrame:
 
 def missing_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Exchange sessions between a series' first and last bar for which it has none."""
-    span = bars.groupBy("instrument_id").agg(F.min("session_date").alias("_a"), F.max("session_date").alias("_b"))
-    expected = span.join(F.broadcast(calendar.select("session_date", "session_ord")), F.col("session_date").between(F.col("_a"), F.col("_b")))
+    span = bars.groupBy("instrument_id").agg(F.min("session_date").alias("valid_from"), F.date_add(F.max("session_date"), 1).alias("valid_to"))
+    expected = sessions_within(span, calendar.select("session_date", "session_ord"))
     return expected.join(bars.select("instrument_id", "session_date"), ["instrument_id", "session_date"], "left_anti").select("instrument_id", "session_date", "session_ord")
 
 

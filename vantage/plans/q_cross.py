@@ -37,7 +37,7 @@ r as (select instrument_id, benchmark_id, session_date, lookback, (close / c0) /
 _RELT = "bars benchmarks"
 
 
-register("x01_aligned", lambda s, d: frame(s, d, "bars").join(F.broadcast(frame(s, d, "benchmarks").where("benchmark_id = 101").select("session_date", F.col("close").alias("bench"))), "session_date").select("instrument_id", "session_date", "close", digest(F.col("bench")).alias("bench")),
+register("x01_aligned", lambda s, d: frame(s, d, "bars").join(frame(s, d, "benchmarks").where("benchmark_id = 101").select("session_date", F.col("close").alias("bench")), "session_date").select("instrument_id", "session_date", "close", digest(F.col("bench")).alias("bench")),
          with_tables(_RELT, f"select b.instrument_id, session_date, b.close, {D('m.close')} as bench from bars b join benchmarks m using (session_date) where benchmark_id = 101"))
 register("x02_benchmark_comparison", lambda s, d: _relative(s, d).where("benchmark_id = 101").select("instrument_id", "session_date", "lookback", *(digest(F.col(c), 6).alias(c) for c in ("relative", "excess", "ratio_trend", "ratio_momentum"))),
          with_tables(_RELT, "with " + _REL + f"select instrument_id, session_date, lookback, {', '.join(f'{D(c, 6)} as {c}' for c in ('relative', 'excess', 'ratio_trend', 'ratio_momentum'))} from r where benchmark_id = 101"))

@@ -86,8 +86,7 @@ register("r06_ticker_for", _r06, with_tables("mappings", f"select instrument_id,
 
 def _r07(spark, d):
     days = frame(spark, d, "calendar").where("session_ord % 20 = 0").select("session_date")
-    u = frame(spark, d, "universe")
-    return days.join(F.broadcast(u), asof.covers(F.col("session_date"), F.col("valid_from"), F.col("valid_to"))).select("session_date", "universe", "instrument_id")
+    return asof.sessions_within(frame(spark, d, "universe"), days).select("session_date", "universe", "instrument_id")
 
 
 register("r07_universe", _r07, with_tables("calendar universe", """
@@ -208,17 +207,33 @@ def _flagship(spark, d):
     return top_decile(spark, d, k=60)
 
 
+def share_at_or_below(x, value: str, name: str, width: float = 1e-3):
+    """Adds the share of all rows whose value is at most the row's: counts of value bins in order, and ranks inside each bin.
+
+    Only the bins, a row for each ``width`` of the value's range, meet in one ordered window.
+    """
+    from pyspark.sql import Window
+
+    binned = x.withColumn("_bin", F.floor(F.col(value) / width))
+    counts = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.orderBy("_bin")
+    upto = counts.select("_bin", (F.sum("_c").over(order) - F.col("_c")).alias("_before"), F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"), "_c")
+    inside = F.cume_dist().over(Window.partitionBy("_bin").orderBy(value)) * F.col("_c")
+    return binned.join(upto, "_bin").withColumn(name, (F.col("_before") + F.round(inside)) / F.col("_all")).drop("_bin", "_before", "_all", "_c")
+
+
 def top_decile(spark, d, k: int):
     from pyspark.sql import Window
 
     bars = asof.history(frame(spark, d, "bar_facts"), _clock())
     bench = frame(spark, d, "benchmarks").where("benchmark_id = 101").select("session_date", F.col("close").alias("b"))
-    both = bars.join(F.broadcast(bench), "session_date")
+    both = bars.join(bench, "session_date")
     w = Window.partitionBy("instrument_id").orderBy("session_date")
     rel = (F.col("close") / F.lag("close", k).over(w)) / (F.col("b") / F.lag("b", k).over(w)) - 1
     last = asof.newest(both.withColumn("strength", rel).select("instrument_id", "session_date", "strength"), ["instrument_id"], "session_date")
     roster = asof.members(frame(spark, d, "universe"), F.lit(DAY).cast("date")).select("instrument_id")
-    ranked = roster.join(last, "instrument_id", "left").where("strength is not null").withColumn("pct", F.cume_dist().over(Window.partitionBy(F.lit(1)).orderBy("strength")))
+    ranked = roster.join(last, "instrument_id", "left").where("strength is not null")
+    ranked = share_at_or_below(ranked, "strength", "pct")
     return ranked.where("pct > 0.9").select("instrument_id", "session_date", fixed(F.col("strength")).alias("strength"), fixed(F.col("pct")).alias("pct"))
 
 

@@ -1,4 +1,4 @@
-"""What the operators share on the driver: tables, the shared folder, bucket counts."""
+"""What the operators share on the driver: tables and the shared folder."""
 
 from __future__ import annotations
 
@@ -36,8 +36,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def buckets(spark: SparkSession) -> int:
-    """How many buckets keys are dealt into; it follows the session's shuffle partitions, the knob for data size."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,13 +5,18 @@ grams, so two equal windows name equal anchors and documents that share no ancho
 
 * Seed: each document's distinct anchors meet by hash; those of two or more documents come back to
   their documents.
-* Extend: around shared anchors every window is hashed as a whole and compared with the smallest
-  ``doc_id`` that has it.  Adjacent repeated windows join to maximal repeats.
+* Extend: a shared seed is carried on to both sides in every way that makes up 50 words, so each extension is
+  one window; each is hashed as a whole and compared with the smallest ``doc_id`` that has it.  Adjacent repeated
+  windows join to maximal repeats.  Extending from seeds pair by pair would find the same windows, but by
+  comparing every two documents of a passage.
 * Cut: words under a repeated window go, judged on the input and not on what is left.
 
 No pairs of documents are made.  A passage that is common within a task's batch is settled there and
 only its smallest document travels on, so a passage in a third of all rows costs one entry a batch.
 
+Buckets follow the bytes of text.  Windows are told apart by 64-bit hashes; two different ones pass for equal
+with a chance of about 1 in 10**19 a pair.
+
 Null text has no words.  ``doc_id`` is the key; repeated identical rows get the same answer, rows
 without an id are neither source nor copy and stay whole.  An empty table gives an empty result.
 Columns of the input with the names of outputs are replaced.
@@ -27,10 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.llm.arrays import by_row, grams, mix, pack, runs, slices, unpack, utf8, window_min, words
-from vantage.llm.base import buckets, stored, table
+from vantage.llm.base import stored, table
 
 GRAM = 25
 WINDOW = 50
+BYTES_PER_BUCKET = 4_000_000
 OUTPUTS = ("kept_text", "n_words", "n_removed", "removed")
 _BLOB = pa.schema([("bucket", pa.int32()), ("local", pa.bool_()), ("payload", pa.binary())])
 _FOUND = pa.schema([("doc_id", pa.int64()), ("found", pa.binary())])
@@ -162,10 +168,9 @@ def _covered(found: list[bytes], n: int) -> np.ndarray:
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with kept_text, n_words, n_removed and removed, the removed ranges of words (end exclusive)."""
-    spark = docs.sparkSession
-    n = buckets(spark)
     docs = docs.drop(*OUTPUTS)
     known = docs.where(F.col("doc_id").isNotNull())
+    n = max(1, -(-(known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_PER_BUCKET))
     repeats = repeated_windows(known, shared_anchors(known, n), n)
     cuts = stored(repeats, "repeats").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("found").alias("_found"))
     marked = known.join(cuts, F.col("doc_id") == F.col("_id"), "left").drop("_id")

@@ -216,7 +216,7 @@ def test_secret_scan(spark, nothing):
         None, "", "plain words only", f"é😀 password = 'hunter22x' and token: abc then secret=12345678",
         "token: api_key: value12345", "AKIA" + "Z" * 12 + " AKIA" + "Q" * 11, "f" * 31 + " " + "0a" * 16,
         f"key {key}", f"password={key}{key}", "123e4567-e89b-12d3-a456-426614174000 " + "1234567890" * 3, "a1" * 20, "thisisjustalongwordwithoutdigits",
-        "x " * 20_000 + "API-KEY API_KEY:  \"ABCDEFGH\"",
+        " ".join(f"token={i:08d} {'0a' * 16}{i}" for i in range(700)), "x " * 20_000 + "API-KEY API_KEY:  \"ABCDEFGH\"",
     ]
     assign = re.compile(secret_scan.ASSIGN)
     out = {r.doc_id: r for r in secret_scan.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}

@@ -28,6 +28,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/_=-"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
+CHUNK = 256
 HEX_BITS = 3.0
 BASE64_BITS = 3.6
 #: What looks random but is no secret: UUIDs, dates and times, counters, one character repeated, placeholders.
@@ -42,9 +43,15 @@ OUTPUTS = ("spans",)
 
 
 def _spans(text: Column, pattern: str, kind: str, keep: Column | None = None) -> Column:
-    """Matches as array of (start, order, end, kind, match)."""
+    """Matches as array of (start, order, end, kind, match).
+
+    Positions are running sums of lengths.  They are carried through chunks of CHUNK matches, and then inside each chunk, so
+    that a text with very many matches costs a small multiple of their number, not its square.
+    """
     found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    at = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,match:string>>").alias("out"))
+    pairs = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("part"), found.alias("match"))
+    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,match:string>>")
+    length = lambda p: F.length(p["part"]) + F.length(p["match"])
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["pos"] + F.length(pair["part"])
@@ -54,8 +61,16 @@ def _spans(text: Column, pattern: str, kind: str, keep: Column | None = None) ->
         )
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("part"), found.alias("match"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, at, step, lambda acc: acc["out"])).otherwise(at["out"])
+    def placed(p: Column) -> Column:
+        chunk = lambda k: F.slice(p, k * CHUNK + 1, F.lit(CHUNK))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int"))
+        sums = F.transform(numbers, lambda k: F.aggregate(chunk(k), F.lit(0), lambda acc, x: acc + length(x)))
+        begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("at"))
+        bases = F.aggregate(sums, begin, lambda acc, n: F.struct((acc["pos"] + n).alias("pos"), F.concat(acc["at"], F.array(acc["pos"])).alias("at")), lambda acc: acc["at"])
+        inside = lambda base, k: F.aggregate(chunk(k), F.struct(base.alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+        return F.flatten(F.transform(bases, inside))
+
+    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(pairs), placed), 1)).otherwise(none)
 
 
 def _term(count: Column) -> Column:

@@ -347,3 +347,11 @@ def confirmation_path(x: DataFrame, p: dict[str, float] = BALANCED) -> DataFrame
 def merge_evidence(parts: Column) -> Column:
     """Evidence of all components in order, each once."""
     return F.array_distinct(F.flatten(parts))
+
+
+def evidence_bundle(x: DataFrame) -> DataFrame:
+    """What a reader of a breakout has and lacks, by name; lacking is no judgement, only an absence."""
+    items = {"quality": "quality", "acceptance": "acceptance_score", "follow_through": "follow_score", "volume": "volume_hold", "retest": "retest_quality", "relative_strength": "rs_after"}
+    have = listed(**{n: F.col(c).isNotNull() for n, c in items.items()})
+    lack = listed(**{n: F.col(c).isNull() for n, c in items.items()})
+    return x.withColumns({"has": have, "lacks": lack, "complete": F.size(lack) == 0})

@@ -44,6 +44,22 @@ def parsed_index(lines: DataFrame) -> DataFrame:
     return fields.select("line", F.when(reason.isNull(), F.col("_cik").cast("long")).alias("cik"), F.when(reason.isNull(), F.col("name")).alias("name"), F.when(reason.isNull(), F.col("form_type")).alias("form_type"), F.when(reason.isNull(), day).alias("filed_at"), F.when(reason.isNull(), accession.try_cast("long")).alias("accession"), reason.alias("skip_reason"))
 
 
+def parsed_fixed_width(lines: DataFrame, header: str) -> DataFrame:
+    """Fixed-width index lines (line) by the columns of their header line, or a skip_reason."""
+    names = {"form_type": "Form Type", "name": "Company Name", "cik": "CIK", "filed_at": "Date Filed", "path": "File Name"}
+    starts = sorted((header.index(title), c) for c, title in names.items())
+    ends = [at for at, _ in starts[1:]] + [None]
+    part = {c: F.trim(F.substring(F.col("line"), at + 1, (end - at) if end else 2000)) for (at, c), end in zip(starts, ends, strict=True)}
+    cells = lines.select("line", *(x.alias(f"_{c}") for c, x in part.items()))
+    day = F.try_to_date("_filed_at", "yyyy-MM-dd")
+    reason = (
+        F.when(F.trim("line") == "", "blank").when(F.col("line").rlike(r"^-+$"), "rule").when(F.col("line") == header, "header")
+        .when(~F.col("_cik").rlike(r"^\d+$"), "cik").when(day.isNull(), "date")
+    )
+    kept = lambda x: F.when(reason.isNull(), x)
+    return cells.select("line", kept(F.col("_cik").try_cast("long")).alias("cik"), kept(F.col("_name")).alias("name"), kept(F.col("_form_type")).alias("form_type"), kept(day).alias("filed_at"), kept(F.regexp_extract("_path", r"(\d+)\.txt$", 1).try_cast("long")).alias("accession"), reason.alias("skip_reason"))
+
+
 def classified(filings: DataFrame) -> DataFrame:
     """Adds kind (role of the form), scope, evidence and an era note; a form that is in no table is irrelevant."""
     form = F.upper(F.trim("form_type"))

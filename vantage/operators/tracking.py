@@ -18,16 +18,17 @@ EDGES = {
     "BROKEN_OUT_UNCONFIRMED": ("INVALIDATED", "EXPIRED"),
 }
 TERMINAL = ("INVALIDATED", "EXPIRED")
-CARRY = 10
+CARRY, GRACE = 10, 3
 _HISTORY = "instrument_id int, key string, family string, session_date date, from_state string, to_state string, quality double"
 
 
-def track(found: DataFrame, sessions: DataFrame) -> DataFrame:
+def track(found: DataFrame, sessions: DataFrame, buffer: float = 0.002) -> DataFrame:
     """State history of each identity, folded over every session of its series.
 
-    sessions: instrument_id, session_date, also those on which nothing was found.
-    An illegal step starts a new life of the identity (key with the session appended), a structure first seen in
-    a terminal state is never born, and one unseen for more than CARRY sessions of its series expires on that session.
+    found: instrument_id, session_date, key, family, state, quality, level, invalidation.  sessions: instrument_id, session_date,
+    close, also those on which nothing was found.  An illegal step starts a new life of the identity (key with the session
+    appended); a structure first seen in a terminal state is never born.  One that is not seen is resolved from its stored
+    levels, invalidation first; otherwise it is carried for CARRY sessions and GRACE more, and expires on the next.
     """
 
     def fold(group: tuple, x: pd.DataFrame, calendar: pd.DataFrame) -> pd.DataFrame:
@@ -43,7 +44,9 @@ def track(found: DataFrame, sessions: DataFrame) -> DataFrame:
                 live.pop(key, None)
                 retired.add(key)
 
-        for n, day in enumerate(sorted(set(calendar["session_date"]))):
+        closes = calendar.sort_values("session_date").drop_duplicates("session_date")
+        for n, (day, close) in enumerate(zip(closes["session_date"], closes["close"], strict=True)):
+            seen = set()
             for r in by_day[day]:
                 key = name.get(r.key, r.key)
                 was = live[key][0] if key in live else None
@@ -55,17 +58,46 @@ def track(found: DataFrame, sessions: DataFrame) -> DataFrame:
                         continue
                     if key in retired:
                         key = name[r.key] = f"{r.key}:{day}"
+                seen.add(key)
                 if r.state != was:
                     step(key, r.family, day, was, r.state, r.quality)
                 if r.state not in TERMINAL:
-                    live[key] = (r.state, n, r.family, r.quality)
-            for key, (state, last, family, quality) in list(live.items()):
-                if n - last > CARRY:
+                    live[key] = (r.state, n, r.family, r.quality, r.level, r.invalidation)
+            for key, (state, last, family, quality, level, floor) in list(live.items()):
+                if key in seen:
+                    continue
+                if close < floor:
+                    step(key, family, day, state, "INVALIDATED", quality)
+                elif close > level * (1 + buffer) and "BROKEN_OUT_UNCONFIRMED" in EDGES[state]:
+                    step(key, family, day, state, "BROKEN_OUT_UNCONFIRMED", quality)
+                    live[key] = ("BROKEN_OUT_UNCONFIRMED", last, family, quality, level, floor)
+                elif n - last > CARRY + GRACE:
                     step(key, family, day, state, "EXPIRED", quality)
         return pd.DataFrame(rows, columns=[k.split()[0] for k in _HISTORY.split(", ")])
 
-    seen = found.select("instrument_id", "session_date", "key", "family", "state", "quality")
-    return seen.groupBy("instrument_id").cogroup(sessions.select("instrument_id", "session_date").groupBy("instrument_id")).applyInPandas(fold, _HISTORY)
+    seen = found.select("instrument_id", "session_date", "key", "family", "state", "quality", "level", "invalidation")
+    return seen.groupBy("instrument_id").cogroup(sessions.select("instrument_id", "session_date", "close").groupBy("instrument_id")).applyInPandas(fold, _HISTORY)
+
+
+def merged(spans: DataFrame, containment: float = 0.8) -> DataFrame:
+    """Spans of one family and series that lie mostly inside a longer one go into it; the longest is taken first.
+
+    spans: instrument_id, family, key, start_date, end_date.  Returns each key with the key that stands for it.
+    """
+    kinds = "instrument_id int, family string, key string, into string"
+
+    def fold(x: pd.DataFrame) -> pd.DataFrame:
+        first, last = (pd.to_datetime(x[c]).to_numpy().astype("datetime64[D]").astype(int) for c in ("start_date", "end_date"))
+        order = sorted(range(len(x)), key=lambda i: (first[i] - last[i], first[i], x["key"].iloc[i]))
+        kept, into = [], {}
+        for i in order:
+            home = next((k for k in kept if (min(last[i], last[k]) - max(first[i], first[k]) + 1) >= containment * (last[i] - first[i] + 1)), None)
+            if home is None:
+                kept.append(i)
+            into[i] = i if home is None else home
+        return pd.DataFrame({"instrument_id": x["instrument_id"], "family": x["family"], "key": x["key"], "into": [x["key"].iloc[into[i]] for i in range(len(x))]})
+
+    return spans.groupBy("instrument_id", "family").applyInPandas(fold, kinds)
 
 
 def believed(history: DataFrame, as_of: Column) -> DataFrame:

@@ -215,6 +215,8 @@ def _b28(s, d):
     return x.join(e, known, "left").groupBy("instrument_id", "event_date").agg(F.min("scheduled_date").alias("next_earnings")).withColumn("days", F.datediff("next_earnings", "event_date")).withColumn("near", F.coalesce(F.col("days") <= 10, F.lit(False)))
 
 
+register("b23_evidence", lambda s, d: B.evidence_bundle(_confirmed(s, d)).select(*EVENT, F.array_join("has", ",").alias("has"), F.array_join("lacks", ",").alias("lacks"), "complete"),
+         with_tables(_QT, _co("select instrument_id, event_date, concat_ws(',', case when quality is not null then 'quality' end, case when acceptance_score is not null then 'acceptance' end, case when follow_score is not null then 'follow_through' end, case when persistence is not null then 'volume' end, case when retest_quality is not null then 'retest' end) as has, concat_ws(',', case when quality is null then 'quality' end, case when acceptance_score is null then 'acceptance' end, case when follow_score is null then 'follow_through' end, case when persistence is null then 'volume' end, case when retest_quality is null then 'retest' end, 'relative_strength') as lacks, false as complete from gb")))
 register("b28_earnings_proximity", _b28, with_tables("bars earnings", "with " + _EV + "select ev.instrument_id, ev.event_date, min(scheduled_date) as next_earnings, (min(scheduled_date) - ev.event_date)::int as days, coalesce(min(scheduled_date) - ev.event_date <= 10, false) as near from ev left join earnings e on e.instrument_id = ev.instrument_id and e.knowledge_time <= ev.event_date::timestamp and e.scheduled_date >= ev.event_date group by 1, 2"))
 register("b31_merged_evidence", lambda s, d: _quality(s, d).select(*EVENT, F.array_join(B.merge_evidence(F.array("contradicting", "supporting", "contradicting")), ",").alias("evidence")),
          with_tables(_QT, "with " + _EV + ", " + _SA + ", " + _QU + "select instrument_id, event_date, array_to_string(list_filter(list_concat(string_split(contradicting, ','), list_filter(string_split(supporting, ','), lambda q: not list_contains(string_split(contradicting, ','), q))), lambda q: q <> ''), ',') as evidence from qd"))

@@ -23,6 +23,19 @@ def _lines(s, d):
 
 
 register("f01_parsed_index", lambda s, d: L.parsed_index(_lines(s, d)).where("skip_reason is null").select("cik", "name", "form_type", "filed_at", "accession"), with_tables("filings", "select cik, name, form_type, filed_at, accession from filings"))
+_HEADER = "Form Type   Company Name                                                  CIK         Date Filed  File Name"
+
+
+def _fixed_lines(s, d):
+    f = frame(s, d, "filings")
+    good = f.select(F.format_string("%-12s%-62s%-12s%-12s%s", "form_type", "name", F.col("cik").cast("string"), F.col("filed_at").cast("string"), F.concat(F.lit("edgar/data/"), F.col("accession").cast("string"), F.lit(".txt"))).alias("line"))
+    junk = f.where("accession % 50 = 0").select(F.explode(F.array(F.lit(""), F.lit("-----"), F.lit(_HEADER), F.format_string("%-12s%-62s%-12s%-12s%s", F.lit("25"), F.col("name"), F.lit("abc"), F.lit("1999-01-01"), F.lit("p")))).alias("line"))
+    return good.unionByName(junk)
+
+
+register("f01_fixed_width", lambda s, d: L.parsed_fixed_width(_fixed_lines(s, d), _HEADER).where("skip_reason is null").select("cik", "name", "form_type", "filed_at", "accession"), with_tables("filings", "select cik, name, form_type, filed_at, accession from filings"))
+register("f01_fixed_width_skips", lambda s, d: L.parsed_fixed_width(_fixed_lines(s, d), _HEADER).groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n")),
+         with_tables("filings", "with j as (select count(*) as n from filings where accession % 50 = 0) select r as skip_reason, n from j cross join (values ('blank'), ('rule'), ('header'), ('cik')) v(r) where n > 0 union all select null, count(*) from filings"))
 register("f22_skip_reasons", lambda s, d: L.parsed_index(_lines(s, d)).groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n")),
          with_tables("filings", "with j as (select count(*) as n from filings where accession % 50 = 0) select r as skip_reason, n from j cross join (values ('blank'), ('rule'), ('header'), ('layout'), ('cik'), ('date')) v(r) where n > 0 union all select null, count(*) from filings"))
 register("f02_missing_quarters", lambda s, d: L.missing_quarters(frame(s, d, "filings"), "1994-01-01", "2002-12-31"), with_tables("filings", "select cast(q as date) as quarter from (select unnest(generate_series(timestamp '1994-01-01', timestamp '2002-12-31', interval 3 month)) as q) x where q not in (select date_trunc('quarter', filed_at) from filings)"))

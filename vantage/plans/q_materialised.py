@@ -139,6 +139,7 @@ def _spans(s, d):
     return frame(s, d, "observations").groupBy("instrument_id", "key", "family").agg(F.min("session_date").alias("start_date"), F.max("session_date").alias("end_date"))
 
 
+register("k07_merged", lambda s, d: K.merged(_spans(s, d)))
 register("k05_relationships", lambda s, d: K.relationships(_spans(s, d)).select("from_key", "to_key", "kind", digest(F.col("overlap"), 6).alias("overlap")),
          with_tables("observations", f"""with sp as (select instrument_id, key, family, min(session_date) as s, max(session_date) as e from observations group by 1, 2, 3),
 p as (select a.key as from_key, b.key as to_key, a.family as fa, b.family as fb, (least(a.e, b.e) - greatest(a.s, b.s) + 1) / (a.e - a.s + 1)::double as pa, (least(a.e, b.e) - greatest(a.s, b.s) + 1) / (b.e - b.s + 1)::double as pb from sp a join sp b on a.instrument_id = b.instrument_id and a.key < b.key and a.s <= b.e and b.s <= a.e),

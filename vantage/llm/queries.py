@@ -18,6 +18,7 @@ _MODULES = {
     "op8_packing": "packing",
     "op9_substring_dedup": "substring_dedup",
     "op10_exact_dedup": "exact_dedup",
+    "op11_centroid_clusters": "centroids",
 }
 
 

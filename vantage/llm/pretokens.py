@@ -75,6 +75,19 @@ def split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, starts, np.searchsorted(starts, text_at)
 
 
+def split_at_spaces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``split``, into runs of spaces with what follows up to the next space."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    text_at = np.concatenate(([0], np.cumsum(sizes)))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    start = np.zeros(len(points) + 1, bool)
+    space = points == 0x20
+    start[1:-1] = space[1:] & ~space[:-1]
+    start[text_at] = True
+    starts = np.flatnonzero(start)
+    return points, starts, np.searchsorted(starts, text_at)
+
+
 def hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """64-bit hash of each pretoken."""
     if len(starts) < 2:
@@ -85,10 +98,10 @@ def hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Ids:
-    """Ids of the pretokens met so far, as flat arrays; ``encode`` gives the ids of a list of new pretokens, ``kind`` holds the largest."""
+    """Ids of the pretokens met so far, as flat arrays; ``encode`` gives the ids of a list of new pretokens, ``kind`` holds the largest, ``cut`` splits."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 3_000_000, kind: type = np.uint16) -> None:
-        self.encode, self.most, self.kind = encode, most, kind
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 3_000_000, kind: type = np.uint16, cut: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]] = split) -> None:
+        self.encode, self.most, self.kind, self.cut = encode, most, kind, cut
         self.clear()
 
     def clear(self) -> None:
@@ -111,10 +124,10 @@ class Ids:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the first of each text (and the end)."""
-        points, starts, text_first = split(texts)
+        points, starts, text_first = self.cut(texts)
         keys = hashes(points, starts)
         distinct, example, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        if len(self.keys) > self.most or self.used > 8 * self.most:
             self.clear()
         where = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)

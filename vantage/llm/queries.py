@@ -19,6 +19,7 @@ _MODULES = {
     "op9_substring_dedup": "substring_dedup",
     "op10_exact_dedup": "exact_dedup",
     "op11_centroid_clusters": "centroids",
+    "op12_token_alignment": "alignment",
 }
 
 

@@ -20,6 +20,7 @@ _MODULES = {
     "op10_exact_dedup": "exact_dedup",
     "op11_centroid_clusters": "centroids",
     "op12_token_alignment": "alignment",
+    "op13_language_id": "language_id",
 }
 
 

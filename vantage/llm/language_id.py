@@ -184,7 +184,9 @@ def _window_codes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
     """(time, windows): bytes, and PAD behind the last one."""
     time = np.arange(int(sizes.max()) if len(sizes) else 0)[:, None]
     inside = time < sizes
-    return np.where(inside, data[np.where(inside, starts + time, 0)], PAD)
+    codes = data[np.where(inside, starts + time, 0)].astype(np.int64)
+    codes[~inside] = PAD
+    return codes
 
 
 def windows_of(at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

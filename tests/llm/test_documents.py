@@ -37,6 +37,12 @@ def test_survivors_are_one_row_a_group(spark, docs, corpus):
     assert exact_dedup.survivors(docs).count() == len({norm(t) for _, t in corpus})
 
 
+def test_survivors_with_columns_that_have_no_order(spark):
+    rows = [(7, "x", {"b": 1}, [{"k": 2}]), (7, "x", {"a": 1}, None), (8, "x", {}, []), (9, "y", None, None), (9, "y", None, None)]
+    twice = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, more array<map<string,int>>")
+    assert sorted((r.doc_id, r.tags) for r in exact_dedup.survivors(twice).collect()) == [(7, {"a": 1}), (9, None)]
+
+
 def test_exact_dedup_with_a_tiny_table(docs):
     full = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
     tiny = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs, most_bits=13).collect()}
@@ -252,6 +258,25 @@ def test_redaction(spark):
     assert df.select(secret_scan.redacted(F.col("t"), F.col("s")).alias("r")).first().r == "é😀[SECRET]ef[SECRET]h"
 
 
+def test_substring_dedup_of_texts_that_share_an_id(spark):
+    rng = random.Random(3)
+    passage, other = ([f"{c}{rng.randrange(10**6)}" for _ in range(60)] for c in "pq")
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [(1, fill(5) + passage), (2, fill(300)), (2, passage[3:]), (2, fill(9) + passage + fill(9)), (2, ["tiny"]), (3, fill(2) + other), (3, other + fill(2)), (3, other + fill(2)[:0]), (4, other), (3, fill(120))]
+    texts.append(texts[2])
+    rows = [(i, " ".join(w)) for i, w in texts]
+    starts = {}
+    for i, w in texts:
+        for j in range(len(w) - 49):
+            starts[tuple(w[j : j + 50])] = min(i, starts.get(tuple(w[j : j + 50]), i))
+    want = []
+    for i, w in texts:
+        gone = {k for j in range(len(w) - 49) if starts[tuple(w[j : j + 50])] < i for k in range(j, j + 50)}
+        want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out) == sorted(want)
+
+
 def test_toxicity(spark, docs, nothing):
     rng = random.Random(1)
     rows, labels = [], []
@@ -275,7 +300,7 @@ def test_toxicity(spark, docs, nothing):
 
 
 def test_toxicity_grammar():
-    model = toxicity.Model({"idiot": 4.0})
+    model = toxicity.Model({"=idiot": 4.0})
     codes = toxicity._Codes(model)
     read = lambda t: next(toxicity.readings(iter([t]), codes))[0]
     assert read("you idiot") > read("an idiot") > read("she said idiot") > read("not an idiot") > 0
@@ -285,6 +310,18 @@ def test_toxicity_grammar():
     assert read("not this. an idiot") == read("an idiot")
 
 
+def test_words_that_begin_like_insults_are_plain(spark):
+    rng = random.Random(2)
+    insults = ["pathetic", "idiot", "worthless", "trash", "disgusting", "stupid"]
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(50)) + f" an {insults[i // 5 % 6] if i % 5 == 0 else 'w7'} w{rng.randrange(500)}") for i in range(1200)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    plain = ["We travel along this path", "an idiom is worth knowing", "the worth of a tradition", "a study of stupor and distance", "the path to the station, and the idioms there"]
+    rude = ["you are an idiot", "a pathetic plan", "they said worthless things, stupid ones"]
+    codes = toxicity._Codes(model)
+    score = lambda t: model.score(*next(toxicity.readings(iter([t]), codes)))
+    assert max(map(score, plain)) < 0.1 and min(map(score, rude)) > 0.5
+
+
 def clause_scores(text, insults):
     """The grammar read from its description: clauses first, then every match of a clause by looking back at its words."""
     scores = [0.0]

@@ -40,6 +40,21 @@ def test_nearest(spark):
     assert vector_search.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_rows_that_repeat_an_id(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8)).round(3)
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(x)] + [(20, x[19].tolist())] * 3 + [(7, x[6].tolist())] * 2 + [(40, (x[3] * 2).tolist()), (9, x[39].tolist())]
+    found = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), exact=True).collect()
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    want = []
+    for q, v in distinct:
+        if q % 20 == 0:
+            others = sorted((-float(np.dot(v, w)), i, i == q) for i, w in distinct if (i, w) != (q, v))[:20]
+            want += [(q, k + 1, i) for k, (_, i, _) in enumerate(others)]
+    assert len(want) == 80  # 20, 60 and both vectors of 40
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in found) == sorted(want)
+
+
 def test_recall_where_few_rows_are_scored_exactly(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(20_000, 24))

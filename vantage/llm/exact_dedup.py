@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, CalendarIntervalType, DataType, MapType, StructType, VariantType
 
 from vantage.llm.arrays import mix
 from vantage.llm.base import SPACE, cut, table
@@ -102,11 +103,23 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return alone.unionByName(decided)
 
 
+def _orderable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    return not isinstance(kind, (MapType, VariantType, CalendarIntervalType))
+
+
 def survivors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each group of equal texts: of the smallest id and, where that id repeats, the row that sorts first."""
+    """One row of each group of equal texts: of the smallest id and, where that id repeats, the row that sorts first.
+
+    Columns without an order (maps and what holds them) sort by their JSON text.
+    """
     own = docs.drop(*OUTPUTS).columns
     kept = exact_dedup(docs, id_column, text_column).where("kept")
-    tied = kept.where("group_size > 1").groupBy("text_sha256").agg(F.min(F.struct(*own)).alias("_row"))
+    order = [F.col(f.name) if _orderable(f.dataType) else F.to_json(F.struct(f.name)) for f in kept.select(*own).schema]
+    tied = kept.where("group_size > 1").groupBy("text_sha256").agg(F.min_by(F.struct(*own), F.struct(*order)).alias("_row"))
     return kept.where("group_size = 1").select(*own).unionByName(tied.select("_row.*"))
 
 

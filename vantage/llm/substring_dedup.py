@@ -17,7 +17,9 @@ only its smallest document travels on, so a passage in a third of all rows costs
 Buckets follow the bytes of text.  Windows are told apart by 64-bit hashes; two different ones pass for equal
 with a chance of about 1 in 10**19 a pair.
 
-Null text has no words.  ``doc_id`` is the key; repeated identical rows get the same answer, rows
+Null text has no words.  Rows that repeat a ``doc_id`` with other texts are documents of equal id: none is a source for the
+other, each loses what a smaller id has, and repeated identical rows get the same answer.  What is found is keyed by id and 32 bits
+of a hash of the text, so two texts of one id pass for one with a chance of about 1 in 4 * 10**9.  Rows
 without an id are neither source nor copy and stay whole.  An empty table gives an empty result.
 Columns of the input with the names of outputs are replaced.
 """
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.llm.arrays import by_row, grams, mix, pack, runs, slices, unpack, utf8, window_min, words
@@ -57,15 +59,15 @@ def _found(owner: np.ndarray, *columns: np.ndarray) -> Iterator[pa.Table]:
     yield pa.table([pa.array(owner[edges[:-1]], pa.int64()), pa.array(blobs, pa.binary())], schema=_FOUND)
 
 
-def _joined(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Consecutive positions of one owner as (owner, first, length)."""
-    order = np.lexsort((at, owner))
-    owner, at = owner[order], at[order]
+def _joined(owner: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive positions of one text as (owner, tag, first, length)."""
+    order = np.lexsort((at, tag, owner))
+    owner, tag, at = owner[order], tag[order], at[order]
     new = np.ones(len(at), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (at[1:] > at[:-1] + 1)
+    new[1:] = (owner[1:] != owner[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1 if len(first) else first
-    return owner[first], at[first].astype(np.uint32), (at[last] - at[first] + 1).astype(np.uint32)
+    return owner[first], tag[first].astype(np.uint32), at[first].astype(np.uint32), (at[last] - at[first] + 1).astype(np.uint32)
 
 
 def _short(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +116,7 @@ def shared_anchors(docs: DataFrame, n: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
-    """doc_id and found: (first window, number of windows) pairs (uint32) that a document with a smaller id has."""
+    """doc_id and found: (tag of the text, first window, number of windows), each uint32, that a document with a smaller id has."""
     seeds = anchors.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("found").alias("anchors"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,41 +127,48 @@ def repeated_windows(docs: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
             shared = np.unique(np.frombuffer(b"".join(x for row in batch.column("anchors").to_pylist() for x in row), np.uint64))
             at = np.flatnonzero(w.room(WINDOW) & np.isin(key, shared))
             rows = w.rows()[at]
-            whole, owner, place, key = grams(w.hashes, WINDOW)[at], ids[rows], at - w.offsets[rows], key[at]
+            tags = np.asarray(batch.column("tag")).astype(np.uint32)
+            whole, owner, tag, place, key = grams(w.hashes, WINDOW)[at], ids[rows], tags[rows], at - w.offsets[rows], key[at]
             order = np.lexsort((owner, whole))
-            whole, owner, place, key = whole[order], owner[order], place[order], key[order]
+            whole, owner, tag, place, key = whole[order], owner[order], tag[order], place[order], key[order]
             edges = runs(whole)
             later = owner != np.repeat(owner[edges[:-1]], np.diff(edges))
-            mine, start, length = _joined(owner[later], place[later])
+            mine, text, start, length = _joined(owner[later], tag[later], place[later])
             yield _blobs(
-                pack((key[~later] >> np.uint64(32)).astype(np.int64), owner[~later], whole[~later], place[~later].astype(np.uint32)),
-                pack((mix(mine.view(np.uint64)) % np.uint64(n)).astype(np.int64), mine, start, length),
+                pack((key[~later] >> np.uint64(32)).astype(np.int64), owner[~later], whole[~later], tag[~later], place[~later].astype(np.uint32)),
+                pack((mix(mine.view(np.uint64)) % np.uint64(n)).astype(np.int64), mine, text, start, length),
             )
 
     def meet(group: pa.Table) -> pa.Table:
         local = np.asarray(group.column("local"))
         blobs = group.column("payload").to_pylist()
-        owner, start, length = unpack([b for b, x in zip(blobs, local, strict=True) if x], np.uint32, np.uint32)
-        other, whole, place = unpack([b for b, x in zip(blobs, local, strict=True) if not x], np.uint64, np.uint32)
+        owner, text, start, length = unpack([b for b, x in zip(blobs, local, strict=True) if x], np.uint32, np.uint32, np.uint32)
+        other, whole, tag, place = unpack([b for b, x in zip(blobs, local, strict=True) if not x], np.uint64, np.uint32, np.uint32)
         order = np.lexsort((other, whole))
-        other, whole, place = other[order], whole[order], place[order]
+        other, whole, tag, place = other[order], whole[order], tag[order], place[order]
         edges = runs(whole)
         later = other != np.repeat(other[edges[:-1]], np.diff(edges))
-        mine, first, span = _joined(other[later], place[later])
-        return pa.concat_tables(_found(np.concatenate([owner, mine]), np.concatenate([start, first]), np.concatenate([length, span])))
+        mine, own, first, span = _joined(other[later], tag[later], place[later])
+        return pa.concat_tables(_found(*(np.concatenate(x) for x in ((owner, mine), (text, own), (start, first), (length, span)))))
 
     return (
-        docs.select("doc_id", "text")
+        docs.select("doc_id", "text", _tag().alias("tag"))
         .join(seeds, F.col("doc_id") == F.col("_id"))
-        .select("doc_id", "text", "anchors")
+        .select("doc_id", "text", "tag", "anchors")
         .mapInArrow(emit, "bucket int, local boolean, payload binary")
         .groupBy("bucket")
         .applyInArrow(meet, "doc_id long, found binary")
     )
 
 
-def _covered(found: list[bytes], n: int) -> np.ndarray:
-    spans = np.frombuffer(b"".join(found), np.uint32).reshape(-1, 2).astype(np.int64)
+def _tag() -> Column:
+    """32 bits that tell the texts of one id apart."""
+    return F.xxhash64("text", F.lit(9)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _covered(found: list[bytes], tag: int, n: int) -> np.ndarray:
+    spans = np.frombuffer(b"".join(found), np.uint32).reshape(-1, 3).astype(np.int64)
+    spans = spans[spans[:, 0] == tag, 1:]
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, spans[:, 0], 1)
     np.add.at(edge, spans[:, 0] + spans[:, 1] + WINDOW - 1, -1)
@@ -174,17 +183,17 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     repeats = repeated_windows(known, shared_anchors(known, n), n)
     cuts = stored(repeats, "repeats").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("found").alias("_found"))
     marked = known.join(cuts, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    marked = marked.unionByName(docs.where(F.col("doc_id").isNull()).withColumn("_found", F.lit(None).cast("array<binary>")))
+    marked = marked.unionByName(docs.where(F.col("doc_id").isNull()).withColumn("_found", F.lit(None).cast("array<binary>"))).withColumn("_tag", _tag())
     span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8_000_000):
             kept, total, gone, spans = [], [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("_found").to_pylist(), strict=True):
+            for text, found, tag in zip(*(batch.column(c).to_pylist() for c in ("text", "_found", "_tag")), strict=True):
                 own = (text or "").encode().split()
                 total.append(len(own))
                 if found:
-                    cover = _covered(found, len(own))
+                    cover = _covered(found, tag, len(own))
                     edges = np.flatnonzero(np.diff(cover.astype(np.int8), prepend=0, append=0)).tolist()
                     spans.append([{"first": a, "last": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                     gone.append(int(cover.sum()))
@@ -193,7 +202,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                     spans.append([])
                     gone.append(0)
                 kept.append(b" ".join(own).decode())
-            base = batch.drop_columns(["_found"])
+            base = batch.drop_columns(["_found", "_tag"])
             new = [pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span)]
             yield pa.RecordBatch.from_arrays([*base.columns, *new], names=[*base.schema.names, *OUTPUTS])
 

@@ -12,10 +12,10 @@ They are composed into one table of states, so a word costs one lookup.
 Words outside a match score nothing.  A document is scored by its strongest clause and by the sum over all
 clauses, through a logistic curve.
 
-Insult stems (word beginnings of three to nine letters, and whole words) and the curve are learned from
+Insult stems (whole words, and beginnings of six to nine letters, as shorter ones begin plain words too) and the curve are learned from
 labelled rows outside the held-out fifth (crc32 of the id as text, modulo 5, is 0).  At most
-``MOST_LABELLED`` labelled rows are used, those with the smallest hash of the id, and at most
-``MOST_STEMS`` stems kept; a stem must carry more information about the label than chance would give
+``MOST_LABELLED`` labelled rows are used, those with the smallest hash of the id; every stem of theirs is
+a candidate, and a stem must carry more information about the label than chance would give
 among as many candidates.  Nothing but the text enters a score.
 
 Null and empty texts have no clauses and get the lowest score.  Without labels of both kinds every score
@@ -38,8 +38,7 @@ from pyspark.sql import functions as F
 from vantage.llm.base import stored, table
 
 MOST_LABELLED = 8_000
-MOST_STEMS = 4_000
-PREFIXES = (3, 4, 5, 6, 7, 8, 9)
+PREFIXES = (6, 7, 8, 9)
 CACHED_WORDS = 400_000
 OUTPUTS = ("held_out", "score", "predicted")
 
@@ -191,7 +190,7 @@ def _stems(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     gain = F.col("t") * F.log(share / base) + (F.col("n") - F.col("t")) * F.log((1 - share) / (1 - base))
     strong = counts.where(share > max(0.5, base)).withColumn("gain", gain)
     need = math.log(max(counts.count(), 2)) + 3
-    rows = strong.where(F.col("gain") >= need).orderBy(F.desc("gain"), "stem").limit(MOST_STEMS).collect()
+    rows = strong.where(F.col("gain") >= need).collect()
     return {r.stem: math.log((r.t + 0.5) / (r.n - r.t + 0.5)) - math.log(base / (1 - base)) for r in rows}
 
 

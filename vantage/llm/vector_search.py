@@ -18,8 +18,9 @@ Equal vectors are one class that keeps its smallest ids, so a vector shared by a
 code; its members are spread again only within the answer.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take
-no part; nor do rows without an id.  Ties go to the smaller id.  An id that repeats with different vectors
-counts with each.  An empty table gives an empty result.  Extra columns don't matter.  Vectors pass for equal by a
+no part; nor do rows without an id.  Ties go to the smaller id.  Rows that repeat id and vector count once, as
+query and as neighbour; an id that repeats with different vectors is a query for each of them (their answers stand
+under one id), and a neighbour with each, also of its other vectors.  An empty table gives an empty result.  Extra columns don't matter.  Vectors pass for equal by a
 64-bit hash; two others share one with a chance of about 1 in 10**19 a pair.
 """
 
@@ -243,19 +244,19 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, short: int =
     size = sizes.n
     valid = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), size)).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     # one class for each distinct vector, with as many of its smallest ids as an answer can use
-    rank = Window.partitionBy("h").orderBy("vec_id")
+    rank, salted = Window.partitionBy("h").orderBy("vec_id"), Window.partitionBy("h", "salt").orderBy("vec_id")
     hashed = valid.withColumn("h", F.xxhash64("v"))
     classes = stored(
         hashed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-        .withColumn("r", F.row_number().over(Window.partitionBy("h", "salt").orderBy("vec_id")))
-        .where(F.col("r") <= top + 1)
+        .withColumns({"r": F.dense_rank().over(salted), "again": F.lag("vec_id").over(salted).eqNullSafe(F.col("vec_id"))})
+        .where((F.col("r") <= top + 1) & ~F.col("again"))
         .withColumn("r", F.row_number().over(rank))
         .where(F.col("r") <= top + 1)
         .groupBy("h")
         .agg(F.min_by("v", "r").alias("v"), F.min("vec_id").alias("first"), F.array_sort(F.collect_list("vec_id")).alias("ids")),
         "vectors",
     )
-    asked = hashed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("h").alias("query"))
+    asked = hashed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("h").alias("query")).distinct()
     queries = cut(classes.join(asked.select(F.col("query").alias("h")).distinct(), "h").select("h", "v"))
     n, n_queries = classes.count(), queries.count()
     parts = max(1, -(-n_queries // QUERY_BLOCK))
@@ -282,11 +283,11 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, short: int =
     kept = cut(scored.withColumn("r", F.row_number().over(nearest_first)).where(F.col("r") <= top + 1).drop("r", "first"))
     delete(spark, to)
     # classes back to rows: at most top + 1 classes of at most top + 1 ids each for a query vector
-    spread = kept.join(classes.select(F.col("h").alias("found"), "ids"), "found").select("query", "score", F.explode("ids").alias("vec_id"))
-    answer = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    spread = kept.join(classes.select(F.col("h").alias("found"), "ids"), "found").select("query", "score", (F.col("query") == F.col("found")).alias("own"), F.explode("ids").alias("vec_id"))
+    answer = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "own")
     listed = spread.withColumn("r", F.row_number().over(answer)).where(F.col("r") <= top + 1)
-    lists = listed.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("x"))
-    others = F.slice(F.filter("x", lambda e: e["vec_id"] != F.col("query_id")), 1, top)
+    lists = listed.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score", "own"))).alias("x"))
+    others = F.slice(F.filter("x", lambda e: ~(e["own"] & (e["vec_id"] == F.col("query_id")))), 1, top)
     return (
         asked.join(lists, "query")
         .select("query_id", F.posexplode(others).alias("pos", "e"))

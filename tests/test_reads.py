@@ -34,9 +34,15 @@ def test_split_on_its_own_ex_date_changes_nothing(spark):
 
 def test_coercion(spark):
     cells = [" $1,234.50", "(12.5)", "12,5", "7%", "", "1e5", None]
-    value, rule = ingest.coerced("decimal", F.col("x"))
-    rows = spark.createDataFrame([(c,) for c in cells], "x string").select(value.alias("v"), rule.alias("r")).collect()
-    assert [(None if r.v is None else float(r.v), r.r) for r in rows] == [(1234.5, "thousands"), (-12.5, "accounting_negative"), (12.5, "decimal_comma"), (None, None), (None, None), (None, None), (None, None)]
+    df = spark.createDataFrame([(c,) for c in cells], "x string")
+
+    def read(decimal_comma):
+        value, rule = ingest.coerced("decimal", F.col("x"), decimal_comma)
+        return [(None if r.v is None else float(r.v), r.r) for r in df.select(value.alias("v"), rule.alias("r")).collect()]
+
+    none = (None, None)
+    assert read(False) == [(1234.5, "thousands"), (-12.5, "accounting_negative"), none, none, none, none, none]
+    assert read(True)[1:] == [(-12.5, "accounting_negative"), (12.5, "decimal_comma"), none, none, none, none]
 
 
 def test_appending_twice_adds_nothing(spark):

@@ -87,8 +87,8 @@ register("f21_filings_of_all_issuers", lambda s, d: _evidence(s, d).select("cik"
 
 def _f21b(s, d):
     e = _evidence(s, d)
-    extra = e.groupBy("cik").agg(F.max("name").alias("name"), F.max("accession").alias("accession")).select("cik", "name", F.lit("2001-12-30").cast("date").alias("filed_at"), F.lit("10-K").alias("form_type"), "accession", F.lit("periodic").alias("kind"))
-    was, now = _exits(s, d), L.resolved_exits(L.timelines(e.unionByName(extra)), _on())
+    extra = e.groupBy("cik").agg(F.max("name").alias("name"), F.max("accession").alias("accession")).select("cik", "name", F.lit("2001-12-30").cast("date").alias("filed_at"), F.lit("10-K").alias("form_type"), "accession")
+    was, now = _exits(s, d), L.resolved_exits(L.timelines(e.unionByName(L.classified(extra))), _on())
     return was.join(now.select("cik", F.col("status").alias("counterfactual")), "cik").groupBy("status", "counterfactual").agg(F.count(F.lit(1)).alias("n"))
 
 

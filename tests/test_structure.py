@@ -23,24 +23,48 @@ def bars(spark, sf):
 
 
 def test_every_session_is_read(bars):
-    found = {(r.instrument_id, r.session_date, r.family): (r.start_date, r.level, r.invalidation, r.quality, r.atr) for r in P.detect(bars).collect()}
+    """Against a reading that cuts each session's bars and pivots anew and keeps nothing between sessions."""
+    found = {(r.instrument_id, r.session_date, r.family, r.start_date): (r.level, r.invalidation, r.quality, r.atr) for r in P.detect(bars).collect()}
     expected = {}
-    for instrument, x in bars.toPandas().sort_values("session_date").groupby("instrument_id"):
+    for instrument, x in bars.where("instrument_id = 1").toPandas().sort_values("session_date").groupby("instrument_id"):
         days = x["session_date"].to_numpy()
         o, h, lo, c, v = (x[k].to_numpy(float) for k in ("open", "high", "low", "close", "volume"))
         span = P.atr(h, lo, c)
+        every_high, every_low = P._pivots(h, P.LEFT, P.RIGHT), P._pivots(-lo, P.LEFT, P.RIGHT)
         for t in range(60, len(x)):
-            own = slice(max(0, t + 1 - P.LOOKBACK), t + 1)
-            highs, lows = P._pivots(h[own], P.LEFT, P.RIGHT), P._pivots(-lo[own], P.LEFT, P.RIGHT)
-            chart = Chart(o[own], h[own], lo[own], c[own], v[own], span[own], highs, lows)
+            highs, lows = (p[(p <= t - P.RIGHT) & (p >= t - P.REACH)] for p in (every_high, every_low))
+            chart = Chart(o[: t + 1], h[: t + 1], lo[: t + 1], c[: t + 1], v[: t + 1], span[: t + 1], highs, lows)
             for family in P.FAMILIES:
                 if t < P.WARM[family]:
                     continue
-                end = len(h[own]) - P.RIGHT
-                got = P._FIND[family](P._Series(h[own], lo[own], c[own], v[own], highs, lows), end) if family in P._FIND else FINDERS[family](chart, end - 1)
-                if got is not None and got[2] < got[1]:
-                    expected[instrument, days[t], family] = (days[own][got[0]], round(got[1], 6), round(float(got[2]), 6), round(100 * float(np.mean(list(got[3].values()))), 4), span[t])
-    assert len(expected) > 100 and found == expected
+                for first, level, floor, parts in P._FIND[family](chart, t - P.RIGHT):
+                    if floor < level:
+                        expected.setdefault((instrument, days[t], family, days[first]), (round(float(level), 6), round(float(floor), 6), round(100 * float(np.mean(list(parts.values()))), 4), span[t]))
+    assert len(expected) > 1000 and {k: x for k, x in found.items() if k[0] == 1} == expected
+    starts = {}
+    for i, on, family, start in found:
+        starts.setdefault((i, on, family), set()).add(start)
+    assert max(map(len, starts.values())) > 1
+
+
+def test_long_and_concurrent_structures(spark):
+    """A cup of 190 sessions, and two bases that are both alive."""
+    legs = [(0, 80), (40, 100), (70, 78), (50, 77), (70, 99), (6, 94), (8, 97)]
+    cup = _frame(spark, legs)
+    seen = {(r.family, (r.start_date - DAY0).days) for r in P.detect(cup).collect()}
+    assert any(f == "cup_handle" and abs(n - 40) <= 1 for f, n in seen)
+    two = [(0, 60), (40, 100), (9, 93), (9, 99.8), (9, 94), (9, 92), (9, 97), (5, 94), (5, 96.8), (5, 93.5), (5, 96.9), (5, 95), (5, 96)]
+    rows = P.detect(_frame(spark, two)).where("family = 'flat_base'").collect()
+    last = max(r.session_date for r in rows)
+    assert len({r.start_date for r in rows if r.session_date == last}) >= 2
+
+
+def _frame(spark, legs):
+    price = [legs[0][1]]
+    for n, to in legs[1:]:
+        price += np.linspace(price[-1], to, n + 1)[1:].tolist()
+    rows = [(1, day(n), p * 0.999, p * 1.004, p * 0.996, float(p), 100.0) for n, p in enumerate(np.asarray(price, float).tolist())]
+    return spark.createDataFrame(rows, "instrument_id int, session_date date, open double, high double, low double, close double, volume double")
 
 
 FOUND = "instrument_id int, session_date date, key string, family string, state string, quality double, level double, invalidation double"
@@ -94,17 +118,29 @@ SHAPES = {
 @pytest.mark.parametrize("family", sorted(SHAPES))
 def test_families_find_what_they_name(family):
     c, end = chart(*SHAPES[family])
-    first, level, invalidation, parts = FINDERS[family](c, end)
+    first, level, invalidation, parts = next(FINDERS[family](c, end))
     assert 0 <= first < end and invalidation < level and all(0 <= x <= 1 for x in parts.values())
     flat, last = chart((0, 100), (120, 100.5))
-    assert FINDERS[family](flat, last) is None
+    assert next(FINDERS[family](flat, last), None) is None
 
 
 def test_latest_scan_is_the_end_of_the_full_one(bars):
     full = {tuple(r) for r in P.detect(bars).collect()}
     last = {r.instrument_id: r.d for r in bars.groupBy("instrument_id").agg({"session_date": "max"}).withColumnRenamed("max(session_date)", "d").collect()}
-    short = {tuple(r)[:8] for r in P.detect_latest(bars).collect()}
-    assert short == {r[:8] for r in full if r[1] == last[r[0]]}  # the ATR's memory is the one thing that a bounded scan starts anew
+    for sessions in (1, 5):
+        days = {i: sorted({r[1] for r in bars.where(f"instrument_id = {i}").select("instrument_id", "session_date").collect()})[-sessions:] for i in last}
+        state = P.rescan_state(bars, sessions)
+        tail = bars.join(spark_cut(bars, sessions + P.OVERLAP), "instrument_id").where("session_date >= cut").drop("cut")
+        assert {tuple(r) for r in P.detect_latest(tail, sessions, state).collect()} == {r for r in full if r[1] in days[r[0]]}
+
+
+def spark_cut(bars, keep):
+    """The first of the last ``keep`` sessions of each series: a rescan needs no bar before it."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    w = Window.partitionBy("instrument_id").orderBy(F.desc("session_date"))
+    return bars.withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep).groupBy("instrument_id").agg(F.min("session_date").alias("cut"))
 
 
 @pytest.mark.parametrize("kind", ["high", "low"])

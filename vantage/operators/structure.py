@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,16 +10,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.functions.scalar import identity
-from vantage.operators.families import FINDERS, Chart
-from vantage.operators.features import atr, series
+from vantage.operators.families import FINDERS, Chart, Found, share
+from vantage.operators.features import atr, series, true_ranges
 
 LEFT = RIGHT = 3
+ATR_SESSIONS = 14
 FAMILIES = ("flat_base", "tight_consolidation", "double_bottom", "ascending_triangle", "volatility_contraction", *FINDERS)
 #: Bars that a family needs before its first session.  Fixed values.
 WARM = dict.fromkeys(FAMILIES, 60) | {"cup_handle": 90, "inverse_head_shoulders": 90, "base_on_base": 100, "breakout_retest": 100}
-LOOKBACK = 160
+#: Sessions back to which pivots take part; the longest structure (a cup with its handle) spans 239.
+REACH = 300
+#: Bars before a block that its sessions may read: pivots in reach, and the trend before them.
+OVERLAP = REACH + 64
 WARM_UP = 60
-BLOCK = 320
+BLOCK = 640
 
 
 def swings(bars: DataFrame, left: int = LEFT, right: int = RIGHT) -> DataFrame:
@@ -122,136 +126,184 @@ def contractions(pivots: DataFrame) -> DataFrame:
     return pivots.withColumn("_low", nxt).where("kind = 'high' and _low is not null").select("instrument_id", F.col("session_date").alias("high_on"), F.col("_low.session_date").alias("low_on"), (1 - F.col("_low.price") / F.col("price")).alias("depth"))
 
 
-@dataclass
-class _Series:
-    high: np.ndarray
-    low: np.ndarray
-    close: np.ndarray
-    volume: np.ndarray
-    highs: np.ndarray
-    lows: np.ndarray
-
-
 def _pivots(x: np.ndarray, left: int, right: int) -> np.ndarray:
     n = len(x)
     out = [i for i in range(left, n - right) if x[i] > x[i - left : i].max() and x[i] >= x[i + 1 : i + 1 + right].max()]
     return np.array(out, dtype=int)
 
 
-def _share(value: float, zero: float, full: float) -> float:
-    return float(min(max((value - zero) / (full - zero), 0.0), 1.0))
-
-
-def _flat_base(s: _Series, end: int):
-    top = s.high[max(0, end - 65) : end].max()
-    own = [i for i in s.highs if i >= end - 65 and i <= end - 20 and s.high[i] >= top * 0.98]
-    if not own:
-        return None
-    a = own[0]
-    depth = 1 - s.low[a:end].min() / top
-    if depth > 0.2:
-        return None
-    touches = sum(s.high[i] >= top * 0.98 for i in s.highs if a <= i < end)
-    return a, top, s.low[a:end].min(), {"depth": 1 - depth / 0.2, "touches": _share(touches, 1, 4), "duration": _share(end - a, 15, 35)}
-
-
-def _tight(s: _Series, end: int):
-    a = end - 15
+def _flat_base(s: Chart, end: int) -> Iterator[Found]:
+    """One for each ceiling of the last 65 sessions: its earliest touch without a higher high since."""
+    for ceiling in s.highs[(s.highs >= end - 64) & (s.highs <= end)][::-1].tolist():
+        top, a = s.high[ceiling : end + 1].max(), ceiling
+        if s.high[ceiling] < top * 0.98:
+            continue
+        for i in s.highs[(s.highs < ceiling) & (s.highs >= end - 64)][::-1].tolist():
+            if s.high[i] > top:
+                break
+            if s.high[i] >= top * 0.98:
+                a = i
+        floor = s.low[a : end + 1].min()
+        depth = 1 - floor / top
+        if a > end - 19 or depth > 0.2:
+            continue
+        touches = int((s.high[s.highs[s.highs >= a]] >= top * 0.98).sum())
+        yield a, float(top), floor, {"depth": 1 - depth / 0.2, "touches": share(touches, 1, 4), "duration": share(end + 1 - a, 15, 35)}
+
+
+def _tight(s: Chart, end: int) -> Iterator[Found]:
+    a, stop = end - 14, end + 1
     if a < 30:
-        return None
-    top, floor = s.high[a:end].max(), s.low[a:end].min()
+        return
+    top, floor = s.high[a:stop].max(), s.low[a:stop].min()
     depth, was = 1 - floor / top, 1 - s.low[a - 30 : a].min() / s.high[a - 30 : a].max()
-    if depth > 0.12 or was <= 0 or depth > 0.6 * was:
-        return None
-    return a, top, floor, {"contraction": 1 - depth / (0.6 * was), "tightness": 1 - depth / 0.12, "volume": _share(s.volume[a - 30 : a].mean() / max(s.volume[a:end].mean(), 1e-9), 0.8, 1.5)}
+    if depth <= 0.12 and was > 0 and depth <= 0.6 * was:
+        yield a, float(top), floor, {"contraction": 1 - depth / (0.6 * was), "tightness": 1 - depth / 0.12, "volume": share(s.volume[a - 30 : a].mean() / max(s.volume[a:stop].mean(), 1e-9), 0.8, 1.5)}
 
 
-def _double_bottom(s: _Series, end: int):
-    lows = [i for i in s.lows if i >= end - 120]
+def _double_bottom(s: Chart, end: int) -> Iterator[Found]:
+    lows = s.lows[s.lows >= end - 119].tolist()
     for b in reversed(lows):
         for a in lows:
-            if a >= b - 10 or abs(s.low[b] / s.low[a] - 1) > 0.06 or s.low[a : b + 1].min() < min(s.low[a], s.low[b]) * 0.97:
-                continue
-            top = s.high[a:b].max()
-            rally, drop = top / s.low[a] - 1, 1 - s.low[a] / s.high[max(0, a - 60) : a + 1].max()
-            if rally >= 0.06 and drop >= 0.12:
-                return a, top, min(s.low[a], s.low[b]), {"symmetry": 1 - abs(s.low[b] / s.low[a] - 1) / 0.06, "rally": _share(rally, 0.06, 0.2), "decline": _share(drop, 0.12, 0.3)}
-    return None
-
-
-def _triangle(s: _Series, end: int):
-    highs = [i for i in s.highs if i >= end - 100]
-    best: list[int] = []
-    for a in highs:
-        own = [i for i in highs if abs(s.high[i] / s.high[a] - 1) <= 0.015]
-        if len(own) > len(best):
-            best = own
-    if len(best) < 2 or max(np.diff(best)) > 25:
-        return None
-    a, level = best[0], float(np.mean(s.high[best]))
-    lows = [i for i in s.lows if i > a]
-    if len(lows) < 2 or any(s.low[j] <= s.low[i] for i, j in zip(lows[:-1], lows[1:])):
-        return None
-    return a, level, s.low[lows[-1]], {"flatness": 1 - float(np.std(s.high[best]) / (0.015 * level)), "touches": _share(len(best), 1, 4), "rising": _share(len(lows), 1, 4)}
-
-
-def _vcp(s: _Series, end: int):
-    highs = [i for i in s.highs if i >= end - 120]
-    depths, spots = [], []
-    for i in highs:
-        after = [j for j in s.lows if j > i]
-        if after:
-            depths.append(1 - s.low[after[0]] / s.high[i])
-            spots.append(i)
-    if len(depths) < 2:
+            if a >= b - 10:
+                break
+            if ("bottoms", a, b) not in s.memo:
+                s.memo["bottoms", a, b] = _bottoms(s, a, b)
+            if s.memo["bottoms", a, b] is not None:
+                yield s.memo["bottoms", a, b]
+
+
+def _bottoms(s: Chart, a: int, b: int) -> Found | None:
+    if abs(s.low[b] / s.low[a] - 1) > 0.06 or s.low[a : b + 1].min() < min(s.low[a], s.low[b]) * 0.97:
         return None
-    top = int(np.argmax(s.high[spots]))
-    depths, spots = depths[top:], spots[top:]
-    if len(depths) < 2 or depths[0] > 0.4 or not all(b < a for a, b in zip(depths[:-1], depths[1:])):
+    top = s.high[a:b].max()
+    rally, drop = top / s.low[a] - 1, 1 - s.low[a] / s.high[max(0, a - 60) : a + 1].max()
+    if rally < 0.06 or drop < 0.12:
         return None
-    return spots[0], float(s.high[spots[0]]), float(s.low[spots[0] : end].min()), {"count": _share(len(depths), 1, 4), "tightening": 1 - depths[-1] / depths[0], "depth": 1 - depths[0] / 0.4}
+    return a, float(top), min(s.low[a], s.low[b]), {"symmetry": 1 - abs(s.low[b] / s.low[a] - 1) / 0.06, "rally": share(rally, 0.06, 0.2), "decline": share(drop, 0.12, 0.3)}
+
+
+def _triangle(s: Chart, end: int) -> Iterator[Found]:
+    """One for each set of pivot highs near an anchor, the set with the latest touch first, larger sets before smaller."""
+    highs = s.highs[s.highs >= end - 99]
+    if len(highs) < 2:
+        return
+    price = s.high[highs]
+    near = np.abs(price[None] / price[:, None] - 1) <= 0.015
+    sets = sorted({tuple(highs[n].tolist()) for n in near if n.sum() > 1}, key=lambda own: (-own[-1], -len(own), own))
+    for own in sets:
+        a, level, at = own[0], float(s.high[list(own)].mean()), s.high[list(own)]
+        lows = s.lows[s.lows > a]
+        if max(np.diff(own)) > 25 or len(lows) < 2 or (np.diff(s.low[lows]) <= 0).any():
+            continue
+        yield a, level, s.low[lows[-1]], {"flatness": 1 - float(at.std() / (0.015 * level)), "touches": share(len(own), 1, 4), "rising": share(len(lows), 1, 4)}
+
+
+def _vcp(s: Chart, end: int) -> Iterator[Found]:
+    """One for each high that none of the later ones exceeds, with pullbacks that shrink from there on; the latest start first."""
+    highs = s.highs[s.highs >= end - 119]
+    after = np.searchsorted(s.lows, highs, side="right")
+    highs, after = highs[after < len(s.lows)], after[after < len(s.lows)]
+    depths, prices = 1 - s.low[s.lows[after]] / s.high[highs], s.high[highs]
+    for top in range(len(highs) - 2, -1, -1):
+        if depths[top + 1] >= depths[top]:
+            return  # no earlier start has shrinking pullbacks either
+        if prices[top] < prices[top:].max() or depths[top] > 0.4:
+            continue
+        floor = s.low[highs[top] : end + 1].min()
+        yield int(highs[top]), float(prices[top]), float(floor), {"count": share(len(highs) - top, 1, 4), "tightening": 1 - depths[-1] / depths[top], "depth": 1 - depths[top] / 0.4}
+
+
+_FIND = dict(zip(FAMILIES[:5], (_flat_base, _tight, _double_bottom, _triangle, _vcp), strict=True)) | FINDERS
+_INSTANCE = "instrument_id int, session_date date, family string, start_date date, level double, invalidation double, quality double, touches int, confidence double, close double, atr double"
+_BARS = ("open", "high", "low", "close", "volume")
+
+
+class Walk:
+    """A series (or a stretch of it) read session by session: its pivots stand in one index, of which a session sees those confirmed by then."""
+
+    def __init__(self, bars: dict[str, np.ndarray], atr_values: np.ndarray) -> None:
+        self.bars, self.atr = bars, atr_values
+        self.highs, self.lows = _pivots(bars["high"], LEFT, RIGHT), _pivots(-bars["low"], LEFT, RIGHT)
+        self.memo: dict = {}
+
+    def sighted(self, t: int, age: int) -> Iterator[tuple[str, int, float, float, float, int, float]]:
+        """Family, first position, level, invalidation, quality, touches and confidence of every structure seen at position t, one for each family and start.
+
+        ``age`` is the session's number in its series, which decides whether a family's warm-up is met.
+        """
+        end = t - RIGHT
+        highs, lows = (p[np.searchsorted(p, t - REACH) : np.searchsorted(p, end, side="right")] for p in (self.highs, self.lows))
+        chart = Chart(*(self.bars[k][: t + 1] for k in _BARS), self.atr[: t + 1], highs, lows, self.memo)
+        for family in FAMILIES:
+            if age < WARM[family]:
+                continue
+            starts = set()
+            for first, level, floor, parts in _FIND[family](chart, end):
+                if first in starts:
+                    continue
+                starts.add(first)
+                if floor < level:
+                    level, floor = round(float(level), 6), round(float(floor), 6)
+                    yield family, first, level, floor, round(100 * float(np.mean(list(parts.values()))), 4), *self._tested(chart, first, level)
+
+    @staticmethod
+    def _tested(chart: Chart, first: int, level: float) -> tuple[int, float]:
+        """Confirmed highs of the structure within 1.5 % of its level, and how certain they make it."""
+        price = chart.high[chart.highs[chart.highs >= first]]
+        price = price[np.abs(price - level) <= level * 0.015]
+        if not len(price):
+            return 1, 35.0
+        tight = 1 - min(float(price.std()) / (level * 0.015), 1.0)
+        return len(price), round(100 * (0.65 * min(len(price) / 4, 1.0) + 0.35 * tight), 4)
 
 
-_FIND = dict(zip(FAMILIES[:5], (_flat_base, _tight, _double_bottom, _triangle, _vcp), strict=True))
-_INSTANCE = "instrument_id int, session_date date, family string, start_date date, level double, invalidation double, quality double, close double, atr double"
+def series_atr(x: pd.DataFrame) -> np.ndarray:
+    return atr(*(x[k].to_numpy(float) for k in ("high", "low", "close")))
+
+
+_PLACED = "instrument_id int, session_date date, open double, high double, low double, close double, volume double, position long, atr double"
+
+
+def placed(bars: DataFrame) -> DataFrame:
+    """Bars with their number in the series and the recursive ATR, which is the one thing that takes a series whole."""
+
+    def spans(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("session_date")
+        return x.assign(position=np.arange(len(x)), atr=series_atr(x))
+
+    names = [k.split()[0] for k in _PLACED.split(", ")][:7]
+    return bars.select(*names).groupBy("instrument_id").applyInPandas(spans, _PLACED)
 
 
 def detect(bars: DataFrame) -> DataFrame:
-    """Structures of each family as seen at every session of each series, from the LOOKBACK bars up to it only.
+    """Structures of each family as seen at every session of each series, one for each structural start.
 
     Geometry ends RIGHT bars before the session, where pivots are confirmed; quality is the mean of the family's components, 0 to 100.
-    Sessions are dealt by (series, block of BLOCK sessions) with the LOOKBACK - 1 bars before; only the recursive ATR takes a series whole.
+    Pivots of the last REACH sessions take part, more than any family's longest structure; a head and shoulders or a retest is
+    reported for RECENT sessions after its last pivot.  Sessions are dealt by (series, block of BLOCK sessions) with the OVERLAP
+    bars before, so a series is read by many tasks.
     """
+    return sightings(placed(bars))
 
-    def spans(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("session_date")
-        return x.assign(position=np.arange(len(x)), atr=atr(*(x[k].to_numpy(float) for k in ("high", "low", "close"))))
+
+def sightings(numbered: DataFrame) -> DataFrame:
+    """As detect(), of bars that have their position and ATR already."""
 
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("position")
         days, at = x["session_date"].to_numpy(), x["position"].to_numpy()
-        o, h, lo, c, v, span = (x[k].to_numpy(float) for k in ("open", "high", "low", "close", "volume", "atr"))
-        highs, lows = _pivots(h, LEFT, RIGHT), _pivots(-lo, LEFT, RIGHT)
+        walk = Walk({k: x[k].to_numpy(float) for k in _BARS}, x["atr"].to_numpy(float))
+        close = walk.bars["close"]
         rows = []
         for t in np.flatnonzero((at >= WARM_UP) & (at // BLOCK == key[1])):
-            a = max(0, t + 1 - LOOKBACK)
-            end = t + 1 - RIGHT - a
-            part = _Series(h[a : t + 1], lo[a : t + 1], c[a : t + 1], v[a : t + 1], *(p[(p >= a + LEFT) & (p < a + end)] - a for p in (highs, lows)))
-            chart = Chart(o[a : t + 1], h[a : t + 1], lo[a : t + 1], c[a : t + 1], v[a : t + 1], span[a : t + 1], part.highs, part.lows)
-            for family in FAMILIES:
-                if at[t] < WARM[family]:
-                    continue
-                got = _FIND[family](part, end) if family in _FIND else FINDERS[family](chart, end - 1)
-                if got is not None and got[2] < got[1]:
-                    first, level, floor, parts = got
-                    rows.append((key[0], days[t], family, days[a + first], round(level, 6), round(float(floor), 6), round(100 * float(np.mean(list(parts.values()))), 4), c[t], span[t]))
+            for family, first, *rest in walk.sighted(int(t), int(at[t])):
+                rows.append((key[0], days[t], family, days[first], *rest, close[t], walk.atr[t]))
         return pd.DataFrame(rows, columns=[k.split()[0] for k in _INSTANCE.split(", ")])
 
-    kinds = "instrument_id int, session_date date, open double, high double, low double, close double, volume double"
-    placed = bars.select(*(k.split()[0] for k in kinds.split(", "))).groupBy("instrument_id").applyInPandas(spans, f"{kinds}, position long, atr double")
-    block = F.explode(F.sequence(F.floor(F.col("position") / BLOCK), F.floor((F.col("position") + LOOKBACK - 1) / BLOCK)))
-    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: rows are few and work is much, so they mustn't be coalesced by size
-    return placed.withColumn("block", block).repartition(tasks, "instrument_id", "block").groupBy("instrument_id", "block").applyInPandas(run, _INSTANCE)
+    block = F.explode(F.sequence(F.floor(F.col("position") / BLOCK), F.floor((F.col("position") + OVERLAP) / BLOCK)))
+    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: rows are few and work is much, so they mustn't be coalesced by size
+    return numbered.withColumn("block", block).repartition(tasks, "instrument_id", "block").groupBy("instrument_id", "block").applyInPandas(run, _INSTANCE)
 
 
 def skipped(bars: DataFrame) -> DataFrame:
@@ -261,13 +313,38 @@ def skipped(bars: DataFrame) -> DataFrame:
     return n.select("instrument_id", "n", need).where("n < x.need").select("instrument_id", "x.family", (F.col("x.need") - F.col("n")).alias("missing"))
 
 
-def detect_latest(bars: DataFrame, sessions: int = 1) -> DataFrame:
-    """Structures seen at the last sessions of each series, from the bars that a full scan would use and no others."""
+def rescan_state(bars: DataFrame, sessions: int = 1) -> DataFrame:
+    """What a later rescan of the last ``sessions`` sessions of each series needs besides its last bars: the number and the ATR of the bar before them."""
+    last = Window.partitionBy("instrument_id").orderBy(F.desc("position"))
+    return placed(bars).withColumn("_k", F.row_number().over(last)).where(F.col("_k") == sessions + OVERLAP + 1).select("instrument_id", "position", "close", "atr")
+
+
+def detect_latest(bars: DataFrame, sessions: int = 1, state: DataFrame | None = None) -> DataFrame:
+    """Structures seen at the last sessions of each series, from the last OVERLAP bars before them and ``state`` (see rescan_state()) alone.
+
+    The smoothed range goes on from the stored one, so the result is that of a full scan in every column.  Without a stored state
+    it is computed from all bars first.
+    """
+    state = rescan_state(bars, sessions) if state is None else state
     last = Window.partitionBy("instrument_id").orderBy(F.desc("session_date"))
-    keep = sessions + max(LOOKBACK, max(WARM.values())) + 6 * 14
-    tail = bars.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= keep)
+    tail = bars.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= sessions + OVERLAP)
+
+    def go_on(key: tuple, x: pd.DataFrame, was: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("session_date")
+        if len(was):
+            whole = pd.DataFrame({k: np.concatenate(([was["close"].iloc[0]], x[k].to_numpy(float))) for k in ("high", "low", "close")})
+            ranges = true_ranges(*(whole[k].to_numpy() for k in ("high", "low", "close")))[1:]
+            span, out = float(was["atr"].iloc[0]), []
+            for r in ranges:
+                span += 1 / ATR_SESSIONS * (r - span)
+                out.append(span)
+            return x.assign(position=np.arange(len(x)) + int(was["position"].iloc[0]) + 1, atr=out)
+        return x.assign(position=np.arange(len(x)), atr=series_atr(x))
+
+    names = [k.split()[0] for k in _PLACED.split(", ")][:7]
+    numbered = tail.select(*names).groupBy("instrument_id").cogroup(state.groupBy("instrument_id")).applyInPandas(go_on, _PLACED)
     recent = tail.where(F.col("_k") <= sessions).select("instrument_id", "session_date")
-    return detect(tail.drop("_k")).join(recent, ["instrument_id", "session_date"], "left_semi")
+    return sightings(numbered).join(recent, ["instrument_id", "session_date"], "left_semi")
 
 
 def across_timeframes(daily: DataFrame, weekly: DataFrame) -> DataFrame:
@@ -288,7 +365,7 @@ def with_state(found: DataFrame, least: float = 25.0) -> DataFrame:
     """Identity and state of each structure; weak ones go."""
     c, level = F.col("close"), F.col("level")
     state = (
-        F.when(c < F.col("invalidation"), "INVALIDATED").when(F.col("quality") < 45, "FORMING").when(c > level * 1.002, "BROKEN_OUT_UNCONFIRMED").when(c >= level * 0.97, "NEAR_BREAKOUT").otherwise("MATURE")
+        F.when(c < F.col("invalidation"), "INVALIDATED").when(F.col("quality") < 45, "FORMING").when(c > level * 1.002, "BROKEN_OUT_UNCONFIRMED").when((c >= level * 0.97) & (F.col("family") != "breakout_retest"), "NEAR_BREAKOUT").otherwise("MATURE")  # a retest's level has been crossed before
     )
     return found.where(F.col("quality") >= least).withColumn("state", state).withColumn("key", identity(F.col("instrument_id"), F.col("family"), F.lit("1d"), F.col("start_date")))
 

@@ -67,27 +67,6 @@ def _frame(spark, legs):
     return spark.createDataFrame(rows, "instrument_id int, session_date date, open double, high double, low double, close double, volume double")
 
 
-FOUND = "instrument_id int, session_date date, key string, family string, state string, quality double, level double, invalidation double"
-
-
-def steps(spark, seen, closes):
-    found = spark.createDataFrame([(1, day(n), k, "flat_base", state, 60.0, 110.0, 90.0) for n, k, state in seen], FOUND)
-    sessions = spark.createDataFrame([(1, day(n), float(c)) for n, c in enumerate(closes)], "instrument_id int, session_date date, close double")
-    return {(r.key, (r.session_date - DAY0).days, r.from_state, r.to_state) for r in K.track(found, sessions).collect()}
-
-
-def test_carry_and_grace_count_sessions(spark):
-    got = steps(spark, [(0, "a", "MATURE"), (3, "b", "MATURE")], [100] * 16)
-    assert got == {("a", 0, None, "MATURE"), ("b", 3, None, "MATURE"), ("a", K.CARRY + K.GRACE + 1, "MATURE", "EXPIRED")}
-
-
-def test_the_unseen_are_resolved_from_their_levels(spark):
-    assert steps(spark, [(0, "a", "MATURE")], [100, 89]) == {("a", 0, None, "MATURE"), ("a", 1, "MATURE", "INVALIDATED")}
-    assert steps(spark, [(0, "a", "MATURE")], [100, 111, 89]) == {("a", 0, None, "MATURE"), ("a", 1, "MATURE", "BROKEN_OUT_UNCONFIRMED"), ("a", 2, "BROKEN_OUT_UNCONFIRMED", "INVALIDATED")}
-    again = steps(spark, [(0, "a", "MATURE"), (2, "a", "MATURE")], [100, 89, 100])
-    assert {(k, n) for k, n, *_ in again} == {("a", 0), ("a", 1), (f"a:{day(2)}", 2)}
-
-
 def test_merged_spans(spark):
     rows = [(1, "f", "long", day(0), day(99)), (1, "f", "inside", day(10), day(50)), (1, "f", "mostly", day(90), day(101)), (1, "f", "half", day(60), day(140)), (1, "g", "other", day(10), day(50))]
     got = {r.key: r.into for r in K.merged(spark.createDataFrame(rows, "instrument_id int, family string, key string, start_date date, end_date date")).collect()}

@@ -23,6 +23,7 @@ RETESTING = ("retest_pending", "retest_holding", "retest_confirmed")
 # Fixed values of the default configuration.
 APPROACHING, PENDING, CONFIRMED, RETESTED = 40, 15, 30, 25
 MOST_REJECTIONS, CLOSES_INSIDE, DECISIVE, ADVERSE, STALE_DAYS = 3, 2, 1.2, 2.5, 25
+DETACHED = 40.0  # quality taken for a level that belongs to no structure
 
 
 def _ramp(x: float, zero: float, full: float, floor: float = 0.0) -> float:
@@ -100,14 +101,15 @@ class Monitor:
     atr: float
     confidence: float = 50.0
     touches: int = 2
+    quality: float = DETACHED
     attempt: Attempt | None = None
     number: int = 0
     rejections: int = 0
     previous_close: float | None = None
     closed: bool = False
 
-    def take(self, bar: Bar, watched: bool) -> list[tuple[int, str, str]]:
-        """``watched``: the structure behind the level has been observed lately."""
+    def take(self, bar: Bar, watched: bool, lost: bool = False) -> list[tuple[int, str, str]]:
+        """``watched``: the structure behind the level has been observed lately.  ``lost``: its identity has ended, and with it any attempt."""
         out, now = [], self.attempt
         if not self.closed and (now is not None or watched):
             was = None
@@ -117,7 +119,7 @@ class Monitor:
                 self._advance(now, bar)
             else:
                 was = now.state
-                if watched or now.since:
+                if watched or (now.since and not lost):
                     self._advance(now, bar)
                 else:
                     now.state, now.reason = "expired", "timed_out"
@@ -177,7 +179,7 @@ class Monitor:
         beyond = (bar.close - self.level * (1 + self.tolerance)) / self.atr if self.atr > 0 else 0.0
         over = max(0.0, (bar.close - self.level) / self.atr - 1) if self.atr > 0 else 0.0
         parts = {
-            "boundary_quality": self.confidence * 0.4 + _ramp(self.touches, 0, 5) * 0.3 + 12,
+            "boundary_quality": self.confidence * 0.4 + _ramp(self.touches, 0, 5) * 0.3 + self.quality * 0.3,
             "penetration": _ramp(beyond, 0, 0.75) * 0.65 + _ramp(over, 3, 0) * 0.35,
             "candle_quality": shape,
             "volume_confirmation": None if relative is None else _ramp(relative, 0.7, 1.8),
@@ -287,7 +289,8 @@ def histories(bars: DataFrame, boundaries: DataFrame) -> DataFrame:
     """State history of every attempt at every level, over all sessions after it was frozen.
 
     bars: instrument_id, session_date, open, high, low, close, volume, average_volume.  boundaries: instrument_id, key, level,
-    tolerance, atr, confidence, touches, frozen_on and seen, the dates on which the structure was observed.
+    tolerance, atr, confidence, touches, frozen_on and seen, the dates on which the structure was observed; quality, that of the
+    structure, where the levels belong to one.
     """
 
     def fold(group: tuple, b: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
@@ -300,7 +303,7 @@ def histories(bars: DataFrame, boundaries: DataFrame) -> DataFrame:
             first = int(np.searchsorted(days, np.datetime64(r.frozen_on, "D"), side="right"))
             last = seen[np.searchsorted(seen, days[first:], side="right") - 1]
             watched = ((days[first:] - last).astype(int) <= STALE_DAYS).tolist()
-            m, was = Monitor(r.level, r.tolerance, r.atr, r.confidence, int(r.touches)), {}
+            m, was = Monitor(r.level, r.tolerance, r.atr, r.confidence, int(r.touches), getattr(r, "quality", DETACHED)), {}
             final = len(watched) if not watched else max((i for i, w in enumerate(watched) if w), default=-1) + 1
             for i, x in enumerate(bar[first:]):
                 if m.closed or (i >= final and m.attempt is None):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
 from collections import defaultdict
 
 import pandas as pd
@@ -9,74 +11,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.functions.scalar import identity
+from vantage.operators.tracker import EDGES, TERMINAL, ZERO, Sighting, Step, Tracker  # noqa: F401
 
-#: Legal edges of a tracked structure.  Terminal states have none.
-EDGES = {
-    "FORMING": ("MATURE", "NEAR_BREAKOUT", "BROKEN_OUT_UNCONFIRMED", "INVALIDATED", "EXPIRED"),
-    "MATURE": ("NEAR_BREAKOUT", "BROKEN_OUT_UNCONFIRMED", "INVALIDATED", "EXPIRED"),
-    "NEAR_BREAKOUT": ("MATURE", "BROKEN_OUT_UNCONFIRMED", "INVALIDATED", "EXPIRED"),
-    "BROKEN_OUT_UNCONFIRMED": ("INVALIDATED", "EXPIRED"),
-}
-TERMINAL = ("INVALIDATED", "EXPIRED")
-CARRY, GRACE = 10, 3
-_HISTORY = "instrument_id int, key string, family string, session_date date, from_state string, to_state string, quality double"
-
-
-def track(found: DataFrame, sessions: DataFrame, buffer: float = 0.002) -> DataFrame:
-    """State history of each identity, folded over every session of its series.
-
-    found: instrument_id, session_date, key, family, state, quality, level, invalidation.  sessions: instrument_id, session_date,
-    close, also those on which nothing was found.  An illegal step starts a new life of the identity (key with the session
-    appended); a structure first seen in a terminal state is never born.  One that is not seen is resolved from its stored
-    levels, invalidation first; otherwise it is carried for CARRY sessions and GRACE more, and expires on the next.
+HISTORY = "instrument_id int, key string, family string, session_date date, from_state string, to_state string, reason string, quality double"
+NAMES = [k.split()[0] for k in HISTORY.split(", ")]
+FIELDS = ("key", "family", "state", "quality", "level", "invalidation", "start")
+
+
+def sightings(found: DataFrame) -> DataFrame:
+    """instrument_id, day and what a tracker reads of each structure."""
+    return found.select("instrument_id", F.unix_date("session_date").alias("day"), "key", "family", "state", "quality", "level", "invalidation", F.unix_date("start_date").alias("start"))
+
+
+def step_rows(instrument: int, steps: list[Step]) -> list[tuple]:
+    return [(instrument, s.key, s.family, ZERO + dt.timedelta(days=s.day), s.was, s.to, s.reason, s.quality) for s in steps]
+
+
+def track(found: DataFrame, sessions: DataFrame, until: Column | None = None) -> DataFrame:
+    """State history of each identity, folded over every session of its series; see the tracker for the rules.
+
+    found: instrument_id, session_date, key, family, state, quality, level, invalidation, start_date.  sessions: instrument_id,
+    session_date, close, also those on which nothing was found.  With ``until`` (one date for all), series that have been
+    silent by then are closed; otherwise what lives at the end of a series stays open.
     """
 
     def fold(group: tuple, x: pd.DataFrame, calendar: pd.DataFrame) -> pd.DataFrame:
-        rows, live, name, retired = [], {}, {}, set()
-        instrument = group[0]
         by_day = defaultdict(list)
-        for r in x.sort_values(["session_date", "key"]).itertuples():
-            by_day[r.session_date].append(r)
-
-        def step(key, family, day, was, to, quality):
-            rows.append((instrument, key, family, day, was, to, quality))
-            if to in TERMINAL:
-                live.pop(key, None)
-                retired.add(key)
-
-        closes = calendar.sort_values("session_date").drop_duplicates("session_date")
-        for n, (day, close) in enumerate(zip(closes["session_date"], closes["close"], strict=True)):
-            seen = set()
-            for r in by_day[day]:
-                key = name.get(r.key, r.key)
-                was = live[key][0] if key in live else None
-                if was is not None and r.state != was and r.state not in EDGES[was]:
-                    step(key, r.family, day, was, "EXPIRED", r.quality)
-                    was = None
-                if was is None:
-                    if r.state in TERMINAL:
-                        continue
-                    if key in retired:
-                        key = name[r.key] = f"{r.key}:{day}"
-                seen.add(key)
-                if r.state != was:
-                    step(key, r.family, day, was, r.state, r.quality)
-                if r.state not in TERMINAL:
-                    live[key] = (r.state, n, r.family, r.quality, r.level, r.invalidation)
-            for key, (state, last, family, quality, level, floor) in list(live.items()):
-                if key in seen:
-                    continue
-                if close < floor:
-                    step(key, family, day, state, "INVALIDATED", quality)
-                elif close > level * (1 + buffer) and "BROKEN_OUT_UNCONFIRMED" in EDGES[state]:
-                    step(key, family, day, state, "BROKEN_OUT_UNCONFIRMED", quality)
-                    live[key] = ("BROKEN_OUT_UNCONFIRMED", last, family, quality, level, floor)
-                elif n - last > CARRY + GRACE:
-                    step(key, family, day, state, "EXPIRED", quality)
-        return pd.DataFrame(rows, columns=[k.split()[0] for k in _HISTORY.split(", ")])
-
-    seen = found.select("instrument_id", "session_date", "key", "family", "state", "quality", "level", "invalidation")
-    return seen.groupBy("instrument_id").cogroup(sessions.select("instrument_id", "session_date", "close").groupBy("instrument_id")).applyInPandas(fold, _HISTORY)
+        for day, *rest in x.sort_values(["day", "key"])[["day", *FIELDS]].itertuples(index=False):
+            by_day[day].append(Sighting(*rest))
+        closes = calendar.sort_values("day").drop_duplicates("day")
+        tracker, steps = Tracker(), []
+        for day, close in zip(closes["day"].tolist(), closes["close"].tolist(), strict=True):
+            steps += tracker.observe(day, None if close is None or math.isnan(close) else close, by_day[day])
+        end = closes["end"].iloc[0] if len(closes) else None
+        if end is not None and not pd.isna(end) and tracker.over() is not None and end >= tracker.over():
+            steps += tracker.finish()
+        return pd.DataFrame(step_rows(group[0], steps), columns=NAMES)
+
+    end = F.lit(None).cast("int") if until is None else F.unix_date(until)
+    days = sessions.select("instrument_id", F.unix_date("session_date").alias("day"), "close", end.alias("end"))
+    return sightings(found).groupBy("instrument_id").cogroup(days.groupBy("instrument_id")).applyInPandas(fold, HISTORY)
 
 
 def merged(spans: DataFrame, containment: float = 0.8) -> DataFrame:

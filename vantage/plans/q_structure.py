@@ -110,8 +110,8 @@ def _boundaries(s, d):
     found = _found(s, d)
     early = "state in ('MATURE', 'NEAR_BREAKOUT')"
     watched = found.where(f"{early} or state = 'BROKEN_OUT_UNCONFIRMED'").withColumn("_early", F.when(F.expr(early), F.col("session_date")))
-    edge = watched.groupBy("instrument_id", "key").agg(F.min_by("level", "_early").alias("level"), F.min_by("atr", "_early").alias("atr"), F.min_by("quality", "_early").alias("confidence"), F.min("_early").alias("frozen_on"), F.collect_set("session_date").alias("seen"))
-    return edge.where("frozen_on is not null and atr is not null").withColumn("tolerance", BR.zone(F.col("level"), F.col("atr"), F.col("confidence"))).withColumn("touches", F.lit(2))
+    edge = watched.groupBy("instrument_id", "key").agg(F.min_by("level", "_early").alias("level"), F.min_by("atr", "_early").alias("atr"), *(F.min_by(c, "_early").alias(c) for c in ("quality", "confidence", "touches")), F.min("_early").alias("frozen_on"), F.collect_set("session_date").alias("seen"))
+    return edge.where("frozen_on is not null and atr is not null").withColumn("tolerance", BR.zone(F.col("level"), F.col("atr"), F.col("confidence")))
 
 
 def _followed(s, d):

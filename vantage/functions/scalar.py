@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,6 +102,11 @@ def identity(*parts: Column, size: int = 24) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, size)
 
 
+def identity_of(*parts: object, size: int = 24) -> str:
+    """As identity(), of plain values inside a fold."""
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:size]
+
+
 def digest(x: Column, digits: int = 4) -> Column:
     """A double cut to few decimals at a point that averages of round numbers never meet, so engines agree on it."""
     scale = F.lit(float(10**digits))

@@ -32,6 +32,12 @@ def zone(level: Column, atr: Column, confidence: Column) -> Column:
     return F.least(F.lit(ZONE["most"]), base * (ZONE["widening"] - (ZONE["widening"] - 1) * confidence / 100))
 
 
+def zone_of(level: float, atr: float, confidence: float) -> float:
+    """As zone(), for one level inside a fold."""
+    base = max(ZONE["least"], ZONE["atr"] * atr / level)
+    return min(ZONE["most"], base * (ZONE["widening"] - (ZONE["widening"] - 1) * confidence / 100))
+
+
 def level_on(level: Column, slope: Column, sessions: Column) -> Column:
     """The level of a sloped boundary so many sessions after its anchor."""
     return level + slope * sessions

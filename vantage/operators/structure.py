@@ -361,15 +361,31 @@ def across_timeframes(daily: DataFrame, weekly: DataFrame) -> DataFrame:
     return met.select(F.col("a.key").alias("from_key"), F.col("b.key").alias("to_key"), F.lit("CONTAINS").alias("kind")).distinct()
 
 
-def with_state(found: DataFrame, least: float = 25.0) -> DataFrame:
+#: Least quality of a structure, and of one past forming; buffer over the level of a break, and distance below it of an approach.
+LEAST_QUALITY, MATURE_QUALITY, BREAK_BUFFER, NEAR = 25.0, 45.0, 0.002, 0.03
+
+
+def with_state(found: DataFrame, least: float = LEAST_QUALITY) -> DataFrame:
     """Identity and state of each structure; weak ones go."""
     c, level = F.col("close"), F.col("level")
+    near = (c >= level * (1 - NEAR)) & (F.col("family") != "breakout_retest")  # a retest's level has been crossed before
     state = (
-        F.when(c < F.col("invalidation"), "INVALIDATED").when(F.col("quality") < 45, "FORMING").when(c > level * 1.002, "BROKEN_OUT_UNCONFIRMED").when((c >= level * 0.97) & (F.col("family") != "breakout_retest"), "NEAR_BREAKOUT").otherwise("MATURE")  # a retest's level has been crossed before
+        F.when(c < F.col("invalidation"), "INVALIDATED").when(F.col("quality") < MATURE_QUALITY, "FORMING").when(c > level * (1 + BREAK_BUFFER), "BROKEN_OUT_UNCONFIRMED").when(near, "NEAR_BREAKOUT").otherwise("MATURE")
     )
     return found.where(F.col("quality") >= least).withColumn("state", state).withColumn("key", identity(F.col("instrument_id"), F.col("family"), F.lit("1d"), F.col("start_date")))
 
 
+def state_of(family: str, close: float, level: float, floor: float, quality: float) -> str:
+    """As with_state(), for one structure inside a fold."""
+    if close < floor:
+        return "INVALIDATED"
+    if quality < MATURE_QUALITY:
+        return "FORMING"
+    if close > level * (1 + BREAK_BUFFER):
+        return "BROKEN_OUT_UNCONFIRMED"
+    return "NEAR_BREAKOUT" if close >= level * (1 - NEAR) and family != "breakout_retest" else "MATURE"
+
+
 def violations(found: DataFrame) -> DataFrame:
     """Structures whose geometry can't be; must be empty."""
     return found.where((F.col("invalidation") >= F.col("level")) | (F.col("level") <= 0) | (F.col("start_date") >= F.col("session_date")) | F.isnan("level"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantage.functions.scalar import digest, digest_sql
@@ -60,8 +61,15 @@ register("p19_prior_trend", lambda s, d: P.prior_trend(_bars(s, d)).select("inst
 select instrument_id, session_date, {D('case when x >= 60 then regr_slope(close, x) over w / avg(close) over w end', 5)} as slope, {D('case when x >= 60 then regr_r2(close, x) over w end', 3)} as fit from n window w as (partition by instrument_id order by session_date rows 59 preceding)"""))
 
 
+_SCANS: dict[tuple[str, str], DataFrame] = {}
+
+
 def _found(s, d):
-    return staged_table(P.with_state(P.detect(_bars(s, d))))
+    """The scan of all sessions, staged once a session for the queries that read it."""
+    at = (s.sparkContext.applicationId, d)
+    if at not in _SCANS:
+        _SCANS[at] = staged_table(P.with_state(P.detect(_bars(s, d))))
+    return _SCANS[at]
 
 
 def _observed(s, d, rows):
@@ -91,7 +99,12 @@ register("d15_timeframe_edges", lambda s, d: P.across_timeframes(_observed(s, d,
 select a.key as from_key, b.key as to_key, 'CONTAINS' as kind from a join b on a.instrument_id = b.instrument_id and a.s <= b.e and b.s <= a.e where greatest((least(a.e, b.e) - greatest(a.s, b.s) + 1) / (a.e - a.s + 1)::double, (least(a.e, b.e) - greatest(a.s, b.s) + 1) / (b.e - b.s + 1)::double) >= 25e-2"""))
 register("d13_family_counts", lambda s, d: P.family_counts(_found(s, d)))
 register("p24_violations", lambda s, d: P.violations(P.detect(_bars(s, d))).select("instrument_id", "session_date", "family"))
-register("k02_tracked", lambda s, d: K.track(P.with_state(P.detect(_bars(s, d))), _bars(s, d)))
+def _end(s, d):
+    """The last session of the market: series that fell silent before it are over."""
+    return F.lit(frame(s, d, "bars").agg(F.max("session_date")).first()[0])
+
+
+register("k02_tracked", lambda s, d: K.track(_found(s, d), _bars(s, d), _end(s, d)))
 
 
 def _spans(s, d):
@@ -100,7 +113,7 @@ def _spans(s, d):
 
 register("k05_tracked", lambda s, d: K.relationships(_spans(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
 register("k09_tracked", lambda s, d: K.coexistence(_found(s, d)))
-register("k11_believed_tracked", lambda s, d: K.believed(K.track(_found(s, d), _bars(s, d)), F.lit(_ON).cast("date")))
+register("k11_believed_tracked", lambda s, d: K.believed(K.track(_found(s, d), _bars(s, d), _end(s, d)), F.lit(_ON).cast("date")))
 register("v11_concentration", lambda s, d: K.concentration(_found(s, d)))
 register("v12_churn_tracked", lambda s, d: K.churn(_found(s, d)))
 

@@ -27,4 +27,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-from vantage.plans import q_audits, q_breakout, q_cross, q_features, q_filings, q_ingest, q_materialised, q_profiles, q_quality, q_reads, q_structure  # noqa: E402, F401
+from vantage.plans import q_audits, q_breakout, q_cross, q_features, q_filings, q_ingest, q_materialised, q_profiles, q_quality, q_reads, q_scan, q_structure  # noqa: E402, F401

@@ -312,3 +312,87 @@ def roster_status(controls: DataFrame, observed: DataFrame, outcomes: DataFrame,
 def difficulty_index(controls: DataFrame) -> DataFrame:
     """Tickers of each difficulty, and how many of them a source without delisted names cannot supply."""
     return controls.groupBy("difficulty").agg(F.array_sort(F.collect_set("ticker")).alias("tickers"), F.count_if(F.col("last_trade").isNotNull()).alias("gap"))
+
+
+_ROW, _CELL = "\u241e", "\u241f"
+# Fixed formats of prospectuses.
+NAME_LABEL = r"(?i)Exact\s+name\s+of\s+(?:the\s+)?(?:Trust|Fund|Registrant|Issuer)[^:]{0,60}:"
+LISTING_LABEL = r"(?i)Principal\s+(?:U\.?\s*S\.?\s+)?Listing\s+Exchange[^:]{0,160}:"
+HEADINGS = {"fund": r"(?i)^Funds?(?:\s+Name)?$", "exchange": r"(?i)^Principal\s+(?:U\.?\s*S\.?\s+)?Listing\s+Exchange$", "ticker": r"(?i)^(?:Ticker|Trading)?\s*(?:Ticker|Symbol)$"}
+TICKER = r"^[A-Za-z0-9.\-]{1,10}$"
+FORMER = r"(?i)formerly\s+known\s+as\s+([^)\u241e\u241f]{1,300})"
+SHORTHAND = r"(?i)\(\s*[\"\u201c]\s*([A-Za-z0-9.\-]{1,10})\s*[\"\u201d]\s+or\s+the\s+[\"\u201c]\s*(?:Trust|Fund|Company|Registrant|Partnership)\s*[\"\u201d]\s*\)"
+SYMBOL = r"(?i)^(.*?)\s+under\s+the\s+(?:market\s+|trading\s+)?symbol\s+[\"\u201c]([A-Za-z0-9.\-]{1,10})[\"\u201d]"
+
+
+def table_rows(html: Column) -> Column:
+    """A page as rows of its non-empty cells: table rows, and every other block as a row of one cell."""
+    x = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
+    x = F.regexp_replace(x, r"(?i)</t[dh]\s*>", _CELL)
+    x = F.regexp_replace(x, r"(?i)</?(?:tr|p|div|table|ul|ol|li|br|h[1-6]|html|body)\b[^>]*>", _ROW)
+    x = F.regexp_replace(x, r"<[^>]+>", " ")
+    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&reg;", "\u00ae"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(entity), F.lit(sign))
+    cells = lambda row: F.filter(F.transform(F.split(row, _CELL), lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))), lambda c: c != "")
+    return F.filter(F.transform(F.split(x, _ROW), cells), lambda r: F.size(r) > 0)
+
+
+def _first(values: Column, test) -> Column:
+    """Place (from 1) of the first element that passes, 0 if none does."""
+    return F.coalesce(F.array_position(F.transform(values, lambda v: F.coalesce(test(v), F.lit(False))), True), F.lit(0).cast("long"))
+
+
+def listing_rows(pages: DataFrame) -> DataFrame:
+    """Rows of the first fund / exchange / ticker table of each page (html), joined to its headings by position.
+
+    The three headings stand side by side, in any order; a row's values have the places of their headings counted from the
+    leftmost.  The table ends at the first row that can't be one of it, which comes out with its reason and without values:
+    ``narrow``, ``ticker`` or ``name``.  Headings that don't stand side by side give one row with ``scattered``.  A page is
+    read within its own row; nothing is shuffled.  Null and empty pages have no table.
+    """
+    rows = pages.withColumn("_rows", F.coalesce(table_rows(F.col("html")), F.array().cast("array<array<string>>"))).drop("html")
+    at = lambda cells, name: _first(cells, lambda c: c.rlike(HEADINGS[name]))
+    headed = lambda cells: (at(cells, "fund") > 0) & (at(cells, "exchange") > 0) & (at(cells, "ticker") > 0)
+    found = rows.withColumn("_at", _first(F.col("_rows"), headed)).where("_at > 0").withColumn("_head", F.get("_rows", (F.col("_at") - 1).cast("int")))
+    found = found.withColumns({f"_{n}": at(F.col("_head"), n).cast("int") for n in HEADINGS})
+    places = [F.col(f"_{n}") for n in HEADINGS]
+    found = found.withColumns({"_base": F.least(*places), "_side": F.greatest(*places) - F.least(*places) == 2})
+    value = lambda cells, n: F.get(cells, F.col(f"_{n}") - F.col("_base"))
+    lettered = lambda c: c.rlike(r"\p{L}")
+    problem = lambda c: (
+        F.when(F.size(c) < 3, "narrow").when(~value(c, "ticker").rlike(TICKER), "ticker").when(~lettered(value(c, "fund")) | ~lettered(value(c, "exchange")), "name")
+    )
+    body = F.slice("_rows", (F.col("_at") + 1).cast("int"), F.size("_rows"))
+    read = F.transform(body, lambda c: F.struct(value(c, "fund").alias("fund"), value(c, "exchange").alias("exchange"), value(c, "ticker").alias("ticker"), problem(c).alias("reason")))
+    found = found.withColumn("_read", read)
+    upto = _first(F.col("_read"), lambda r: r["reason"].isNotNull()).cast("int")
+    none = F.lit(None).cast("string")
+    kept = F.when(upto > 0, F.slice("_read", 1, upto)).otherwise(F.col("_read"))
+    scattered = F.array(F.struct(none.alias("fund"), none.alias("exchange"), none.alias("ticker"), F.lit("scattered").alias("reason")))
+    own = [c for c in rows.columns if c != "_rows"]
+    out = found.select(*own, F.posexplode(F.when(F.col("_side"), kept).otherwise(scattered)).alias("row", "x"))
+    good = lambda n: F.when(F.col("x.reason").isNull(), F.col(f"x.{n}")).alias(n)
+    return out.select(*own, (F.col("row") + 1).alias("row"), *(good(n) for n in HEADINGS), F.col("x.reason").alias("reason"))
+
+
+def trust_identity(pages: DataFrame) -> DataFrame:
+    """What each page (html) says of its fund or trust, as written: legal name beside its label, former names, shorthands, principal listing.
+
+    A value stands in the block of its label or in one of the two after it; another label's block is no value.
+    """
+    rows = pages.withColumn("_rows", F.coalesce(table_rows(F.col("html")), F.array().cast("array<array<string>>"))).drop("html")
+    own = [c for c in rows.columns if c != "_rows"]
+    flat = rows.withColumn("_blocks", F.flatten("_rows")).withColumn("_text", F.array_join(F.transform("_rows", lambda r: F.array_join(r, _CELL)), _ROW))
+    labelled = lambda b: b.rlike(NAME_LABEL) | b.rlike(LISTING_LABEL)
+
+    def beside(label: str) -> Column:
+        at = _first(F.col("_blocks"), lambda b: b.rlike(label))
+        inline = F.trim(F.regexp_replace(F.get("_blocks", (at - 1).cast("int")), f"^.*?{label}", ""))
+        after = F.filter(F.slice("_blocks", (at + 1).cast("int"), F.lit(2)), lambda b: ~labelled(b) & b.rlike(r"\p{L}"))
+        return F.when(at > 0, F.when(inline != "", inline).otherwise(F.get(after, F.lit(0))))
+
+    name, listing = beside(NAME_LABEL), beside(LISTING_LABEL)
+    found = flat.select(*own, "_text", F.trim(F.regexp_replace(name, r"(?i)\s*\(\s*formerly.*$", "")).alias("exact_name"), listing.alias("_listing"))
+    part = lambda i: F.nullif(F.trim(F.regexp_extract("_listing", SYMBOL, i)), F.lit(""))
+    every = lambda pattern: F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(pattern), 1), lambda x: F.trim(x)))
+    return found.select(*own, "exact_name", every(FORMER).alias("former_names"), every(SHORTHAND).alias("shorthands"), part(1).alias("listing_exchange"), part(2).alias("listing_symbol"))

@@ -122,6 +122,20 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                case when c_custkey % 14 = 0 then 'p. 3' else '' end as citation from customer where c_custkey % 13 <> 0
         union all
         select c_custkey, 'X' || cast(c_custkey as varchar(20)), case when c_custkey % 2 = 0 then 'sec_company_tickers' else 'name_match' end, '' from customer where c_custkey % 4 = 0 and c_custkey % 13 <> 0"""),
+    "trusts": ((), """
+        select cast(c_custkey as bigint) as cik, 'Trust No. ' || cast(c_custkey as varchar(20)) as name, 'S' || cast(c_custkey as varchar(20)) as symbol,
+               case when c_custkey % 2 = 0 then 'NYSE Arca, Inc.' else 'Nasdaq Stock Market' end as exchange, cast(c_custkey % 4 as int) as n_rows, cast(c_custkey % 3 as int) as layout,
+               case when c_custkey % 11 = 0 then 'scattered' when c_custkey % 7 = 0 then 'untitled' when c_custkey % 5 = 0 then 'ticker' when c_custkey % 13 = 0 then 'name' else 'narrow' end as flaw from customer"""),
+    "prospectuses": (("trusts",), """
+        select cik, '<html><head><style>td {color: red}</style></head><body><table><tr><td>A.</td><td>Exact name of Trust:</td><td>' || name || case when cik % 9 = 0 then ' (formerly known as Old Trust ' || cast(cik as varchar(20)) || ')' else '' end || '</td></tr>' || chr(10)
+               || case when cik % 3 = 0 then '<tr><td></td><td></td><td>(formerly known as  First' || chr(10) || 'Trust ' || cast(cik as varchar(20)) || ' &amp; Co. prior to 2010)</td></tr>' else '' end || '</table><p>' || name || ' ("' || symbol || '" or the "Trust")</p>'
+               || '<p>Principal U.S. Listing Exchange for ' || name || ':</p><p>' || exchange || ' under the symbol "' || symbol || '"</p><p>Fund</p><table>'
+               || '<tr>' || case when flaw = 'scattered' then '<th>Fund</th><th>Fee</th><th>Principal Listing Exchange</th><th>Ticker Symbol</th>' when flaw = 'untitled' then '<th>Fund</th><th>Principal Listing Exchange</th><th>Fee</th>'
+                                when layout = 0 then '<th>Fund</th><th>Principal U.S. Listing Exchange</th><th>Ticker</th>' when layout = 1 then '<th>Ticker Symbol</th><th>Fund Name</th><th>Principal Listing Exchange</th>' else '<th> Principal US Listing Exchange</th><th>symbol</th><th>FUNDS</th>' end || '</tr>'
+               || case when n_rows >= 1 then '<tr><td>' || case layout when 0 then name || ' A</td><td>' || exchange || '</td><td>' || symbol || 'A' when 1 then symbol || 'A</td><td>' || name || ' A</td><td>' || exchange else exchange || '</td><td>' || symbol || 'A</td><td>' || name || ' A' end || '</td></tr>' else '' end
+               || case when n_rows >= 2 then '<tr><td>' || case layout when 0 then name || ' B</td><td>' || exchange || '</td><td>' || symbol || 'B' when 1 then symbol || 'B</td><td>' || name || ' B</td><td>' || exchange else exchange || '</td><td>' || symbol || 'B</td><td>' || name || ' B' end || '</td></tr>' else '' end
+               || case when flaw = 'ticker' then '<tr><td>see note</td><td>see note</td><td>see note</td></tr>' when flaw = 'name' then '<tr><td>123</td><td>123</td><td>123</td></tr>' else '' end || '</table><p>End of the table.</p>'
+               || '<table><tr><td>Late</td><td>Late</td><td>Late</td></tr></table></body></html>' as html from trusts"""),
     "observations": ((), """
         select cast(o_custkey % 97 + 1 as int) as instrument_id, 'p' || cast(o_custkey as varchar(20)) || case when o_custkey % 10 = 0 then ':1996-01-01' else '' end as key,
                case o_custkey % 4 when 0 then 'flat_base' when 1 then 'vcp' when 2 then 'breakout_retest' else 'pennant' end as family, cast(o_orderdate as date) as session_date, cast(o_orderkey as bigint) as seq,

@@ -192,6 +192,9 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.array_join(F.array(*(F.concat(F.lit(c + "="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(columns))), "|"), 256)
 
 
+GROUP_SYMBOLS, LONGEST_BEGINNING = 10_000, 12
+
+
 def snapshot_id(rows: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
     """One digest of all rows, independent of their order; digests meet in buckets, never in one task."""
     d = rows.select(row_digest(columns).alias("d"))
@@ -200,8 +203,25 @@ def snapshot_id(rows: DataFrame, columns: list[str], buckets: int = 256) -> Data
 
 
 def surrogate_ids(symbols: DataFrame, start: int = 1) -> DataFrame:
-    """Stable ids from the sorted distinct symbols (a small list)."""
-    return symbols.select("symbol").distinct().withColumn("instrument_id", (F.row_number().over(Window.orderBy("symbol")) + start - 1).cast("int"))
+    """Stable ids from the sorted distinct symbols.
+
+    Symbols are numbered within groups of one beginning and moved on by the sizes of the groups before; a group whose beginning
+    is common is cut by longer ones, so only counts of at most ``GROUP_SYMBOLS`` symbols each meet in one place.
+    """
+    distinct = symbols.select("symbol").where("symbol is not null").distinct()
+    begin = lambda n: F.substring("symbol", 1, n)
+    group, n = begin(1), 1
+    while n < LONGEST_BEGINNING:
+        sizes = distinct.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= GROUP_SYMBOLS:
+            break
+        n += 1
+        group = begin(n)
+    keyed = distinct.withColumn("g", group)
+    before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select("g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("g").orderBy("symbol"))
+    return keyed.withColumn("own", own).join(offsets, "g").select("symbol", (F.col("own") + F.col("before") + start - 1).cast("int").alias("instrument_id"))
 
 
 def vendor_prices(raw: DataFrame) -> dict[str, DataFrame]:

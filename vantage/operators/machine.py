@@ -39,6 +39,9 @@ class Bar:
     close: float
     volume: float
     average_volume: float
+    relative_strength: float | None = None
+    market_context: float | None = None
+    sector_context: float | None = None
 
 
 @dataclass
@@ -183,6 +186,9 @@ class Monitor:
             "penetration": _ramp(beyond, 0, 0.75) * 0.65 + _ramp(over, 3, 0) * 0.35,
             "candle_quality": shape,
             "volume_confirmation": None if relative is None else _ramp(relative, 0.7, 1.8),
+            "relative_strength": bar.relative_strength,
+            "market_context": bar.market_context,
+            "sector_context": bar.sector_context,
         }
         have = {k: v for k, v in parts.items() if v is not None}
         return sum(v * QUALITY[k] for k, v in have.items()) / sum(QUALITY[k] for k in have)
@@ -281,6 +287,7 @@ class Monitor:
             a.state, a.reason = "expired", "resolved" if a.state == "confirmed" else "timed_out"
 
 
+CONTEXT = ("relative_strength", "market_context", "sector_context")
 COLUMNS = "instrument_id int, key string, attempt int, session_date date, from_state string, to_state string, reason string, level double, close double"
 _NAMES = [k.split()[0] for k in COLUMNS.split(", ")]
 
@@ -288,7 +295,8 @@ _NAMES = [k.split()[0] for k in COLUMNS.split(", ")]
 def histories(bars: DataFrame, boundaries: DataFrame) -> DataFrame:
     """State history of every attempt at every level, over all sessions after it was frozen.
 
-    bars: instrument_id, session_date, open, high, low, close, volume, average_volume.  boundaries: instrument_id, key, level,
+    bars: instrument_id, session_date, open, high, low, close, volume, average_volume and, where known, the context scores
+    relative_strength, market_context and sector_context (0 to 100).  boundaries: instrument_id, key, level,
     tolerance, atr, confidence, touches, frozen_on and seen, the dates on which the structure was observed; quality, that of the
     structure, where the levels belong to one.
     """
@@ -296,7 +304,8 @@ def histories(bars: DataFrame, boundaries: DataFrame) -> DataFrame:
     def fold(group: tuple, b: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("session_date")
         days = b["session_date"].to_numpy().astype("datetime64[D]")
-        bar = [Bar(*x) for x in zip(days, *(b[c].to_numpy(float).tolist() for c in ("open", "high", "low", "close", "volume", "average_volume")), strict=True)]
+        known = [b[c].astype(object).where(b[c].notna(), None).tolist() if c in b else [None] * len(b) for c in CONTEXT]
+        bar = [Bar(*x) for x in zip(days, *(b[c].to_numpy(float).tolist() for c in ("open", "high", "low", "close", "volume", "average_volume")), *known, strict=True)]
         rows = []
         for r in edges.sort_values(["frozen_on", "key"]).itertuples():
             seen = np.sort(np.asarray(r.seen, dtype="datetime64[D]"))

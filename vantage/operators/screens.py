@@ -55,3 +55,39 @@ def walk_forward(calendar: DataFrame, train: int, test: int, anchored: bool = Fa
     w = last.select(F.explode(F.sequence(F.lit(0), F.floor((F.col("last") - train - test) / test))).alias("fold"))
     first = F.lit(1) if anchored else F.col("fold") * test + 1
     return w.select(F.col("fold").cast("int").alias("fold"), first.cast("int").alias("train_first"), (F.col("fold") * test + train).cast("int").alias("train_last"), (F.col("fold") * test + train + 1).cast("int").alias("test_first"), (F.col("fold") * test + train + test).cast("int").alias("test_last"))
+
+
+def matched_lots(fills: DataFrame) -> DataFrame:
+    """Closed trades from fills (instrument_id, fill_id, session_date, side buy or sell, quantity, price), first in, first out.
+
+    The k-th unit bought closes with the k-th unit sold, whichever came first: a long trade if bought first (ties of the date
+    count as long), otherwise a short one.  Both sides' running quantities cut the units into pieces, so one sort of a series
+    matches its lots; units that the other side doesn't reach stay open and don't come out.  Fills of quantity 0 or null go.
+    """
+    w = Window.partitionBy("instrument_id", "side").orderBy("session_date", "fill_id")
+    ends = fills.where("quantity > 0").withColumn("upto", F.sum("quantity").over(w))
+    own = lambda side: F.when(F.col("side") == side, F.struct(F.col("session_date").alias("on"), "price", "fill_id"))
+    # a piece ends where a lot of either side ends; the lot that covers it is the next one of that side to end
+    onward = Window.partitionBy("instrument_id").orderBy("upto", "side").rowsBetween(0, Window.unboundedFollowing)
+    sides = ends.withColumns({"bought": F.first(own("buy"), ignorenulls=True).over(onward), "sold": F.first(own("sell"), ignorenulls=True).over(onward)})
+    n = F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy("instrument_id").orderBy("upto", "side")), F.lit(0))
+    pieces = sides.withColumn("n", n).where("n > 0 and bought is not null and sold is not null")
+    long = F.col("bought.on") <= F.col("sold.on")
+    at = lambda name: (F.when(long, F.col(f"bought.{name}")).otherwise(F.col(f"sold.{name}")), F.when(long, F.col(f"sold.{name}")).otherwise(F.col(f"bought.{name}")))
+    opened, closed = at("on"), at("price")
+    return pieces.select(
+        "instrument_id", F.when(long, "long").otherwise("short").alias("side"), opened[0].alias("opened_on"), opened[1].alias("closed_on"), F.col("n").alias("quantity"),
+        closed[0].alias("entry"), closed[1].alias("exit"), (F.col("n") * (F.col("sold.price") - F.col("bought.price"))).alias("profit"), F.col("bought.fill_id").alias("buy_fill"), F.col("sold.fill_id").alias("sell_fill"),
+    )
+
+
+def trade_metrics(trades: DataFrame, fills: DataFrame, equity: DataFrame) -> DataFrame:
+    """Closed trades of each series: count, win rate, average win and loss, expectancy, profit factor, sessions held; turnover of its fills against the mean of equity (instrument_id, session_date, close)."""
+    win, loss = F.when(F.col("profit") > 0, F.col("profit")), F.when(F.col("profit") < 0, -F.col("profit"))
+    t = trades.groupBy("instrument_id").agg(
+        F.count(F.lit(1)).alias("trades"), F.avg((F.col("profit") > 0).cast("double")).alias("win_rate"), F.avg(win).alias("average_win"), F.avg(loss).alias("average_loss"), F.avg("profit").alias("expectancy"),
+        (F.sum(win) / F.sum(loss)).alias("profit_factor"), F.avg(F.datediff("closed_on", "opened_on")).alias("days_held"),
+    )
+    traded = fills.where("quantity > 0").groupBy("instrument_id").agg(F.sum(F.col("quantity") * F.col("price")).alias("traded"))
+    capital = equity.groupBy("instrument_id").agg(F.avg("close").alias("capital"))
+    return traded.join(capital, "instrument_id").join(t, "instrument_id", "left").select("instrument_id", F.coalesce("trades", F.lit(0)).alias("trades"), "win_rate", "average_win", "average_loss", "expectancy", "profit_factor", "days_held", (F.col("traded") / F.col("capital")).alias("turnover"))

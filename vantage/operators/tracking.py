@@ -15,6 +15,7 @@ from vantage.operators.tracker import EDGES, TERMINAL, ZERO, Sighting, Step, Tra
 
 HISTORY = "instrument_id int, key string, family string, session_date date, from_state string, to_state string, reason string, quality double"
 NAMES = [k.split()[0] for k in HISTORY.split(", ")]
+BIN_DAYS = 64
 FIELDS = ("key", "family", "state", "quality", "level", "invalidation", "start")
 
 
@@ -85,10 +86,18 @@ def relationships(spans: DataFrame) -> DataFrame:
 
     Near-identical spans of one family are one structure read twice and get no edge.
 
-    spans: instrument_id, key, family, start_date, end_date.
+    spans: instrument_id, key, family, start_date, end_date.  A pair meets once, in the bin of BIN_DAYS days in which the later of
+    the two starts: each span comes to the bin of its start and looks for those that are under way there, so work follows the
+    overlaps and not the square of a series' spans.
     """
-    a, b = spans.alias("a"), spans.alias("b")
-    meet = (F.col("a.instrument_id") == F.col("b.instrument_id")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.start_date") <= F.col("b.end_date")) & (F.col("b.start_date") <= F.col("a.end_date"))
+    bin_of = lambda c: F.floor(F.unix_date(c) / BIN_DAYS)
+    later = spans.withColumn("_bin", bin_of("start_date")).alias("y")
+    under_way = spans.withColumn("_bin", F.explode(F.sequence(bin_of("start_date"), bin_of("end_date")))).alias("x")
+    x, y = F.struct("x.start_date", "x.key"), F.struct("y.start_date", "y.key")
+    meet = (F.col("x.instrument_id") == F.col("y.instrument_id")) & (F.col("x._bin") == F.col("y._bin")) & (x < y) & (F.col("x.end_date") >= F.col("y.start_date"))
+    side = lambda which: F.struct(*(F.col(f"{which}.{c}").alias(c) for c in ("key", "family", "start_date", "end_date")))
+    first = F.col("x.key") < F.col("y.key")
+    pairs = under_way.join(later, meet).select(F.when(first, side("x")).otherwise(side("y")).alias("a"), F.when(first, side("y")).otherwise(side("x")).alias("b"))
     days = lambda x, y: F.datediff(y, x) + 1
     both = days(F.greatest("a.start_date", "b.start_date"), F.least("a.end_date", "b.end_date"))
     pa, pb = both / days(F.col("a.start_date"), F.col("a.end_date")), both / days(F.col("b.start_date"), F.col("b.end_date"))
@@ -97,7 +106,7 @@ def relationships(spans: DataFrame) -> DataFrame:
         F.when(same & (F.col("a.family") != F.col("b.family")), "RELATED_TO").when(same, F.lit(None).cast("string"))
         .when(pb >= 0.8, "CONTAINS").when(pa >= 0.8, "NESTED_IN").when(F.greatest(pa, pb) >= 0.25, "OVERLAPS")
     )
-    return a.join(b, meet).select(F.col("a.key").alias("from_key"), F.col("b.key").alias("to_key"), kind.alias("kind"), F.greatest(pa, pb).alias("overlap")).where("kind is not null")
+    return pairs.select(F.col("a.key").alias("from_key"), F.col("b.key").alias("to_key"), kind.alias("kind"), F.greatest(pa, pb).alias("overlap")).where("kind is not null")
 
 
 def coexistence(found: DataFrame) -> DataFrame:

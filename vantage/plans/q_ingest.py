@@ -74,14 +74,14 @@ register("s13_snapshot", lambda s, d: I.snapshot_id(frame(s, d, "bars"), ["instr
 
 
 def _vendor(s, d):
-    b = frame(s, d, "dirty_bars").join(frame(s, d, "splits").select("instrument_id", F.col("ex_date").alias("session_date"), "ratio"), ["instrument_id", "session_date"], "left").where("line in (1, 4)")
+    b = frame(s, d, "dirty_bars").join(frame(s, d, "splits").select("instrument_id", F.col("ex_date").alias("session_date"), "ratio"), ["instrument_id", "session_date"], "left")
     x = F.struct(F.when(F.col("line") == 4, F.lit("n/a")).otherwise(F.col("session_date").cast("string")).alias("date"), "open", "high", "low", "close", "volume", F.coalesce("ratio", F.lit(1.0)).alias("split"), F.lit(0.0).alias("cash"))
     raw = b.groupBy(F.concat(F.lit("S"), "instrument_id").alias("symbol"), F.year("session_date").alias("y")).agg(F.to_json(F.collect_list(x)).alias("payload"))
     return I.vendor_prices(raw)
 
 
-register("s14_vendor_bars", lambda s, d: _vendor(s, d)["bars"], with_tables("dirty_bars", "select 'S' || instrument_id as symbol, session_date, open, high, low, close, volume from dirty_bars where line = 1"))
-register("s14_vendor_splits", lambda s, d: _vendor(s, d)["splits"], with_tables("bars splits", "select 'S' || instrument_id as symbol, ex_date, ratio from splits join bars b using (instrument_id) where b.session_date = ex_date"))
+register("s14_vendor_bars", lambda s, d: _vendor(s, d)["bars"], with_tables("dirty_bars", "select 'S' || instrument_id as symbol, session_date, open, high, low, close, volume from (select *, row_number() over (partition by instrument_id, session_date order by open, high, low, close, volume) as k from dirty_bars where line <> 4) x where k = 1"))
+register("s14_vendor_splits", lambda s, d: _vendor(s, d)["splits"], with_tables("dirty_bars splits", "select 'S' || instrument_id as symbol, ex_date, ratio from splits where (instrument_id, ex_date) in (select instrument_id, session_date from dirty_bars where line <> 4)"))
 register("s14_vendor_rejects", lambda s, d: _vendor(s, d)["rejects"].groupBy("symbol", "reason").agg(F.count(F.lit(1)).alias("n")), with_tables("dirty_bars", "select 'S' || instrument_id as symbol, 'bad_date' as reason, count(*) as n from dirty_bars where line = 4 group by 1"))
 register("s15_surrogate_ids", lambda s, d: I.surrogate_ids(frame(s, d, "mappings").select(F.col("ticker").alias("symbol"))), with_tables("mappings", "select ticker as symbol, cast(row_number() over (order by ticker) as int) as instrument_id from (select distinct ticker from mappings) x"))
 

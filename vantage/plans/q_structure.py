@@ -176,10 +176,29 @@ select *, rejected_by = '' as passed from r"""))
 register("o02_fundamental_screen", lambda s, d: O.fundamental_screen(frame(s, d, "fundamentals").where("not is_restatement")).select("instrument_id", "metric", "period_end", digest(F.col("yoy"), 6).alias("yoy"), "passed"),
          with_tables("fundamentals", f"""with f as (select *, value / lag(value, 4) over w - 1 as yoy, row_number() over (partition by instrument_id, metric order by period_end desc) as k, count(*) over (partition by instrument_id, metric) as n from fundamentals where not is_restatement window w as (partition by instrument_id, metric order by period_end))
 select instrument_id, metric, period_end, {D('yoy', 6)} as yoy, coalesce(yoy > 0, false) and n >= 4 as passed from f where k = 1"""))
-register("o05_performance", lambda s, d: O.performance(_bars(s, d)).select("instrument_id", "n", *(digest(F.col(c)).alias(c) for c in ("cagr", "max_drawdown", "sharpe", "sortino", "win_rate", "profit_factor"))),
+register("o05_performance", lambda s, d: O.performance(_bars(s, d)).select("instrument_id", "n", *(digest(F.col(c)).alias(c) for c in ("cagr", "max_drawdown", "sharpe", "sortino", "win_rate", "profit_factor")), digest(F.col("calmar"), 3).alias("calmar")),
          with_tables("bars", f"""with r as (select *, close / lag(close) over w - 1 as r, 1 - close / max(close) over w as dd from bars window w as (partition by instrument_id order by session_date))
 select instrument_id, count(r) as n, {D('power(arg_max(close, session_date) / arg_min(close, session_date), 252.0::double / count(r)) - 1')} as cagr, {D('max(dd)')} as max_drawdown, {D('avg(r) / stddev_samp(r) * sqrt(252)')} as sharpe, {D('avg(r) / sqrt(avg(power(least(r, 0), 2)) filter (r is not null)) * sqrt(252)')} as sortino,
-{D('avg(case when r > 0 then 1.0::double when r is not null then 0 end)')} as win_rate, {D('sum(r) filter (r > 0) / -sum(r) filter (r < 0)')} as profit_factor from r group by 1"""))
+{D('avg(case when r > 0 then 1.0::double when r is not null then 0 end)')} as win_rate, {D('sum(r) filter (r > 0) / -sum(r) filter (r < 0)')} as profit_factor,
+{D('(power(arg_max(close, session_date) / arg_min(close, session_date), 252.0::double / count(r)) - 1) / max(dd)', 3)} as calmar from r group by 1"""))
+
+
+def _lots(s, d):
+    return O.matched_lots(frame(s, d, "fills"))
+
+
+_LOTS = """c as (select *, sum(quantity) over (partition by instrument_id, side order by session_date, fill_id) as upto from fills where quantity > 0), r as (select *, upto - quantity as frm from c),
+t as (select b.instrument_id, case when b.session_date <= s.session_date then 'long' else 'short' end as side, least(b.session_date, s.session_date) as opened_on, greatest(b.session_date, s.session_date) as closed_on, (least(b.upto, s.upto) - greatest(b.frm, s.frm))::bigint as quantity,
+  case when b.session_date <= s.session_date then b.price else s.price end as entry, case when b.session_date <= s.session_date then s.price else b.price end as exit, b.price as bp, s.price as sp, b.fill_id as buy_fill, s.fill_id as sell_fill
+  from r b join r s on b.instrument_id = s.instrument_id and b.side = 'buy' and s.side = 'sell' and b.frm < s.upto and s.frm < b.upto)
+"""
+register("o05_closed_trades", lambda s, d: _lots(s, d).select("instrument_id", "side", "opened_on", "closed_on", "quantity", "entry", "exit", "buy_fill", "sell_fill"),
+         with_tables("fills", "with " + _LOTS + "select instrument_id, side, opened_on, closed_on, quantity, entry, exit, buy_fill, sell_fill from t"))
+register("o05_trade_metrics", lambda s, d: O.trade_metrics(_lots(s, d), frame(s, d, "fills"), _bars(s, d)).select("instrument_id", "trades", *(digest(F.col(c), n).alias(c) for c, n in (("win_rate", 5), ("average_win", 1), ("average_loss", 1), ("expectancy", 1), ("profit_factor", 4), ("days_held", 3), ("turnover", 1)))),
+         with_tables("fills bars", "with " + _LOTS + f""", q as (select *, quantity * (sp - bp) as profit from t), m as (select instrument_id, count(*) as trades, avg((profit > 0)::int) as win_rate, avg(profit) filter (profit > 0) as average_win, avg(-profit) filter (profit < 0) as average_loss, avg(profit) as expectancy,
+  sum(profit) filter (profit > 0) / sum(-profit) filter (profit < 0) as profit_factor, avg(closed_on - opened_on) as days_held from q group by 1), v as (select instrument_id, sum(quantity * price) as traded from fills where quantity > 0 group by 1), k as (select instrument_id, avg(close) as capital from bars group by 1)
+select v.instrument_id, coalesce(trades, 0) as trades, {D('win_rate', 5)} as win_rate, {D('average_win', 1)} as average_win, {D('average_loss', 1)} as average_loss, {D('expectancy', 1)} as expectancy, {D('profit_factor', 4)} as profit_factor, {D('days_held', 3)} as days_held, {D('traded / capital', 1)} as turnover
+from v join k using (instrument_id) left join m using (instrument_id)"""))
 register("o06_walk_forward", lambda s, d: O.walk_forward(frame(s, d, "calendar"), 500, 100),
          with_tables("calendar", "select f::int as fold, (f * 100 + 1)::int as train_first, (f * 100 + 500)::int as train_last, (f * 100 + 501)::int as test_first, (f * 100 + 600)::int as test_last from (select unnest(range(0, (select (max(session_ord) - 600) // 100 + 1 from calendar))) as f) x"))
 

@@ -136,6 +136,9 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                || case when n_rows >= 2 then '<tr><td>' || case layout when 0 then name || ' B</td><td>' || exchange || '</td><td>' || symbol || 'B' when 1 then symbol || 'B</td><td>' || name || ' B</td><td>' || exchange else exchange || '</td><td>' || symbol || 'B</td><td>' || name || ' B' end || '</td></tr>' else '' end
                || case when flaw = 'ticker' then '<tr><td>see note</td><td>see note</td><td>see note</td></tr>' when flaw = 'name' then '<tr><td>123</td><td>123</td><td>123</td></tr>' else '' end || '</table><p>End of the table.</p>'
                || '<table><tr><td>Late</td><td>Late</td><td>Late</td></tr></table></body></html>' as html from trusts"""),
+    "fills": (("listed_parts",), """
+        select instrument_id, cast(l_orderkey * 8 + l_linenumber as bigint) as fill_id, cast(l_shipdate as date) as session_date, case when (l_orderkey + l_linenumber) % 2 = 0 then 'buy' else 'sell' end as side,
+               cast(floor(l_quantity + 5e-1) as bigint) as quantity, floor(cast(l_extendedprice as double) * 100 + 5e-1) / 1e2 as price from lineitem join listed_parts on l_partkey = p_partkey"""),
     "observations": ((), """
         select cast(o_custkey % 97 + 1 as int) as instrument_id, 'p' || cast(o_custkey as varchar(20)) || case when o_custkey % 10 = 0 then ':1996-01-01' else '' end as key,
                case o_custkey % 4 when 0 then 'flat_base' when 1 then 'vcp' when 2 then 'breakout_retest' else 'pennant' end as family, cast(o_orderdate as date) as session_date, cast(o_orderkey as bigint) as seq,

@@ -97,3 +97,31 @@ def test_weeks_from_a_stream(spark, tables, tmp_path):
         for w, y in x.groupby(x.session_date.map(lambda d: d - dt.timedelta(days=d.weekday()))):
             want[i, w] = (y.open.iloc[0], y.high.max(), y.low.min(), y.close.iloc[-1], y.volume.sum())
     assert len(got) > 150 and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_quality_has_seven_components_where_the_context_is_known():
+    bar = lambda **known: M.Bar(np.datetime64("2020-01-02"), 100.0, 104.0, 99.5, 103.5, 200.0, 100.0, **known)
+    monitor = lambda **known: M.Monitor(100.0, 0.002, 2.0, 80.0, 4, **known)
+
+    def quality(m, b):
+        assert [state for _, state, _ in m.take(b, True)] == ["closed_above"]
+        return m.attempt.quality
+
+    # by hand: boundary 80 * 0.4 + 80 * 0.3 + 70 * 0.3 = 77, penetration (103.5 - 100.2) / 2 over 0.75 ATR and 0.75 ATR too far
+    candle = 100 * 0.45 + 100 * 0.25 + (0.5 - 0.5 / 4.5) / 0.5 * 100 * 0.15 + 100 * 0.15
+    four = {"boundary_quality": 77.0, "penetration": 100 * 0.65 + 75 * 0.35, "candle_quality": candle, "volume_confirmation": 100.0}
+    seven = four | {"relative_strength": 20.0, "market_context": 30.0, "sector_context": 40.0}
+    mean = lambda parts: sum(v * M.QUALITY[k] for k, v in parts.items()) / sum(M.QUALITY[k] for k in parts)
+    over = max(0.0, 3.5 / 2 - 1)
+    four["penetration"] = seven["penetration"] = 65 + (1 - over / 3) * 100 * 0.35
+    assert quality(monitor(quality=70.0), bar()) == pytest.approx(mean(four))
+    assert quality(monitor(quality=70.0), bar(relative_strength=20.0, market_context=30.0, sector_context=40.0)) == pytest.approx(mean(seven))
+    # a level without a structure counts as one of quality 40
+    assert quality(monitor(), bar()) == pytest.approx(mean(four | {"boundary_quality": 68.0}))
+
+
+def test_context_reaches_the_fold(spark, tables):
+    bars, edges = tables
+    known = bars.withColumns({"relative_strength": F.lit(0.0), "market_context": F.when(F.col("instrument_id") == 1, F.lit(0.0)), "sector_context": F.lit(None).cast("double")})
+    momentum = lambda b: M.histories(b, edges).where("reason = 'momentum'").count()
+    assert momentum(known) < momentum(bars)  # attempts that the weakest context holds back go other ways

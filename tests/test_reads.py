@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from vantage.operators import asof, ingest, quality
@@ -61,3 +63,48 @@ def test_zero_volume_runs(spark):
     rows = [(1, D(2020, 1, i), 1, 0.0 if i in (2, 3, 4, 7) else 5.0) for i in range(1, 9)]
     bars = spark.createDataFrame(rows, "instrument_id int, session_date date, line int, volume double")
     assert [(r.session_date.day, r.n) for r in quality.runs(bars, F.col("volume") == 0, 3, F.col("volume") == 0).collect()] == [(2, 3)]
+
+
+def test_closed_trades_against_a_ledger_of_lots(spark):
+    """First in, first out, a unit at a time; short where the sale came first; what stays open doesn't come out."""
+    import random
+    from collections import deque
+
+    from vantage.operators import screens
+
+    rng = random.Random(4)
+    fills = [(i, n, D(2020, 1, 1 + rng.randrange(28)), rng.choice(["buy", "sell"]), rng.randrange(0, 6), float(rng.randrange(50, 150))) for i in (1, 2) for n in range(60)] + [(3, 1, D(2020, 1, 1), "buy", 5, 10.0), (4, 1, D(2020, 1, 1), "sell", None, 10.0)]
+    df = spark.createDataFrame(fills, "instrument_id int, fill_id long, session_date date, side string, quantity long, price double")
+    want = {}
+    for i in (1, 2, 3):
+        units = {side: deque((on, n, price) for _, n, on, s, q, price in sorted((f for f in fills if f[0] == i and f[3] == side), key=lambda f: (f[2], f[1])) for _ in range(q or 0)) for side in ("buy", "sell")}
+        while units["buy"] and units["sell"]:
+            b, s = units["buy"].popleft(), units["sell"].popleft()
+            key = (i, "long" if b[0] <= s[0] else "short", b[1], s[1])
+            want[key] = want.get(key, 0) + 1
+    got = screens.matched_lots(df).collect()
+    assert {(r.instrument_id, r.side, r.buy_fill, r.sell_fill): r.quantity for r in got} == want and len(got) == len(want)
+    price = {(f[0], f[1]): f[5] for f in fills}
+    assert all(r.profit == pytest.approx(r.quantity * (price[r.instrument_id, r.sell_fill] - price[r.instrument_id, r.buy_fill])) and r.opened_on <= r.closed_on for r in got)
+
+
+def test_pages_of_funds(spark):
+    """A table beside prose, headings in any order and case, a value after a spacer, and pages without anything."""
+    from vantage.operators import filings
+
+    head = "<tr><td>Ticker</td><td>Fund Name</td><td>Principal U. S. Listing Exchange</td></tr>"
+    rows = "<tr><td>ABC</td><td>First &amp; Co</td><td>NYSE</td></tr><tr><td></td></tr><tr><td>D.E-1</td><td>Second</td><td>CBOE</td><td>x</td></tr>"
+    pages = [(1, None), (2, ""), (3, "<p>no table</p>"), (4, f"<div>Fund<table>{head}{rows}<tr><td>too</td><td>few</td></tr><tr><td>XYZ</td><td>Late</td><td>NYSE</td></tr></table></div>")]
+    pages += [(5, f"<table>{head}<tr><td>not a ticker</td><td>a</td><td>b</td></tr></table>"), (6, "<p>Exact Name of Fund:</p><p>&nbsp;</p><p>The Fund (formerly  known as Older)</p><p>Principal Listing Exchange:</p><p>NYSE under the symbol &quot;TF&quot;</p>"), (7, "<p>Exact name of Trust: Inline Trust</p><p>Exact name of Trust:</p>")]
+    df = spark.createDataFrame(pages, "cik long, html string")
+    got = sorted((r.cik, r.row, r.fund, r.exchange, r.ticker, r.reason) for r in filings.listing_rows(df).collect())
+    assert got == [(4, 1, "First & Co", "NYSE", "ABC", None), (4, 2, "Second", "CBOE", "D.E-1", None), (4, 3, None, None, None, "narrow"), (5, 1, None, None, None, "ticker")]
+    who = {r.cik: (r.exact_name, r.former_names, r.listing_exchange, r.listing_symbol) for r in filings.trust_identity(df).collect()}
+    assert who[6] == ("The Fund", ["Older"], "NYSE", "TF") and who[7][0] == "Inline Trust" and who[1] == who[3] == (None, [], None, None)
+
+
+def test_surrogate_ids_of_symbols_with_a_common_beginning(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "GROUP_SYMBOLS", 7)
+    names = [f"AA{n}" for n in range(40)] + ["A", "AA", "B", "C1", None, "AA3", "é"]
+    got = {r.symbol: r.instrument_id for r in ingest.surrogate_ids(spark.createDataFrame([(n,) for n in names], "symbol string"), 5).collect()}
+    assert got == {n: 5 + i for i, n in enumerate(sorted({n for n in names if n}))}

@@ -131,8 +131,28 @@ def _followed(s, d):
     return _bars(s, d).withColumn("average_volume", F.coalesce(F.avg("volume").over(X.prior(20)), F.lit(0.0))).select("instrument_id", "session_date", "open", "high", "low", "close", "volume", "average_volume")
 
 
+def _with_context(s, d, bars):
+    """Adds what was known at each session: the series' own strength, the market's regime and its sector's score, each 0 to 100; null where it can't be told."""
+    from vantage.plans.q_breakout import _strength
+    from vantage.plans.q_cross import _regime, _sector_of, _sectors
+
+    key = ["instrument_id", "session_date"]
+    scores = F.create_map(*(F.lit(x) for pair in BR.REGIME_SCORES.items() for x in pair))
+    market = _regime(s, d).select("session_date", F.try_element_at(scores, F.col("regime")).alias("market_context"))
+    sector = _sector_of(s, d, bars.select(*key)).select(*key, "sector").join(_sectors(s, d).select("session_date", "sector", F.col("score").alias("sector_context")), ["session_date", "sector"]).drop("sector")
+    strength = _strength(s, d).select(*key, F.col("rs_score").alias("relative_strength"))
+    return bars.join(strength, key, "left").join(market, "session_date", "left").join(sector, key, "left")
+
+
+_HISTORIES: dict[tuple[str, str], DataFrame] = {}
+
+
 def _events(s, d):
-    return MA.histories(_followed(s, d), _boundaries(s, d))
+    """Histories of all attempts, staged once a session for the queries that read them."""
+    at = (s.sparkContext.applicationId, d)
+    if at not in _HISTORIES:
+        _HISTORIES[at] = staged_table(MA.histories(_with_context(s, d, _followed(s, d)), _boundaries(s, d)))
+    return _HISTORIES[at]
 
 
 register("b17_events", lambda s, d: MA.with_event_key(_events(s, d)))

@@ -11,11 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vantage.operators.machine import COLUMNS, STALE_DAYS, Bar, Monitor
+from vantage.operators.machine import COLUMNS, CONTEXT, STALE_DAYS, Bar, Monitor
 
 _NAMES = [k.split()[0] for k in COLUMNS.split(", ")]
 
 
+def _known(row, column: str) -> float | None:
+    value = getattr(row, column, None)
+    return None if value is None or np.isnan(value) else value
+
+
 def event_stream(bars: DataFrame, boundaries: DataFrame) -> DataFrame:
     """As machine.histories(), from a stream of bars: each level's monitor is kept as state between batches.
 
@@ -47,7 +52,7 @@ def event_stream(bars: DataFrame, boundaries: DataFrame) -> DataFrame:
             if monitor is None:
                 monitor = Monitor(r.level, r.tolerance, r.atr, r.confidence, int(r.touches), getattr(r, "quality", 40.0))
             watched = bool((day - seen[np.searchsorted(seen, day, side="right") - 1]).astype(int) <= STALE_DAYS)
-            for number, now, reason in monitor.take(Bar(day, r.open, r.high, r.low, r.close, r.volume, r.average_volume), watched):
+            for number, now, reason in monitor.take(Bar(day, r.open, r.high, r.low, r.close, r.volume, r.average_volume, *(_known(r, c) for c in CONTEXT)), watched):
                 rows.append((group[0], group[1], number, r.session_date, was.get(number), now, reason, r.level, r.close))
                 was = {number: now}  # only the attempt under way can still change
         if over:

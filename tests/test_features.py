@@ -74,3 +74,28 @@ def test_smoothing_against_plain_loops():
 def test_greatest_does_not_fill_the_first_true_range(bars):
     first = bars.groupBy("instrument_id").agg(F.min("session_date").alias("session_date"))
     assert bars.withColumn("tr", X.true_range()).join(first, ["instrument_id", "session_date"]).where("tr is not null").count() == 0
+
+
+def test_episodes_are_series_of_their_own(spark, bars):
+    """A relisted series: after its break every feature, windowed or recursive, is what the bars after the break alone give."""
+    from vantage.operators.asof import BREAK_SESSIONS, by_episode
+
+    ordered = bars.select("session_date").distinct().orderBy("session_date").collect()
+    days = [r.session_date for r in ordered]
+    calendar = spark.createDataFrame([(d, n) for n, d in enumerate(days)], "session_date date, session_ord int")
+    first, last = days[150], days[150 + BREAK_SESSIONS + 5]
+    gone = (F.col("instrument_id") == 2) & (F.col("session_date") >= first) & (F.col("session_date") < last)
+    cut = bars.where(~gone).withColumn("close", F.when((F.col("instrument_id") == 2) & (F.col("session_date") >= last), F.col("close") * 9).otherwise(F.col("close")))
+    out = by_episode(cut, calendar, X.feature_set).cache()
+    assert {(r.instrument_id, r.episode_id) for r in out.select("instrument_id", "episode_id").distinct().collect()} == {(1, 0), (2, 0), (2, 1), (3, 0)}
+    names = [c for c in out.columns if c not in ("instrument_id", "session_date", "episode_id")]
+    for own, alone in ((out.where("episode_id = 1"), cut.where((F.col("instrument_id") == 2) & (F.col("session_date") >= last))), (out.where("instrument_id = 1"), cut.where("instrument_id = 1"))):
+        a, b = _table(own, names).astype(float), _table(X.feature_set(alone), names).astype(float)
+        assert len(a) > 100
+        np.testing.assert_allclose(a.to_numpy(), b.to_numpy(), rtol=1e-12)
+    assert X.keys() == ("instrument_id",)
+
+
+def test_the_feature_set_is_one_shuffle(bars):
+    plan = X.feature_set(bars)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(instrument_id") == 1 and "Join" not in plan.split("InMemory")[0]

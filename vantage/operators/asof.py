@@ -181,13 +181,15 @@ def sessions_within(intervals: DataFrame, calendar: DataFrame) -> DataFrame:
     return spread.join(days, (F.col("_month") == F.col("_of")) & covers(F.col("session_date"), F.col("valid_from"), F.col("valid_to"))).drop("_month", "_of")
 
 
-def by_episode(bars: DataFrame, calendar: DataFrame, compute, most: int = 1000) -> DataFrame:
-    """What ``compute`` makes of each unbroken stretch of a series, with episode_id; no window reaches across a structural break.
+def by_episode(bars: DataFrame, calendar: DataFrame, compute) -> DataFrame:
+    """What ``compute`` makes of each unbroken stretch of a series, with episode_id; no window or recursion reaches across a structural break.
 
-    A stretch is a series of its own for as long as it is computed: instrument and episode are put into one id and taken
-    apart again, so every windowed or grouped operator keeps its one key.
+    While ``compute`` builds its plan, instrument and episode are the key of every series, so bars are dealt by both and an
+    instrument of many episodes is many series.
     """
+    from vantage.operators.features import keyed
+
     numbered = bars.join(calendar.select("session_date", "session_ord"), "session_date") if "session_ord" not in bars.columns else bars
-    split = episodes(numbered).withColumn("instrument_id", (F.col("instrument_id") * most + F.col("episode_id")).cast("int"))
-    out = compute(split.drop("episode_id", "session_ord"))
-    return out.withColumn("episode_id", (F.col("instrument_id") % most).cast("long")).withColumn("instrument_id", F.floor(F.col("instrument_id") / most).cast("int"))
+    split = episodes(numbered).drop("session_ord")
+    with keyed("instrument_id", "episode_id"):
+        return compute(split)

@@ -6,18 +6,37 @@ Row i depends on rows up to i only, and a window that isn't full gives null, nev
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEYS = ("instrument_id",)
 EPS = 2.220446049250313e-16
+_KEYS: ContextVar[tuple[str, ...]] = ContextVar("series_keys", default=("instrument_id",))
+
+
+def keys() -> tuple[str, ...]:
+    """The columns that make a series, for every window and kernel."""
+    return _KEYS.get()
+
+
+@contextmanager
+def keyed(*names: str) -> Iterator[None]:
+    """Within it, a series is what shares these columns; with the episode among them, nothing reaches across a structural break."""
+    token = _KEYS.set(names)
+    try:
+        yield
+    finally:
+        _KEYS.reset(token)
 
 
 def series() -> Window:
-    return Window.partitionBy(*KEYS).orderBy("session_date")
+    return Window.partitionBy(*keys()).orderBy("session_date")
 
 
 def trailing(n: int):
@@ -199,23 +218,26 @@ def adx(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> tu
 RECURSIVE = ("ema_12", "ema_26", "wilder_14", "rsi_14", "macd", "macd_signal", "macd_histogram", "atr_14", "atr_percent", "adx_14", "plus_di", "minus_di")
 
 
-def recursive_features(bars: DataFrame) -> DataFrame:
-    """All recursive features of each series in one pass over one shuffle."""
+def _with_recursions(x: DataFrame) -> DataFrame:
+    """``x`` with all recursive features, each series in one Arrow batch; rows that stand partitioned by series aren't shuffled again."""
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("session_date")
-        h, lo, c = (x[k].to_numpy(float) for k in ("high", "low", "close"))
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t.column("session_date")))
+        h, lo, c = (t.column(k).to_numpy().astype(float) for k in ("high", "low", "close"))
         a = atr(h, lo, c)
         with np.errstate(divide="ignore", invalid="ignore"):
             percent = np.where(c > 0, a / c * 100, np.nan)
-        columns = (ema(c, 12), ema(c, 26), wilder(c, 14), rsi(c), *macd(c), a, percent, *adx(h, lo, c))
-        out = x[["instrument_id", "session_date"]].copy()
-        for name, values in zip(RECURSIVE, columns, strict=True):
-            out[name] = pd.array(values, dtype="Float64", copy=False) if not np.isnan(values).any() else pd.arrays.FloatingArray(np.nan_to_num(values), np.isnan(values))
-        return out
+        for name, values in zip(RECURSIVE, (ema(c, 12), ema(c, 26), wilder(c, 14), rsi(c), *macd(c), a, percent, *adx(h, lo, c)), strict=True):
+            t = t.append_column(name, pa.array(values, pa.float64(), mask=np.isnan(values)))
+        return t
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema)
+    return x.groupBy(*keys()).applyInArrow(run, f"{kinds}, " + ", ".join(f"{n} double" for n in RECURSIVE))
+
 
-    kinds = ", ".join(f"{n} double" for n in RECURSIVE)
-    return bars.select("instrument_id", "session_date", "high", "low", "close").groupBy(*KEYS).applyInPandas(run, f"instrument_id int, session_date date, {kinds}")
+def recursive_features(bars: DataFrame) -> DataFrame:
+    """All recursive features of each series in one pass over one shuffle."""
+    return _with_recursions(bars.select(*keys(), "session_date", "high", "low", "close")).drop("high", "low", "close")
 
 
 def window_features(bars: DataFrame) -> DataFrame:
@@ -241,8 +263,8 @@ def window_features(bars: DataFrame) -> DataFrame:
 
 
 def feature_set(bars: DataFrame) -> DataFrame:
-    """Window and recursive features of every bar, side by side."""
-    return window_features(bars).join(recursive_features(bars), ["instrument_id", "session_date"])
+    """Window and recursive features of every bar, side by side: the recursions take the windowed rows where they lie."""
+    return _with_recursions(window_features(bars))
 
 
 def long_form(features: DataFrame, names: list[str]) -> DataFrame:

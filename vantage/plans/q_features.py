@@ -223,10 +223,20 @@ def _by_episode(s, d):
     """Window features of each unbroken stretch of series that have gaps."""
     from vantage.operators.asof import by_episode
 
-    return by_episode(frame(s, d, "gappy_bars"), frame(s, d, "calendar"), lambda b: X.window_features(b).select("instrument_id", "session_date", "sma_20", "roc_5"))
+    return by_episode(frame(s, d, "gappy_bars"), frame(s, d, "calendar"), lambda b: X.window_features(b).select("instrument_id", "episode_id", "session_date", "sma_20", "roc_5"))
 
 
 register("r18_features_by_episode", lambda s, d: _by_episode(s, d).select("instrument_id", "episode_id", "session_date", *(digest(F.col(c)).alias(c) for c in ("sma_20", "roc_5"))),
          with_tables("gappy_bars", f"""with g as (select *, case when session_ord - lag(session_ord) over (partition by instrument_id order by session_ord) - 1 >= 21 then 1 else 0 end as brk from gappy_bars), e as (select *, sum(brk) over (partition by instrument_id order by session_ord)::bigint as episode_id from g),
 n as (select *, row_number() over w as i, avg(close) over (partition by instrument_id, episode_id order by session_date rows 19 preceding) as a, close / lag(close, 5) over w - 1 as r from e window w as (partition by instrument_id, episode_id order by session_date))
 select instrument_id, episode_id, session_date, {digest_sql('case when i >= 20 then a end')} as sma_20, {digest_sql('r')} as roc_5 from n"""))
+
+
+def _all_by_episode(s, d):
+    """The whole feature set of each episode of series that have gaps."""
+    from vantage.operators.asof import by_episode
+
+    return by_episode(frame(s, d, "gappy_bars"), frame(s, d, "calendar"), X.feature_set)
+
+
+register("r18_feature_set_by_episode", _all_by_episode)

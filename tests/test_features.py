@@ -97,5 +97,5 @@ def test_episodes_are_series_of_their_own(spark, bars):
 
 
 def test_the_feature_set_is_one_shuffle(bars):
-    plan = X.feature_set(bars)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(instrument_id") == 1 and "Join" not in plan.split("InMemory")[0]
+    plan = X.feature_set(bars)._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert plan.count("Exchange hashpartitioning(instrument_id") == 1 and "Join" not in plan

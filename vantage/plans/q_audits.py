@@ -137,12 +137,13 @@ register("v18_all_checks", _v18, with_tables(_T, "select * from (values ('illega
 
 def _v01(s, d):
     names = ["sma_50", "roc_20", "bollinger_bandwidth", "volatility_percentile"]
-    a, b = (X.long_form(X.window_features(x), names) for x in (frame(s, d, "bars"), frame(s, d, "bars").repartition(7, "session_date")))
+    fault = F.when(F.col("instrument_id") % 5 == 0, F.col("close") + 1).otherwise(F.col("close"))  # a feature that comes out otherwise the second time
+    a, b = (X.long_form(X.window_features(x).withColumn("planted", p), [*names, "planted"]) for x, p in ((frame(s, d, "bars"), F.col("close")), (frame(s, d, "bars").repartition(7, "session_date"), fault)))
     j = a.join(b.withColumnRenamed("value", "again"), ["instrument_id", "session_date", "feature"], "full_outer")
     return j.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("value").eqNullSafe(F.col("again")) & ~(F.abs(F.col("value") - F.col("again")) <= 1e-12 * F.abs("value"))).alias("differ"))
 
 
-register("v01_determinism", _v01, with_tables("bars", "select f as feature, count(*) as n, 0 as differ from bars cross join (values ('sma_50'), ('roc_20'), ('bollinger_bandwidth'), ('volatility_percentile')) v(f) group by 1"))
+register("v01_determinism", _v01, with_tables("bars", "select f as feature, count(*) as n, count(*) filter (f = 'planted' and instrument_id % 5 = 0) as differ from bars cross join (values ('sma_50'), ('roc_20'), ('bollinger_bandwidth'), ('volatility_percentile'), ('planted')) v(f) group by 1"))
 _WARM = {"sma_20": 20, "sma_200": 200, "roc_60": 61, "high_252": 252, "volatility_20": 21, "relative_volume_20": 21}
 
 
@@ -173,8 +174,10 @@ def _v15(s, d):
     b = frame(s, d, "bars")
     wobble = (F.pmod(F.xxhash64("instrument_id", "session_date", F.lit(7)), F.lit(2001)) - 1000) / 1e6  # up to a tenth of a percent
     noisy = b.withColumns({c: F.col(c) * (1 + wobble) for c in ("open", "high", "low", "close")})
-    j = X.long_form(X.window_features(b), ["sma_50", "roc_60"]).join(X.long_form(X.window_features(noisy), ["sma_50", "roc_60"]).withColumnRenamed("value", "noisy"), ["instrument_id", "session_date", "feature"]).where("value is not null")
+    # a feature that hangs on the last digit of the price can't be stable
+    read = lambda x: X.long_form(X.window_features(x).withColumn("planted", F.pmod(F.floor(F.col("close") * 1e4), F.lit(97)).cast("double")), ["sma_50", "roc_60", "planted"])
+    j = read(b).join(read(noisy).withColumnRenamed("value", "noisy"), ["instrument_id", "session_date", "feature"]).where("value is not null")
     return j.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.abs(F.col("noisy") - F.col("value")) <= 0.0021 * (1 + F.abs("value"))).alias("stable"))
 
 
-register("v15_perturbed", _v15, with_tables("bars", "with i as (select row_number() over (partition by instrument_id order by session_date) as i from bars) select 'sma_50' as feature, count(*) as n, true as stable from i where i >= 50 having count(*) > 0 union all select 'roc_60', count(*), true from i where i > 60 having count(*) > 0"))
+register("v15_perturbed", _v15, with_tables("bars", "with i as (select row_number() over (partition by instrument_id order by session_date) as i from bars) select 'sma_50' as feature, count(*) as n, true as stable from i where i >= 50 having count(*) > 0 union all select 'roc_60', count(*), true from i where i > 60 having count(*) > 0 union all select 'planted', count(*), false from i having count(*) > 0"))

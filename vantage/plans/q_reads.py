@@ -28,6 +28,10 @@ def _r01(spark, d):
 register("r01_history", _r01, with_tables("bar_facts", _HIST + "select instrument_id, session_date, close, volume from (select *, row_number() over (partition by instrument_id order by session_date desc) as k from h) y where k <= 250"))
 
 
+register("r01_history_whole", lambda spark, d: asof.history(frame(spark, d, "bar_facts"), _clock(), limit=None).select("instrument_id", "session_date", "close", "volume"),
+         with_tables("bar_facts", _HIST + "select instrument_id, session_date, close, volume from h"))
+
+
 def _r02(spark, d):
     return asof.latest(frame(spark, d, "bar_facts"), _clock()).select("instrument_id", "session_date", "close")
 
@@ -94,9 +98,7 @@ select session_date, universe, instrument_id from calendar join universe on vali
 
 
 def _r07_all(spark, d):
-    return frame(spark, d, "calendar").select("session_date").join(
-        F.broadcast(frame(spark, d, "universe")), asof.covers(F.col("session_date"), F.col("valid_from"), F.col("valid_to"))
-    ).select("session_date", "universe", "instrument_id")
+    return asof.sessions_within(frame(spark, d, "universe"), frame(spark, d, "calendar").select("session_date")).select("session_date", "universe", "instrument_id")
 
 
 register("r07_universe_all_sessions", _r07_all, with_tables("calendar universe", """

@@ -99,6 +99,22 @@ register("d15_timeframe_edges", lambda s, d: P.across_timeframes(_observed(s, d,
 select a.key as from_key, b.key as to_key, 'CONTAINS' as kind from a join b on a.instrument_id = b.instrument_id and a.s <= b.e and b.s <= a.e where greatest((least(a.e, b.e) - greatest(a.s, b.s) + 1) / (a.e - a.s + 1)::double, (least(a.e, b.e) - greatest(a.s, b.s) + 1) / (b.e - b.s + 1)::double) >= 25e-2"""))
 register("d13_family_counts", lambda s, d: P.family_counts(_found(s, d)))
 register("p24_violations", lambda s, d: P.violations(P.detect(_bars(s, d))).select("instrument_id", "session_date", "family"))
+_EARLY = "1995-04-14"
+register("d13_skips_on_a_date", lambda s, d: P.skipped(_bars(s, d).where(F.col("session_date") <= F.lit(_EARLY).cast("date"))),
+         with_tables("bars", f"with n as (select instrument_id, count(*) as n from bars where session_date <= date '{_EARLY}' group by 1), w as (select * from (values " + ", ".join(f"('{f}', {k + 1})" for f, k in P.WARM.items()) + ") v(family, need)) select instrument_id, family, need - n as missing from n cross join w where n < need"))
+
+
+def _faulty(s, d):
+    """Observed structures with planted faults: an invalidation above the level, a start on the session itself, a level of 0 and one that is no number."""
+    seq, level = F.col("seq"), F.col("quality") + 50
+    found = frame(s, d, "observations").select("instrument_id", "session_date", "family", "seq", "quality", F.when(seq % 13 == 0, 0.0).when(seq % 17 == 0, float("nan")).otherwise(level).alias("level"), F.date_sub("session_date", (seq % 20).cast("int")).alias("start_date"))
+    return found.withColumn("invalidation", F.when(seq % 11 == 0, level + 1).when(seq % 13 == 0, -1.0).otherwise(level - 10))
+
+
+register("p24_planted", lambda s, d: P.violations(_faulty(s, d)).select("seq"),
+         with_tables("observations", "select seq from observations where seq % 13 = 0 or seq % 17 = 0 or seq % 11 = 0 or seq % 20 = 0"))
+
+
 def _end(s, d):
     """The last session of the market: series that fell silent before it are over."""
     return F.lit(frame(s, d, "bars").agg(F.max("session_date")).first()[0])

@@ -15,6 +15,7 @@ from vantage.operators.features import prior, series, trailing, true_range
 
 # Fixed values of the default configuration.
 ZONE = {"least": 0.0015, "atr": 0.1, "most": 0.02, "widening": 1.6}
+DETACHED = 40.0
 APPROACH = {"atr": 2.5, "share": 0.12, "testing_atr": 0.4, "lookback": 10, "baseline": 30}
 CANDLE = {"close_location": 0.45, "body": 0.25, "upper_wick": 0.15, "range": 0.15}
 RELATIVE_VOLUME_FULL = {"high_tight_flag": 2.2, "flat_base": 1.5, "vcp": 2.0, "tight_consolidation": 1.5, "breakout_retest": 1.4}
@@ -38,6 +39,21 @@ def zone_of(level: float, atr: float, confidence: float) -> float:
     return min(ZONE["most"], base * (ZONE["widening"] - (ZONE["widening"] - 1) * confidence / 100))
 
 
+def frozen_boundaries(levels: DataFrame) -> DataFrame:
+    """Levels of structures as boundaries to watch: zone, ATR as of the freezing, whether an attempt may open, and why not.
+
+    levels: key, side (resistance or support), kind (structural or research), level, atr, confidence, touches, quality.  A support
+    line is refused, as penetration above it means nothing; so is a level that is no positive number.  An attempt may open
+    only at a structural level that belongs to an identity; what belongs to none counts as of quality ``DETACHED``.
+    """
+    attached = F.coalesce(F.col("key") != "", F.lit(False))
+    good = F.coalesce((F.col("level") > 0) & ~F.isnan("level"), F.lit(False))
+    refused = F.when(F.coalesce(F.col("side") != "resistance", F.lit(True)), "not_resistance").when(~good, "no_level")
+    width = F.when(refused.isNull(), zone(F.col("level"), F.col("atr"), F.coalesce("confidence", F.lit(0.0))))
+    eligible = refused.isNull() & attached & F.coalesce(F.col("kind") == "structural", F.lit(False))
+    return levels.withColumns({"tolerance": width, "pattern_quality": F.when(attached, F.col("quality")).otherwise(F.lit(DETACHED)), "attached": attached, "eligible": eligible, "refused": refused})
+
+
 def level_on(level: Column, slope: Column, sessions: Column) -> Column:
     """The level of a sloped boundary so many sessions after its anchor."""
     return level + slope * sessions

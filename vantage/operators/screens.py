@@ -24,6 +24,35 @@ def fundamental_screen(series: DataFrame, growth: float = 0.0, quarters: int = 4
     return x.where("_n = 1").select("instrument_id", "metric", "period_end", "yoy", (F.coalesce(F.col("yoy") > growth, F.lit(False)) & (F.col("n") >= quarters)).alias("passed"))
 
 
+#: Least growth of revenue and earnings, most debt to equity, least return on equity, quarters needed.  Fixed values.
+FUNDAMENTAL = {"revenue_growth": 0.10, "earnings_growth": 0.15, "debt_to_equity": 2.0, "return_on_equity": 0.10, "quarters": 4}
+
+
+def quality_screen(facts: DataFrame) -> DataFrame:
+    """Growth, leverage and return of each instrument's newest quarter, with the reasons that reject it.
+
+    facts: instrument_id, metric (revenue, net_income, equity, debt), period_end, value, one row each.  Growth is against the same
+    quarter a year before, over the size of that; the return is four quarters' income over the newest equity.  Instruments with
+    fewer quarters of revenue than needed aren't eligible, which is no rejection.  A value that is missing rejects nothing, nor
+    does a ratio to equity that isn't positive, except that the latter counts as too much debt.
+    """
+    pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m)
+    q = facts.groupBy("instrument_id", "period_end").agg(*map(pick, ("revenue", "net_income", "equity", "debt")))
+    w = Window.partitionBy("instrument_id").orderBy("period_end")
+    grown = lambda m: (F.col(m) - F.lag(m, 4).over(w)) / F.nullif(F.abs(F.lag(m, 4).over(w)), F.lit(0))
+    year = F.when(F.count("net_income").over(w.rowsBetween(-3, 0)) == 4, F.sum("net_income").over(w.rowsBetween(-3, 0)))
+    owned = F.when(F.col("equity") > 0, F.col("equity"))
+    x = q.withColumns({"revenue_growth": grown("revenue"), "earnings_growth": grown("net_income"), "debt_to_equity": F.col("debt") / owned, "return_on_equity": year / owned, "quarters": F.count("revenue").over(w)})
+    last = x.groupBy("instrument_id").agg(F.max_by(F.struct(*[c for c in x.columns if c != "instrument_id"]), "period_end").alias("x")).select("instrument_id", "x.*")
+    f = FUNDAMENTAL
+    why = listed(
+        revenue_growth=F.coalesce(F.col("revenue_growth") < f["revenue_growth"], F.lit(False)), earnings_growth=F.coalesce(F.col("earnings_growth") < f["earnings_growth"], F.lit(False)),
+        leverage=F.coalesce((F.col("debt_to_equity") > f["debt_to_equity"]) | (F.col("equity") <= 0), F.lit(False)), return_on_equity=F.coalesce(F.col("return_on_equity") < f["return_on_equity"], F.lit(False)),
+    )
+    eligible = F.col("quarters") >= f["quarters"]
+    return last.withColumns({"eligible": eligible, "rejected_by": F.when(eligible, why).otherwise(F.array().cast("array<string>"))}).withColumn("passed", eligible & (F.size("rejected_by") == 0))
+
+
 def technical_screen(features: DataFrame) -> DataFrame:
     ok = (F.col("close") > F.col("sma_50")) & (F.col("sma_50") > F.col("sma_200")) & (F.col("close") >= 1.25 * F.col("low_252")) & (F.col("close") >= 0.75 * F.col("high_252"))
     return features.withColumn("passed", F.coalesce(ok, F.lit(False)))

@@ -212,6 +212,15 @@ select *, rejected_by = '' as passed from r"""))
 register("o02_fundamental_screen", lambda s, d: O.fundamental_screen(frame(s, d, "fundamentals").where("not is_restatement")).select("instrument_id", "metric", "period_end", digest(F.col("yoy"), 6).alias("yoy"), "passed"),
          with_tables("fundamentals", f"""with f as (select *, value / lag(value, 4) over w - 1 as yoy, row_number() over (partition by instrument_id, metric order by period_end desc) as k, count(*) over (partition by instrument_id, metric) as n from fundamentals where not is_restatement window w as (partition by instrument_id, metric order by period_end))
 select instrument_id, metric, period_end, {D('yoy', 6)} as yoy, coalesce(yoy > 0, false) and n >= 4 as passed from f where k = 1"""))
+register("o02_quality_screen", lambda s, d: O.quality_screen(frame(s, d, "statements")).select("instrument_id", "period_end", *(digest(F.col(c), 5).alias(c) for c in ("revenue_growth", "earnings_growth", "debt_to_equity", "return_on_equity")), "eligible", F.array_join("rejected_by", ",").alias("rejected_by"), "passed"),
+         with_tables("statements", f"""with q as (select instrument_id, period_end, max(value) filter (metric = 'revenue') as r, max(value) filter (metric = 'net_income') as i, max(value) filter (metric = 'equity') as e, max(value) filter (metric = 'debt') as b from statements group by 1, 2),
+x as (select *, (r - lag(r, 4) over w) / nullif(abs(lag(r, 4) over w), 0) as rg, (i - lag(i, 4) over w) / nullif(abs(lag(i, 4) over w), 0) as ig, case when e > 0 then b / e end as de, case when count(i) over y = 4 and e > 0 then sum(i) over y / e end as roe, count(r) over w as n, row_number() over (partition by instrument_id order by period_end desc) as k
+  from q window w as (partition by instrument_id order by period_end), y as (partition by instrument_id order by period_end rows 3 preceding)),
+z as (select *, case when n >= 4 then concat_ws(',', case when rg < 1e-1 then 'revenue_growth' end, case when ig < 15e-2 then 'earnings_growth' end, case when de > 2 or e <= 0 then 'leverage' end, case when roe < 1e-1 then 'return_on_equity' end) else '' end as rejected_by from x where k = 1)
+select instrument_id, period_end, {D('rg', 5)} as revenue_growth, {D('ig', 5)} as earnings_growth, {D('de', 5)} as debt_to_equity, {D('roe', 5)} as return_on_equity, n >= 4 as eligible, rejected_by, n >= 4 and rejected_by = '' as passed from z"""))
+register("b02_boundaries", lambda s, d: BR.frozen_boundaries(frame(s, d, "levels")).select("seq", digest(F.col("tolerance"), 7).alias("tolerance"), "pattern_quality", "attached", "eligible", "refused"),
+         with_tables("levels", f"""with r as (select *, key <> '' as attached, case when side <> 'resistance' then 'not_resistance' when level <= 0 then 'no_level' end as refused from levels)
+select seq, {D('case when refused is null then least(2e-2, greatest(15e-4, coalesce(1e-1 * atr / nullif(level, 0), 0)) * (16e-1 - 6e-1 * confidence / 100)) end', 7)} as tolerance, case when attached then quality else 40 end as pattern_quality, attached, attached and refused is null and kind = 'structural' as eligible, refused from r"""))
 register("o05_performance", lambda s, d: O.performance(_bars(s, d)).select("instrument_id", "n", *(digest(F.col(c)).alias(c) for c in ("cagr", "max_drawdown", "sharpe", "sortino", "win_rate", "profit_factor")), digest(F.col("calmar"), 3).alias("calmar")),
          with_tables("bars", f"""with r as (select *, close / lag(close) over w - 1 as r, 1 - close / max(close) over w as dd from bars window w as (partition by instrument_id order by session_date))
 select instrument_id, count(r) as n, {D('power(arg_max(close, session_date) / arg_min(close, session_date), 252.0::double / count(r)) - 1')} as cagr, {D('max(dd)')} as max_drawdown, {D('avg(r) / stddev_samp(r) * sqrt(252)')} as sharpe, {D('avg(r) / sqrt(avg(power(least(r, 0), 2)) filter (r is not null)) * sqrt(252)')} as sortino,

@@ -86,6 +86,15 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         select instrument_id, 'revenue', fiscal_year, 'Q' || cast(quarter as varchar(1)), cast(make_date(fiscal_year, quarter * 3, 28) as date),
                cast(floor(cents * 1.02e0 + 5e-1) as bigint), cast(make_date(fiscal_year, quarter * 3, 28) as timestamp) + interval '3240' hour, true
         from fundamental_quarters where instrument_id % 3 = 0"""),
+    "statements": (("fundamental_quarters",), """
+        select instrument_id, 'revenue' as metric, cast(make_date(fiscal_year, quarter * 3, 28) as date) as period_end, cast(cents as double) as value from fundamental_quarters
+        union all select instrument_id, 'net_income', cast(make_date(fiscal_year, quarter * 3, 28) as date), cast(cents as double) * (instrument_id % 7 - 1) / 4e1 from fundamental_quarters
+        union all select instrument_id, 'equity', cast(make_date(fiscal_year, quarter * 3, 28) as date), cast(cents as double) * (instrument_id % 6 - 1) / 2e0 from fundamental_quarters
+        union all select instrument_id, 'debt', cast(make_date(fiscal_year, quarter * 3, 28) as date), cast(cents as double) * (instrument_id % 5) / 1e0 from fundamental_quarters where instrument_id % 8 <> 0"""),
+    "levels": ((), """
+        select cast(o_orderkey as bigint) as seq, case when o_orderkey % 10 = 0 then '' else 'p' || cast(o_custkey as varchar(20)) end as key, case when o_orderkey % 7 = 0 then 'support' else 'resistance' end as side,
+               case when o_orderkey % 6 = 0 then 'research' else 'structural' end as kind, case when o_orderkey % 23 = 0 then 0e0 else cast(o_custkey % 300 + 1 as double) end as level, case when o_orderkey % 19 <> 0 then cast(o_orderkey % 90 as double) / 1e1 end as atr,
+               cast(o_orderkey % 101 as double) as confidence, cast(o_orderkey % 6 as int) as touches, cast(o_custkey % 101 as double) as quality from orders"""),
     "earnings": (("fundamental_quarters",), """
         select instrument_id, fiscal_year, 'Q' || cast(quarter as varchar(1)) as fiscal_period,
                cast(cast(make_date(fiscal_year, quarter * 3, 28) as timestamp) + interval '720' hour as date) as scheduled_date,

@@ -98,4 +98,4 @@ def test_episodes_are_series_of_their_own(spark, bars):
 
 def test_the_feature_set_is_one_shuffle(bars):
     plan = X.feature_set(bars)._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
-    assert plan.count("Exchange hashpartitioning(instrument_id") == 1 and "Join" not in plan
+    assert plan.count("Exchange hashpartitioning(instrument_id") <= 1 and "Join" not in plan  # none where the cached rows lie by instrument already

@@ -28,6 +28,7 @@ from vantage.llm.base import SPACE, cut, table
 PROBES = 3
 SEGMENT_BITS = 13
 MOST_BITS = 26
+MOST_HOT, SALTS = 1_000, 32
 OUTPUTS = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -76,7 +77,8 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     spark = docs.sparkSession
     docs = docs.drop(*OUTPUTS)
     key = F.xxhash64(normalised(F.col(text_column)))
-    bits = min(most_bits, max(SEGMENT_BITS, (16 * max(docs.count(), 1)).bit_length()))
+    total = max(docs.count(), 1)
+    bits = min(most_bits, max(SEGMENT_BITS, (16 * total).bit_length()))
     twice = spark.sparkContext.broadcast(repeated_positions(docs.select(key.alias("key")), bits))
 
     @F.pandas_udf("boolean")
@@ -93,7 +95,13 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     groups = cut(
         rest.groupBy(F.col("text_sha256").alias("_sha")).agg(F.min(id_column).alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
     )
-    decided = rest.join(groups, F.col("text_sha256") == F.col("_sha"), "left").select(
+    # at most MOST_HOT groups hold that share of all rows; their rows meet their group in SALTS places
+    large = F.col("_size") > total / MOST_HOT
+    hot = groups.where(large).select(F.col("_sha").alias("_hot"))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(id_column, F.spark_partition_id()), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salted = rest.join(F.broadcast(hot), F.col("text_sha256") == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    spread = groups.withColumn("_at", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    decided = salted.join(spread, (F.col("text_sha256") == F.col("_sha")) & (F.col("_salt") == F.col("_at")), "left").select(
         *docs.columns,
         F.when(F.col("_sha").isNull(), F.col(id_column)).otherwise(F.col("_keep")).alias("keep_id"),
         F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"),

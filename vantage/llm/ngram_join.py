@@ -365,7 +365,8 @@ def _across(members: DataFrame) -> DataFrame:
     groups = homes.groupBy("key").agg(F.max_by("home", F.struct("c", F.xxhash64("key", "home"))).alias("of"), F.sum("c").alias("c"))
     sizes = groups.groupBy("of").agg(F.ceil(F.sum("c") / MEMBERS_PER_BLOCK).cast("int").alias("blocks"))
     tasks = max(1, members.count() // MEMBERS_PER_TASK)
-    dealt = members.join(groups.select("key", "of"), "key").join(sizes, "of").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # the number of blocks comes to the groups, one row each, so that members are never dealt by a home
+    dealt = members.join(groups.select("key", "of").join(sizes, "of"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "*", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j")
     )

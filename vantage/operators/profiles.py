@@ -143,8 +143,9 @@ def duration(sessions: Column, reference: Column, least: int, most: int, most_ra
 
 
 def boundary_confidence(touches: Column, tightness: Column) -> Column:
-    """0 to 100: .65 touches (four are full), .35 tightness."""
-    return F.least(F.lit(100.0), 100 * (0.65 * F.least(touches / 4, F.lit(1.0)) + 0.35 * tightness))
+    """0 to 100: .65 touches (four are full), .35 tightness; null where either is (``least`` alone would pass a null over)."""
+    whole = F.least(F.lit(100.0), 100 * (0.65 * F.least(touches / 4, F.lit(1.0)) + 0.35 * tightness))
+    return F.when(touches.isNotNull() & tightness.isNotNull(), whole)
 
 
 def sloped_boundary(pivots: DataFrame) -> DataFrame:

@@ -4,15 +4,16 @@
   centres for each pair of dimensions is learned.  Its loss weighs the part of the residual that is
   parallel to the vector ``PARALLEL`` times as much as the rest, as only that part moves high inner
   products; assignment is by coordinate descent under this loss.
-* Index: every valid row is encoded, four bits for each pair of dimensions.
-* Scan: queries come in blocks of about ``QUERY_BLOCK``, which are broadcast; the codes, and nothing else of the rows,
-  are read through 16-entry tables where they lie.  A first pass over every ``SAMPLED``-th code finds, for
-  each query, a floor that about twice ``SHORT`` rows of all pass; the scan returns those.
-* Rerank: of each query's rows the ``SHORT`` best by the tables are scored exactly, in double precision, on the
-  original vectors: blocks of rows meet the queries that ask for some of them, so a vector is sent once a block.
+* Index: every valid row is encoded, four bits for each pair of dimensions, and kept with the length of what its code leaves out.
+* Scan: queries come in blocks of about ``QUERY_BLOCK``, which are broadcast; the rows are read where they lie.  16-entry
+  tables give every row's rough score from its code.  Of a batch the ``SHORT`` best by the tables are scored exactly, which
+  gives each query a floor that as many rows as it needs reach; it rises from batch to batch of a task.
+* Check: a rough score is off by no more than the length of the query times that of what the code leaves out.  Rows that
+  can't reach the floor by that go; all others are scored exactly, in double precision, on the original vectors.
 
-Neither pass shuffles rows or codes, and what it returns for a query does not grow with the table.
-``exact=True`` reads the vectors themselves in place of the codes and gives the true nearest.
+So no true neighbour is lost, whatever the rows are like: codes that fit them badly (tight clusters, a few long rows, rows
+unlike those fitted) only let more rows through to the check.  Neither rows nor codes are shuffled, and a task returns no
+more than a few times ``TOP`` rows of a batch for a query.  ``exact=True`` scores all rows without codes.
 
 Equal vectors are one class that keeps its smallest ids, so a vector shared by a third of all rows costs one
 code; its members are spread again only within the answer.
@@ -41,12 +42,11 @@ PARALLEL = 4.0
 CENTRES = 16
 ROUNDS = 8
 TOP = 20
-SHORT = 512
-SAMPLED = 64
-ROW_BLOCK = 16_384
+SHORT = 64
 QUERY_BLOCK = 16_384
-QUERIES_A_GROUP = 131_072
 AT_ONCE = 128
+PAIRS_AT_ONCE = 65_536
+ROUNDING = 1e-5
 EVERY = 20
 
 
@@ -129,18 +129,25 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _index(classes: DataFrame, quantiser: Quantiser, size: int) -> DataFrame:
-    """h and packed code of every class."""
+    """h, first, vector, packed code of every class, and the most that a rough score can be off for a query of length 1."""
     shared = classes.sparkSession.sparkContext.broadcast(quantiser)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = shared.value.encode(_matrix(batch.column("v"), size)) if batch.num_rows else np.zeros((0, 2), np.uint8)
+            if not batch.num_rows:
+                continue
+            x, q = _matrix(batch.column("v"), size), shared.value
+            codes = q.encode(x)
+            coded = q.centres[np.arange(codes.shape[1])[None], codes]
+            # what the code leaves out, and a share of the lengths for sums in single precision
+            off = np.sqrt(((q.parts(x) - coded) ** 2).sum(axis=(1, 2))) + ROUNDING * (np.sqrt((x * x).sum(axis=1)) + np.sqrt((coded**2).sum(axis=(1, 2))))
             if codes.shape[1] % 2:
                 codes = np.hstack([codes, np.zeros((len(codes), 1), np.uint8)])
             packed = codes[:, ::2] | (codes[:, 1::2] << 4)
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([p.tobytes() for p in packed], pa.binary())], names=["h", "code"])
+            columns = [batch.column("h"), batch.column("first"), batch.column("v"), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(off)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "first", "v", "code", "off"])
 
-    return classes.select("h", "v").mapInArrow(encode, "h long, code binary")
+    return classes.select("h", "first", "v").mapInArrow(encode, "h long, first long, v array<double>, code binary, off double")
 
 
 def _table_scores(batch: pa.RecordBatch, q: np.ndarray, quantiser: Quantiser) -> Iterator[tuple[int, np.ndarray]]:
@@ -155,39 +162,43 @@ def _table_scores(batch: pa.RecordBatch, q: np.ndarray, quantiser: Quantiser) ->
         yield at, scores
 
 
-def _floors(codes: DataFrame, q: np.ndarray, quantiser: Quantiser, short: int) -> np.ndarray:
-    """For each query the table score that about twice ``short`` of all rows reach."""
-    most = -(-2 * short // SAMPLED)
-    shared = codes.sparkSession.sparkContext.broadcast((q, quantiser))
+def _products(x: np.ndarray, row: np.ndarray, q: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (row, own)."""
+    out = np.zeros(len(row))
+    for i in range(0, len(row), PAIRS_AT_ONCE):
+        out[i : i + PAIRS_AT_ONCE] = (x[row[i : i + PAIRS_AT_ONCE]] * q[own[i : i + PAIRS_AT_ONCE]]).sum(axis=1)
+    return out
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                best = [-np.sort(-scores, axis=0)[:most].T for _, scores in _table_scores(batch, *shared.value)]
-                yield pa.RecordBatch.from_pydict({"q": pa.array(np.arange(len(q)), pa.int32()), "best": pa.array([x for b in best for x in b.tolist()], pa.list_(pa.float32()))})
 
-    sample = codes.where(F.pmod(F.xxhash64("h", F.lit(3)), F.lit(SAMPLED)) == 0)
-    best = F.sort_array(F.flatten(F.collect_list("best")), asc=False)
-    rows = sample.mapInArrow(read, "q int, best array<float>").groupBy("q").agg(F.get(best, F.lit(most - 1)).alias("floor")).where("floor is not null").collect()
-    floors = np.full(len(q), -np.inf, np.float32)
-    floors[[r.q for r in rows]] = [r.floor for r in rows]
-    return floors
-
-
-def _passing(codes: DataFrame, qh: np.ndarray, q: np.ndarray, floors: np.ndarray, quantiser: Quantiser) -> DataFrame:
-    """query, found and rough score of all rows that reach a query's floor."""
-    shared = codes.sparkSession.sparkContext.broadcast((qh, q, floors, quantiser))
+def _passing(codes: DataFrame, qh: np.ndarray, q: np.ndarray, quantiser: Quantiser, size: int, top: int, short: int) -> DataFrame:
+    """query, found, first and exact score of each batch's rows that may be among the ``top + 1`` best of a query."""
+    shared = codes.sparkSession.sparkContext.broadcast((qh, q, quantiser))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qh, q, floors, quantiser = shared.value
+        qh, q, quantiser = shared.value
+        length, floors = np.sqrt((q * q).sum(axis=1)), np.full(len(q), -np.inf)
         for batch in batches:
-            if batch.num_rows:
-                h = np.asarray(batch.column("h"))
-                for at, scores in _table_scores(batch, q, quantiser):
-                    row, own = np.nonzero(scores >= floors[at : at + scores.shape[1]])
-                    yield pa.RecordBatch.from_arrays([pa.array(qh[at + own]), pa.array(h[row]), pa.array(scores[row, own])], names=["query", "found", "rough"])
-
-    return codes.mapInArrow(read, "query long, found long, rough float")
+            n = batch.num_rows
+            if not n:
+                continue
+            x, h, first, off = _matrix(batch.column("v"), size), np.asarray(batch.column("h")), np.asarray(batch.column("first")), np.asarray(batch.column("off"))
+            for at, rough in _table_scores(batch, q, quantiser):
+                some, floor = rough.shape[1], floors[at : at + rough.shape[1]]
+                if n > top:
+                    best = np.argpartition(-rough, min(short, n) - 1, axis=0)[:short] if n > short else np.tile(np.arange(n)[:, None], some)
+                    known = _products(x, best.ravel(), q, np.tile(np.arange(at, at + some), len(best))).reshape(best.shape)
+                    floor[:] = np.fmax(floor, -np.partition(-known, top, axis=0)[top])
+                # what isn't finite can't be ruled out
+                row, own = np.nonzero(~(rough + off[:, None] * length[None, at : at + some] < floor) | ~np.isfinite(rough))
+                score = _products(x, row, q, own + at)
+                reach = ~(score < floor[own])
+                row, own, score = row[reach], own[reach], score[reach]
+                order = np.lexsort((first[row], -score, own))
+                rank = np.arange(len(order)) - np.searchsorted(own[order], own[order])
+                kept = order[rank <= top]
+                yield pa.RecordBatch.from_arrays([pa.array(qh[at + own[kept]]), pa.array(h[row[kept]]), pa.array(first[row[kept]]), pa.array(score[kept])], names=["query", "found", "first", "score"])
+
+    return codes.mapInArrow(read, "query long, found long, first long, score double")
 
 
 def _exact_best(classes: DataFrame, qh: np.ndarray, q: np.ndarray, size: int, top: int) -> DataFrame:
@@ -207,33 +218,6 @@ def _exact_best(classes: DataFrame, qh: np.ndarray, q: np.ndarray, size: int, to
     return classes.select("h", "v", "first").mapInArrow(read, "query long, found long, first long, score double")
 
 
-def _rescored(short: DataFrame, classes: DataFrame, queries: DataFrame, blocks: int, groups: int, size: int) -> DataFrame:
-    """query, found, first and exact score of the pairs (query, found)."""
-    block = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(blocks)).cast("int")
-    asked = (
-        short.groupBy(block("found").alias("block"), F.pmod(F.xxhash64("query", F.lit(4)), F.lit(groups)).cast("int").alias("group"), "query")
-        .agg(F.collect_list("found").alias("wanted"))
-        .join(queries.select(F.col("h").alias("query"), F.col("v").alias("q")), "query")
-        .select("block", "group", "query", "q", "wanted")
-    )
-    rows = classes.select(block("h").alias("row_block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("row_group"), "h", "v", "first")
-
-    def score(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        h, first, x = np.asarray(rows.column("h")), np.asarray(rows.column("first")), _matrix(rows.column("v"), size)
-        order = np.argsort(h)
-        wanted = asked.column("wanted").combine_chunks()
-        count = np.diff(np.asarray(wanted.offsets))
-        at = order[np.searchsorted(h, np.asarray(wanted.values), sorter=order)] if len(h) else np.zeros(0, np.int64)
-        own = np.repeat(np.arange(len(count)), count)
-        q = _matrix(asked.column("q"), size)
-        found = np.zeros(len(at))
-        for i in range(0, len(at), 65_536):
-            found[i : i + 65_536] = (x[at[i : i + 65_536]] * q[own[i : i + 65_536]]).sum(axis=1)
-        return pa.table({"query": pa.array(np.asarray(asked.column("query"))[own], pa.int64()), "found": pa.array(h[at], pa.int64()), "first": pa.array(first[at], pa.int64()), "score": pa.array(found)})
-
-    return asked.groupBy("block", "group").cogroup(rows.groupBy("row_block", "row_group")).applyInArrow(score, "query long, found long, first long, score double")
-
-
 def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, short: int = SHORT, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id and score of the ``top`` nearest found of each row whose id ``every`` divides."""
     spark = vectors.sparkSession
@@ -258,8 +242,7 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, short: int =
     )
     asked = hashed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("h").alias("query")).distinct()
     queries = cut(classes.join(asked.select(F.col("query").alias("h")).distinct(), "h").select("h", "v"))
-    n, n_queries = classes.count(), queries.count()
-    parts = max(1, -(-n_queries // QUERY_BLOCK))
+    parts = max(1, -(-queries.count() // QUERY_BLOCK))
     if not exact:
         sample = np.array([r.v for r in classes.orderBy(F.xxhash64("h"), "h").limit(MOST_FITTED).select("v").collect()])
         quantiser = train(sample)
@@ -271,14 +254,9 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, short: int =
         if exact:
             found = _exact_best(classes, qh, q, size, top)
         else:
-            found = _passing(codes, qh, q, _floors(codes, q, quantiser, short), quantiser)
+            found = _passing(codes, qh, q, quantiser, size, top, max(short, top + 1))
         found.write.mode("append").parquet(to)
-    if exact:
-        scored = spark.read.schema("query long, found long, first long, score double").parquet(to)
-    else:
-        rough = spark.read.schema("query long, found long, rough float").parquet(to)
-        best = rough.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rough"), "found"))).where(F.col("r") <= short)
-        scored = _rescored(best.select("query", "found"), classes, queries, -(-n // ROW_BLOCK), -(-max(n_queries, 1) // QUERIES_A_GROUP), size)
+    scored = spark.read.schema("query long, found long, first long, score double").parquet(to)
     nearest_first = Window.partitionBy("query").orderBy(F.desc("score"), "first")
     kept = cut(scored.withColumn("r", F.row_number().over(nearest_first)).where(F.col("r") <= top + 1).drop("r", "first"))
     delete(spark, to)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.functions.scalar import identity
+from vantage.operators import sweep
 from vantage.operators.families import FINDERS, Chart, Found, share
 from vantage.operators.features import atr, series, true_ranges
 
@@ -215,6 +217,8 @@ def _vcp(s: Chart, end: int) -> Iterator[Found]:
 
 
 _FIND = dict(zip(FAMILIES[:5], (_flat_base, _tight, _double_bottom, _triangle, _vcp), strict=True)) | FINDERS
+_SWEEP = dict(zip(FAMILIES[:5], (sweep.flat_base, sweep.tight_consolidation, sweep.double_bottom, sweep.ascending_triangle, sweep.volatility_contraction), strict=True)) | sweep.SWEEPS
+_SWEEP["base_on_base"] = partial(sweep.base_on_base, reach=REACH - RIGHT)
 _INSTANCE = "instrument_id int, session_date date, family string, start_date date, level double, invalidation double, quality double, touches int, confidence double, close double, atr double"
 _BARS = ("open", "high", "low", "close", "volume")
 
@@ -247,6 +251,27 @@ class Walk:
                     level, floor = round(float(level), 6), round(float(floor), 6)
                     yield family, first, level, floor, round(100 * float(np.mean(list(parts.values()))), 4), *self._tested(chart, first, level)
 
+    def swept(self, at: np.ndarray, ages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float], list[float], list[float], list[int], list[float]]:
+        """As sighted() of all positions ``at`` (without a gap) and their ages, in columns with the position first; see the sweep."""
+        whole = sweep.Stretch.of(Chart(*(self.bars[k] for k in _BARS), self.atr, self.highs, self.lows))
+        found = []
+        with np.errstate(all="ignore"):
+            for n, family in enumerate(FAMILIES):
+                ends = at[ages >= WARM[family]] - RIGHT
+                rows = _SWEEP[family](whole, ends) if len(ends) else ()
+                if len(rows) and len(rows[0]):
+                    once = np.sort(np.unique(rows[0] * len(self.atr) + rows[1], return_index=True)[1])
+                    end, first, level, floor, quality = (x[once] for x in rows)
+                    own = floor < level
+                    found.append((end[own], np.full(int(own.sum()), n), first[own], level[own], floor[own], quality[own]))
+            if not found:
+                none = np.zeros(0, int)
+                return none, np.zeros(0, object), none, [], [], [], [], []
+            end, n, first, level, floor, quality = (np.concatenate(x) for x in zip(*found, strict=True))
+            level = [round(x, 6) for x in level.tolist()]
+            touches, confidence = sweep.tested(whole.chart, end, first, np.array(level))
+        return end + RIGHT, np.array(FAMILIES, object)[n], first, level, [round(x, 6) for x in floor.tolist()], [round(x, 4) for x in quality.tolist()], touches.tolist(), [round(x, 4) for x in confidence.tolist()]
+
     @staticmethod
     def _tested(chart: Chart, first: int, level: float) -> tuple[int, float]:
         """Confirmed highs of the structure within 1.5 % of its level, and how certain they make it."""
@@ -294,12 +319,10 @@ def sightings(numbered: DataFrame) -> DataFrame:
         x = x.sort_values("position")
         days, at = x["session_date"].to_numpy(), x["position"].to_numpy()
         walk = Walk({k: x[k].to_numpy(float) for k in _BARS}, x["atr"].to_numpy(float))
-        close = walk.bars["close"]
-        rows = []
-        for t in np.flatnonzero((at >= WARM_UP) & (at // BLOCK == key[1])):
-            for family, first, *rest in walk.sighted(int(t), int(at[t])):
-                rows.append((key[0], days[t], family, days[first], *rest, close[t], walk.atr[t]))
-        return pd.DataFrame(rows, columns=[k.split()[0] for k in _INSTANCE.split(", ")])
+        own = np.flatnonzero((at >= WARM_UP) & (at // BLOCK == key[1]))
+        t, family, first, *rest = walk.swept(own, at[own])
+        columns = (np.full(len(t), key[0]), days[t], family, days[first], *rest, walk.bars["close"][t], walk.atr[t])
+        return pd.DataFrame(dict(zip((k.split()[0] for k in _INSTANCE.split(", ")), columns, strict=True)))
 
     block = F.explode(F.sequence(F.floor(F.col("position") / BLOCK), F.floor((F.col("position") + OVERLAP) / BLOCK)))
     tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: rows are few and work is much, so they mustn't be coalesced by size

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from vantage.functions.scalar import identity_of
 from vantage.operators.asof import episodes
 from vantage.operators.breakout import zone_of
 from vantage.operators.machine import STALE_DAYS, Bar, Monitor
-from vantage.operators.structure import LEAST_QUALITY, Walk, series_atr, state_of
+from vantage.operators.structure import LEAST_QUALITY, WARM_UP, Walk, series_atr, state_of
 from vantage.operators.tracker import ZERO, Sighting, Tracker
 
 MONITORED = ("MATURE", "NEAR_BREAKOUT", "BROKEN_OUT_UNCONFIRMED")
@@ -53,21 +54,29 @@ class Episode:
         self.bars = {k: x[k].to_numpy(float) for k in ("open", "high", "low", "close", "volume")}
         self.days = x["session_date"].to_numpy().astype("datetime64[D]")
         self.atr = series_atr(x)
-        self.walk = Walk(self.bars, self.atr)
+        self.found = self._found()
         self.tracker = Tracker()
         self.monitors: dict[str, Monitor] = {}
         self.states: dict[str, str] = {}  # of the attempt under way at each level
         self.sightings = 0
 
-    def sighted(self, t: int) -> list[Sighting]:
-        close, out = self.bars["close"][t], []
-        for family, first, level, floor, quality, touches, confidence in self.walk.sighted(t, t):
+    def _found(self) -> dict[int, list[Sighting]]:
+        """The sightings of each position that has any."""
+        at = np.arange(WARM_UP, len(self.days))
+        out, close, bases = defaultdict(list), self.bars["close"].tolist(), {}
+        for t, family, first, level, floor, quality, touches, confidence in zip(*(x if isinstance(x, list) else x.tolist() for x in Walk(self.bars, self.atr).swept(at, at)), strict=True):
             if quality >= LEAST_QUALITY:
-                start = self.days[first]
-                base = identity_of(self.instrument, family, self.timeframe, start)
-                out.append(Sighting(base, family, state_of(family, close, level, floor, quality), quality, level, floor, int(start.astype(int)), touches, confidence))
+                if (family, first) not in bases:
+                    start = self.days[first]
+                    bases[family, first] = identity_of(self.instrument, family, self.timeframe, start), int(start.astype(int))
+                base, start = bases[family, first]
+                out[t].append(Sighting(base, family, state_of(family, close[t], level, floor, quality), quality, level, floor, start, touches, confidence))
+        return out
+
+    def sighted(self, t: int) -> list[Sighting]:
+        out = sorted(self.found.pop(t, []))
         self.sightings += len(out)
-        return sorted(out)
+        return out
 
     def take(self, t: int) -> tuple[list, list[tuple]]:
         """Steps of the tracker, and (key, attempt, from, to, reason, level, tolerance) of the machine, at position t."""

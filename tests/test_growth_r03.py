@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from vantage import registry
 from vantage.operators import cross as C
+from vantage.operators import ingest as I
+from vantage.plans import q_ingest
+from vantage.sources.fixtures import frame
 
 
 def _plan(df):
@@ -20,3 +23,24 @@ def test_members_without_a_number_rank_behind_all(spark):
     rows = [(i, "d", v) for i, v in enumerate([3.0, 1.0, 1.0, None, float("nan"), 2.0, 5.0])]
     got = {r.instrument_id: (r.roster_size, r.percentile) for r in C.ranked_members(spark.createDataFrame(rows, "instrument_id int, session_date string, value double"), ("session_date",)).collect()}
     assert got == {0: (5, 0.8), 1: (5, 0.4), 2: (5, 0.4), 3: (5, None), 4: (5, None), 5: (5, 0.6), 6: (5, 1.0)}
+
+
+def test_dirty_lines_are_made_in_one_pass(spark, sf):
+    got, table = q_ingest._dirty(spark, sf), frame(spark, sf, "dirty_bars")
+    assert _plan(got).count("l_shipdate") < _plan(table).count("l_shipdate")
+    assert got.exceptAll(table).count() == 0 and table.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("name", ["s05_coercion", "s07_cross_row_checks", "s09_import_counters", "q13_snapshot_audits"])
+def test_an_import_writes_nothing_between_its_stages(spark, sf, name):
+    assert "Scan ExistingRDD" not in registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_read_as_before_and_odd_rows_lie_apart(spark):
+    cells = [" 12.5", "12.5 ", "+3", "-0.25", "12\n", "(7)", "1,234.5", "12%", "1e3", "9" * 30, "", None]
+    value, rule = I.coerced("decimal", F.col("x"))
+    got = [(None if r.v is None else float(r.v), r.r) for r in spark.createDataFrame([(c,) for c in cells], "x string").select(value.alias("v"), rule.alias("r")).collect()]
+    assert got == [(12.5, "trimmed"), (12.5, "trimmed"), (3.0, None), (-0.25, None), (12.0, "symbols"), (-7.0, "accounting_negative"), (1234.5, "thousands")] + [(None, None)] * 5
+    rows = [("1", "2000-01-03", "1", "1", "1", "1", "0", 1), ("1", "2000-01-03", "1", "1", "1", "x", "0", 2), ("1", "2000-01-03", "1", "1", "1", "1", "0", 3), ("1", "2000-01-04", "99", "99", "99", "99", "1", 4)]
+    out = I.import_bars(spark.createDataFrame(rows, "id string, date string, open string, high string, low string, close string, vol string, line int"), F.lit("2001-06-30").cast("date"))
+    assert {r.line: (r.stage, r.reason) for r in out.collect()} == {1: ("dated", ""), 2: ("normalize", "unreadable:close"), 3: ("validate", "duplicate_key"), 4: ("validate", "spike")}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from vantage import registry
 from vantage.operators import cross as C
 from vantage.operators import ingest as I
+from vantage.operators import tracking as K
 from vantage.plans import q_ingest
 from vantage.sources.fixtures import frame
 
@@ -44,3 +45,11 @@ def test_cells_are_read_as_before_and_odd_rows_lie_apart(spark):
     rows = [("1", "2000-01-03", "1", "1", "1", "1", "0", 1), ("1", "2000-01-03", "1", "1", "1", "x", "0", 2), ("1", "2000-01-03", "1", "1", "1", "1", "0", 3), ("1", "2000-01-04", "99", "99", "99", "99", "1", 4)]
     out = I.import_bars(spark.createDataFrame(rows, "id string, date string, open string, high string, low string, close string, vol string, line int"), F.lit("2001-06-30").cast("date"))
     assert {r.line: (r.stage, r.reason) for r in out.collect()} == {1: ("dated", ""), 2: ("normalize", "unreadable:close"), 3: ("validate", "duplicate_key"), 4: ("validate", "spike")}
+
+
+def test_pairs_of_spans_carry_plain_columns(spark):
+    days = "instrument_id int, key string, family string, start_date date, end_date date"
+    rows = [(1, "a", "f", "2000-01-01", "2000-06-30"), (1, "b", "g", "2000-01-01", "2000-06-30"), (1, "c", "f", "2000-03-01", "2000-03-31"), (2, "d", "f", "2000-01-01", "2000-06-30")]
+    out = K.relationships(spark.createDataFrame(rows, days.replace("date date", "date string")).selectExpr("instrument_id", "key", "family", "date(start_date) start_date", "date(end_date) end_date"))
+    assert sorted((r.from_key, r.to_key, r.kind) for r in out.collect()) == [("a", "b", "RELATED_TO"), ("a", "c", "CONTAINS"), ("b", "c", "CONTAINS")]
+    assert "struct" not in _plan(out)

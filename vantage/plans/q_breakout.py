@@ -8,7 +8,8 @@ from vantage.functions.scalar import digest, digest_sql
 from vantage.operators import breakout as B
 from vantage.operators import features as X
 from vantage.registry import register
-from vantage.sources.fixtures import frame, with_tables
+from vantage.sources.fixtures import frame, once, with_tables
+from vantage.sources.staging import staged_file
 
 D = digest_sql
 KEY = ("instrument_id", "session_date")
@@ -19,12 +20,12 @@ def ramp(x: str, zero: str, full: str, floor: int = 0) -> str:
     return f"case when ({x}) is not null then greatest(least({floor} + {100 - floor} * (({x}) - ({zero})) / (({full}) - ({zero})), 100), {floor}) end"
 
 
-def _numbered(s, d):
-    return frame(s, d, "bars").withColumn("n", F.row_number().over(X.series()))
+def _numbered(s, d, g=None):
+    return frame(s, d, "bars", g).withColumn("n", F.row_number().over(X.series()))
 
 
-def _rolling(s, d):
-    return B.rolling_boundary(_numbered(s, d))
+def _rolling(s, d, g=None):
+    return B.rolling_boundary(_numbered(s, d, g))
 
 
 def _digested(df, keys, exact, measured, digits=4):
@@ -103,8 +104,8 @@ _CP = f"case when compression_ratio is null then 50 when compression_ratio < 45e
 register("b10_boundary_quality", _b10, with_tables("bars", "with " + _RB + ", " + _AP + f"select instrument_id, session_date, {D(_BQ)} as boundary_quality, {D(_CP)} as compression from aq"))
 
 
-def _events(s, d):
-    e = B.events_of(B.volume_reading(B.candle(B.penetration(_rolling(s, d)))))
+def _events(s, d, g=None):
+    e = B.events_of(B.volume_reading(B.candle(B.penetration(_rolling(s, d, g)))))
     return e.withColumnsRenamed({"session_date": "event_date"}).withColumns({"breakout_close": F.col("close"), "breakout_volume": F.col("volume")})
 
 
@@ -147,9 +148,9 @@ _RX = ("started", "sessions", "sessions_below", "recovery_closes", "recovered",
 register("b11_retest", lambda s, d: _digested(B.retest(_after(s, d, 30)), EVENT, _RX, _RN), with_tables("bars", "with " + _EV + ", " + _later(30) + ", " + _RT + f"select instrument_id, event_date, {', '.join(_RX)}, {_measured(_RN)} from re"))
 
 
-def _strength(s, d):
-    bench = frame(s, d, "benchmarks").where("benchmark_id = 101").select("session_date", digest(F.col("close"), 5).alias("bench"))
-    return B.strength_at(frame(s, d, "bars").join(bench, "session_date"))
+def _strength(s, d, g=None):
+    bench = frame(s, d, "benchmarks", g).where("benchmark_id = 101").select("session_date", digest(F.col("close"), 5).alias("bench"))
+    return B.strength_at(frame(s, d, "bars", g).join(bench, "session_date"))
 
 
 _SF = ("near_rs_high", "rs_high_before_price", "rs_high_with_price")
@@ -161,8 +162,8 @@ sd as (select *, case when rs_percentile is not null then least(100, rs_percenti
 register("b12_relative_strength", lambda s, d: _digested(_strength(s, d), KEY, _SF, ("rs_percentile", "rs_score")), with_tables("bars benchmarks", "with " + _SA + f"select instrument_id, session_date, {', '.join(_SF)}, {_measured(('rs_percentile', 'rs_score'))} from sd"))
 
 
-def _quality(s, d):
-    e = _events(s, d).join(_strength(s, d).select("instrument_id", F.col("session_date").alias("event_date"), "rs_score"), ["instrument_id", "event_date"], "left")
+def _quality(s, d, g=None, events=None):
+    e = (_events(s, d, g) if events is None else events).join(_strength(s, d, g).select("instrument_id", F.col("session_date").alias("event_date"), "rs_score"), ["instrument_id", "event_date"], "left")
     none = F.lit(None).cast("double")
     x = B.breakout_quality(e, B.boundary_quality(F.col("confidence"), F.col("touches")), F.col("rs_score"), none, none)
     return x.withColumn("identification", B.identification_confidence(x))
@@ -186,8 +187,11 @@ register("b15_identification", lambda s, d: _digested(_quality(s, d), EVENT, (),
 
 def _confirmed(s, d):
     keys = ["instrument_id", "event_date"]
-    after = _after(s, d, 10)
-    out = _quality(s, d).select(*keys, "quality", "relative_volume").join(B.acceptance(after).drop("sessions"), keys, "left").join(B.follow_through(after), keys, "left").join(B.retest(_after(s, d, 30)).select(*keys, "retest_quality", "recovered"), keys, "left")
+    g = once(s, d, "bars", "benchmarks")
+    events = staged_file(_events(s, d, g))
+    later = B.sessions_after(events.select(*_CARRIED), _numbered(s, d, g), 30)
+    after = later.where("k <= 10")
+    out = _quality(s, d, g, events).select(*keys, "quality", "relative_volume").join(B.acceptance(after).drop("sessions"), keys, "left").join(B.follow_through(after), keys, "left").join(B.retest(later).select(*keys, "retest_quality", "recovered"), keys, "left")
     return B.confirmation_path(B.confirmation(out.withColumn("rs_after", F.lit(None).cast("double"))))
 
 

@@ -53,3 +53,8 @@ def test_pairs_of_spans_carry_plain_columns(spark):
     out = K.relationships(spark.createDataFrame(rows, days.replace("date date", "date string")).selectExpr("instrument_id", "key", "family", "date(start_date) start_date", "date(end_date) end_date"))
     assert sorted((r.from_key, r.to_key, r.kind) for r in out.collect()) == [("a", "b", "RELATED_TO"), ("a", "c", "CONTAINS"), ("b", "c", "CONTAINS")]
     assert "struct" not in _plan(out)
+
+
+@pytest.mark.parametrize("name", ["b16_confirmation_path", "v01_determinism"])
+def test_bars_are_derived_once_for_audits_and_confirmation(spark, sf, name):
+    assert _plan(registry.queries()[name](spark, sf)).count("l_shipdate") == 0

@@ -107,3 +107,12 @@ def test_overlaps(spark, texts):
 def test_nothing(spark, nothing):
     out, counts = alignment.align(nothing.select("doc_id", "text", "lang"), A, B)
     assert out.columns == ["doc_id", "lang", *alignment.OUTPUTS] and out.collect() == [] and counts.collect() == []
+
+
+def test_a_worker_keeps_a_bounded_number_of_pretokens():
+    for ids in (alignment.byte_level(public_tokenizers.path("byte_bpe_50k.json")).ids, alignment.piece_model(public_tokenizers.path("piece_bpe_32k.model")).ids):
+        first = ids([" x0 y"])[0].tolist()
+        for part in range(8):
+            ids([" " + " ".join(f"x{i:x}qz" for i in range(part * 50_000, (part + 1) * 50_000))])
+        assert len(ids.keys) <= 360_000
+        assert ids([" x0 y"])[0].tolist() == first

@@ -13,7 +13,7 @@ tokens are compared by byte ranges:
 
 Texts that are null, empty, or that either vocabulary can't give back byte by byte (a text with U+2581, for one) have no
 tokens: zeros and no groups.  Strings of special tokens in a text are plain text.  Repeated rows and ids each count as a
-document.  Texts are read whole, a very long one as a batch of its own.  An empty table gives an empty result.  Further
+document.  Texts are read whole, a very long one as a batch of its own; of the rest ``BATCH_BYTES`` are compared at a time.  An empty table gives an empty result.  Further
 columns are carried by ``align``, those named as its outputs are replaced.
 """
 
@@ -32,15 +32,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vantage.llm.arrays import slices
+from vantage.llm import arrays
 from vantage.llm.base import cut, scratch, table
 from vantage.llm.pretokens import Ids, split_at_spaces
 
 BLOCK_BYTES = 16_000_000
+#: What a worker holds at once: bytes of text whose tokens are compared, and pretokens of each side whose ids are kept.
+BATCH_BYTES = 500_000
+PRETOKENS = 300_000
 OUTPUTS = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum")
 MARK = "▁"
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    return arrays.slices(batches, text, BATCH_BYTES)
+
+
 class Side:
     """One vocabulary: ids of texts, and the bytes that each id stands for."""
 
@@ -76,7 +83,7 @@ def byte_level(path: str) -> Side:
     strings = [b""] * library.get_vocab_size()
     for entry, i in library.get_vocab().items():
         strings[i] = bytes(sign[c] for c in entry)
-    ids = Ids(lambda words: [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)], kind=np.uint16 if len(strings) <= 1 << 16 else np.uint32)
+    ids = Ids(lambda words: [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)], most=PRETOKENS, kind=np.uint16 if len(strings) <= 1 << 16 else np.uint32)
     return Side(ids, strings)
 
 
@@ -97,7 +104,7 @@ def piece_model(path: str) -> Side:
         found = library.encode([w[1:] for w in words], num_threads=1)
         return [f if w != " " else alone for w, f in zip(words, found, strict=True)]
 
-    return Side(Ids(encode, kind=np.uint16 if size <= 1 << 16 else np.uint32, cut=split_at_spaces if apart else _whole), strings)
+    return Side(Ids(encode, most=PRETOKENS, kind=np.uint16 if size <= 1 << 16 else np.uint32, cut=split_at_spaces if apart else _whole), strings)
 
 
 def _whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

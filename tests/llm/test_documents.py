@@ -400,3 +400,14 @@ def test_chat_splits_turns_without_numbers_and_repeated_turns(spark):
         whole = "".join(("<|assistant|>\n" if r[2] == speaker else f"<|user name={r[2]}|>\n") + r[3] + "<|end|>\n" for r in turns)
         assert "".join(own[i].text for i in sorted(own)) == whole
     assert len(parts[2, "a"][0].text) > 300_000
+
+
+def test_a_sketch_goes_once_to_a_task(spark):
+    """Sets that share many signatures: members carry no sketch, a pair comes out once, sets of one id under both its texts."""
+    values = np.arange(1, 101, dtype=np.uint64) << np.uint64(40) | np.arange(1, 101, dtype=np.uint64)
+    far = values + np.uint64(7 << 20 | 211)
+    sets = [(1, 10, values), (2, 20, values[:98]), (3, 30, far), (4, 20, far[:97])]
+    classes = spark.createDataFrame([(s, r, len(v), bytearray(ngram_join.sketch(v))) for s, r, v in sets], "set_id long, rep long, n long, sketch binary")
+    members = spark.createDataFrame([(key, s, r, len(v), r, 10) for key in range(40) for s, r, v in sets], "key long, set_id long, rep long, n long, component long, home long")
+    got = sorted(map(tuple, ngram_join._across(members, classes).collect()))
+    assert [p for p in got if p in ((10, 20), (20, 30))] == [(10, 20), (20, 30)] and len(got) == len(set(got))

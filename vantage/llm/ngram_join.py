@@ -354,12 +354,13 @@ def _homes(candidates: DataFrame, classes: DataFrame) -> DataFrame:
     return placed.join(blocks, "home").select("doc_id", "home", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
 
 
-def _across(members: DataFrame) -> DataFrame:
+def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of one signature group in different components that sizes and sketches allow.
 
-    members: key, rep, n, sketch, component, home.  Groups in which the same home is the most frequent are compared together, so
+    members: key, set_id, rep, n, component, home.  Groups in which the same home is the most frequent are compared together, so
     a pair that shares many signatures comes out once.  The members of a home are cut into blocks, alike in all its groups, that hold
-    about MEMBERS_PER_BLOCK rows, and each pair of blocks is dealt to a task by itself; small homes share one.
+    about MEMBERS_PER_BLOCK rows, and each pair of blocks is dealt to a task by itself; small homes share one.  A task gets the sketch
+    of a class once, whatever the number of its signatures there.
     """
     homes = members.groupBy("key", "home").agg(F.count(F.lit(1)).alias("c"))
     groups = homes.groupBy("key").agg(F.max_by("home", F.struct("c", F.xxhash64("key", "home"))).alias("of"), F.sum("c").alias("c"))
@@ -370,13 +371,21 @@ def _across(members: DataFrame) -> DataFrame:
     spread = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "*", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j")
     )
-    ready = spread.select("key", "rep", "n", "sketch", "component", "block", (F.col("i") == F.col("j")).alias("own"), F.xxhash64("of", "i", "j").alias("work"))
+    work = F.xxhash64("of", "i", "j")
+    ready = stored(
+        spread.select(F.pmod(work, F.lit(tasks)).alias("task"), work.alias("work"), "key", "set_id", "rep", "n", "component", "block", (F.col("i") == F.col("j")).alias("own")), "ready"
+    )
+    asked = ready.select(F.col("task").alias("to"), F.col("set_id").alias("of")).distinct()
+    sketches = asked.join(classes.select(F.col("set_id").alias("of"), "sketch"), "of").select("to", "of", "sketch")
 
-    def compare(group: pa.Table) -> pa.Table:
+    def compare(group: pa.Table, sketches: pa.Table) -> pa.Table:
         at = lambda c: np.asarray(group.column(c))
         order = np.lexsort((at("n"), at("key"), at("work")))
-        rep, n, part, block, own, key, work = (at(c)[order] for c in ("rep", "n", "component", "block", "own", "key", "work"))
-        blobs = group.column("sketch").take(pa.array(order)).to_pylist()
+        rep, n, part, block, own, key, work, ids = (at(c)[order] for c in ("rep", "n", "component", "block", "own", "key", "work", "set_id"))
+        sketches = sketches.sort_by("of")
+        blobs, place = sketches.column("sketch").to_pylist(), np.searchsorted(np.asarray(sketches.column("of")), ids)
+        sizes, reps = np.zeros(len(blobs), np.int64), np.zeros(len(blobs), np.int64)
+        sizes[place], reps[place] = n, rep
         run = np.cumsum(np.concatenate(([0], ((work[1:] != work[:-1]) | (key[1:] != key[:-1])).astype(np.int64)))) << 40
         here = np.arange(len(rep))
         count = np.searchsorted(run + n, run + n * 5 // 4, side="right") - here - 1
@@ -387,14 +396,16 @@ def _across(members: DataFrame) -> DataFrame:
             x = np.repeat(here[first:last], count[first:last])
             y = x + 1 + np.arange(len(x)) - np.repeat(edge[first:last] - edge[first], count[first:last])
             good = (part[x] != part[y]) & ((block[x] != block[y]) | own[x])
-            x, y = x[good], y[good]
-            good = near(x, y, n, blobs)
-            kept.append(np.column_stack([np.minimum(rep[x[good]], rep[y[good]]), np.maximum(rep[x[good]], rep[y[good]])]))
+            x, y = place[x[good]], place[y[good]]
+            x, y = by_row(np.minimum(x, y), np.maximum(x, y))  # a pair once, however many signatures it shares here
+            good = near(x, y, sizes, blobs)
+            x, y = reps[x[good]], reps[y[good]]
+            kept.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
             first = last
         a, b = by_row(*np.concatenate(kept).T)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return ready.groupBy(F.pmod("work", F.lit(tasks))).applyInArrow(compare, "a long, b long").distinct()
+    return ready.groupBy("task").cogroup(sketches.groupBy("to")).applyInArrow(compare, "a long, b long").distinct()
 
 
 def _placed(classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -445,8 +456,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     labels = components(cut(verified(candidates, known, homes)))
     grouped = groups.where(f"kind = {_MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("set_id")).distinct()
     members = _open(grouped, classes, labels)
-    placed = members.join(_placed(classes, labels), "set_id").join(homes.select(F.col("doc_id").alias("rep"), "home"), "rep")
-    pairs = cut(_across(placed))
+    placed = members.join(_placed(classes, labels).drop("sketch"), "set_id").join(homes.select(F.col("doc_id").alias("rep"), "home"), "rep")
+    pairs = cut(_across(placed, classes))
     labels = _merged(labels, cut(verified(pairs, known, homes)))
     delete(spark, met)
     reps = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(

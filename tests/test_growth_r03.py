@@ -1,5 +1,7 @@
 """Queries whose work per row grew: each derives its tables once and shuffles them as often as it must."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,24 @@ def test_pairs_of_spans_carry_plain_columns(spark):
 @pytest.mark.parametrize("name", ["b16_confirmation_path", "v01_determinism"])
 def test_bars_are_derived_once_for_audits_and_confirmation(spark, sf, name):
     assert _plan(registry.queries()[name](spark, sf)).count("l_shipdate") == 0
+
+
+def test_the_feature_set_gives_what_the_windows_give_without_sliding_frames(spark, sf):
+    """Value by value, with gaps in each column; and no window that adds its rows up anew at every row."""
+    import pandas as pd
+
+    from vantage.operators import features as X
+
+    odd = {"open": 7, "high": 11, "low": 13, "close": 17, "volume": 19}
+    day = F.dayofyear("session_date")
+    bars = frame(spark, sf, "bars").where("instrument_id <= 2")
+    gaps = bars.select("instrument_id", "session_date", *(F.when(day % k != 3, F.col(c)).alias(c) for c, k in odd.items()))
+    short = bars.orderBy("session_date", "instrument_id").limit(45)
+    for b in (bars, gaps, short):
+        b = b.localCheckpoint()
+        table = lambda df: df.toPandas().sort_values(["instrument_id", "session_date"]).reset_index(drop=True)
+        want, got = table(X.window_features(b)), table(X.feature_set(b))
+        assert list(got.columns) == [*want.columns, *X.RECURSIVE] and len(want)
+        pd.testing.assert_frame_equal(got[list(want.columns)], want, check_exact=True)
+    frames = set(re.findall(r"specifiedwindowframe\(RowFrame, ([^)]*)\)", _plan(X.feature_set(bars))))
+    assert frames <= {"-1, -1", "unboundedpreceding$("} and "collect_list" not in _plan(X.feature_set(bars)), frames

@@ -81,3 +81,7 @@ def test_the_feature_set_gives_what_the_windows_give_without_sliding_frames(spar
         pd.testing.assert_frame_equal(got[list(want.columns)], want, check_exact=True)
     frames = set(re.findall(r"specifiedwindowframe\(RowFrame, ([^)]*)\)", _plan(X.feature_set(bars))))
     assert frames <= {"-1, -1", "unboundedpreceding$("} and "collect_list" not in _plan(X.feature_set(bars)), frames
+
+
+def test_bars_are_derived_once_for_the_feature_set_of_episodes(spark, sf):
+    assert _plan(registry.queries()["r18_feature_set_by_episode"](spark, sf)).count("l_shipdate") == 0

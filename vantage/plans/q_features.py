@@ -8,7 +8,7 @@ from vantage.functions.scalar import digest, digest_sql
 from vantage.operators import bars as B
 from vantage.operators import features as X
 from vantage.registry import register
-from vantage.sources.fixtures import frame, with_tables
+from vantage.sources.fixtures import frame, once, with_tables
 
 AS_OF = "2001-06-13"
 
@@ -236,7 +236,8 @@ def _all_by_episode(s, d):
     """The whole feature set of each episode of series that have gaps."""
     from vantage.operators.asof import by_episode
 
-    return by_episode(frame(s, d, "gappy_bars"), frame(s, d, "calendar"), X.feature_set)
+    given = once(s, d, "bars", "calendar")
+    return by_episode(frame(s, d, "gappy_bars", given), given["calendar"], X.feature_set)
 
 
 register("r18_feature_set_by_episode", _all_by_episode)

@@ -33,7 +33,7 @@ class Chart:
 
 def share(value: float, zero: float, full: float) -> float:
     """0 at ``zero``, 1 at ``full``, straight between."""
-    return float(np.clip((value - zero) / (full - zero), 0.0, 1.0))
+    return float(min(max((value - zero) / (full - zero), 0.0), 1.0))
 
 
 def held(value: float, low: float, best_low: float, best_high: float, high: float) -> float:
@@ -134,7 +134,7 @@ def cup_handle(chart: Chart, end: int) -> Iterator[Found]:
 
 def _shoulders(chart: Chart, right: int) -> Found | None:
     """The shape whose right shoulder a confirmed low is; no later bar changes it."""
-    before = chart.lows[(chart.lows >= right - 160) & (chart.lows < right)]
+    before = chart.lows[np.searchsorted(chart.lows, right - 160) : np.searchsorted(chart.lows, right)]
     if len(before) < 2:
         return None
     head = int(before[chart.low[before].argmin()])
@@ -142,12 +142,14 @@ def _shoulders(chart: Chart, right: int) -> Found | None:
     if not len(lefts):
         return None
     left = int(lefts[chart.low[lefts].argmin()])
-    necks = [chart.highs[(chart.highs > a) & (chart.highs < b)] for a, b in ((left, head), (head, right))]
     shoulder = min(chart.low[left], chart.low[right])
     prominence = 1 - chart.low[head] / shoulder
+    if right - left < 20 or prominence < 0.04:
+        return None
+    necks = [chart.highs[np.searchsorted(chart.highs, a, side="right") : np.searchsorted(chart.highs, b)] for a, b in ((left, head), (head, right))]
     fall = _drift(chart, left)
     high = chart.high[max(0, left - 60) : left + 1].max()
-    if right - left < 20 or prominence < 0.04 or not all(len(n) for n in necks) or fall is None or fall > -0.05 or 1 - chart.low[left] / high < 0.1:
+    if not all(len(n) for n in necks) or fall is None or fall > -0.05 or 1 - chart.low[left] / high < 0.1:
         return None
     neck = [float(chart.high[n].max()) for n in necks]
     sides = sorted((head - left, right - head))
@@ -200,14 +202,16 @@ def base_on_base(chart: Chart, end: int) -> Iterator[Found]:
 
 def _tested_level(chart: Chart, anchor: int) -> tuple[float, int, int, int] | None:
     """Level, first and last touch and touches of the pivots up to an anchor, if price respected it."""
-    own = chart.highs[(chart.highs >= anchor - 90) & (chart.highs <= anchor)]
+    own = chart.highs[np.searchsorted(chart.highs, anchor - 90) : np.searchsorted(chart.highs, anchor, side="right")]
     price = chart.high[own]
     near = np.abs(price[:, None] - price[None]) <= price[:, None] * 0.015
-    best = max(range(len(own)), key=lambda i: (near[i].sum(), price[near[i]].mean()))
+    n = near.sum(axis=1)
+    if n.max() < 3:
+        return None
+    level, best = max(((float(price[near[i]].mean()), i) for i in np.flatnonzero(n == n.max()).tolist()), key=lambda x: x[0])
     touched = own[near[best]]
-    level = float(price[near[best]].mean())
     first, last = int(touched[0]), int(touched[-1])
-    if len(touched) < 3 or last - first < 20 or (chart.close[first : last + 1] < level).mean() < 0.85:
+    if last - first < 20 or (chart.close[first : last + 1] < level).mean() < 0.85:
         return None
     return level, first, last, len(touched)
 

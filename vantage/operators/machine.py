@@ -8,6 +8,7 @@ series or picks up where a stream left off.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,15 @@ MOST_REJECTIONS, CLOSES_INSIDE, DECISIVE, ADVERSE, STALE_DAYS = 3, 2, 1.2, 2.5,
 DETACHED = 40.0  # quality taken for a level that belongs to no structure
 
 
+def _covered(later: bool, retested: bool) -> bool:
+    have = {"close_acceptance": True, "follow_through": later, "volume_persistence": later, "retest_quality": retested}
+    return 100 * sum(CONFIRMATION[k] for k, there in have.items() if there) >= BALANCED["coverage"]
+
+
+#: Whether enough of the evidence is there, by sessions after the break and a retest.
+_COVERED = {(later, retested): _covered(later, retested) for later in (False, True) for retested in (False, True)}
+
+
 def _ramp(x: float, zero: float, full: float, floor: float = 0.0) -> float:
     return min(max(floor + (100 - floor) * (x - zero) / (full - zero), floor), 100.0)
 
@@ -44,6 +54,24 @@ class Bar:
     sector_context: float | None = None
 
 
+class Line:
+    """The bars of a series as lists, with the shape of each; ``first`` is the position before which a monitor knows no close."""
+
+    def __init__(self, days, open, high, low, close, volume, average_volume, relative_strength, market_context, sector_context, first: int = 0) -> None:  # noqa: A002
+        self.columns, self.high, self.close, self.first = (days, open, high, low, close, volume, average_volume, relative_strength, market_context, sector_context), high, close, first
+        o, h, lo, c = (np.array(x, float) for x in (open, high, low, close))
+        span = h - lo
+        with np.errstate(all="ignore"):
+            self.wick = np.where(span > 0, (h - np.where(c > o, c, o)) / span, 0.0).tolist()
+            self.place = np.where(span > 0, (c - lo) / span, 1.0).tolist()
+        self._bars: dict[int, Bar] = {}
+
+    def bar(self, t: int) -> Bar:
+        if t not in self._bars:
+            self._bars[t] = Bar(*(c[t] for c in self.columns))
+        return self._bars[t]
+
+
 @dataclass
 class Pullback:
     low: float
@@ -138,6 +166,67 @@ class Monitor:
         self.previous_close = bar.close
         return out
 
+    def follow(self, line: Line, i: int, watched: bytes, lost: bool = False) -> tuple[list[tuple[int, int, str, str]], int]:
+        """One attempt, opened at position i: (position, attempt, state, reason) of its changes, and the position after it.
+
+        As take() session by session; ``lost``: an attempt ends wherever it isn't watched, also after the break.
+        """
+        out, was, age = [], None, 0
+        self.number += 1
+        level, atr, number = self.level, self.atr, self.number
+        top, edge = level * (1 + self.tolerance), level * (1 - self.tolerance)
+        high, close, wick, place = line.high, line.close, line.wick, line.place
+        for t in range(i, len(close)):
+            if age and not watched[t]:
+                return self._ended(out, was, t, "expired", "timed_out")
+            age += 1
+            h, c = high[t], close[t]
+            if c > top:
+                break
+            if h > top and c < level and (wick[t] >= 0.5 or place[t] <= 0.35):
+                return self._ended(out, was, t, "rejected", "rejected_at_boundary")
+            if age - 1 > APPROACHING:
+                return self._ended(out, was, t, "expired", "timed_out")
+            apart = (level - c) / atr if atr > 0 else None
+            if h > top:
+                state, reason = "intraday_break", "penetrated_intraday"
+            elif edge <= h <= top or (apart is not None and abs(apart) <= 0.4):
+                state, reason = "testing_resistance", "touched_boundary"
+            elif (apart is None or apart <= 2.5) and (level - c) / level <= 0.12:
+                state, reason = "approaching", "entered_approach"
+            else:
+                state, reason = "not_approaching", "left_approach"
+            if state != was:
+                out.append((t, number, state, reason))
+                was = state
+        else:
+            return out, len(close)
+        a = self.attempt = Attempt(number, age=age - 1)
+        for t in range(t, len(close)):
+            bar = line.bar(t)
+            if a.since and lost and not watched[t]:
+                return self._ended(out, was, t, "expired", "timed_out")
+            if not a.since:
+                self.previous_close = close[t - 1] if t > line.first else None
+            self._advance(a, bar)
+            if a.state in TERMINAL:
+                return self._ended(out, was, t, a.state, a.reason)
+            if a.state != was:
+                out.append((t, number, a.state, a.reason))
+                was = a.state
+        return out, len(close)
+
+    def _ended(self, out: list, was: str | None, t: int, state: str, reason: str) -> tuple[list, int]:
+        if state != was:
+            out.append((t, self.number, state, reason))
+        if state == "rejected":
+            self.rejections += 1
+            if self.rejections >= MOST_REJECTIONS:
+                out.append((t, self.number, "failed_breakout", "repeated_rejection"))
+                self.closed = True
+        self.attempt = None
+        return out, t + 1
+
     def _advance(self, a: Attempt, bar: Bar) -> None:
         a.age += 1
         if a.since:
@@ -257,28 +346,27 @@ class Monitor:
 
     def _path(self, a: Attempt) -> str | None:
         n = a.since - 1
-        follow = None
-        if n:
-            atr = self.atr
-            terms = {
-                "progress": _ramp((a.later_top - a.close) / atr, 0, 1) if atr > 0 else 50.0,
-                "adverse": _ramp(max(0.0, (a.close - a.later_low) / atr), 1, 0) if atr > 0 else 50.0,
-                "expansion": _ramp(a.later_spread / n / atr, 0, 1.2) if atr > 0 else 50.0,
-                "volume": _ramp(a.later_volume / n / a.volume, 0, 0.7) if a.volume > 0 else 50.0,
-            }
-            follow = sum(v * FOLLOW_THROUGH[k] for k, v in terms.items())
-        have = {"close_acceptance": True, "follow_through": n > 0, "volume_persistence": n > 0, "retest_quality": a.retest_quality is not None}
-        if 100 * sum(CONFIRMATION[k] for k, there in have.items() if there) < BALANCED["coverage"]:
+        if not _COVERED[n > 0, a.retest_quality is not None]:
             return None
-        strong = a.closes >= BALANCED["closes"] and a.quality >= BALANCED["quality"] and a.relative_volume is not None and a.relative_volume >= BALANCED["relative_volume"]
-        if strong and n >= BALANCED["follow_sessions"] and follow is not None and follow >= BALANCED["follow"]:
-            return "momentum"
+        if a.closes >= BALANCED["closes"] and a.quality >= BALANCED["quality"] and a.relative_volume is not None and a.relative_volume >= BALANCED["relative_volume"]:
+            if n and n >= BALANCED["follow_sessions"] and self._follow(a, n) >= BALANCED["follow"]:
+                return "momentum"
         if a.retest_quality is not None and a.held and a.retest_quality >= BALANCED["retest"]:
             return "retest"
         if a.run >= BALANCED["acceptance_closes"] and (self.atr <= 0 or a.spread / a.since / self.atr <= BALANCED["acceptance_range"]):
             return "acceptance"
         return None
 
+    def _follow(self, a: Attempt, n: int) -> float:
+        atr = self.atr
+        terms = {
+            "progress": _ramp((a.later_top - a.close) / atr, 0, 1) if atr > 0 else 50.0,
+            "adverse": _ramp(max(0.0, (a.close - a.later_low) / atr), 1, 0) if atr > 0 else 50.0,
+            "expansion": _ramp(a.later_spread / n / atr, 0, 1.2) if atr > 0 else 50.0,
+            "volume": _ramp(a.later_volume / n / a.volume, 0, 0.7) if a.volume > 0 else 50.0,
+        }
+        return sum(v * FOLLOW_THROUGH[k] for k, v in terms.items())
+
     def _expire(self, a: Attempt) -> None:
         limit = {"confirmation_pending": PENDING, "confirmed": CONFIRMED}.get(a.state)
         if a.state in RETESTING and a.pullback is not None and a.pullback.sessions > RETESTED:
@@ -292,6 +380,20 @@ COLUMNS = "instrument_id int, key string, attempt int, session_date date, from_s
 _NAMES = [k.split()[0] for k in COLUMNS.split(", ")]
 
 
+def followed(line: Line, m: Monitor, first: int, days: np.ndarray, seen: np.ndarray) -> Iterator[tuple[int, int, str | None, str, str, float]]:
+    """(attempt, position, from, to, reason, level) of all attempts at a level from position ``first`` on; ``seen``: days on which its structure was observed, in order."""
+    last = seen[np.searchsorted(seen, days[first:], side="right") - 1]
+    watched = bytes(first) + (days[first:] - last <= STALE_DAYS).tobytes()
+    line.first, t = first, watched.find(1, first)
+    while t >= 0 and not m.closed:
+        changes, t = m.follow(line, t, watched)
+        was = None
+        for at, number, state, reason in changes:
+            yield number, at, was, state, reason, m.level
+            was = state
+        t = watched.find(1, t)
+
+
 def histories(bars: DataFrame, boundaries: DataFrame) -> DataFrame:
     """State history of every attempt at every level, over all sessions after it was frozen.
 
@@ -305,21 +407,13 @@ def histories(bars: DataFrame, boundaries: DataFrame) -> DataFrame:
         b = b.sort_values("session_date")
         days = b["session_date"].to_numpy().astype("datetime64[D]")
         known = [b[c].astype(object).where(b[c].notna(), None).tolist() if c in b else [None] * len(b) for c in CONTEXT]
-        bar = [Bar(*x) for x in zip(days, *(b[c].to_numpy(float).tolist() for c in ("open", "high", "low", "close", "volume", "average_volume")), *known, strict=True)]
-        rows = []
+        line = Line(days, *(b[c].to_numpy(float).tolist() for c in ("open", "high", "low", "close", "volume", "average_volume")), *known)
+        rows, close, day = [], line.close, days.astype(int)
         for r in edges.sort_values(["frozen_on", "key"]).itertuples():
             seen = np.sort(np.asarray(r.seen, dtype="datetime64[D]"))
             first = int(np.searchsorted(days, np.datetime64(r.frozen_on, "D"), side="right"))
-            last = seen[np.searchsorted(seen, days[first:], side="right") - 1]
-            watched = ((days[first:] - last).astype(int) <= STALE_DAYS).tolist()
-            m, was = Monitor(r.level, r.tolerance, r.atr, r.confidence, int(r.touches), getattr(r, "quality", DETACHED)), {}
-            final = len(watched) if not watched else max((i for i, w in enumerate(watched) if w), default=-1) + 1
-            for i, x in enumerate(bar[first:]):
-                if m.closed or (i >= final and m.attempt is None):
-                    break
-                for number, state, reason in m.take(x, watched[i]):
-                    rows.append((group[0], r.key, number, x.day.item(), was.get(number), state, reason, r.level, x.close))
-                    was[number] = state
+            m = Monitor(r.level, r.tolerance, r.atr, r.confidence, int(r.touches), getattr(r, "quality", DETACHED))
+            rows += [(group[0], r.key, number, days[t].item(), was, to, reason, level, close[t]) for number, t, was, to, reason, level in followed(line, m, first, day, seen.astype(int))]
         return pd.DataFrame(rows, columns=_NAMES)
 
     return bars.groupBy("instrument_id").cogroup(boundaries.groupBy("instrument_id")).applyInPandas(fold, COLUMNS)

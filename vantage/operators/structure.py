@@ -130,8 +130,11 @@ def contractions(pivots: DataFrame) -> DataFrame:
 
 def _pivots(x: np.ndarray, left: int, right: int) -> np.ndarray:
     n = len(x)
-    out = [i for i in range(left, n - right) if x[i] > x[i - left : i].max() and x[i] >= x[i + 1 : i + 1 + right].max()]
-    return np.array(out, dtype=int)
+    if n <= left + right:
+        return np.zeros(0, int)
+    highest = lambda size: np.lib.stride_tricks.sliding_window_view(x, size).max(axis=1)
+    own = x[left : n - right]
+    return left + np.flatnonzero((own > highest(left)[: len(own)]) & (own >= highest(right)[left + 1 :][: len(own)]))
 
 
 def _flat_base(s: Chart, end: int) -> Iterator[Found]:
@@ -251,7 +254,7 @@ class Walk:
                     level, floor = round(float(level), 6), round(float(floor), 6)
                     yield family, first, level, floor, round(100 * float(np.mean(list(parts.values()))), 4), *self._tested(chart, first, level)
 
-    def swept(self, at: np.ndarray, ages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float], list[float], list[float], list[int], list[float]]:
+    def swept(self, at: np.ndarray, ages: np.ndarray) -> tuple[np.ndarray, ...]:
         """As sighted() of all positions ``at`` (without a gap) and their ages, in columns with the position first; see the sweep."""
         whole = sweep.Stretch.of(Chart(*(self.bars[k] for k in _BARS), self.atr, self.highs, self.lows))
         found = []
@@ -265,12 +268,13 @@ class Walk:
                     own = floor < level
                     found.append((end[own], np.full(int(own.sum()), n), first[own], level[own], floor[own], quality[own]))
             if not found:
-                none = np.zeros(0, int)
-                return none, np.zeros(0, object), none, [], [], [], [], []
+                none, nothing = np.zeros(0, int), np.zeros(0)
+                return none, np.zeros(0, object), none, nothing, nothing, nothing, none, nothing
             end, n, first, level, floor, quality = (np.concatenate(x) for x in zip(*found, strict=True))
-            level = [round(x, 6) for x in level.tolist()]
-            touches, confidence = sweep.tested(whole.chart, end, first, np.array(level))
-        return end + RIGHT, np.array(FAMILIES, object)[n], first, level, [round(x, 6) for x in floor.tolist()], [round(x, 4) for x in quality.tolist()], touches.tolist(), [round(x, 4) for x in confidence.tolist()]
+            level = sweep.rounded(level, 6)
+            touches, confidence = sweep.tested(whole.chart, end, first, level)
+            floor, quality, confidence = sweep.rounded(floor, 6), sweep.rounded(quality, 4), sweep.rounded(confidence, 4)
+        return end + RIGHT, np.array(FAMILIES, object)[n], first, level, floor, quality, touches, confidence
 
     @staticmethod
     def _tested(chart: Chart, first: int, level: float) -> tuple[int, float]:
@@ -416,12 +420,19 @@ def state_of(family: str, close: float, level: float, floor: float, quality: flo
     return "NEAR_BREAKOUT" if close >= level * (1 - NEAR) and family != "breakout_retest" else "MATURE"
 
 
+def states_of(family: np.ndarray, close: np.ndarray, level: np.ndarray, floor: np.ndarray, quality: np.ndarray) -> np.ndarray:
+    """As state_of(), of many."""
+    near = (close >= level * (1 - NEAR)) & (family != "breakout_retest")
+    names = ("INVALIDATED", "FORMING", "BROKEN_OUT_UNCONFIRMED", "NEAR_BREAKOUT")
+    return np.select((close < floor, quality < MATURE_QUALITY, close > level * (1 + BREAK_BUFFER), near), names, "MATURE").astype(object)
+
+
 def violations(found: DataFrame) -> DataFrame:
     """Structures whose geometry can't be; must be empty."""
     return found.where((F.col("invalidation") >= F.col("level")) | (F.col("level") <= 0) | (F.col("start_date") >= F.col("session_date")) | F.isnan("level"))
 
 
-def family_counts(found: DataFrame) -> DataFrame:
-    """Count for every family, also those with nothing."""
+def family_counts(found: DataFrame, number: Column | None = None) -> DataFrame:
+    """Count for every family, also those with nothing; ``number``: how many the rows of a family stand for, if not one each."""
     families = found.sparkSession.createDataFrame([(f,) for f in FAMILIES], "family string")
-    return families.join(found.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("instrument_id").alias("instruments")), "family", "left").na.fill(0)
+    return families.join(found.groupBy("family").agg((F.count(F.lit(1)) if number is None else number).alias("n"), F.count_distinct("instrument_id").alias("instruments")), "family", "left").na.fill(0)

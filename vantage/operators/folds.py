@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 from vantage.functions.scalar import identity, identity_of
 from vantage.operators import machine
 from vantage.operators.breakout import zone_of
-from vantage.operators.structure import _BARS, FAMILIES, LEAST_QUALITY, WARM_UP, Walk, states_of
 from vantage.operators.features import atr
+from vantage.operators.structure import _BARS, FAMILIES, LEAST_QUALITY, WARM_UP, Walk, states_of
+from vantage.operators.sweep import spread
 from vantage.operators.tracker import Sighting, Step, Tracker
 from vantage.operators.tracking import HISTORY
 
+KINDS = ["RELATED_TO", "CONTAINS", "NESTED_IN", "OVERLAPS"]
 EARLY = ("MATURE", "NEAR_BREAKOUT")
 _CODES = {f: n for n, f in enumerate(FAMILIES)}
 
@@ -66,9 +69,11 @@ class Series:
 
     def sightings(self) -> Iterator[list[Sighting]]:
         """Those of each session, by key."""
-        of, start = self.of.tolist(), self.days[self.first].tolist() if self.first else []
-        columns = ([self.keys[i] for i in of], [self.family[i] for i in of], self.state, *(x.tolist() for x in (self.quality, self.level, self.floor)), [start[i] for i in of], self.touches.tolist(), self.confidence.tolist())
-        every, cuts = list(map(Sighting._make, zip(*columns, strict=True))), np.searchsorted(self.t, np.arange(len(self.days) + 1)).tolist()
+        if not self.keys:
+            return iter([[]] * len(self.days))
+        keys, family, start = (np.array(x, kind)[self.of].tolist() for x, kind in ((self.keys, object), (self.family, object), (self.days[self.first], int)))
+        columns = keys, family, self.state.tolist(), self.quality.tolist(), self.level.tolist(), self.floor.tolist(), start, self.touches.tolist(), self.confidence.tolist()
+        every, cuts = list(map(partial(tuple.__new__, Sighting), zip(*columns, strict=True))), np.searchsorted(self.t, np.arange(len(self.days) + 1)).tolist()
         return (every[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
 
@@ -112,6 +117,29 @@ def spans(bars: DataFrame) -> DataFrame:
     return found.withColumn("key", identity(F.col("instrument_id"), F.col("family"), F.lit("1d"), F.col("start_date")))
 
 
+def related(bars: DataFrame) -> DataFrame:
+    """How many pairs of structures of one series there are of each kind; see tracking.relationships()."""
+
+    def fold(s: Series, _: pa.Table) -> dict:
+        last = np.zeros(len(s.keys), int)
+        np.maximum.at(last, s.of, s.t)
+        of_key = np.empty(len(s.keys), int)
+        of_key[sorted(range(len(s.keys)), key=s.keys.__getitem__)] = np.arange(len(s.keys))
+        first, last, family = s.days[s.first].astype(int) if s.first else np.zeros(0, int), s.days[last].astype(int), np.array([_CODES[f] for f in s.family], int)
+        order = np.lexsort((of_key, first))
+        first, last, family, of_key = (x[order] for x in (first, last, family, of_key))
+        # those that start later, or on the same day with a greater key, while this one is under way
+        i, j = spread(np.arange(1, len(first) + 1), np.searchsorted(first, last, side="right"))
+        both, ahead = np.minimum(last[i], last[j]) - first[j] + 1, of_key[i] < of_key[j]
+        x, y = both / (last - first + 1)[i], both / (last - first + 1)[j]
+        alike = (x >= 0.85) & (y >= 0.85)
+        kind = np.select((alike & (family[i] != family[j]), alike, np.where(ahead, y, x) >= 0.8, np.where(ahead, x, y) >= 0.8, np.maximum(x, y) >= 0.25), (0, len(KINDS), 1, 2, 3), len(KINDS))
+        kinds = np.bincount(kind, minlength=len(KINDS) + 1)[:-1]
+        return {"kind": KINDS, "n": kinds}
+
+    return each(bars, fold, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def coexisting(bars: DataFrame) -> DataFrame:
     """How often two families fire on one series and session; see tracking.coexistence()."""
     names = sorted(FAMILIES)

@@ -14,21 +14,20 @@ stopped and resumed run gives the rows of an unbroken one.
 
 from __future__ import annotations
 
-import datetime as dt
 import uuid
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.functions.scalar import identity_of
+from vantage.operators import folds
 from vantage.operators.asof import episodes
 from vantage.operators.breakout import zone_of
-from vantage.operators.machine import STALE_DAYS, Bar, Monitor
-from vantage.operators.structure import LEAST_QUALITY, WARM_UP, Walk, series_atr, state_of
-from vantage.operators.tracker import ZERO, Sighting, Tracker
+from vantage.operators.machine import CONTEXT, STALE_DAYS, Line, Monitor
+from vantage.operators.tracker import Tracker
+from vantage.sources.staging import shared_path
 
 MONITORED = ("MATURE", "NEAR_BREAKOUT", "BROKEN_OUT_UNCONFIRMED")
 VOLUME_SESSIONS = 20
@@ -46,91 +45,79 @@ def _fields(schema: str) -> dict[str, str]:
 _ALL = {"kind": "string"} | {n: t for schema in _KINDS.values() for n, t in _fields(schema).items()}
 
 
-class Episode:
-    """Tracker and monitors of one episode; ``take`` reads the next session."""
-
-    def __init__(self, instrument: int, timeframe: str, x: pd.DataFrame) -> None:
-        self.instrument, self.timeframe = instrument, timeframe
-        self.bars = {k: x[k].to_numpy(float) for k in ("open", "high", "low", "close", "volume")}
-        self.days = x["session_date"].to_numpy().astype("datetime64[D]")
-        self.atr = series_atr(x)
-        self.found = self._found()
-        self.tracker = Tracker()
-        self.monitors: dict[str, Monitor] = {}
-        self.states: dict[str, str] = {}  # of the attempt under way at each level
-        self.sightings = 0
-
-    def _found(self) -> dict[int, list[Sighting]]:
-        """The sightings of each position that has any."""
-        at = np.arange(WARM_UP, len(self.days))
-        out, close, bases = defaultdict(list), self.bars["close"].tolist(), {}
-        for t, family, first, level, floor, quality, touches, confidence in zip(*(x if isinstance(x, list) else x.tolist() for x in Walk(self.bars, self.atr).swept(at, at)), strict=True):
-            if quality >= LEAST_QUALITY:
-                if (family, first) not in bases:
-                    start = self.days[first]
-                    bases[family, first] = identity_of(self.instrument, family, self.timeframe, start), int(start.astype(int))
-                base, start = bases[family, first]
-                out[t].append(Sighting(base, family, state_of(family, close[t], level, floor, quality), quality, level, floor, start, touches, confidence))
-        return out
-
-    def sighted(self, t: int) -> list[Sighting]:
-        out = sorted(self.found.pop(t, []))
-        self.sightings += len(out)
-        return out
-
-    def take(self, t: int) -> tuple[list, list[tuple]]:
-        """Steps of the tracker, and (key, attempt, from, to, reason, level, tolerance) of the machine, at position t."""
-        day, close = int(self.days[t].astype(int)), float(self.bars["close"][t])
-        steps = self.tracker.observe(day, close, self.sighted(t))
-        watched = {x.key: x for x in self.tracker.lives.values() if x.state in MONITORED and day - x.seen <= STALE_DAYS}
-        past = self.bars["volume"][max(0, t - VOLUME_SESSIONS) : t]
-        bar = Bar(self.days[t], *(float(self.bars[k][t]) for k in ("open", "high", "low", "close", "volume")), float(past.mean()) if len(past) else 0.0)
-        was = float(self.bars["close"][t - 1]) if t else None
-        events = []
-        running = {k for k, m in self.monitors.items() if m.attempt is not None}
-        for key in sorted(running):
-            events += self._fed(key, bar, was, key in watched)
-        for key in sorted(watched.keys() - running):
-            life = watched[key].sighting
-            level = (life.level, zone_of(life.level, self.atr[t], life.confidence), float(self.atr[t]), life.confidence, life.touches, life.quality)
-            monitor = self.monitors.setdefault(key, Monitor(*level))
+def walk(s: folds.Series) -> tuple[list[tuple], list[tuple], int]:
+    """Steps of the tracker (see tracker.Step), rows (key, attempt, position, from, to, reason, level, tolerance) of the machine, and how many identities began.
+
+    Identities don't depend on attempts, so the tracker goes first and leaves the sessions on which each is monitored, with what it
+    was then; each level is followed along these afterwards.
+    """
+    tracker, steps, begun, watched, n = Tracker(), [], 0, defaultdict(list), len(s.days)
+    days = s.days.tolist()
+    for t, found in folds.tracked(s, tracker):
+        if found:
+            steps += found
+            begun += len({x.key for x in found if x.was is None})
+        stale = days[t] - STALE_DAYS
+        for life in tracker.lives.values():
+            if life.state in MONITORED and life.seen >= stale:
+                watched[life.key].append((t, life.sighting))
+    volume = s.bars["volume"]
+    mean = [0.0, *(float(volume[:t].mean()) for t in range(1, min(n, VOLUME_SESSIONS)))][:n]
+    if n > VOLUME_SESSIONS:
+        mean += np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(volume, VOLUME_SESSIONS)[:-1]).mean(axis=1).tolist()
+    line = Line(s.days.astype("datetime64[D]"), *(s.bars[k].tolist() for k in ("open", "high", "low", "close", "volume")), mean, *([None] * n for _ in CONTEXT))
+    events = []
+    for key, own in watched.items():
+        frozen, mask = dict(own), np.zeros(n, bool)
+        mask[list(frozen)] = True
+        mask, monitor, t = mask.tobytes(), None, own[0][0]
+        while t >= 0 and not (monitor is not None and monitor.closed):
+            x, span = frozen[t], float(s.atr[t])
+            level = (x.level, zone_of(x.level, s.atr[t], x.confidence), span, x.confidence, x.touches, x.quality)
+            if monitor is None:
+                monitor = Monitor(*level)
             monitor.level, monitor.tolerance, monitor.atr, monitor.confidence, monitor.touches, monitor.quality = level
-            events += self._fed(key, bar, was, True)
-        known = {x.key for x in self.tracker.lives.values()}
-        for key in [k for k, m in self.monitors.items() if k not in known and m.attempt is None]:
-            del self.monitors[key]  # no identity gets that key again
-        return steps, events
-
-    def _fed(self, key: str, bar: Bar, was: float | None, watched: bool) -> list[tuple]:
-        monitor, out = self.monitors[key], []
-        monitor.previous_close = was
-        for number, state, reason in monitor.take(bar, watched, lost=not watched):
-            out.append((key, number, self.states.get(key), state, reason, monitor.level, monitor.tolerance))
-            self.states[key] = state
-        if monitor.attempt is None:
-            self.states.pop(key, None)
-        return out
+            changes, t = monitor.follow(line, t, mask, lost=True)
+            was = None
+            for at, number, state, reason in changes:
+                events.append((key, number, at, was, state, reason, monitor.level, monitor.tolerance))
+                was = state
+            t = mask.find(1, t)
+    return steps, events, begun
 
 
 def walked(bars: DataFrame, timeframe: str = "1d") -> DataFrame:
     """Rows of kind structure, event and ledger from ``bars`` (with episode_id), one walk for each episode."""
-    names = list(_ALL)
-
-    def walk(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("session_date").drop_duplicates("session_date")
-        e, rows, counts = Episode(key[0], timeframe, x), [], [0, 0]
-        head = {"instrument_id": key[0], "timeframe": timeframe, "episode_id": key[1]}
-        for t in range(len(x)):
-            steps, events = e.take(t)
-            counts[0] += len({s.key for s in steps if s.was is None})
-            counts[1] += sum(was is None for _, _, was, *_ in events)
-            on = e.days[t].item()
-            rows += [head | {"kind": "structure", "key": s.key, "family": s.family, "session_date": ZERO + dt.timedelta(days=s.day), "from_state": s.was, "to_state": s.to, "reason": s.reason, "quality": s.quality} for s in steps]
-            rows += [head | {"kind": "event", "key": k, "attempt": n, "session_date": on, "from_state": was, "to_state": to, "reason": why, "level": level, "tolerance": width, "close": e.bars["close"][t]} for k, n, was, to, why, level, width in events]
-        rows.append(head | {"kind": "ledger", "first_session": e.days[0].item(), "last_session": e.days[-1].item(), "n_sessions": len(x), "n_sightings": e.sightings, "n_structures": counts[0], "n_events": counts[1]})
-        return pd.DataFrame(rows, columns=names).astype({n: object for n in names})
-
-    return bars.groupBy("instrument_id", "episode_id").applyInPandas(walk, ", ".join(f"{n} {t}" for n, t in _ALL.items()))
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "date": pa.date32()}
+    schema = pa.schema([(n, kinds[t]) for n, t in _ALL.items()])
+
+    def table(kind: str, n: int, head: dict, columns: dict) -> pa.Table:
+        def column(f: pa.Field) -> pa.Array:
+            if f.name in columns:
+                x = columns[f.name]
+                return pa.array(x, pa.int32()).cast(f.type) if f.type == pa.date32() else pa.array(x, f.type)
+            return pa.repeat(pa.scalar(head[f.name], f.type), n) if f.name in head else pa.nulls(n, f.type)
+
+        head = head | {"kind": kind}
+        return pa.table([column(f) for f in schema], schema)
+
+    def run(key: tuple, x: pa.Table) -> pa.Table:
+        day, first = np.unique(x.column("day").to_numpy(), return_index=True)
+        x = x.take(pa.array(first))
+        s = folds.Series.of_bars(key[0].as_py(), day, {k: np.asarray(x.column(k).to_numpy(), float) for k in ("open", "high", "low", "close", "volume")}, timeframe)
+        steps, events, begun = walk(s)
+        head = {"instrument_id": s.instrument, "timeframe": timeframe, "episode_id": key[1].as_py()}
+        parts = [table("ledger", 1, head, {"first_session": day[:1], "last_session": day[-1:], "n_sessions": [len(day)], "n_sightings": [len(s.t)], "n_structures": [begun], "n_events": [sum(e[3] is None for e in events)]})]
+        if steps:
+            parts.append(table("structure", len(steps), head, dict(zip(("key", "family", "session_date", "from_state", "to_state", "reason", "quality"), zip(*steps, strict=True), strict=True))))
+        if events:
+            columns = dict(zip(("key", "attempt", "at", "from_state", "to_state", "reason", "level", "tolerance"), map(list, zip(*events, strict=True)), strict=True))
+            at = columns.pop("at")
+            parts.append(table("event", len(events), head, columns | {"session_date": day[at], "close": s.bars["close"][at]}))
+        return pa.concat_tables(parts)
+
+    read = bars.select("instrument_id", "episode_id", F.unix_date("session_date").alias("day"), "open", "high", "low", "close", "volume")
+    return read.groupBy("instrument_id", "episode_id").applyInArrow(run, ", ".join(f"{n} {t}" for n, t in _ALL.items()))
 
 
 def _read(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
@@ -170,8 +157,13 @@ def scan_snapshot(bars: DataFrame, calendar: DataFrame, folder: str, timeframe:
         return
     chunks = chunks or min(-(-n // SERIES_A_CHUNK), MOST_CHUNKS)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: rows are few and work is much
+    waiting = waiting.withColumn("chunk", F.pmod(F.xxhash64("instrument_id"), F.lit(chunks)))
+    if chunks > 1:  # each chunk reads its own rows, the tables behind them are read once
+        path = shared_path(spark, "waiting")
+        waiting.write.partitionBy("chunk").parquet(path)
+        waiting = spark.read.schema(waiting.schema).parquet(path)
     for chunk in range(chunks):
-        own = waiting.where(F.pmod(F.xxhash64("instrument_id"), F.lit(chunks)) == chunk).repartition(tasks, "instrument_id", "episode_id")
+        own = waiting.where(F.col("chunk") == chunk).repartition(tasks, "instrument_id", "episode_id")
         run = uuid.uuid4().hex
         walked(own, timeframe).withColumns({"batch": F.lit(batch).cast("long"), "run": F.lit(run)}).write.partitionBy("kind").mode("append").parquet(f"{folder}/rows")
         if stop_after is not None and chunk + 1 >= stop_after:

@@ -264,9 +264,8 @@ class Walk:
                 rows = _SWEEP[family](whole, ends) if len(ends) else ()
                 if len(rows) and len(rows[0]):
                     once = np.sort(np.unique(rows[0] * len(self.atr) + rows[1], return_index=True)[1])
-                    end, first, level, floor, quality = (x[once] for x in rows)
-                    own = floor < level
-                    found.append((end[own], np.full(int(own.sum()), n), first[own], level[own], floor[own], quality[own]))
+                    once = once[rows[3][once] < rows[2][once]]
+                    found.append((rows[0][once], np.full(len(once), n), *(x[once] for x in rows[1:])))
             if not found:
                 none, nothing = np.zeros(0, int), np.zeros(0)
                 return none, np.zeros(0, object), none, nothing, nothing, nothing, none, nothing

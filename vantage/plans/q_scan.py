@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from vantage.operators import scan as S
 from vantage.registry import register
-from vantage.sources.fixtures import frame, with_tables
+from vantage.sources.fixtures import frame, once, with_tables
 from vantage.sources.staging import shared_folder
 
 _FINISHED: set[str] = set()
@@ -14,7 +14,8 @@ def _scanned(s, d):
     """The folder of the session's scan over the tables in ``d``; the ledger there lets a stopped scan go on."""
     folder = f"{shared_folder(s)}/scan-{s.sparkContext.applicationId}-{d.strip('/').replace('/', '_').replace(':', '')}"
     if folder not in _FINISHED:
-        S.scan_snapshot(frame(s, d, "gappy_bars"), frame(s, d, "calendar"), folder)
+        g = once(s, d, "bars", "calendar")
+        S.scan_snapshot(frame(s, d, "gappy_bars", g), frame(s, d, "calendar", g), folder)
         _FINISHED.add(folder)
     return folder
 

@@ -115,7 +115,7 @@ def _tracked(s, d):
 
 
 register("k02_tracked", _tracked)
-register("k05_tracked", lambda s, d: K.relationships(FO.spans(_bars(s, d))).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+register("k05_tracked", lambda s, d: FO.related(_bars(s, d)))
 register("k09_tracked", lambda s, d: FO.coexisting(_bars(s, d)))
 register("k11_believed_tracked", lambda s, d: K.believed(_tracked(s, d), F.lit(_ON).cast("date")))
 register("v11_concentration", lambda s, d: K.concentration(FO.spans(_bars(s, d)), F.sum("n")))
